@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.text import folded, trimmed
-from terrane.llm import mixing, raking, sketch, tokens, topn
+from terrane.llm import mixing, raking, sketch, subjects, tokens, topn
 from terrane.session import table
 
 
@@ -68,7 +68,11 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p3_found, p3_percentiles, p4_found, p4_report, p4_sample, p6_ids, p7_found, p7_report, p7_mix)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assigned(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p3_found, p3_percentiles, p4_found, p4_report, p4_sample, p6_ids, p7_found, p7_report, p7_mix, p8_found)}
 
 _P1 = """WITH once AS (SELECT record_id, any_value(trim(scenario)) AS scenario, any_value(lower(trim(engine))) AS engine, any_value(importance_mean) AS importance_mean
   FROM importance WHERE scenario IS NOT NULL AND engine IS NOT NULL AND isfinite(importance_mean) GROUP BY record_id),
