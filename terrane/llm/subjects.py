@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -91,9 +91,13 @@ def embedded(ids: np.ndarray, ends: np.ndarray, weights: np.ndarray, basis: np.n
     """Unit vectors of sentences: of the weighted sums of their terms' rows of the basis. ends: where each sentence ends."""
     out = np.zeros((len(ends), basis.shape[1]), np.float32)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    full = np.flatnonzero(ends > starts)
-    if len(full):
-        out[full] = np.add.reduceat(basis[ids] * weights[ids, None], starts[full], axis=0)
+    for a in range(0, len(ends), 2048):  # the terms' rows of so many sentences are held at a time
+        part = np.arange(a, min(a + 2048, len(ends)))
+        full = part[ends[part] > starts[part]]
+        if len(full):
+            first = starts[full[0]]
+            own = ids[first : ends[full[-1]]]
+            out[full] = np.add.reduceat(basis[own] * weights[own, None], starts[full] - first, axis=0)
     return _normed(out)
 
 
@@ -129,17 +133,19 @@ def relevant(texts: list[str], truth: np.ndarray, most: int) -> tuple[dict[str,
     """The terms of at least two labelled texts that tell most of a subject, and how much: the divergence of a subject's
     share among the texts with the term from its share among all (smoothed), of the subject for which it is largest."""
     seen: Counter[str] = Counter()
-    with_subject: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(truth.shape[1]))
-    for text, y in zip(texts, truth):
-        for t in {t for s in sentences(text) for t in terms(s)}:
-            seen[t] += 1
-            with_subject[t] += y
+    for text in texts:
+        seen.update({t for s in sentences(text) for t in terms(s)})
     chosen = sorted(t for t, n in seen.items() if n >= 2) or sorted(seen)
+    place = {t: i for i, t in enumerate(chosen)}
+    with_subject = np.zeros((len(chosen), truth.shape[1]), np.float32)
+    for text, y in zip(texts, truth):
+        if y.any():
+            with_subject[[place[t] for t in {t for s in sentences(text) for t in terms(s)} if t in place]] += y
     if not chosen:
         return {}, np.zeros(0)
     base = np.clip(truth.mean(0), 1e-4, 1 - 1e-4)
     n = np.array([seen[t] for t in chosen], float)[:, None]
-    share = np.clip((np.stack([with_subject[t] for t in chosen]) + 2 * base) / (n + 2), 1e-6, 1 - 1e-6)
+    share = np.clip((with_subject + 2 * base) / (n + 2), 1e-6, 1 - 1e-6)
     told = (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))).max(1)
     keep = np.sort(np.argsort(-(told * np.sqrt(n[:, 0])), kind="stable")[:most])
     return {chosen[i]: k for k, i in enumerate(keep)}, told[keep]
@@ -154,9 +160,9 @@ def refined(x: np.ndarray, docs: np.ndarray, truth: np.ndarray, centroids: np.nd
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (u, b)]
     for turn in range(1, s.rounds + 1):
         z = np.clip(x @ u + b, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        has = np.clip(1 - np.exp(np.add.reduceat(-np.logaddexp(0, z), docs, axis=0)), 1e-6, 1)
-        pull = (np.where(truth > 0, (has - 1) / has, 1.0).astype(np.float32))[of] * p / len(docs)
+        p = 1 / (1 + np.exp(-z))  # all in single precision, as the sentences are
+        has = np.clip(1 - np.exp(np.add.reduceat(-np.logaddexp(np.float32(0), z), docs, axis=0)), 1e-6, 1)
+        pull = (np.where(truth > 0, (has - 1) / has, 1.0).astype(np.float32))[of] * (p / np.float32(len(docs)))
         for (first, second), at, grad in zip(moments, (u, b), (x.T @ pull + s.shrink * u, pull.sum(0))):
             first += 0.1 * (grad - first)
             second += 0.001 * (grad * grad - second)
