@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.queries import problems, spatial
+from terrane.queries import problems, runs, scoring, spatial
 
-MODULES = (spatial, problems)
+MODULES = (spatial, scoring, runs, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

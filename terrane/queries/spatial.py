@@ -28,10 +28,6 @@ def slice_presence_background(s: SparkSession, d: str) -> DataFrame:
     return P.sampled(p, A.cells(s, d), BASE).groupBy("source").agg(F.count("*").alias("n"), *[f(v).alias(f"{n}_{v}") for v in BASE for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
 
 
-def p1_cells(s, d):
-    return _points(s, d).groupBy("row", "col").agg(F.count("*").alias("n"), F.min("x").alias("x"))
-
-
 Q, SQL = {}, {}
 
 
@@ -60,7 +56,7 @@ FROM one LEFT JOIN cells USING (row, col) GROUP BY source""",
 
 @reg("g1_cell_counts", A.sql("SELECT row, col, count(*) AS n, min(x) AS x FROM placed GROUP BY row, col", "placed"))
 def _(s, d):
-    return p1_cells(s, d)
+    return _points(s, d).groupBy("row", "col").agg(F.count("*").alias("n"), F.min("x").alias("x"))
 
 
 @reg("f1_season_filter", A.sql("SELECT source, count(*) AS n, sum(quantity) AS q FROM points WHERE lower(season) = 'summer' AND year = 1999 GROUP BY source", "points"))
@@ -134,14 +130,14 @@ def _(s, d):
     return P.without_cells(A.mask(s, d), _points(s, d)).groupBy("row").agg(F.count("*").alias("n"))
 
 
-@reg("p6_shifted_years", A.sql("SELECT year, count(*) AS n, min(x + (year % 3) * 1000000) AS x, max(y + floor((year - 1995) / 3) * 1000000) AS y FROM points GROUP BY year", "points"))
+@reg("proj6_shifted_years", A.sql("SELECT year, count(*) AS n, min(x + (year % 3) * 1000000) AS x, max(y + floor((year - 1995) / 3) * 1000000) AS y FROM points GROUP BY year", "points"))
 def _(s, d):
     offsets = A.points(s, d).select("year").distinct().select("year", (F.col("year") % 3 * 1000000).alias("dx"), (F.floor((F.col("year") - 1995) / 3) * 1000000).alias("dy"))
     p = A.points(s, d).join(offsets, "year")
     return p.groupBy("year").agg(F.count("*").alias("n"), F.min(F.col("x") + F.col("dx")).alias("x"), F.max(F.col("y") + F.col("dy")).alias("y"))
 
 
-@reg("p7_cell_centres", A.sql("SELECT row, col, 91000 + 1000 * (col + 0.5::DOUBLE) AS x, 7124000 - 1000 * (row + 0.5::DOUBLE) AS y, row * 1000 + col AS idx FROM mask", "mask"))
+@reg("proj7_cell_centres", A.sql("SELECT row, col, 91000 + 1000 * (col + 0.5::DOUBLE) AS x, 7124000 - 1000 * (row + 0.5::DOUBLE) AS y, row * 1000 + col AS idx FROM mask", "mask"))
 def _(s, d):
     return A.mask(s, d).select("row", "col", STUDY.center_x().alias("x"), STUDY.center_y().alias("y"), STUDY.index().alias("idx"))
 
@@ -149,18 +145,18 @@ def _(s, d):
 _NAMES = ["2018_conifers", "hunting_bag_2019", "tmax_2018_summer", "elevation", "2018_04_ndvi", "anom_2019", "bio10", "ab_2018_2019_c", "mask"]
 
 
-@reg("p2_strip_year", "SELECT * FROM (VALUES ('2018_conifers', 'conifers', 2018), ('hunting_bag_2019', 'hunting_bag', 2019), ('tmax_2018_summer', 'tmax_summer', 2018), ('elevation', 'elevation', NULL), ('2018_04_ndvi', '04_ndvi', 2018), ('anom_2019', 'anom', 2019), ('bio10', 'bio10', NULL), ('ab_2018_2019_c', 'ab_2019_c', 2018), ('mask', 'mask', NULL)) t(layer, base, year)")
+@reg("proj2_strip_year", "SELECT * FROM (VALUES ('2018_conifers', 'conifers', 2018), ('hunting_bag_2019', 'hunting_bag', 2019), ('tmax_2018_summer', 'tmax_summer', 2018), ('elevation', 'elevation', NULL), ('2018_04_ndvi', '04_ndvi', 2018), ('anom_2019', 'anom', 2019), ('bio10', 'bio10', NULL), ('ab_2018_2019_c', 'ab_2019_c', 2018), ('mask', 'mask', NULL)) t(layer, base, year)")
 def _(s, d):
     f = s.createDataFrame([(n,) for n in _NAMES], "layer string")
     return f.select("layer", L.base_name("layer").alias("base"), L.layer_year("layer").alias("year"))
 
 
-@reg("p3_year_columns", "SELECT * FROM (VALUES ('2018_conifers'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('bio10'), ('ab_2018_2019_c'), ('mask')) t(layer)")
+@reg("proj3_year_columns", "SELECT * FROM (VALUES ('2018_conifers'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('bio10'), ('ab_2018_2019_c'), ('mask')) t(layer)")
 def _(s, d):
     return L.of_year(s.createDataFrame([(n,) for n in _NAMES], "layer string"), 2018)
 
 
-@reg("p4_drop_rules", "SELECT * FROM (VALUES ('hunting_bag_2019'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('ab_2018_2019_c'), ('mask')) t(layer)")
+@reg("proj4_drop_rules", "SELECT * FROM (VALUES ('hunting_bag_2019'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('ab_2018_2019_c'), ('mask')) t(layer)")
 def _(s, d):
     rules = s.createDataFrame([("2018_conifers", "DROP"), ("elevation", "keep"), ("bio10", "drop")], "layer string, action string")
     return L.without_words(L.without_rules(s.createDataFrame([(n,) for n in _NAMES], "layer string"), rules))
