@@ -146,7 +146,7 @@ def relevant(texts: list[str], truth: np.ndarray, most: int) -> tuple[dict[str,
     base = np.clip(truth.mean(0), 1e-4, 1 - 1e-4)
     n = np.array([seen[t] for t in chosen], float)[:, None]
     share = np.clip((with_subject + 2 * base) / (n + 2), 1e-6, 1 - 1e-6)
-    told = (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))).max(1)
+    told = (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))).max(1, initial=0.0)
     keep = np.sort(np.argsort(-(told * np.sqrt(n[:, 0])), kind="stable")[:most])
     return {chosen[i]: k for k, i in enumerate(keep)}, told[keep]
 
