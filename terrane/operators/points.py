@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.grid import STUDY, Grid
+from terrane.functions.quota import last_taken, take
 
 
 def placed(points: DataFrame, grid: Grid = STUDY) -> DataFrame:
@@ -46,22 +47,23 @@ def thinned_to_grid(points: DataFrame, km: float, order: Sequence[Column | str],
     return first_per(keyed, ["__tx", "__ty", *also], order).drop("__tx", "__ty")
 
 
-def thinned_by_policy(points: DataFrame, policy: DataFrame, keys: Sequence[str], order: Sequence[Column | str], few: int = 3) -> DataFrame:
+def thinned_by_policy(points: DataFrame, policy: DataFrame, keys: Sequence[str], draw: str, tie: Sequence[str], few: int = 3) -> DataFrame:
     """At most max(1, floor(n * share)) points of each key; keys without a share, and groups of up to `few`, are kept.
 
-    policy: (keys, share). A group is counted first and ranked by the order; the order should spread well.
+    policy: (keys, share). draw: a number in [0, 1) for each point, the smallest of a group being kept, in doubt by tie.
+    Groups are counted, and cut by the draw, so that one of any size is spread over the cluster.
     """
     n = points.groupBy(*keys).agg(F.count("*").alias("__n"))
-    quota = n.join(policy.select(*keys, "share"), list(keys), "left").withColumn("__q", F.when(F.col("share").isNull() | (F.col("share") >= 1) | (F.col("__n") <= few), F.col("__n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("__n") * F.col("share")))))
-    ranked = points.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.join(quota.select(*keys, "__q"), list(keys)).filter("__rn <= __q").drop("__rn", "__q")
+    all_ = F.col("share").isNull() | (F.col("share") >= 1) | (F.col("__n") <= few)
+    quota = n.join(policy.select(*keys, "share"), list(keys), "left").withColumn("__q", F.when(all_, F.col("__n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("__n") * F.col("share")))))
+    return take(points, quota, keys, draw, tie, F.lit(1), "__q")
 
 
-def equalised(points: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
-    """As many points of each key as the smallest has."""
-    least = points.groupBy(key).agg(F.count("*").alias("__n")).agg(F.min("__n").alias("__least"))
-    ranked = points.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return ranked.join(F.broadcast(least)).filter("__rn <= __least").drop("__rn", "__least")
+def equalised(points: DataFrame, key: str, draw: str, tie: Sequence[str]) -> DataFrame:
+    """As many points of each key as the smallest has, those of smallest draw."""
+    n = points.groupBy(key).agg(F.count("*").alias("__n"))
+    least = n.agg(F.min("__n").alias("__least"))
+    return take(points, n.join(F.broadcast(least)), [key], draw, tie, F.lit(1), "__least")
 
 
 def weighted_without_replacement(rows: DataFrame, weight: Column, u: Column, n: int, tie: Sequence[str]) -> DataFrame:
@@ -100,11 +102,13 @@ def random_folds(points: DataFrame, k: int, draw: Column) -> DataFrame:
     return points.withColumn("fold", (F.floor(draw * k) + 1).cast("bigint"))
 
 
-def stratified_split(rows: DataFrame, strata: Sequence[str], share: float, order: Sequence[Column | str]) -> DataFrame:
-    """Adds part: of each stratum of two rows or more, ceil(share * n) rows, the first by order, are test and others train."""
-    n = rows.groupBy(*strata).agg(F.count("*").alias("__n"))
-    ranked = rows.withColumn("__rn", F.row_number().over(W.partitionBy(*strata).orderBy(*order))).join(n, list(strata))
-    return ranked.withColumn("part", F.when((F.col("__n") >= 2) & (F.col("__rn") <= F.ceil(F.lit(share) * F.col("__n"))), "test").otherwise("train")).drop("__rn", "__n")
+def stratified_split(rows: DataFrame, strata: Sequence[str], share: float, draw: str, tie: Sequence[str]) -> DataFrame:
+    """Adds part: of each stratum of two rows or more, ceil(share * n) rows, those of smallest draw, are test and others
+    train. Rows that are equal in all columns go together."""
+    n = rows.groupBy(*strata).agg(F.count("*").alias("__n")).withColumn("__q", F.when(F.col("__n") >= 2, F.ceil(F.lit(share) * F.col("__n"))).otherwise(0))
+    ends = last_taken(rows, n, strata, draw, tie, F.lit(1), "__q")
+    mine = F.struct(draw, *tie)
+    return rows.join(ends, list(strata), "left").withColumn("part", F.when(mine <= F.col("__last"), "test").otherwise("train")).drop("__last")
 
 
 def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float, largest: int = 50_000) -> DataFrame:

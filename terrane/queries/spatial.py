@@ -21,6 +21,13 @@ def _order():
     return [A.hashed("id", 7), "id", "x", "y", "year", "quantity"]
 
 
+_TIE = ["id", "x", "y", "quantity"]
+
+
+def _drawn(s, d):
+    return A.points(s, d).withColumn("draw", A.hashed("id", 7) / 1000003.0)
+
+
 def slice_presence_background(s: SparkSession, d: str) -> DataFrame:
     """Season's points in the mask, one a cell, sampled on the stack and summarised by source."""
     p = P.in_mask(P.placed(P.of_season(A.points(s, d), "winter", 1997)), A.mask(s, d))
@@ -112,12 +119,12 @@ SELECT source, year, count(*) AS n, sum(id) AS ids FROM r JOIN q USING (source,
 )
 def _(s, d):
     policy = s.createDataFrame(_POLICY, "source string, year int, share double")
-    return P.thinned_by_policy(A.points(s, d), policy, ["source", "year"], [A.hashed("id", 7), "id", "x", "y", "quantity"]).groupBy("source", "year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return P.thinned_by_policy(_drawn(s, d), policy, ["source", "year"], "draw", _TIE).groupBy("source", "year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @reg("g6_equalise", A.sql(", l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM points GROUP BY year)) SELECT year, count(*) AS n, sum(id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (id * 2654435761 + 7 * 40503) % 1000003, id, x, y, quantity) AS rn FROM points), l WHERE rn <= least GROUP BY year", "points"))
 def _(s, d):
-    return P.equalised(A.points(s, d), "year", _order()).groupBy("year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return P.equalised(_drawn(s, d), "year", "draw", _TIE).groupBy("year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @reg("j1_sample_stack", A.sql("SELECT id, year, source, size, price, balance FROM placed LEFT JOIN cells USING (row, col)", "placed", "cells"))
@@ -294,7 +301,7 @@ def _(s, d):
 
 @reg("g21_stratified_split", A.sql(", r AS (SELECT *, row_number() OVER (PARTITION BY source, year ORDER BY (id * 2654435761 + 7 * 40503) % 1000003, id, x, y, quantity) AS rn, count(*) OVER (PARTITION BY source, year) AS n FROM points) SELECT source, year, CASE WHEN n >= 2 AND rn <= ceil(0.3::DOUBLE * n) THEN 'test' ELSE 'train' END AS part, count(*) AS n, sum(id) AS ids FROM r GROUP BY ALL", "points"))
 def _(s, d):
-    r = P.stratified_split(A.points(s, d), ["source", "year"], 0.3, [A.hashed("id", 7), "id", "x", "y", "quantity"])
+    r = P.stratified_split(_drawn(s, d), ["source", "year"], 0.3, "draw", _TIE)
     return r.groupBy("source", "year", "part").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 

@@ -52,3 +52,12 @@ def staged(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str, times: int = 4) -> DataFrame:
+    """df over `times` as many tasks as there are cores if it has fewer, for steps whose work far outweighs a move of rows.
+
+    A table of more splits than that, as any large one, is left as it lies.
+    """
+    wanted = times * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)

@@ -55,9 +55,9 @@ def test_grid_floor_and_missing(spark):
 
 def test_thinning_shares(spark):
     rows = [(i, src, i) for src in ("RRN", "GBIF") for i in range(4)]
-    p = spark.createDataFrame(rows, "id int, source string, k int")
+    p = spark.createDataFrame(rows, "id int, source string, k int").withColumn("draw", F.col("k") / 4)
     policy = spark.createDataFrame([("RRN", 0.33), ("GBIF", 0.67)], "source string, share double")
-    got = {r.source: r["count"] for r in points.thinned_by_policy(p, policy, ["source"], ["k"], few=0).groupBy("source").count().collect()}
+    got = {r.source: r["count"] for r in points.thinned_by_policy(p, policy, ["source"], "draw", ["k"], few=0).groupBy("source").count().collect()}
     assert got == {"RRN": 1, "GBIF": 2}
 
 
