@@ -74,11 +74,15 @@ def rejected(lines: DataFrame, keys: tuple[str, ...] = ("file_name", "line_no"),
     """
     split = split_lines(lines.select(*keys, "raw_line"), columns)
     bad = staged(invalid_values(split, checks))
-    structural = split.filter(F.col("reason").isNotNull()).select(*keys, "reason", F.lit(None).cast("string").alias("detail")).distinct()
-    names = F.element_at(F.create_map(*[F.lit(x) for c in checks for x in (c.place, c.name)]), F.col("place"))
-    values = split.filter(F.col("reason").isNull()).select(*keys, F.inline(_named(checks))).join(bad, ["place", "value"])
-    by_value = values.groupBy(*keys).agg(F.lit("value").alias("reason"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", names, "why"))), "; ").alias("detail"))
-    return structural.unionByName(by_value)
+    # a line of unsound structure goes on as a single value of no column
+    broken = F.array(F.struct(F.lit(-1).alias("place"), F.col("reason").alias("value")))
+    values = split.select(*keys, F.inline(F.when(F.col("reason").isNotNull(), broken).otherwise(_named(checks))))
+    failed = values.join(bad, ["place", "value"], "left").filter((F.col("place") < 0) | F.col("why").isNotNull())
+    names = F.element_at(F.create_map(*[F.lit(x) for c in checks for x in (c.place, c.name)]), F.when(F.col("place") >= 0, F.col("place")))
+    # structure and values never both fail, as the values of a broken line aren't read
+    reason = F.coalesce(F.max(F.when(F.col("place") < 0, F.col("value"))), F.lit("value"))
+    detail = F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.col("place") >= 0, F.concat_ws(": ", names, "why")))), "; "), F.lit(""))
+    return failed.groupBy(*keys).agg(reason.alias("reason"), detail.alias("detail"))
 
 
 def loaded(lines: DataFrame, keys: tuple[str, ...] = ("file_name", "line_no"), columns: tuple[str, ...] = PRESENCE_COLUMNS, checks: tuple[Checked, ...] = PRESENCE_CHECKS) -> DataFrame:
