@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.queries import modelling, problems, runs, scoring, spatial
+from terrane.queries import housekeeping, modelling, problems, runs, scoring, spatial
 
-MODULES = (spatial, scoring, runs, modelling, problems)
+MODULES = (spatial, scoring, runs, modelling, housekeeping, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
