@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions import quota
 from terrane.functions.hashing import uniform
 from terrane.functions.text import folded
-from terrane.llm import quota
 from terrane.llm.tokens import encoded
 from terrane.session import staged
 
@@ -56,7 +56,7 @@ def drawn(tokens: DataFrame, planned: DataFrame, key: str = "doc_id", seed: int
     odds = (u / (1 - u)) / (incl / (1 - incl))
     # scaled by the share's own odds, so that the cuts of the key are evenly filled around the part's end
     rows = rows.withColumn("__key", odds / (odds + F.lit(1.0)))
-    extra = quota.take(rows.filter(F.col("part") > 0), planned.filter(F.col("part") > 0), ["source"], "__key", key, F.col("n_tokens"), "part")
+    extra = quota.take(rows.filter(F.col("part") > 0), planned.filter(F.col("part") > 0), ["source"], "__key", [key], F.col("n_tokens"), "part")
     certain = rows.filter(F.col("whole") > 0).select(key, "source", "n_tokens", F.col("whole").alias("copies"))
     return certain.unionByName(extra.select(key, "source", "n_tokens", F.lit(1).cast("bigint").alias("copies"))).groupBy(key, "source", "n_tokens").agg(F.sum("copies").alias("copies"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.functions import quota
 from terrane.functions.hashing import uniform
 from terrane.functions.text import folded
-from terrane.llm import quota
 from terrane.session import staged
 
 #: Rows of the target table that the driver rakes at most; it is a parameter table, and beyond that an error.
@@ -93,14 +93,14 @@ def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str
     weights = spark.createDataFrame([(r.source, r.semester, float(w), 0) for r, w in zip(told, weight)], schema).drop("quota")
     e = -F.log(uniform(key, seed=seed)) / F.nullif(F.col("weight"), F.lit(0.0))
     keyed = own.join(weights, ["source", "semester"]).withColumn("__all", F.lit(1)).withColumn("__key", e / (1 + e))
-    first = quota.take(keyed, spark.createDataFrame([(1, size)], "__all int, size bigint"), ["__all"], "__key", key, F.lit(1), "size")
+    first = quota.take(keyed, spark.createDataFrame([(1, size)], "__all int, size bigint"), ["__all"], "__key", [key], F.lit(1), "size")
     got = {(r.source, r.semester): r.n for r in first.groupBy("source", "semester").agg(F.count("*").alias("n")).collect()}
     drawn = np.array([got.get((r.source, r.semester), 0) for r in told], np.int64)
     least = np.array([r.min_rows or 0 for r in told], np.int64)
     need = np.maximum(least, -(-per * size // 10000))
     rows = repaired(drawn, have, least, size)
     quotas = spark.createDataFrame([(r.source, r.semester, float(w), int(n)) for r, w, n in zip(told, weight, rows)], schema)
-    chosen = quota.take(keyed, quotas, ["source", "semester"], "__key", key, F.lit(1), "quota").select(key, "source", "semester", "weight")
+    chosen = quota.take(keyed, quotas, ["source", "semester"], "__key", [key], F.lit(1), "quota").select(key, "source", "semester", "weight")
     report = spark.createDataFrame(
         [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(max(0, n - k)), bool(h < n), float(gap)) for r, p, n, h, d, k in zip(told, per, need, have, drawn, rows)],
         "source string, semester string, target_per_10k bigint, needed bigint, available bigint, drawn bigint, rows bigint, gap bigint, unmet boolean, margin_gap double",

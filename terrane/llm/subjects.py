@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions.hashing import uniform
-from terrane.session import staged
+from terrane.session import spread, staged
 
 _SENTENCE = re.compile(r"[.!?…。]+[\"»”)']*\s+|[\r\n\x85  ]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|[,;:](?=\s)")
@@ -293,7 +293,7 @@ def assigned(docs: DataFrame, subjects: DataFrame, labels: DataFrame, key: str =
                 both = [looked_up(t, sent.value) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in both], pa.list_(pa.int32())) for i in (0, 1)]], names=[key, "ids", "ends"])
 
-        chosen = frame.filter(F.col(key).isNotNull()).select(key, text)
+        chosen = spread(frame.filter(F.col(key).isNotNull()).select(key, text), key)
         kinds = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "ends")]
         return chosen.mapInArrow(run, T.StructType([chosen.schema[key], *kinds]))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm.bpe import SPLIT, encoder
+from terrane.session import spread
 
 #: Where the vocabularies of public tokenizers lie, if not told otherwise.
 VOCABULARIES = os.environ.get("TERRANE_TOKENIZERS", "/opt/tokenizers")
@@ -39,7 +40,8 @@ def encoded(docs: DataFrame, key: str, text: str, path: str | None = None, split
 
     Ids are exactly those of the vocabulary's own merges, without special tokens: a text that spells a special token is
     ordinary text. Null and empty texts have no ids (an empty list, 0 tokens). One row comes out for each row that goes
-    in, so repeated rows are repeated and an empty table gives none. No row is shuffled. The vocabulary (packed, about
+    in, so repeated rows are repeated and an empty table gives none. No row is shuffled, but
+    for a table of fewer splits than the cluster can work on. The vocabulary (packed, about
     0.6 MB whatever the corpus) is read by the driver and broadcast, so executors need no file of it.
     """
     spark = docs.sparkSession
@@ -66,4 +68,5 @@ def encoded(docs: DataFrame, key: str, text: str, path: str | None = None, split
 
     kind = T.StructField("ids", T.ArrayType(T.LongType())) if ids else T.StructField("n_tokens", T.LongType())
     chosen = docs.select(F.col(key), F.col(text).alias("__text"))
+    chosen = spread(chosen, key)
     return chosen.mapInArrow(run, T.StructType([T.StructField(key, chosen.schema[0].dataType), kind]))

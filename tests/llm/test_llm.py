@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm import mixing, quota, raking, sketch, subjects, tokens, topn
+from terrane.functions import quota
+from terrane.llm import mixing, raking, sketch, subjects, tokens, topn
 from terrane.llm.bpe import Encoder
 
 VOCABULARY = tokens.vocabulary()
@@ -120,7 +121,7 @@ def test_sample_meets_shares_and_reports(spark):
 def test_take_stays_in_the_quota(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") < 4000, "big").otherwise("small").alias("g"), ((F.col("id") * 7919 % 5003) / 5003).alias("k"), (F.col("id") % 5 + 1).alias("w"))
     q = spark.createDataFrame([("big", 3000), ("small", 10**6)], "g string, q long")
-    got = quota.take(d, q, ["g"], "k", "id", F.col("w"), "q").collect()
+    got = quota.take(d, q, ["g"], "k", ["id"], F.col("w"), "q").collect()
     big = sorted((r.k, r.id, r.w) for r in d.filter("g = 'big'").collect())
     want, total = [], 0
     for k, i, w in big:
