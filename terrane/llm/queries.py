@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     stats = table(spark, d, "reference_stats").dropDuplicates(["batch_id"])
-    made = sketch.sketches(stats, ["context_id", "name"], "values")
+    made = sketch.sketches(stats, ["context_id", "name"], "values", batch="batch_id")
     at = {f"p{int(100 * p):02d}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
     made = made.withColumns({f"at_{n}": F.lit(p) for n, p in at.items()})
     found = sketch.quantiles(made, ["context_id", "name"], {n: f"at_{n}" for n in at})

@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.functions.hashing import salt
+from terrane.functions.hashing import uniform
 from terrane.session import staged
 
 #: Bits of an encoded value, upper levels that are counted exactly, hash rows of a level, counters of a row (a power of 2).
@@ -146,16 +147,19 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(_merged(keys, schema), schema)
 
 
-def sketches(batches: DataFrame, keys: list[str], values: str, weight: int = 1) -> DataFrame:
+def sketches(batches: DataFrame, keys: list[str], values: str, weight: int = 1, batch: str | None = None) -> DataFrame:
     """(keys, n, sketch) of each group: a sketch of the finite elements of its arrays; weight -1 makes one to delete with.
 
     Tasks read the arrays of a group as a stream and hold one sketch at a time (3 MB). A group of more than GATHER values
-    is spread over up to SPREAD tasks and its sketches are added, in two steps. Rows with a null key, a null array or no
+    is spread over up to SPREAD tasks, by a hash of `batch` (or of the array) so that a task that is run again gets the same
+    rows, and its sketches are added in two steps. Rows with a null key, a null array or no
     finite element are left out; an empty table gives none.
     """
-    kept = batches.select(*keys, finite(values).alias("__v")).dropna(subset=keys).filter(F.size("__v") > 0)
+    at = uniform(F.col(batch) if batch else F.col(values), seed=11)
+    kept = batches.select(*keys, finite(values).alias("__v"), at.alias("__u")).dropna(subset=keys).filter(F.size("__v") > 0)
     sizes = kept.groupBy(*keys).agg(F.sum(F.size("__v")).alias("__n"))
     most = sizes.agg(F.max("__n")).collect()[0][0] or 0
+    kept = kept if most > GATHER else kept.drop("__u")
     schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("__salt", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +196,7 @@ def sketches(batches: DataFrame, keys: list[str], values: str, weight: int = 1)
     if most <= GATHER:
         spread = kept.withColumn("__salt", F.lit(0))
     else:
-        spread = kept.join(sizes, keys).withColumn("__salt", (F.rand(11) * F.least(F.lit(SPREAD), F.ceil(F.col("__n") / GATHER))).cast("int"))
+        spread = kept.join(sizes, keys).withColumn("__salt", (F.col("__u") * F.least(F.lit(SPREAD), F.ceil(F.col("__n") / GATHER))).cast("int"))
     spread = spread.select(*keys, "__salt", "__v").repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt")
     parts = spread.mapInArrow(stream, schema)
     if most <= GATHER:
@@ -233,12 +237,10 @@ def outlying(batches: DataFrame, contexts: DataFrame, batch: str = "batch_id", k
     """
     context = keys[0]
     q = contexts.select(context, F.col(level).cast("double").alias("__q")).dropna().dropDuplicates([context])
-    from pyspark.sql import Window as W
-
     clean = batches.filter(F.col(batch).isNotNull()).select(batch, *keys, order, finite(values).alias("__v"))
     one = clean.withColumn("__rn", F.row_number().over(W.partitionBy(batch).orderBy(F.desc(order)))).filter(F.col("__rn") == 1)
     own = staged(one.dropna(subset=list(keys)).filter(F.size("__v") > 0).join(q, context).select(batch, *keys, "__q", "__v", median("__v").alias("median")))
-    made = sketches(own, list(keys), "__v").join(q, context)
+    made = sketches(own, list(keys), "__v", batch=batch).join(q, context)
     bounds = quantiles(made.select(*keys, "sketch", (1 - F.col("__q")).alias("p_low"), F.col("__q").alias("p_high")), list(keys), {"lower": "p_low", "upper": "p_high"})
     side = F.when(F.col("median") < F.col("lower.low"), "below").when(F.col("median") > F.col("upper.high"), "above")
     return own.select(batch, *keys, "median").join(bounds, list(keys)).withColumn("side", side)
