@@ -75,7 +75,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     planned = staged(plan(tokens, targets, budget))
     sample = drawn(tokens, planned, key, seed)
     given = sample.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("given"), F.sum("copies").alias("rows"))
-    report = planned.join(given, "source", "left").select("source", "target_per_10k", "max_repeats", "available", F.floor(F.col("target_per_10k") * F.col("total") / 10000).alias("wanted"), F.coalesce("given", F.lit(0)).cast("bigint").alias("given"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "short")
+    report = planned.join(given, "source", "left").select("source", "target_per_10k", "max_repeats", "available", F.floor(F.col("target_per_10k") * F.col("total") / 10000).alias("wanted"), F.coalesce("given", F.lit(0)).cast("bigint").alias("given"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "short", "total")
+    # what was drawn falls below the share, and the exact comparison confirms that no draw could reach it
+    report = report.withColumn("short", (F.col("given") * 10000 < F.col("target_per_10k") * F.col("total")) & F.col("short")).drop("total")
     whole = F.expr("sum(given) over ()")
     report = report.withColumn("reached_per_10k", F.round(F.try_divide(F.col("given") * 10000.0, whole), 2)).withColumn("missing", F.greatest(F.lit(0), F.col("wanted") - F.col("given")))
     return sample, report
