@@ -181,8 +181,7 @@ def _(s, d):
 @reg("a34_effective_percentage", "SELECT * FROM (VALUES (2017, 0.4::DOUBLE), (2018, 0.3), (2019, 0.5)) t(year, share)")
 def _(s, d):
     c = s.createDataFrame([("GBIF", {2017: 0.4, 2018: 0.6}, None), ("RRN", {2018: 0.3}, None), ("SNCF", None, 0.5)], "source string, yearly map<int,double>, flat double")
-    years = s.createDataFrame([(2017,), (2018,), (2019,)], "year int")
-    return years.join(c).groupBy("year").agg(F.min(F.coalesce(F.try_element_at("yearly", F.col("year")), "flat")).alias("share"))
+    return c.select("*", F.explode(F.array(*[F.lit(y) for y in (2017, 2018, 2019)])).alias("year")).groupBy("year").agg(F.min(F.coalesce(F.try_element_at("yearly", F.col("year")), "flat")).alias("share"))
 
 
 @reg("a35_vif_summary", "SELECT i.variable, avg(coalesce(CASE WHEN i.variable <> 'var_3' THEN vif END, 1)) AS mean, count(*) AS n FROM importances i GROUP BY i.variable", "importances")
@@ -295,7 +294,7 @@ def _(s, d):
 def _(s, d):
     from pyspark.sql import Window as W
 
-    g = s.createDataFrame([(k,) for k in (5, 10, 20, 40, 80)], "km int").join(s.createDataFrame([(b,) for b in (0, 2, 4, 6, 8, 10)], "b int"))
+    g = s.createDataFrame([(k,) for k in (5, 10, 20, 40, 80)], "km int").select("km", F.explode(F.array(*[F.lit(b) for b in (0, 2, 4, 6, 8, 10)])).alias("b"))
     return g.select("km", (F.col("b") / 10.0).alias("bias"), F.row_number().over(W.orderBy("km", "b")).cast("bigint").alias("trial"))
 
 
