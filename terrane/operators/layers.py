@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -188,3 +188,8 @@ def long(cells: DataFrame, layers: Sequence[str]) -> DataFrame:
 def wide(layers: DataFrame, names: Sequence[str]) -> DataFrame:
     """(row, col, names...) of long layers; a layer that a cell doesn't have is null."""
     return layers.groupBy("row", "col").agg(*[F.max(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in names])
+
+
+def chosen(grids: dict[str, Callable[[], DataFrame]], name: str, fallback: str) -> DataFrame:
+    """The grid of that name or, if there is none, the fallback."""
+    return grids.get(name, grids[fallback])()

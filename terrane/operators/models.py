@@ -133,3 +133,16 @@ def best_setting(train: DataFrame, test: DataFrame, settings: Sequence[dict], fi
     """(AUC, setting) of the best settings, each fitted on train and judged on a validation part."""
     tried = [(roc_auc(scored(fit(train, **s), test)).first().auc, s) for s in settings]
     return sorted(tried, key=lambda x: (-(x[0] if x[0] is not None else -1.0), str(x[1])))[:keep]
+
+
+def parameters(model: PipelineModel) -> int:
+    """Coefficients other than 0 and the intercept of a fitted logistic model; trees count their nodes."""
+    last = model.stages[-1]
+    if hasattr(last, "coefficients"):
+        return int((last.coefficients.toArray() != 0).sum()) + 1
+    return int(getattr(last, "totalNumNodes", 1))
+
+
+def fitted_names(model: PipelineModel) -> list[str]:
+    """The predictors a model was fitted on, in order."""
+    return list(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())

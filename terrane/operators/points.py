@@ -155,3 +155,11 @@ def crowding_weights(points: DataFrame, cell: float) -> DataFrame:
     raw = keyed.join(around, ["__cx", "__cy"]).withColumn("weight", 1.0 / F.col("__near"))
     mean = counts.join(around, ["__cx", "__cy"]).agg((F.sum(F.col("__n") / F.col("__near")) / F.sum("__n")).alias("__mean"))
     return raw.join(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("__mean")).drop("__cx", "__cy", "__near", "__mean")
+
+
+def thinned_if_known(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float) -> DataFrame:
+    """`farthest_points`, or all points if some feature is known nowhere."""
+    known = points.agg(*[F.count(f).alias(f) for f in features]).first()
+    if not features or not all(known[f] for f in features):
+        return points
+    return farthest_points(points, keys, features, key, share)

@@ -306,4 +306,135 @@ def _(s, d):
     return proximity.in_regions(A.points(s, d), "x", "y", r, "region", "ring", 50000.0).groupBy("region").agg(F.count("*").alias("n"))
 
 
+
+@reg("s5_column_subset", "SELECT count(importance_mean) AS n, count(DISTINCT variable) AS variables FROM importance")
+def _(s, d):
+    return table(s, d, "importance").select("importance_mean", "variable").agg(F.count("importance_mean").alias("n"), F.countDistinct("variable").alias("variables"))
+
+
+@reg("s9_source_dispatch", "SELECT * FROM (VALUES ('a_2019.tif'), ('a_2020.tif'), ('b.tif')) t(path)")
+def _(s, d):
+    found = R.dispatched({"pattern": "a_{year}.tif"}, {"year": [2019, 2020]}) + R.dispatched(["b.tif"], {})
+    return s.createDataFrame([(x,) for x in found], "path string")
+
+
+@reg("s11_point_file", """SELECT count(*) AS n FROM presence WHERE isfinite("dd long") AND isfinite("dd lat")""")
+def _(s, d):
+    return R.read_points(s, f"{d}/presence.parquet", "parquet").agg(F.count("*").alias("n"))
+
+
+@reg("s17_caption_flags", r"SELECT source, count(*) FILTER (regexp_matches(text, '(?i)(^|\n)\s*(figure|table|photographs)\b')) AS captions FROM documents GROUP BY source")
+def _(s, d):
+    return table(s, d, "documents").groupBy("source").agg(F.count_if(F.col("text").rlike(r"(?i)(^|\n)\s*(figure|table|photographs)\b")).alias("captions"))
+
+
+@reg("k10_model_round_trip")
+def _(s, d):
+    from pyspark.ml import PipelineModel
+
+    from terrane.operators import models
+
+    path = f"{shared_dir(s)}/model-{uuid.uuid4().hex}"
+    x = A.design(s, d)
+    models.fit_maxent(x, ["v0", "v1"], product=False).write().save(path)
+    return models.scored(PipelineModel.load(path), x).select("id", "s")
+
+
+@reg("proj5_words_dropped", "SELECT * FROM (VALUES ('elevation'), ('bio01')) t(layer)")
+def _(s, d):
+    return L.without_words(s.createDataFrame([("elevation",), ("Hunting_bag",), ("temp_ANOM_2019",), ("bio01",)], "layer string"), ["hunting", "anom"])
+
+
+@reg("proj22_record_table", "SELECT record_id, scenario, engine, importance_mean, importance_std, vif FROM importance WHERE record_id < 0")
+def _(s, d):
+    return table(s, d, "importance").filter("record_id < 0").select("record_id", "scenario", "engine", "importance_mean", "importance_std", "vif")
+
+
+@reg("f15_one_year", "SELECT count(*) AS n FROM importance WHERE test_year = (SELECT coalesce(min(test_year) FILTER (test_year = 2021), min(test_year)) FROM importance)")
+def _(s, d):
+    i = table(s, d, "importance")
+    year = i.agg(F.coalesce(F.min(F.when(F.col("test_year") == 2021, 2021)), F.min("test_year")).alias("test_year"))
+    return i.join(F.broadcast(year), "test_year").agg(F.count("*").alias("n"))
+
+
+@reg("g11_points_in_area", "SELECT 91000 + 1000 * (col + ((row * 1000 + col) * 2654435761 + 8 * 40503) % 1000003 / 1000003.0::DOUBLE) AS x, row FROM mask ORDER BY ((row * 1000 + col) * 2654435761 + 5 * 40503) % 1000003, row, col LIMIT 200", "mask")
+def _(s, d):
+    key = F.col("row") * 1000 + F.col("col")
+    c = A.mask(s, d).orderBy(A.hashed(key, 5), "row", "col").limit(200)
+    return c.select((F.lit(91000.0) + 1000 * (F.col("col") + A.hashed(key, 8) / 1000003.0)).alias("x"), "row")
+
+
+@reg("g27_bias_strategy", "SELECT row, col, greatest(balance, 0) / (SELECT max(balance) FROM cells) AS value FROM cells WHERE row % 10 = 9", "cells")
+def _(s, d):
+    c = A.cells(s, d).select("row", "col", F.greatest("balance", F.lit(0.0)).alias("value"))
+    grids = {"urban": lambda: L.urban_decay(c, 3), "given": lambda: c.join(F.broadcast(c.agg(F.max("value").alias("top")))).select("row", "col", (F.col("value") / F.col("top")).alias("value"))}
+    return L.chosen(grids, "nothing", "given").filter("row % 10 = 9")
+
+
+@reg("g28_guarded_thinning", "SELECT source, count(*) AS n FROM points WHERE year = 1997 GROUP BY source", "points")
+def _(s, d):
+    p = P.placed(A.points(s, d).filter("year = 1997")).withColumn("price", F.lit(None).cast("double"))
+    return P.thinned_if_known(p, ["source"], ["price"], "id", 0.1).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@reg("g29_control_run", ", pc AS (SELECT DISTINCT row, col FROM placed WHERE year = 1997), b AS (SELECT row, col FROM mask ANTI JOIN pc USING (row, col)) SELECT (SELECT count(*) FROM mask SEMI JOIN pc USING (row, col)) AS presences, count(*) AS background, 1.0::DOUBLE AS auc FROM b", "placed", "mask")
+def _(s, d):
+    from terrane.operators import metrics
+
+    mask = A.mask(s, d)
+    control = L.control_layer(mask, P.placed(A.points(s, d).filter("year = 1997")))
+    rows = control.select(F.col("value").cast("int").alias("y"), F.col("value").alias("s"))
+    return rows.agg(F.sum("y").alias("presences"), F.count_if(F.col("y") == 0).alias("background")).join(metrics.roc_auc(rows))
+
+
+@reg("m7_sedi", ", k AS (SELECT count(*) FILTER (s >= 0.3 AND y = 1) / count(*) FILTER (y = 1)::DOUBLE AS h, count(*) FILTER (s >= 0.3 AND y = 0) / count(*) FILTER (y = 0)::DOUBLE AS f FROM scores) SELECT (ln(f) - ln(h) - ln(1 - f) + ln(1 - h)) / (ln(f) + ln(h) + ln(1 - f) + ln(1 - h)) AS sedi FROM k", "scores")
+def _(s, d):
+    from terrane.operators import metrics
+
+    return metrics.rates(metrics.confusion(A.scores(s, d), 0.3)).select("sedi")
+
+
+@reg("m18_parameters")
+def _(s, d):
+    from terrane.operators import models
+
+    x = A.design(s, d)
+    return s.createDataFrame([(n, models.parameters(models.fit_maxent(x, ["v0", "v1"], product=p))) for n, p in (("linear", False), ("product", True))], "features string, parameters int")
+
+
+@reg("c13_fitted_names", "SELECT * FROM (VALUES ('v0', 0), ('v1', 1)) t(variable, idx)")
+def _(s, d):
+    from terrane.operators import models
+
+    names = models.fitted_names(models.fit_maxent(A.design(s, d), ["v0", "v1"], product=False))
+    return s.createDataFrame(list(zip(names, range(len(names)))), "variable string, idx int")
+
+
+@reg("n7_tiles", "SELECT floor(row / 256)::BIGINT AS tile_row, floor(col / 256)::BIGINT AS tile_col, count(*) AS n FROM cells GROUP BY ALL", "cells")
+def _(s, d):
+    return A.cells(s, d).groupBy(F.floor(F.col("row") / 256).alias("tile_row"), F.floor(F.col("col") / 256).alias("tile_col")).agg(F.count("*").alias("n"))
+
+
+@reg("r2_effect_labels", ", g AS (SELECT variable, count(value) FILTER (meta_run = 'F') AS n, count(value) FILTER (meta_run = 'O') AS m, avg(value) FILTER (meta_run = 'O') - avg(value) FILTER (meta_run = 'F') AS d, var_samp(value) FILTER (meta_run = 'F') AS va, var_samp(value) FILTER (meta_run = 'O') AS vb FROM importances GROUP BY variable), c AS (SELECT variable, abs(d / sqrt(((n - 1) * va + (m - 1) * vb) / (n + m - 2))) AS c FROM g) SELECT variable, CASE WHEN c < 0.2 THEN 'negligible' WHEN c < 0.5 THEN 'small' WHEN c < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM c", "importances")
+def _(s, d):
+    return S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value").select("variable", "effect")
+
+
+@reg("r9_deep_merge", "SELECT * FROM (VALUES ('a.b', '1'), ('a.c', '3'), ('d', '[4]')) t(path, value)")
+def _(s, d):
+    return config.as_table(s, config.merged({"a": {"b": 1, "c": 2}, "d": [1, 2]}, {"a": {"c": 3}, "d": [4]}))
+
+
+@reg("r14_one_scenario", "SELECT 'x' AS id, 2 AS place")
+def _(s, d):
+    one = config.only([{"id": "x", "season": "winter", "place": 2}, {"id": "y", "season": "summer", "place": 3}], season="winter")
+    return s.createDataFrame([(one["id"], one["place"])], "id string, place int")
+
+
+@reg("r20_resolved_scenario", "SELECT * FROM (VALUES ('flags.hunting', 'false', 'true', 'allowed')) t(path, \"left\", \"right\", kind)")
+def _(s, d):
+    before = {"flags": {"hunting": False, "bias": True}, "km": 5}
+    return U.differences(config.as_table(s, before), config.as_table(s, config.merged(before, {"flags": {"hunting": True}})), ["flags"])
+
+
 QUERIES = Q

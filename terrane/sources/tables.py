@@ -156,3 +156,16 @@ def united(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def dispatched(source: str | list[str] | dict, options: dict[str, Sequence]) -> list[str]:
+    """Paths of a source given as a pattern, a list, or a mapping with `pattern` or `files`; anything else is an error."""
+    if isinstance(source, str):
+        return expanded(source, options)
+    if isinstance(source, list):
+        return list(source)
+    if isinstance(source, dict) and "pattern" in source:
+        return expanded(source["pattern"], options)
+    if isinstance(source, dict) and "files" in source:
+        return list(source["files"])
+    raise ValueError(f"no source: {source!r}")
