@@ -37,9 +37,13 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, kind: str, radius: f
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
     places = p.select("x", "y", "s").distinct().withColumns({"cx": cell("x"), "cy": cell("y")})
     cells = places.select("cx", "cy", "s").distinct()
+    # of two kinds the one in fewer cells looks around, so that the commonest never does
+    size = cells.groupBy("s").agg(F.count("*").alias("n"))
+    most = size.agg(F.max(F.struct("n", "s")).alias("most"))
+    cells = cells.join(size.join(F.broadcast(most)), "s")
     step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = cells.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("s").alias("bs"), F.inline(step)).withColumns({"cx": F.col("bx") + F.col("i"), "cy": F.col("by") + F.col("j")}).drop("i", "j")
-    meet = cells.join(around, ["cx", "cy"]).filter(F.col("s") < F.col("bs"))
+    around = cells.filter(F.struct("n", "s") < F.col("most")).select(F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("s").alias("bs"), F.col("n").alias("bn"), F.inline(step)).withColumns({"cx": F.col("bx") + F.col("i"), "cy": F.col("by") + F.col("j")}).drop("i", "j")
+    meet = cells.join(around, ["cx", "cy"]).filter(F.struct("n", "s") > F.struct(F.col("bn").alias("n"), F.col("bs").alias("s"))).select("cx", "cy", "s", "bx", "by", "bs")
     there = places.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("s").alias("bs"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     close = places.join(meet, ["cx", "cy", "s"]).join(there, ["bx", "by", "bs"]).filter(planar(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"), radius)).select("x", "y", "s", "x2", "y2", "bs")
     other = p.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("bs"), F.col("k").alias("k2"))
