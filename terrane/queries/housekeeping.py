@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from terrane.operators import points as P
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
 from terrane.plans import config
-from terrane.session import shared_dir, table
+from terrane.session import scratch, table
 from terrane.sources import sinks as K
 from terrane.sources import tables as R
 
@@ -85,7 +83,7 @@ def _(s, d):
 
 @reg("k5_json_round_trip", "SELECT count(*) AS n, sum(auc) AS auc FROM metrics", "metrics")
 def _(s, d):
-    path = f"{shared_dir(s)}/json-{uuid.uuid4().hex}"
+    path = scratch(s)
     m = A.metrics(s, d).select("run_id", "auc")
     m.write.json(path)
     return s.read.schema(m.schema).json(path).agg(F.count("*").alias("n"), F.sum("auc").alias("auc"))
@@ -98,7 +96,7 @@ def _(s, d):
 
 @reg("k14_name_file", "SELECT DISTINCT variable AS value FROM importances", "importances")
 def _(s, d):
-    path = f"{shared_dir(s)}/names-{uuid.uuid4().hex}"
+    path = scratch(s)
     A.importances(s, d).select("variable").distinct().write.text(path)
     return s.read.text(path)
 
@@ -289,7 +287,7 @@ def _(s, d):
 
 @reg("k6_table_bundle", "SELECT count(*) AS n FROM subjects")
 def _(s, d):
-    path = f"{shared_dir(s)}/bundle-{uuid.uuid4().hex}"
+    path = scratch(s)
     t = table(s, d, "subjects")
     t.write.option("header", True).csv(f"{path}/csv")
     t.write.option("header", True).option("sep", "\t").csv(f"{path}/tsv")
@@ -334,7 +332,7 @@ def _(s, d):
 
     from terrane.operators import models
 
-    path = f"{shared_dir(s)}/model-{uuid.uuid4().hex}"
+    path = scratch(s)
     x = A.design(s, d)
     models.fit_maxent(x, ["v0", "v1"], product=False).write().save(path)
     return models.scored(PipelineModel.load(path), x).select("id", "s")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from terrane.functions.grid import STUDY, Grid
@@ -13,7 +11,7 @@ from terrane.operators import novelty as N
 from terrane.operators import points as P
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
-from terrane.session import shared_dir, table
+from terrane.session import scratch, table
 from terrane.sources import sinks as K
 from terrane.sources import tables as R
 
@@ -265,7 +263,7 @@ def _(s, d):
 
 @reg("s1_csv_points", """SELECT count(*) AS n, sum("dd long") AS x FROM presence WHERE isfinite("dd long") AND isfinite("dd lat")""")
 def _(s, d):
-    path = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    path = scratch(s)
     table(s, d, "presence").select("occ_id", "dd long", "dd lat", "source").write.option("header", True).csv(path)
     return R.read_points(s, path).agg(F.count("*").alias("n"), F.sum("x").alias("x"))
 
@@ -352,7 +350,7 @@ def _(s, d):
 
 @reg("s3_ascii_round_trip", "SELECT count(*) AS n, round(sum(price), 3) AS total FROM cells WHERE row < 40 AND col < 50 AND size % 3 <> 0", "cells")
 def _(s, d):
-    path = f"{shared_dir(s)}/asc-{uuid.uuid4().hex}"
+    path = scratch(s)
     c = P.in_mask(A.cells(s, d), A.mask(s, d))
     K.ascii_grid(c, _SMALL, "price").coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
     return R.read_ascii_grids(s, path).filter("value is not null").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
@@ -360,7 +358,7 @@ def _(s, d):
 
 @reg("k1_stack_round_trip", "SELECT row, count(*) AS n, sum(price) AS price FROM cells WHERE row % 10 = 9 GROUP BY row", "cells")
 def _(s, d):
-    path = f"{shared_dir(s)}/stack-{uuid.uuid4().hex}"
+    path = scratch(s)
     K.write_stack(A.cells(s, d).filter("row % 10 = 9").withColumn("year", F.lit(1997)), path, ["year"])
     return s.read.parquet(path).filter("year = 1997").groupBy("row").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
@@ -377,7 +375,7 @@ def _(s, d):
 
 @reg("k8_signature_cache", "SELECT count(*) AS n FROM cells", "cells")
 def _(s, d):
-    folder = f"{shared_dir(s)}/kept-{uuid.uuid4().hex}"
+    folder = scratch(s)
     make = lambda: A.cells(s, d).agg(F.count("*").alias("n"))
     K.cached(make, s, folder, {"season": "Winter", "km": 5})
     return K.cached(make, s, folder, {"km": 5, "season": "Winter"})
@@ -385,7 +383,7 @@ def _(s, d):
 
 @reg("k9_append_new", "SELECT count(*) AS n, count(DISTINCT run_id) AS runs FROM metrics WHERE run_id < 2000", "metrics")
 def _(s, d):
-    path = f"{shared_dir(s)}/runs-{uuid.uuid4().hex}"
+    path = scratch(s)
     m = A.metrics(s, d).select("run_id", "auc")
     K.append_new(m.filter("run_id < 1500"), path, ["run_id"])
     return K.append_new(m.filter("run_id < 2000"), path, ["run_id"]).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))

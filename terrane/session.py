@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -42,12 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted as the program ends."""
+    if not _written:
+        atexit.register(_removed, spark)
+    _written.append(f"{shared_dir(spark).rstrip('/')}/terrane-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/terrane-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession) -> None:
+    """Deletes what was staged, as the program ends; a context that has gone already leaves it to the folder's owner."""
+    with contextlib.suppress(Exception):
+        for p in _written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
