@@ -117,16 +117,45 @@ class Model:
         return 1 - np.exp(np.add.reduceat(-np.logaddexp(0, z), docs, axis=0))
 
 
-def looked_up(text: str | None, vocabulary: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Ids of the known terms of each sentence, without repeats in it, and where each sentence ends."""
-    ids: list[int] = []
-    ends: list[int] = []
-    for s in sentences(text or ""):
-        own = sorted({i for i in map(vocabulary.get, terms(s)) if i is not None})
-        if own:
-            ids += own
-            ends.append(len(ids))
-    return ids, ends
+class Lookup:
+    """Finds the terms of a vocabulary in texts, as `terms` gives them, without spelling out pairs of words."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        words = sorted({w for t in vocabulary for w in t.split(" ")})
+        self.word = {w: i for i, w in enumerate(words)}
+        self.single = {self.word[t]: i for t, i in vocabulary.items() if " " not in t}
+        self.size = len(words)
+        self.pair = {self.word[a] * self.size + self.word[b]: i for t, i in vocabulary.items() if " " in t for a, b in [t.split(" ")]}
+
+    def sentence(self, text: str) -> list[int]:
+        found, last, words, marked = set(), -1, 0, False
+        word, single, pair, size = self.word.get, self.single.get, self.pair.get, self.size
+        for w in _WORD.findall(text.lower().replace("’", "'")):
+            if w in ",;:":
+                last, marked = -1, marked or words >= 4
+                continue
+            words += 1
+            i = word(">" + w if marked else w)
+            if i is None:
+                last = -1
+                continue
+            found.add(single(i))
+            if last >= 0:
+                found.add(pair(last * size + i))
+            last = i
+        found.discard(None)
+        return sorted(found)
+
+    def text(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of the known terms of each sentence, without repeats in it, and where each sentence ends."""
+        ids: list[int] = []
+        ends: list[int] = []
+        for s in sentences(text or ""):
+            own = self.sentence(s)
+            if own:
+                ids += own
+                ends.append(len(ids))
+        return ids, ends
 
 
 def relevant(texts: list[str], truth: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
@@ -254,8 +283,9 @@ def fit(features_of, docs: DataFrame, subjects: DataFrame, labels: DataFrame, ke
         return Model(names, vocabulary, weights, np.zeros((len(vocabulary), 1), np.float32), np.zeros((1, len(names)), np.float32), np.full(len(names), -30.0, np.float32), s), features
     basis = _basis(features, weights, s)
     ids, ends, firsts, kept = [], [], [], []
+    lookup = Lookup(vocabulary)
     for i, t in enumerate(texts):
-        own, stops = looked_up(t, vocabulary)
+        own, stops = lookup.text(t)
         if stops:
             firsts.append(len(ends))
             kept.append(i)
@@ -289,8 +319,9 @@ def assigned(docs: DataFrame, subjects: DataFrame, labels: DataFrame, key: str =
         sent = spark.sparkContext.broadcast(vocabulary)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = Lookup(sent.value)
             for batch in it:
-                both = [looked_up(t, sent.value) for t in batch.column(1).to_pylist()]
+                both = [lookup.text(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in both], pa.list_(pa.int32())) for i in (0, 1)]], names=[key, "ids", "ends"])
 
         chosen = spread(frame.filter(F.col(key).isNotNull()).select(key, text), key)
@@ -306,18 +337,19 @@ def assigned(docs: DataFrame, subjects: DataFrame, labels: DataFrame, key: str =
         for batch in it:
             if not m.names:
                 continue
-            ids, ends = batch.column(1), batch.column(2)
+            (ids, ids_at), (ends, ends_at) = [(c.values.to_numpy().astype(np.int64), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(1), batch.column(2))]
             for a in range(0, len(batch), 256):
-                i, e = ids[a : a + 256].to_pylist(), ends[a : a + 256].to_pylist()
-                rows = [k for k, x in enumerate(e) if x]
-                if not rows:
+                z = min(a + 256, len(batch))
+                sizes = np.diff(ends_at[a : z + 1])
+                rows = np.flatnonzero(sizes)
+                if not len(rows):
                     continue
-                base = np.cumsum([0, *[len(i[k]) for k in rows]])
-                flat = np.concatenate([np.asarray(i[k], np.int64) for k in rows])
-                stops = np.concatenate([np.asarray(e[k], np.int64) + base[n] for n, k in enumerate(rows)])
-                firsts = np.cumsum([0, *[len(e[k]) for k in rows[:-1]]])
+                # where each sentence ends among the ids of these rows
+                stops = ends[ends_at[a] : ends_at[z]] + np.repeat(ids_at[a:z] - ids_at[a], sizes)
+                flat = ids[ids_at[a] : ids_at[z]]
+                firsts = np.cumsum(sizes[rows]) - sizes[rows]
                 at, which = np.nonzero(m.probabilities(flat, stops, firsts) >= m.settings.decide)
-                keys = batch.column(0).take(pa.array([a + rows[k] for k in at], pa.int64()))
+                keys = batch.column(0).take(pa.array(a + rows[at], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([m.names[c] for c in which], pa.string())], names=[key, "subject"])
 
     return features.mapInArrow(score, T.StructType([features.schema[key], T.StructField("subject", T.StringType())])).distinct()

@@ -200,6 +200,15 @@ def test_sentences_and_terms():
     assert ">guard rail" not in subjects.terms("It's the den that counts here, not the guard rail") and ">guard >rail" in subjects.terms("It's the den that counts here, not the guard rail")
 
 
+def test_lookup_finds_the_terms():
+    texts = ["It's the den that counts here, not the guard rail. The den; the den!", "Quant à le dépôt, on en parlera ailleurs", "x", ""]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for x in texts for s in subjects.sentences(x) for t in subjects.terms(s)})) if i % 3}
+    for x in texts:
+        ids, ends = subjects.Lookup(vocabulary).text(x)
+        want = [sorted({vocabulary[t] for t in subjects.terms(s) if t in vocabulary}) for s in subjects.sentences(x)]
+        assert [ids[a:b] for a, b in zip([0, *ends], ends)] == [w for w in want if w]
+
+
 def made(n, seed):
     r = random.Random(seed)
     words = {"sport": ["goal", "match", "team", "coach"], "law": ["court", "judge", "appeal", "permit"], "food": ["bread", "soup", "oven", "salt"]}
