@@ -135,9 +135,9 @@ def _(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.size(e) > 1, e[1]).otherwise(e[0]).cast("double").alias("s"))
 
 
-@reg("proj17_linear_index", "SELECT row * 1000 + col AS idx, price FROM cells WHERE row % 50 = 49", "cells")
+@reg("proj17_linear_index", "SELECT row * 1000 + col AS idx, price FROM cells", "cells")
 def _(s, d):
-    return A.cells(s, d).filter("row % 50 = 49").select(STUDY.index().alias("idx"), "price")
+    return A.cells(s, d).select(STUDY.index().alias("idx"), "price")
 
 
 @reg("f11_empty_layers", "SELECT 'nothing' AS layer")
@@ -157,9 +157,9 @@ def _(s, d):
     return spec.filter("enabled and kind <> 'reference'").orderBy(F.coalesce("place", F.lit(999))).select("id")
 
 
-@reg("j2_probe_coordinates", "SELECT id, year, size FROM placed LEFT JOIN cells USING (row, col) WHERE year = 1998", "placed", "cells")
+@reg("j2_probe_coordinates", "SELECT id, year, size FROM placed LEFT JOIN cells USING (row, col)", "placed", "cells")
 def _(s, d):
-    return P.sampled(P.placed(A.points(s, d).filter("year = 1998")), A.cells(s, d), ["size"]).select("id", "year", "size")
+    return P.sampled(P.placed(A.points(s, d)), A.cells(s, d), ["size"]).select("id", "year", "size")
 
 
 @reg("j3_semi_join", "SELECT count(*) AS n FROM placed SEMI JOIN mask USING (row, col)", "placed", "mask")
@@ -173,15 +173,15 @@ def _(s, d):
     return P.bias_weights(c, "bias", 1.0).select("row", "col", "p")
 
 
-@reg("a2_class_means", "SELECT row, col, 'class1' AS layer, (size + size * 3)::DOUBLE / 2 AS value FROM cells WHERE row % 10 = 9", "cells")
+@reg("a2_class_means", "SELECT row, col, 'class1' AS layer, (size + size * 3)::DOUBLE / 2 AS value FROM cells", "cells")
 def _(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9").withColumns({"2018_class1": F.col("size"), "2019_class1": F.col("size") * 3})
+    c = A.cells(s, d).withColumns({"2018_class1": F.col("size"), "2019_class1": F.col("size") * 3})
     return L.year_mean(L.long(c, ["2018_class1", "2019_class1"]))
 
 
-@reg("a3_season_combined", "SELECT row, col, '1996_size' AS layer, (size + size * 2)::DOUBLE / 2 AS value FROM cells WHERE row % 10 = 9", "cells")
+@reg("a3_season_combined", "SELECT row, col, '1996_size' AS layer, (size + size * 2)::DOUBLE / 2 AS value FROM cells", "cells")
 def _(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9").withColumns({"1995_size": F.col("size"), "1996_size": F.col("size") * 2})
+    c = A.cells(s, d).withColumns({"1995_size": F.col("size"), "1996_size": F.col("size") * 2})
     l = L.long(c.drop("size"), ["1995_size", "1996_size"])
     last = l.groupBy(L.base_name("layer").alias("b")).agg(F.max(L.layer_year("layer")).alias("y"))
     m = L.year_mean(l)
@@ -343,9 +343,9 @@ def _(s, d):
     return L.without_words(s.createDataFrame([("elevation",), ("Hunting_bag",), ("temp_ANOM_2019",), ("bio01",)], "layer string"), ["hunting", "anom"])
 
 
-@reg("proj22_record_table", "SELECT record_id, scenario, engine, importance_mean, importance_std, vif FROM importance WHERE record_id < 0")
+@reg("proj22_record_table", "SELECT record_id, scenario, engine, importance_mean, importance_std, vif FROM importance")
 def _(s, d):
-    return table(s, d, "importance").filter("record_id < 0").select("record_id", "scenario", "engine", "importance_mean", "importance_std", "vif")
+    return table(s, d, "importance").select("record_id", "scenario", "engine", "importance_mean", "importance_std", "vif")
 
 
 @reg("f15_one_year", "SELECT count(*) AS n FROM importance WHERE test_year = (SELECT coalesce(min(test_year) FILTER (test_year = 2021), min(test_year)) FROM importance)")
@@ -362,25 +362,25 @@ def _(s, d):
     return c.select((F.lit(91000.0) + 1000 * (F.col("col") + A.hashed(key, 8) / 1000003.0)).alias("x"), "row")
 
 
-@reg("g27_bias_strategy", "SELECT row, col, greatest(balance, 0) / (SELECT max(balance) FROM cells) AS value FROM cells WHERE row % 10 = 9", "cells")
+@reg("g27_bias_strategy", "SELECT row, col, greatest(balance, 0) / (SELECT max(balance) FROM cells) AS value FROM cells", "cells")
 def _(s, d):
     c = A.cells(s, d).select("row", "col", F.greatest("balance", F.lit(0.0)).alias("value"))
     grids = {"urban": lambda: L.urban_decay(c, 3), "given": lambda: c.join(F.broadcast(c.agg(F.max("value").alias("top")))).select("row", "col", (F.col("value") / F.col("top")).alias("value"))}
-    return L.chosen(grids, "nothing", "given").filter("row % 10 = 9")
+    return L.chosen(grids, "nothing", "given")
 
 
-@reg("g28_guarded_thinning", "SELECT source, count(*) AS n FROM points WHERE year = 1997 GROUP BY source", "points")
+@reg("g28_guarded_thinning", "SELECT source, count(*) AS n FROM points GROUP BY source", "points")
 def _(s, d):
-    p = P.placed(A.points(s, d).filter("year = 1997")).withColumn("price", F.lit(None).cast("double"))
+    p = P.placed(A.points(s, d)).withColumn("price", F.lit(None).cast("double"))
     return P.thinned_if_known(p, ["source"], ["price"], "id", 0.1).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@reg("g29_control_run", ", pc AS (SELECT DISTINCT row, col FROM placed WHERE year = 1997), b AS (SELECT row, col FROM mask ANTI JOIN pc USING (row, col)) SELECT (SELECT count(*) FROM mask SEMI JOIN pc USING (row, col)) AS presences, count(*) AS background, 1.0::DOUBLE AS auc FROM b", "placed", "mask")
+@reg("g29_control_run", ", pc AS (SELECT DISTINCT row, col FROM placed), b AS (SELECT row, col FROM mask ANTI JOIN pc USING (row, col)) SELECT (SELECT count(*) FROM mask SEMI JOIN pc USING (row, col)) AS presences, count(*) AS background, 1.0::DOUBLE AS auc FROM b", "placed", "mask")
 def _(s, d):
     from terrane.operators import metrics
 
     mask = A.mask(s, d)
-    control = L.control_layer(mask, P.placed(A.points(s, d).filter("year = 1997")))
+    control = L.control_layer(mask, P.placed(A.points(s, d)))
     rows = control.select(F.col("value").cast("int").alias("y"), F.col("value").alias("s"))
     return rows.agg(F.sum("y").alias("presences"), F.count_if(F.col("y") == 0).alias("background")).join(metrics.roc_auc(rows))
 

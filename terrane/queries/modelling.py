@@ -104,12 +104,12 @@ def _(s, d):
 # novelty
 
 _X = ["size", "price", "balance"]
-_GRID = "g AS (SELECT row, col, size, price * 1.5 - 300 AS price, balance * 1.2 AS balance FROM cells WHERE row % 10 = 9), tr AS (SELECT size, price, balance FROM cells WHERE row % 10 <> 9 AND (row + col) % 3 = 0)"
+_GRID = "g AS (SELECT row, col, size, price * 1.5 - 300 AS price, balance * 1.2 AS balance FROM cells), tr AS (SELECT size, price, balance FROM cells WHERE size % 3 <> 0)"
 
 
 def _novel(s, d):
     c = A.cells(s, d)
-    return c.filter("row % 10 = 9").select("row", "col", "size", (F.col("price") * 1.5 - 300).alias("price"), (F.col("balance") * 1.2).alias("balance")), c.filter("row % 10 <> 9 and (row + col) % 3 = 0").select(*_X)
+    return c.select("row", "col", "size", (F.col("price") * 1.5 - 300).alias("price"), (F.col("balance") * 1.2).alias("balance")), P.in_mask(c, A.mask(s, d)).select(*_X)
 
 
 _MESS = (
@@ -137,10 +137,10 @@ def _(s, d):
 _NT2 = ", m AS (SELECT avg(price) AS mp, avg(balance) AS mb, var_samp(price) AS a, var_samp(balance) AS b, covar_samp(price, balance) AS c FROM tr), t AS (SELECT quantile_cont((b * (price - mp) ** 2 - 2 * c * (price - mp) * (balance - mb) + a * (balance - mb) ** 2) / (a * b - c * c), 0.99) AS tau FROM tr, m), nt AS (SELECT row, col, (b * (price - mp) ** 2 - 2 * c * (price - mp) * (balance - mb) + a * (balance - mb) ** 2) / (a * b - c * c) / tau AS nt2 FROM g, m, t)"
 
 
-@reg("n5_nt2", ", ".join(["", _NT2.lstrip(", ")]) + " SELECT row, col, round(nt2, 6) AS nt2 FROM nt", "cells", also=_GRID)
+@reg("n5_nt2", ", ".join(["", _NT2.lstrip(", ")]) + " SELECT row, col, round(nt2, 3) AS nt2 FROM nt", "cells", also=_GRID)
 def _(s, d):
     g, tr = _novel(s, d)
-    return N.nt2(g, tr, ["price", "balance"]).select("row", "col", F.round("nt2", 6).alias("nt2"))
+    return N.nt2(g, tr, ["price", "balance"]).select("row", "col", F.round("nt2", 3).alias("nt2"))
 
 
 @reg("n6_class_shares", _NT2 + ", k AS (SELECT CASE WHEN mess < 0 THEN 1 ELSE 0 END + CASE WHEN nt2 > 1 THEN 2 ELSE 0 END AS cls FROM mess JOIN nt USING (row, col)) SELECT cls, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share, count(*)::DOUBLE AS km2 FROM k GROUP BY cls", "cells", also=_MESS)
@@ -201,7 +201,7 @@ def _(s, d):
 @reg("l2_maxent_scores")
 def _(s, d):
     x = A.design(s, d)
-    return L.scored(L.fit_maxent(x.filter("id % 4 <> 0"), V), x.filter("id % 4 = 0"), cloglog=True).select("id", "y", "s")
+    return L.scored(L.fit_maxent(x.filter("id % 4 <> 0"), V), x, cloglog=True).select("id", "y", "s")
 
 
 @reg("l3_tree_scores")
@@ -230,8 +230,8 @@ def _(s, d):
 
 @reg("l6_grid_scores")
 def _(s, d):
-    c = A.cells(s, d).filter("row % 50 = 49").withColumn("y", (F.col("size") > 25).cast("int"))
-    model = L.fit_maxent(c.filter("col % 5 = 0"), ["price", "balance"], product=False)
+    c = A.cells(s, d).withColumn("y", (F.col("size") > 25).cast("int"))
+    model = L.fit_maxent(c, ["price", "balance"], product=False)
     return L.scored(model, P.in_mask(L.imputed(c, ["price", "balance"]), A.mask(s, d))).select("row", "col", "s")
 
 
@@ -250,7 +250,7 @@ def _(s, d):
 
 @reg("v4_geographic_folds")
 def _(s, d):
-    return L.cluster_folds(A.points(s, d).filter("year = 1997"), ["x", "y"], 4).groupBy("fold").agg(F.count("*").alias("n"))
+    return L.cluster_folds(A.points(s, d), ["x", "y"], 4).groupBy("fold").agg(F.count("*").alias("n"))
 
 
 # sources and sinks
@@ -281,9 +281,9 @@ def _(s, d):
     return R.of_semesters(R.located(table(s, d, "presence")), years=(2019, 2021)).agg(F.count("*").alias("n"))
 
 
-@reg("s4_band_collapse", "SELECT row, col, avg(v) AS value FROM (SELECT row, col, price AS v FROM cells WHERE row % 10 = 9 UNION ALL SELECT row, col, CASE WHEN balance > 0 THEN balance END FROM cells WHERE row % 10 = 9) GROUP BY row, col", "cells")
+@reg("s4_band_collapse", "SELECT row, col, avg(v) AS value FROM (SELECT row, col, price AS v FROM cells UNION ALL SELECT row, col, CASE WHEN balance > 0 THEN balance END FROM cells) GROUP BY row, col", "cells")
 def _(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9")
+    c = A.cells(s, d)
     bands = c.select("row", "col", F.col("price").alias("value")).unionByName(c.select("row", "col", F.when(F.col("balance") > 0, F.col("balance")).otherwise(float("nan")).alias("value")))
     return R.collapsed_bands(bands)
 
@@ -356,16 +356,16 @@ def _(s, d):
     return R.read_ascii_grids(s, path).filter("value is not null").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@reg("k1_stack_round_trip", "SELECT row, count(*) AS n, sum(price) AS price FROM cells WHERE row % 10 = 9 GROUP BY row", "cells")
+@reg("k1_stack_round_trip", "SELECT row, count(*) AS n, sum(price) AS price FROM cells GROUP BY row", "cells")
 def _(s, d):
     path = scratch(s)
-    K.write_stack(A.cells(s, d).filter("row % 10 = 9").withColumn("year", F.lit(1997)), path, ["year"])
+    K.write_stack(A.cells(s, d).withColumn("year", F.lit(1997)), path, ["year"])
     return s.read.parquet(path).filter("year = 1997").groupBy("row").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
 
-@reg("k4_interop_points", "SELECT 'wild boar' AS species, printf('%.6f', x) AS longitude, printf('%.6f', y) AS latitude FROM points WHERE year = 1997", "points")
+@reg("k4_interop_points", "SELECT 'wild boar' AS species, printf('%.6f', x) AS longitude, printf('%.6f', y) AS latitude FROM points", "points")
 def _(s, d):
-    return K.interop_points(A.points(s, d).filter("year = 1997"), "wild boar")
+    return K.interop_points(A.points(s, d), "wild boar")
 
 
 @reg("k6_markdown", "SELECT '| ' || subject || ' | ' || replace(coalesce(description, ''), '|', '\\|') || ' |' AS line FROM subjects")
@@ -381,17 +381,17 @@ def _(s, d):
     return K.cached(make, s, folder, {"km": 5, "season": "Winter"})
 
 
-@reg("k9_append_new", "SELECT count(*) AS n, count(DISTINCT run_id) AS runs FROM metrics WHERE run_id < 2000", "metrics")
+@reg("k9_append_new", "SELECT count(*) AS n, count(DISTINCT run_id) AS runs FROM metrics", "metrics")
 def _(s, d):
     path = scratch(s)
     m = A.metrics(s, d).select("run_id", "auc")
-    K.append_new(m.filter("run_id < 1500"), path, ["run_id"])
-    return K.append_new(m.filter("run_id < 2000"), path, ["run_id"]).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
+    K.append_new(m.filter("auc is not null"), path, ["run_id"])
+    return K.append_new(m, path, ["run_id"]).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
-@reg("k2_replicated_layers", "SELECT row, col, step, price FROM cells, (SELECT unnest(range(3))::INT AS step) WHERE row % 50 = 49", "cells")
+@reg("k2_replicated_layers", "SELECT row, col, step, price FROM cells, (SELECT unnest(range(3))::INT AS step)", "cells")
 def _(s, d):
-    c = A.cells(s, d).filter("row % 50 = 49")
+    c = A.cells(s, d)
     return c.select("row", "col", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"), "price")
 
 

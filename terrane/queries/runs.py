@@ -34,10 +34,15 @@ def _(s, d):
     return S.interval(A.metrics(s, d).filter(F.lower("split") == "test"), ["scenario", "engine", "split"], "auc")
 
 
-@reg("a7_summary_student", "SELECT engine, n, mean, sd, t, t * sd / sqrt(n) AS half FROM (SELECT engine, count(cbi) AS n, avg(cbi) AS mean, stddev_samp(cbi) AS sd FROM (SELECT engine, cbi FROM metrics WHERE scenario = 'BUILDING' AND test_year = 1997 AND run_id < 0 UNION ALL SELECT * FROM (VALUES ('gbm', 0.7), ('gbm', 0.8), ('gbm', 0.9), ('elapid', 0.5), ('elapid', 0.7)) v(engine, cbi)) GROUP BY engine) JOIN (VALUES (2, 12.706204736432095::DOUBLE), (3, 4.302652729696142)) t(n, t) USING (n)", "metrics")
+#: Student's t at 0.975 for 1 to 11 degrees of freedom.
+_T = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160)
+
+
+@reg("a7_summary_student", ", f AS (SELECT scenario, engine, test_year, avg(cbi) AS cbi FROM metrics GROUP BY ALL), g AS (SELECT scenario, engine, count(cbi) AS n, avg(cbi) AS mean, stddev_samp(cbi) AS sd FROM f GROUP BY ALL) SELECT scenario, engine, n, mean, sd, round(t, 6) AS t, round(t * sd / sqrt(n), 6) AS half FROM g JOIN (VALUES " + ", ".join(f"({i + 2}, {t}::DOUBLE)" for i, t in enumerate(_T)) + ") t(n, t) USING (n)", "metrics")
 def _(s, d):
-    v = s.createDataFrame([("gbm", 0.7), ("gbm", 0.8), ("gbm", 0.9), ("elapid", 0.5), ("elapid", 0.7)], "engine string, cbi double")
-    return S.interval(v, ["engine"], "cbi", "student")
+    folds = A.metrics(s, d).groupBy("scenario", "engine", "test_year").agg(F.avg("cbi").alias("cbi"))
+    g = S.interval(folds, ["scenario", "engine"], "cbi", "student")
+    return g.withColumns({"t": F.round("t", 6), "half": F.round("half", 6)})
 
 
 @reg("a8_combination_summary", "SELECT scenario, season, temporal, engine, split, avg(cbi) AS cbi_mean, stddev_samp(cbi) AS cbi_std, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std, count(DISTINCT test_year) AS years FROM metrics WHERE split IN ('validation', 'test') GROUP BY ALL", "metrics")
@@ -392,10 +397,10 @@ def _(s, d):
     return a.join(m.filter("temporal = 'multitemporal'").groupBy("scenario").agg(F.min("run_id").alias("multi")), "scenario")
 
 
-@reg("k9_resume_anti", ", done AS (SELECT scenario, engine, test_year FROM metrics WHERE split = 'test' AND auc IS NOT NULL AND run_id % 4 = 0) SELECT count(*) AS n FROM metrics ANTI JOIN done USING (scenario, engine, test_year)", "metrics")
+@reg("k9_resume_anti", ", done AS (SELECT scenario, engine, test_year FROM metrics WHERE split = 'test' AND auc IS NOT NULL AND cbi > 0.9) SELECT count(*) AS n FROM metrics ANTI JOIN done USING (scenario, engine, test_year)", "metrics")
 def _(s, d):
     m = A.metrics(s, d)
-    done = m.filter("split = 'test' and auc is not null and run_id % 4 = 0").select("scenario", "engine", "test_year")
+    done = m.filter("split = 'test' and auc is not null and cbi > 0.9").select("scenario", "engine", "test_year")
     return m.join(done, ["scenario", "engine", "test_year"], "left_anti").agg(F.count("*").alias("n"))
 
 

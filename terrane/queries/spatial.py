@@ -169,12 +169,12 @@ def _(s, d):
     return L.without_words(L.without_rules(s.createDataFrame([(n,) for n in _NAMES], "layer string"), rules))
 
 
-_YEARLY = """, y AS (SELECT unnest([1995, 1996, 1997]) AS year), yearly AS (SELECT row, col, year || '_size' AS layer, CASE WHEN (row + col + year) % 4 <> 0 THEN size * (year - 1994) END::DOUBLE AS value FROM cells, y WHERE row % 10 = 9)
+_YEARLY = """, y AS (SELECT unnest([1995, 1996, 1997]) AS year), yearly AS (SELECT row, col, year || '_size' AS layer, CASE WHEN (row + col + year) % 4 <> 0 THEN size * (year - 1994) END::DOUBLE AS value FROM cells, y)
 """
 
 
 def _yearly(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9").select("row", "col", "size", F.explode(F.array(*[F.lit(y) for y in (1995, 1996, 1997)])).alias("year"))
+    c = A.cells(s, d).select("row", "col", "size", F.explode(F.array(*[F.lit(y) for y in (1995, 1996, 1997)])).alias("year"))
     return c.select("row", "col", F.concat(F.col("year").cast("string"), F.lit("_size")).alias("layer"), F.when((F.col("row") + F.col("col") + F.col("year")) % 4 != 0, F.col("size") * (F.col("year") - 1994)).cast("double").alias("value"))
 
 
@@ -194,9 +194,9 @@ def _(s, d):
     return L.coverage(_yearly(s, d), e)
 
 
-@reg("g24_satellite_fill", A.sql(", n AS (SELECT row, col, unnest([1995, 1997]) AS year, size FROM cells WHERE row % 10 = 9) SELECT row, col, '1996_04_ndvi' AS layer, avg(size * (year - 1990)::DOUBLE) AS value FROM n GROUP BY row, col", "cells"))
+@reg("g24_satellite_fill", A.sql(", n AS (SELECT row, col, unnest([1995, 1997]) AS year, size FROM cells) SELECT row, col, '1996_04_ndvi' AS layer, avg(size * (year - 1990)::DOUBLE) AS value FROM n GROUP BY row, col", "cells"))
 def _(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9").select("row", "col", "size", F.explode(F.array(F.lit(1995), F.lit(1997))).alias("year"))
+    c = A.cells(s, d).select("row", "col", "size", F.explode(F.array(F.lit(1995), F.lit(1997))).alias("year"))
     have = c.select("row", "col", F.concat(F.col("year").cast("string"), F.lit("_04_ndvi")).alias("layer"), (F.col("size") * (F.col("year") - 1990)).cast("double").alias("value"))
     wanted = s.createDataFrame([(1996, "04_ndvi"), (1995, "04_ndvi"), (1996, "class0_distance")], "year int, suffix string")
     return L.filled_from_other_years(have, wanted)
@@ -215,9 +215,9 @@ def _(s, d):
     return L.wide(L.long(c, ["size", "price"]).unionByName(L.long(masked, ["balance"])), BASE)
 
 
-@reg("j6_years_aligned", A.sql("SELECT row, col, 1995 AS year, size, NULL::DOUBLE AS price FROM cells WHERE row % 10 = 9 UNION ALL SELECT row, col, 1996, NULL, price FROM cells WHERE row % 10 = 9", "cells"))
+@reg("j6_years_aligned", A.sql("SELECT row, col, 1995 AS year, size, NULL::DOUBLE AS price FROM cells UNION ALL SELECT row, col, 1996, NULL, price FROM cells", "cells"))
 def _(s, d):
-    c = A.cells(s, d).filter("row % 10 = 9")
+    c = A.cells(s, d)
     return c.select("row", "col", F.lit(1995).alias("year"), "size").unionByName(c.select("row", "col", F.lit(1996).alias("year"), "price"), allowMissingColumns=True)
 
 
@@ -250,9 +250,9 @@ def _(s, d):
     return L.resampled(A.cells(s, d), 0.25, ["size"])
 
 
-@reg("g13_finer_grid", A.sql("SELECT row * 2 + i AS row, col * 2 + j AS col, size FROM cells, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE row % 50 = 29", "cells"))
+@reg("g13_finer_grid", A.sql("SELECT row * 2 + i AS row, col * 2 + j AS col, size FROM cells, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)", "cells"))
 def _(s, d):
-    return L.resampled(A.cells(s, d).filter("row % 50 = 29"), 2, ["size"])
+    return L.resampled(A.cells(s, d), 2, ["size"])
 
 
 @reg("g15_directional_fill", A.sql(""", g AS (SELECT row, col, CASE WHEN (row * 31 + col * 17) % 5 = 0 THEN size END AS v FROM cells),
@@ -267,21 +267,21 @@ def _(s, d):
     return L.directional_fill(g)
 
 
-@reg("g14_nearest_fill", A.sql(""", g AS (SELECT row, col, CASE WHEN (row * 31 + col * 17) % 5 <> 0 THEN size END AS v FROM cells WHERE col < 200),
-n AS (SELECT a.row, a.col, b.v, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (b.row - a.row) ** 2 + (b.col - a.col) ** 2, b.row, b.col) AS rn
-  FROM g a JOIN g b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 WHERE a.v IS NULL AND b.v IS NOT NULL)
+@reg("g14_nearest_fill", A.sql(""", g AS (SELECT row, col, CASE WHEN (row * 31 + col * 17) % 5 <> 0 THEN size END AS v FROM cells),
+st AS (SELECT i, j FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS i), (SELECT unnest([-2, -1, 0, 1, 2]) AS j)), a AS (SELECT row, col, i, j, row + i AS r2, col + j AS c2 FROM g, st WHERE v IS NULL),
+n AS (SELECT a.row, a.col, b.v, row_number() OVER (PARTITION BY a.row, a.col ORDER BY i * i + j * j, r2, c2) AS rn FROM a JOIN g b ON b.row = r2 AND b.col = c2 WHERE b.v IS NOT NULL)
 SELECT g.row, g.col, coalesce(g.v, n.v) AS value FROM g LEFT JOIN n ON g.row = n.row AND g.col = n.col AND rn = 1""", "cells"))
 def _(s, d):
-    g = A.cells(s, d).filter("col < 200").select("row", "col", F.when((F.col("row") * 31 + F.col("col") * 17) % 5 != 0, F.col("size")).alias("value"))
+    g = A.cells(s, d).select("row", "col", F.when((F.col("row") * 31 + F.col("col") * 17) % 5 != 0, F.col("size")).alias("value"))
     return L.nearest_fill(g, 2)
 
 
 @reg("g16_density", A.sql(""", k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS i), w AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * i * i)) FROM k) AS w FROM k),
-c AS (SELECT row, col, count(*)::DOUBLE AS v FROM placed WHERE year = 1997 GROUP BY ALL),
+c AS (SELECT row, col, count(*)::DOUBLE AS v FROM placed GROUP BY ALL),
 a AS (SELECT row + i AS row, col, sum(v * w) AS v FROM c, w GROUP BY ALL), b AS (SELECT row, col + i AS col, sum(v * w) AS v FROM a, w GROUP BY ALL)
 SELECT row, col, round(v / (SELECT max(v) FROM b), 9) AS value FROM b""", "placed"))
 def _(s, d):
-    return L.density(_points(s, d).filter("year = 1997"), 1.0, 2).withColumn("value", F.round("value", 9))
+    return L.density(_points(s, d), 1.0, 2).withColumn("value", F.round("value", 9))
 
 
 @reg("g17_urban_decay", A.sql(", e AS (SELECT row, col, exp(-3.0::DOUBLE * least(1, greatest(0, balance / 10000))) AS e FROM cells) SELECT row, col, (e - min(e) OVER ()) / (max(e) OVER () - min(e) OVER () + 1e-6::DOUBLE) AS value FROM e", "cells"))
@@ -315,11 +315,11 @@ def _(s, d):
     return L.control_layer(A.mask(s, d), _points(s, d))
 
 
-@reg("g25_crowding_weights", A.sql(""", k AS (SELECT *, floor(x / 20000) AS cx, floor(y / 20000) AS cy FROM points WHERE year = 1997), c AS (SELECT cx, cy, count(*) AS n FROM k GROUP BY ALL),
+@reg("g25_crowding_weights", A.sql(""", k AS (SELECT *, floor(x / 20000) AS cx, floor(y / 20000) AS cy FROM points), c AS (SELECT cx, cy, count(*) AS n FROM k GROUP BY ALL),
 near AS (SELECT a.cx, a.cy, sum(b.n) AS near FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY ALL)
 SELECT source, count(*) AS n, round(sum(w / m), 6) AS weight FROM (SELECT source, 1.0::DOUBLE / near AS w, avg(1.0::DOUBLE / near) OVER () AS m FROM k JOIN near USING (cx, cy)) GROUP BY source""", "points"))
 def _(s, d):
-    return P.crowding_weights(A.points(s, d).filter("year = 1997"), 20000).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return P.crowding_weights(A.points(s, d), 20000).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @reg("g26_grid_consistency", "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false), ('d', false)) t(layer, same)")
