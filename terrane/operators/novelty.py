@@ -46,7 +46,8 @@ def similarity(value: Column, upto: Column, total: Column, low: Column, high: Co
 
 
 def mess(cells: DataFrame, key: Sequence[str], ref: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """(key, mess, limiting): the lowest similarity over the variables and the first variable that has it; null if the cell
+    """(key, mess, limiting): the lowest similarity over the variables and the first variable that has it
+    (to nine decimals); null if the cell
     has no known value.
 
     Distinct values of the cells are ranked among the reference's distinct values, both in the same pieces of the range, so
@@ -69,7 +70,7 @@ def mess(cells: DataFrame, key: Sequence[str], ref: DataFrame, variables: Sequen
     ranked = both.withColumn("__r", run).filter("__a = 1").join(base, ["variable", "__p"]).join(ends, "variable")
     one = ranked.select("variable", "value", similarity(F.col("value"), F.coalesce("__r", "__base"), F.col("total"), F.col("low"), F.col("high")).alias("score"))
     order = F.element_at(F.create_map(*[F.lit(x) for v, i in place.items() for x in (v, i)]), F.col("variable"))
-    worst = l.join(one, ["variable", "value"]).groupBy(*key).agg(F.min(F.struct("score", order.alias("o"), "variable")).alias("__w"))
+    worst = l.join(one, ["variable", "value"]).groupBy(*key).agg(F.min(F.struct(F.round("score", 9).alias("r"), order.alias("o"), "variable", "score")).alias("__w"))
     return cells.select(*key).join(worst, list(key), "left").select(*key, F.col("__w.score").alias("mess"), F.col("__w.variable").alias("limiting"))
 
 

@@ -119,7 +119,7 @@ _MESS = (
     + " cum AS (SELECT variable, value, sum(count(*)) OVER (PARTITION BY variable ORDER BY value) AS upto FROM rl GROUP BY variable, value),"
     + " f AS (SELECT gl.*, coalesce(cum.upto, 0) / n::DOUBLE AS f, lo, hi FROM gl JOIN ends USING (variable) ASOF LEFT JOIN cum ON gl.variable = cum.variable AND gl.value >= cum.value),"
     + " sc AS (SELECT row, col, variable, CASE variable WHEN 'size' THEN 0 WHEN 'price' THEN 1 ELSE 2 END AS o, CASE WHEN value < lo THEN 100 * (value - lo) / (hi - lo) WHEN value > hi THEN 100 * (hi - value) / (hi - lo) WHEN f <= 0.5 THEN 200 * f ELSE 200 * (1 - f) END AS score FROM f),"
-    + " mess AS (SELECT row, col, score AS mess, variable AS limiting FROM sc QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY score, o) = 1)"
+    + " mess AS (SELECT row, col, score AS mess, variable AS limiting FROM sc QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY round(score, 9), o) = 1)"
 )
 
 
