@@ -16,14 +16,20 @@ from terrane.session import staged
 MAX_CELLS = 200_000
 
 
-def rake(have: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds: int = 200, near: float = 1e-10) -> tuple[np.ndarray, float]:
+def rake(have: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds: int = 200, near: float = 1e-10, size: int | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Shares of the cells by iterative proportional fitting, and the largest gap left in a margin.
 
     Starts from the target shares of the cells that have rows and scales them in turn to each margin's target; margins:
     for each category the number of the value a cell has. A value none of whose cells has rows can't be met: its share
-    goes to the others, and the gap is returned.
+    goes to the others, and the gap is returned. With the size of a sample, no cell's share exceeds the rows it has nor
+    falls below `least` rows, and what a cell lacks goes to others of its source or semester.
     """
     share = np.where(have > 0, target, 0.0)
+    low, high = np.zeros(len(have)), np.full(len(have), np.inf)
+    if size:
+        high = have / size
+        low = np.minimum(np.zeros(len(have)) if least is None else least / size, high)
+        share = np.clip(share, low, high)
     if not share.sum():
         return share, float(target.max(initial=0.0))
     wanted = [np.bincount(m, target) for m in margins]
@@ -31,26 +37,40 @@ def rake(have: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds
         before = share.copy()
         for m, w in zip(margins, wanted):
             now = np.bincount(m, share, len(w))
-            share = share * np.divide(w, now, out=np.zeros_like(w), where=now > 0)[m]
-        share = share / share.sum() * target.sum()
+            share = np.clip(share * np.divide(w, now, out=np.zeros_like(w), where=now > 0)[m], low, high)
+        share = np.clip(share / max(share.sum(), 1e-300) * target.sum(), low, high)
         if np.abs(share - before).max() < near:
             break
     return share, max(float(np.abs(np.bincount(m, share, len(w)) - w).max()) for m, w in zip(margins, wanted))
 
 
-def repaired(drawn: np.ndarray, have: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
-    """Rows of each cell after lifting cells to their minimum; what is too much is taken where most is over the minimum."""
-    floor = np.minimum(least, have)
-    rows = np.minimum(np.maximum(drawn, floor), have)
-    spare = rows - floor
-    over = int(rows.sum()) - size
-    if over > 0 and spare.sum() > 0:
-        cut = np.minimum(spare, np.floor(spare * min(1.0, over / spare.sum())).astype(np.int64))
-        rest = over - int(cut.sum())
-        for i in np.argsort(cut - spare, kind="stable")[: max(rest, 0)]:
-            cut[i] += int(spare[i] > cut[i])
-        rows = rows - cut
-    return rows
+def whole(share: np.ndarray, have: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
+    """Whole rows of each cell near share x size, from least to have, `size` together as far as these allow.
+
+    Running totals are rounded, so that neighbouring cells (those of one source) are off by less than a row together.
+    """
+    least, most = np.minimum(least, have), np.where(share > 0, have, np.minimum(least, have))
+    f = [0.0, 1.0]
+    at = lambda x: np.clip(share * size * x, least, most)
+    while at(f[1]).sum() < min(size, most.sum()) and f[1] < 1e18:
+        f[1] *= 2
+    for _ in range(100):
+        mid = sum(f) / 2
+        f = [mid, f[1]] if at(mid).sum() < size else [f[0], mid]
+    upto = np.floor(np.cumsum(at(f[1])) + 0.5)
+    return np.clip(np.diff(upto, prepend=0.0), least, most).astype(np.int64)
+
+
+def minima(least: np.ndarray, per: np.ndarray, have: np.ndarray, size: int) -> np.ndarray:
+    """Rows each cell gets at least: what it needs, or what there is of that.
+
+    If that is more than the sample has, shares are rounded down, and then only the targets' own minima hold.
+    """
+    for share in (-(-per * size // 10000), per * size // 10000):
+        rows = np.minimum(np.maximum(least, share), have)
+        if rows.sum() <= size:
+            return rows
+    return np.minimum(least, have)
 
 
 def counted(points: DataFrame, targets: DataFrame, key: str, year: str) -> DataFrame:
@@ -65,12 +85,14 @@ def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str
     """(sample, report) of a draw of floor(points that count / divisor) rows with the target shares by source and semester.
 
     A point counts once for its key, if source and semester, without outer blanks and regardless of case, are a row of
-    targets and `year` is the semester's year; nulls never match. Weights are raked to the margins of source and of
-    semester, starting from the cells' targets. Rows are drawn by the smallest weighted exponential keys -ln(u) / weight
-    over all cells together; then cells below min_rows are lifted, at the cost of cells above theirs. The report has for
-    each row of targets the rows there are, needed (the larger of min_rows and the share of the sample, rounded up) and
-    drawn, the gap, and `unmet` if there are fewer than needed; the share of the margins that raking couldn't reach is
-    `margin_gap`. An empty table gives an empty sample and a report in which every row of positive need is unmet.
+    targets and `year` is the semester's year; nulls never match. Cells start from their targets and are fitted to the
+    margins of source and of semester, none beyond the rows it has nor below the smaller of those and its need (the larger
+    of min_rows and the share of the sample, rounded up); needs come before margins. If needs are more than the sample
+    together, see `minima`; if min_rows alone are, the sample grows by what they are over. Each cell's rows are those of
+    the smallest random keys. The report has for each row of targets the rows there are, needed, drawn (by the margins
+    alone) and given in the end, the gap, and `unmet` if there are fewer than needed; `margin_gap` is how far the shares of
+    the rows given are off the target (of all targets' sum) in the worst source or semester. An empty table gives an empty
+    sample and a report in which every row of positive need is unmet.
 
     Only counts of cells (as many as rows of targets, MAX_CELLS at most) reach the driver. Keys are cut and summed, and a
     cell of any size is ranked only in the cut where its rows end.
@@ -85,21 +107,21 @@ def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str
     have = np.array([r.n or 0 for r in told], np.int64)
     per = np.array([r.target_per_10k or 0 for r in told], np.int64)
     size = int(have.sum()) // divisor
+    least = np.array([r.min_rows or 0 for r in told], np.int64)
+    need = np.maximum(least, -(-per * size // 10000))
+    target = per / max(int(per.sum()), 1)
     place = lambda values: np.unique(np.array([str(v) for v in values]), return_inverse=True)[1]
-    share, gap = rake(have, per / 10000.0, [place(r.source for r in told), place(r.semester for r in told)]) if told else (np.zeros(0), 0.0)
-    weight = np.divide(share * size, have, out=np.zeros(len(told)), where=have > 0)
+    margins = [place(r.source for r in told), place(r.semester for r in told)] if told else []
+    floor = minima(least, per, have, size)
+    fit = lambda low: whole(rake(have, target, margins, size=size, least=low)[0], have, low, size) if size else np.minimum(low, have)
+    drawn, rows = fit(np.zeros_like(floor)), fit(floor)
+    reached = rows / max(int(rows.sum()), 1)
+    gap = max((float(np.abs(np.bincount(m, reached) - np.bincount(m, target)).max()) for m in margins), default=0.0)
+    weight = np.divide(rows, have, out=np.zeros(len(told)), where=have > 0)
 
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("semester", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("quota", T.LongType())])
-    weights = spark.createDataFrame([(r.source, r.semester, float(w), 0) for r, w in zip(told, weight)], schema).drop("quota")
-    e = -F.log(uniform(key, seed=seed)) / F.nullif(F.col("weight"), F.lit(0.0))
-    keyed = own.join(weights, ["source", "semester"]).withColumn("__all", F.lit(1)).withColumn("__key", e / (1 + e))
-    first = quota.take(keyed, spark.createDataFrame([(1, size)], "__all int, size bigint"), ["__all"], "__key", [key], F.lit(1), "size")
-    got = {(r.source, r.semester): r.n for r in first.groupBy("source", "semester").agg(F.count("*").alias("n")).collect()}
-    drawn = np.array([got.get((r.source, r.semester), 0) for r in told], np.int64)
-    least = np.array([r.min_rows or 0 for r in told], np.int64)
-    need = np.maximum(least, -(-per * size // 10000))
-    rows = repaired(drawn, have, least, size)
     quotas = spark.createDataFrame([(r.source, r.semester, float(w), int(n)) for r, w, n in zip(told, weight, rows)], schema)
+    keyed = own.join(quotas.drop("quota"), ["source", "semester"]).withColumn("__key", uniform(key, seed=seed))
     chosen = quota.take(keyed, quotas, ["source", "semester"], "__key", [key], F.lit(1), "quota").select(key, "source", "semester", "weight")
     report = spark.createDataFrame(
         [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(max(0, n - k)), bool(h < n), float(gap)) for r, p, n, h, d, k in zip(told, per, need, have, drawn, rows)],

@@ -118,6 +118,40 @@ def test_sample_meets_shares_and_reports(spark):
     assert empty.count() == 0 and report.filter("unmet").count() == 4
 
 
+def test_sample_keeps_margins_where_cells_are_short(spark):
+    """A and B lack rows in one semester each and have enough in the other; C has no target but a minimum."""
+    told = {("A", "2020-Winter"): (200, 3000, 1), ("A", "2021-Winter"): (3000, 2000, 1), ("B", "2020-Winter"): (3000, 2000, 1), ("B", "2021-Winter"): (200, 3000, 1), ("C", "2020-Winter"): (50, 0, 7)}
+    rows = [(src, sem, int(sem[:4])) for (src, sem), (n, _, _) in told.items() for _ in range(n)]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "occ_id long, source string, semester string, `year-int` int")
+    t = spark.createDataFrame([(*k, per, least) for k, (_, per, least) in told.items()], "source string, semester string, target_per_10k int, min_rows int")
+    got, report = raking.sample(p, t)
+    size, report = len(rows) // 4, report.collect()
+    drawn = collections.Counter((r.source, r.semester) for r in got.collect())
+    assert sum(drawn.values()) == size and all(drawn[r.source, r.semester] == r.rows for r in report)
+    assert drawn["A", "2020-Winter"] == drawn["B", "2021-Winter"] == 200 and drawn["C", "2020-Winter"] == 7
+    for i, name in ((0, "A"), (0, "B"), (1, "2020-Winter"), (1, "2021-Winter")):
+        assert abs(sum(n for k, n in drawn.items() if k[i] == name) / size - 0.5) < 0.005, name
+    shares = [collections.Counter(), collections.Counter()]
+    for k, n in drawn.items():
+        for s, name in zip(shares, k):
+            s[name] += n / size
+    worst = max(abs(s[name] - sum(per for k, (_, per, _) in told.items() if name in k) / 10000) for s in shares for name in s)
+    assert abs(report[0].margin_gap - worst) < 1e-9
+
+
+def test_whole_rows_keep_bounds_and_size():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        have, per = rng.integers(0, 300, n), rng.multinomial(10000, rng.dirichlet(np.ones(n)))
+        size = int(have.sum()) // 4
+        low = raking.minima(rng.integers(0, 9, n), per, have, size)
+        margins = [rng.integers(0, 3, n), rng.integers(0, 5, n)]
+        rows = raking.whole(raking.rake(have, per / 10000, margins, size=size, least=low)[0], have, low, size) if size else low
+        assert (rows <= have).all() and (rows >= low).all()
+        assert rows.sum() == max(low.sum(), min(size, have[(per > 0) | (low > 0)].sum()))
+
+
 def test_take_stays_in_the_quota(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") < 4000, "big").otherwise("small").alias("g"), ((F.col("id") * 7919 % 5003) / 5003).alias("k"), (F.col("id") % 5 + 1).alias("w"))
     q = spark.createDataFrame([("big", 3000), ("small", 10**6)], "g string, q long")
