@@ -356,6 +356,23 @@ def _(s, d):
     return R.read_ascii_grids(s, path).filter("value is not null").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+# the two above over the whole grid; theirs is the window of their SQL
+
+
+@reg("k3_ascii_grid_whole", """, w AS (SELECT i AS place, string_agg(CASE WHEN c.price IS NULL THEN '-9999.000000' ELSE printf('%.6f', c.price) END, ' ' ORDER BY j) AS line FROM range(1000) a(i) CROSS JOIN range(1000) b(j) LEFT JOIN cells c ON c.row = i AND c.col = j AND size % 3 <> 0 GROUP BY i)
+SELECT * FROM w UNION ALL SELECT * FROM (VALUES (-6, 'ncols 1000'), (-5, 'nrows 1000'), (-4, 'xllcorner 91000.000000'), (-3, 'yllcorner 6124000.000000'), (-2, 'cellsize 1000.000000'), (-1, 'NODATA_value -9999.000000')) t(place, line)""", "cells")
+def _(s, d):
+    return K.ascii_grid(P.in_mask(A.cells(s, d), A.mask(s, d)), STUDY, "price")
+
+
+@reg("s3_ascii_round_trip_whole", "SELECT row, count(*) AS n, round(sum(price), 3) AS total, sum(col) AS cols FROM cells WHERE size % 3 <> 0 GROUP BY row", "cells")
+def _(s, d):
+    path = scratch(s)
+    c = P.in_mask(A.cells(s, d), A.mask(s, d))
+    K.ascii_grid(c, STUDY, "price").coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
+    return R.read_ascii_grids(s, path).filter("value is not null").groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("col").alias("cols"))
+
+
 @reg("k1_stack_round_trip", "SELECT row, count(*) AS n, sum(price) AS price FROM cells GROUP BY row", "cells")
 def _(s, d):
     path = scratch(s)

@@ -81,15 +81,20 @@ def read_predictors(spark: SparkSession, path: str) -> DataFrame:
 def read_ascii_grids(spark: SparkSession, path: str | list[str], nodata: float = NODATA) -> DataFrame:
     """(layer, row, col, value) of ESRI ASCII grid files, nodata being null; the layer is the file's name without suffix.
 
-    Files are split into lines by Spark and lines are numbered by their place in the file, so a file is read by one task but
-    never held whole.
+    Lines are numbered within the piece of a file that a task reads, and pieces are put in order by where they begin; a file
+    may be read by any number of tasks.
     """
     names = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
-    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("layer"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__i"))
+    lines = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("layer"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__i")
+    )
     first = F.lower(F.split(F.trim("line"), r"\s+")[0])
-    body = lines.filter(~first.isin(*names) & (F.trim("line") != ""))
-    start = body.groupBy("layer").agg(F.min("__i").alias("__s"))
-    at = body.join(F.broadcast(start), "layer").withColumn("row", (F.col("__i") - F.col("__s")))
+    lines = lines.withColumn("__body", ~first.isin(*names) & (F.trim("line") != ""))
+    pieces = lines.groupBy("__f", "__b").agg(F.min("__i").alias("__i0"), F.count("*").alias("__n"), F.min(F.when(F.col("__body"), F.col("__i"))).alias("__s"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__f").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.withColumn("__at", before - F.col("__i0"))
+    pieces = pieces.withColumn("__at", F.col("__at") - F.min(F.col("__s") + F.col("__at")).over(W.partitionBy("__f"))).select("__f", "__b", "__at")
+    at = lines.filter("__body").join(F.broadcast(pieces), ["__f", "__b"]).withColumn("row", F.col("__i") + F.col("__at"))
     values = at.select("layer", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
     return values.select("layer", "row", F.col("col").cast("bigint").alias("col"), known(F.col("v").try_cast("double"), nodata).alias("value"))
 

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from terrane.functions import running
 from terrane.functions.grid import Grid
 from terrane.operators import layers, metrics, points, stats
+from terrane.sources import tables
 
 
 def scores(spark, rows):
@@ -71,3 +73,31 @@ def test_farthest_points_are_spread(spark):
 def test_nearest_fill_ties_to_smaller_row(spark):
     c = spark.createDataFrame([(0, 0, 1.0), (1, 0, None), (2, 0, 3.0), (9, 9, None)], "row int, col int, value double")
     assert {(r.row, r.value) for r in layers.nearest_fill(c, 2).collect()} == {(0, 1.0), (1, 1.0), (2, 3.0), (9, None)}
+
+
+def test_ascii_grid_read_in_pieces(spark, tmp_path):
+    """Rows keep their numbers though several tasks read one file."""
+    body = [" ".join(str(float(r * 50 + c)) for c in range(50)) for r in range(400)]
+    (tmp_path / "a.asc").write_text("\n".join(["ncols 50", "nrows 400", "xllcorner 0", "yllcorner 0", "cellsize 1", "NODATA_value -9999", *body]) + "\n")
+    names = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 1
+        got = tables.read_ascii_grids(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 20000 and all(r.value == r.row * 50 + r.col for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_whole_grid_round_trip(spark):
+    from terrane.plans import adapters
+    from terrane.queries import registry
+
+    d = "/root/testdata/sf0.001"
+    got = registry.queries()["s3_ascii_round_trip_whole"](spark, d).collect()
+    want = adapters.cells(spark, d).filter("size % 3 <> 0").groupBy("row").count().collect()
+    assert {r.row: r.n for r in got} == {r["row"]: r["count"] for r in want} and max(r.row for r in got) >= 40
