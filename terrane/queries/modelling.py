@@ -369,7 +369,7 @@ def _(s, d):
 def _(s, d):
     path = scratch(s)
     c = P.in_mask(A.cells(s, d), A.mask(s, d))
-    K.ascii_grid(c, STUDY, "price").coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
+    K.ascii_grid(c, STUDY, "price").repartition(1).sortWithinPartitions("place").select("line").write.text(path)
     return R.read_ascii_grids(s, path).filter("value is not null").groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("col").alias("cols"))
 
 
