@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.grid import STUDY, Grid
 from terrane.session import table
 
+#: Columns of the grid that points and layers lie on, and parts to a row of it: rows grow with the tables.
+COLS, PARTS_A_ROW = 1000, 20
+
 
 def hashed(c: Column | str, seed: int = 0, modulus: int = 1000003) -> Column:
     """A whole number below modulus from an id, which any SQL engine gives alike."""
@@ -20,8 +24,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     month = F.month("l_shipdate")
     return l.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        (F.lit(91000.0) + (F.col("l_partkey") % 1000) * 1000 + F.col("l_linenumber") * 100).alias("x"),
-        (F.lit(6124000.0) + ((F.col("l_suppkey") * 7919) % 1000) * 1000 + 500).alias("y"),
+        (F.lit(91000.0) + (F.col("l_suppkey") % COLS) * 1000 + F.col("l_linenumber") * 100).alias("x"),
+        (F.lit(STUDY.top) - F.expr(f"l_partkey div {PARTS_A_ROW}") * 1000 - 500).alias("y"),
         F.when(month <= 2, F.year("l_shipdate") - 1).otherwise(F.year("l_shipdate")).alias("year"),
         F.when(month.between(3, 8), "Summer").otherwise("Winter").alias("season"),
         F.when(F.col("l_returnflag") == "A", "GBIF").when(F.col("l_returnflag") == "N", "RRN").otherwise("SNCF").alias("source"),
@@ -29,11 +33,19 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def extent(spark: SparkSession, d: str) -> Grid:
+    """The grid that holds all cells: as wide as the study's, with a row for each PARTS_A_ROW parts."""
+    rows = table(spark, d, "part").agg(F.expr(f"coalesce(max(p_partkey) div {PARTS_A_ROW}, 0) + 1").alias("n")).first().n
+    return Grid(y0=STUDY.top - rows * 1000.0, rows=rows, cols=COLS)
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """A wide layer stack (row, col, size, price, balance): a grid cell for each part and supplier below 1000."""
-    p = table(spark, d, "part").filter("p_partkey < 1000").select("p_partkey", "p_size", "p_retailprice")
-    s = table(spark, d, "supplier").filter("s_suppkey < 1000").select("s_suppkey", "s_acctbal")
-    return p.join(s).select((F.lit(999) - (F.col("s_suppkey") * 7919) % 1000).alias("row"), (F.col("p_partkey") % 1000).alias("col"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.col("s_acctbal").alias("balance"))
+    """A wide layer stack (row, col, size, price, balance): one row for each cell that the rows of lineitem meet, which lies
+    some columns east of the point's, with the largest size and price of its parts and balance of its suppliers."""
+    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.expr(f"l_partkey div {PARTS_A_ROW}").alias("row"), ((F.col("l_suppkey") + F.col("l_linenumber")) % COLS).alias("col"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    return l.join(p, "l_partkey").join(s, "l_suppkey").groupBy("row", "col").agg(F.max("p_size").alias("size"), F.max("p_retailprice").alias("price"), F.max("s_acctbal").alias("balance"))
 
 
 def mask(spark: SparkSession, d: str) -> DataFrame:
@@ -84,14 +96,14 @@ def importances(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same adapters in SQL, as common table expressions.
 SQL = {
-    "points": """points AS (SELECT l_orderkey * 10 + l_linenumber AS id, 91000.0::DOUBLE + (l_partkey % 1000) * 1000 + l_linenumber * 100 AS x,
-  6124000.0::DOUBLE + ((l_suppkey * 7919) % 1000) * 1000 + 500 AS y,
+    "points": f"""points AS (SELECT l_orderkey * 10 + l_linenumber AS id, 91000.0::DOUBLE + (l_suppkey % {COLS}) * 1000 + l_linenumber * 100 AS x,
+  7124000.0::DOUBLE - (l_partkey // {PARTS_A_ROW}) * 1000 - 500 AS y,
   CASE WHEN month(l_shipdate) <= 2 THEN year(l_shipdate) - 1 ELSE year(l_shipdate) END AS year,
   CASE WHEN month(l_shipdate) BETWEEN 3 AND 8 THEN 'Summer' ELSE 'Winter' END AS season,
   CASE l_returnflag WHEN 'A' THEN 'GBIF' WHEN 'N' THEN 'RRN' ELSE 'SNCF' END AS source, l_quantity AS quantity FROM lineitem)""",
     "placed": "placed AS (SELECT *, CAST(floor((7124000 - y) / 1000) AS BIGINT) AS row, CAST(floor((x - 91000) / 1000) AS BIGINT) AS col FROM points)",
-    "cells": """cells AS (SELECT 999 - (s_suppkey * 7919) % 1000 AS row, p_partkey % 1000 AS col, p_size AS size, p_retailprice AS price, s_acctbal AS balance
-  FROM part, supplier WHERE p_partkey < 1000 AND s_suppkey < 1000)""",
+    "cells": f"""cells AS (SELECT l_partkey // {PARTS_A_ROW} AS row, (l_suppkey + l_linenumber) % {COLS} AS col, max(p_size) AS size, max(p_retailprice) AS price, max(s_acctbal) AS balance
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)""",
     "mask": "mask AS (SELECT row, col FROM cells WHERE size % 3 <> 0)",
     "design": "design AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(4)) + " FROM embeddings)",
     "scores": """scores AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, least(1.0::DOUBLE, floor(o_totalprice / 5000) / 100) AS s FROM orders)""",

@@ -295,12 +295,12 @@ def _(s, d):
     return s.read.option("header", True).csv(f"{path}/csv").agg(F.count("*").alias("n"))
 
 
-@reg("p5_regions_by_cell", "SELECT 'west' AS region, count(*) AS n FROM points WHERE x >= 100000 AND x < 300000 AND y >= 6200000 AND y < 6900000 UNION ALL SELECT 'north', count(*) FROM points WHERE x >= 200000 AND x < 1000000 AND y >= 6800000 AND y < 7100000", "points")
+@reg("p5_regions_by_cell", "SELECT 'west' AS region, count(*) AS n FROM points WHERE x >= 100000 AND x < 130000 AND y >= 7030000 AND y < 7100000 UNION ALL SELECT 'north', count(*) FROM points WHERE x >= 110000 AND x < 160000 AND y >= 7060000 AND y < 7110000", "points")
 def _(s, d):
     from terrane.operators import proximity
 
     box = lambda a, b, c, e: [{"x": float(x), "y": float(y)} for x, y in ((a, c), (b, c), (b, e), (a, e))]
-    r = s.createDataFrame([("west", box(100000, 300000, 6200000, 6900000)), ("north", box(200000, 1000000, 6800000, 7100000))], "region string, ring array<struct<x: double, y: double>>")
+    r = s.createDataFrame([("west", box(100000, 130000, 7030000, 7100000)), ("north", box(110000, 160000, 7060000, 7110000))], "region string, ring array<struct<x: double, y: double>>")
     return proximity.in_regions(A.points(s, d), "x", "y", r, "region", "ring", 50000.0).groupBy("region").agg(F.count("*").alias("n"))
 
 

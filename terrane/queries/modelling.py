@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.functions.grid import STUDY, Grid
+from terrane.functions.grid import STUDY
 from terrane.operators import collinear as C
 from terrane.operators import models as L
 from terrane.operators import novelty as N
@@ -338,38 +338,21 @@ def _(s, d):
     return table(s, d, "importance").select("test_year").dropna().distinct()
 
 
-_SMALL = Grid(91000.0, 6124000.0 + 960000, 1000.0, 40, 50)
+_ROWS = f"(SELECT max(p_partkey) // {A.PARTS_A_ROW} + 1 FROM part)"
 
 
-@reg("k3_ascii_grid", """, w AS (SELECT i AS place, string_agg(CASE WHEN c.price IS NULL THEN '-9999.000000' ELSE printf('%.6f', c.price) END, ' ' ORDER BY j) AS line FROM range(40) a(i), range(50) b(j) LEFT JOIN cells c ON c.row = i AND c.col = j AND size % 3 <> 0 GROUP BY i)
-SELECT * FROM w UNION ALL SELECT * FROM (VALUES (-6, 'ncols 50'), (-5, 'nrows 40'), (-4, 'xllcorner 91000.000000'), (-3, 'yllcorner 7084000.000000'), (-2, 'cellsize 1000.000000'), (-1, 'NODATA_value -9999.000000')) t(place, line)""", "cells")
+@reg("k3_ascii_grid", f""", n AS (SELECT {_ROWS} AS n), w AS (SELECT i AS place, string_agg(CASE WHEN c.price IS NULL THEN '-9999.000000' ELSE printf('%.6f', c.price) END, ' ' ORDER BY j) AS line FROM (SELECT unnest(range(n)) AS i FROM n) CROSS JOIN range({A.COLS}) b(j) LEFT JOIN cells c ON c.row = i AND c.col = j AND size % 3 <> 0 GROUP BY i)
+SELECT * FROM w UNION ALL SELECT -6, 'ncols {A.COLS}' UNION ALL SELECT -5, 'nrows ' || n FROM n UNION ALL SELECT -4, 'xllcorner 91000.000000' UNION ALL SELECT -3, printf('yllcorner %.6f', 7124000.0::DOUBLE - n * 1000) FROM n UNION ALL SELECT -2, 'cellsize 1000.000000' UNION ALL SELECT -1, 'NODATA_value -9999.000000'""", "cells")
 def _(s, d):
-    c = P.in_mask(A.cells(s, d), A.mask(s, d))
-    return K.ascii_grid(c, _SMALL, "price")
-
-
-@reg("s3_ascii_round_trip", "SELECT count(*) AS n, round(sum(price), 3) AS total FROM cells WHERE row < 40 AND col < 50 AND size % 3 <> 0", "cells")
-def _(s, d):
-    path = scratch(s)
-    c = P.in_mask(A.cells(s, d), A.mask(s, d))
-    K.ascii_grid(c, _SMALL, "price").coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
-    return R.read_ascii_grids(s, path).filter("value is not null").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-
-
-# the two above over the whole grid; theirs is the window of their SQL
-
-
-@reg("k3_ascii_grid_whole", """, w AS (SELECT i AS place, string_agg(CASE WHEN c.price IS NULL THEN '-9999.000000' ELSE printf('%.6f', c.price) END, ' ' ORDER BY j) AS line FROM range(1000) a(i) CROSS JOIN range(1000) b(j) LEFT JOIN cells c ON c.row = i AND c.col = j AND size % 3 <> 0 GROUP BY i)
-SELECT * FROM w UNION ALL SELECT * FROM (VALUES (-6, 'ncols 1000'), (-5, 'nrows 1000'), (-4, 'xllcorner 91000.000000'), (-3, 'yllcorner 6124000.000000'), (-2, 'cellsize 1000.000000'), (-1, 'NODATA_value -9999.000000')) t(place, line)""", "cells")
-def _(s, d):
-    return K.ascii_grid(P.in_mask(A.cells(s, d), A.mask(s, d)), STUDY, "price")
+    return K.ascii_grid(P.in_mask(A.cells(s, d), A.mask(s, d)), A.extent(s, d), "price")
 
 
-@reg("s3_ascii_round_trip_whole", "SELECT row, count(*) AS n, round(sum(price), 3) AS total, sum(col) AS cols FROM cells WHERE size % 3 <> 0 GROUP BY row", "cells")
+@reg("s3_ascii_round_trip", "SELECT row, count(*) AS n, round(sum(price), 3) AS total, sum(col) AS cols FROM cells WHERE size % 3 <> 0 GROUP BY row", "cells")
 def _(s, d):
     path = scratch(s)
     c = P.in_mask(A.cells(s, d), A.mask(s, d))
-    K.ascii_grid(c, STUDY, "price").repartition(1).sortWithinPartitions("place").select("line").write.text(path)
+    # a grid file is one file; its lines, not its cells, are brought to one task
+    K.ascii_grid(c, A.extent(s, d), "price").repartition(1).sortWithinPartitions("place").select("line").write.text(path)
     return R.read_ascii_grids(s, path).filter("value is not null").groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("col").alias("cols"))
 
 

@@ -202,10 +202,10 @@ def _(s, d):
     return L.filled_from_other_years(have, wanted)
 
 
-@reg("j7_mosaic", A.sql(", t AS (SELECT row, col, price AS v FROM cells WHERE col < 600 UNION ALL SELECT row, col, balance FROM cells WHERE col >= 400) SELECT row, col, coalesce(max(v), 0) AS value FROM t GROUP BY row, col", "cells"))
+@reg("j7_mosaic", A.sql(", t AS (SELECT row, col, price AS v FROM cells WHERE col % 100 < 60 UNION ALL SELECT row, col, balance FROM cells WHERE col % 100 >= 40) SELECT row, col, coalesce(max(v), 0) AS value FROM t GROUP BY row, col", "cells"))
 def _(s, d):
     c = A.cells(s, d)
-    return L.mosaic(c.filter("col < 600").select("row", "col", F.col("price").alias("value")).unionByName(c.filter("col >= 400").select("row", "col", F.col("balance").alias("value"))))
+    return L.mosaic(c.filter("col % 100 < 60").select("row", "col", F.col("price").alias("value")).unionByName(c.filter("col % 100 >= 40").select("row", "col", F.col("balance").alias("value"))))
 
 
 @reg("j5_layers_joined", A.sql("SELECT row, col, size::DOUBLE AS size, price, CASE WHEN size % 3 <> 0 THEN balance END AS balance FROM cells", "cells"))
