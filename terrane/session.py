@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -74,10 +75,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, times: int = 4) -> DataFrame:
+def spread(df: DataFrame, *columns: str, times: int = 4) -> DataFrame:
     """df over `times` as many tasks as there are cores if it has fewer, for steps whose work far outweighs a move of rows.
 
-    A table of more splits than that, as any large one, is left as it lies.
+    Rows are dealt by a hash of the columns, so that a task that is run again gets the same rows; give enough of them that
+    no value (such as a null key) stands for many rows. A table of more splits than that, as any large one, is left as it
+    lies.
     """
     wanted = times * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, F.xxhash64(*columns))
