@@ -68,5 +68,5 @@ def encoded(docs: DataFrame, key: str, text: str, path: str | None = None, split
 
     kind = T.StructField("ids", T.ArrayType(T.LongType())) if ids else T.StructField("n_tokens", T.LongType())
     chosen = docs.select(F.col(key), F.col(text).alias("__text"))
-    chosen = spread(chosen, key)
+    chosen = spread(chosen, key, "__text")
     return chosen.mapInArrow(run, T.StructType([T.StructField(key, chosen.schema[0].dataType), kind]))
