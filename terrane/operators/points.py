@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.grid import STUDY, Grid
-from terrane.functions.quota import last_taken, take
+from terrane.functions.hashing import uniform
+from terrane.functions.quota import last_taken, share_of, smallest, take
 
 
 def placed(points: DataFrame, grid: Grid = STUDY) -> DataFrame:
@@ -66,12 +67,54 @@ def equalised(points: DataFrame, key: str, draw: str, tie: Sequence[str]) -> Dat
     return take(points, n.join(F.broadcast(least)), [key], draw, tie, F.lit(1), "__least")
 
 
-def weighted_without_replacement(rows: DataFrame, weight: Column, u: Column, n: int, tie: Sequence[str]) -> DataFrame:
-    """n rows drawn with probability in proportion to weight: the smallest exponential keys; weights of 0 or null never.
+def weighted_without_replacement(rows: DataFrame, weight: Column, u: Column, share: float, tie: Sequence[str], least: int = 2) -> DataFrame:
+    """max(least, round(share x rows)) rows drawn with probability in proportion to weight: the smallest exponential keys
+    -ln(u) / weight; weights of 0, NaN or null never. No more rows than have a weight."""
+    key = -F.ln(u) / F.when((weight > 0) & ~F.isnan(weight), weight)
+    n = rows.agg(F.greatest(F.lit(least), F.round(F.count("*") * share)).cast("bigint").alias("n"))
+    # the key laid into [0, 1) around its own scale, so that cuts of it are filled
+    keyed = rows.withColumn("__key", key).filter(F.col("__key").isNotNull())
+    scale = F.broadcast(keyed.agg(F.percentile_approx("__key", max(min(share, 1.0), 1e-4), 1000).alias("__scale")))
+    laid = keyed.join(scale).withColumn("__order", F.col("__key") / (F.col("__key") + F.greatest("__scale", F.lit(1e-300))))
+    return smallest(laid, n, "__order", ["__key", *tie]).select(*rows.columns)
 
-    The n smallest are kept in each partition first, so only these move.
+
+def sampled_share(rows: DataFrame, share: float, u: Column, tie: Sequence[str], least: int = 2) -> DataFrame:
+    """max(least, round(share x rows)) rows, those of smallest u, a number in [0, 1); all rows if there are fewer."""
+    return share_of(rows.withColumn("__order", u), share, "__order", tie, least).drop("__order")
+
+
+def with_replacement(cells: DataFrame, weight: Column, n: int, key: Sequence[str], seed: int = 1) -> DataFrame:
+    """n draws from the rows with probability in proportion to weight, a row for each draw (`draw`, from 0).
+
+    Each draw is a point on the line of all weights; weights are summed by pieces of the key's hash first, so that a draw
+    finds its piece in a small table and its row within that piece. Weights of 0, NaN or null are never drawn. Nothing is
+    drawn if there is no weight at all.
     """
-    return rows.withColumn("__key", -F.ln(u) / F.when(weight > 0, weight)).filter(F.col("__key").isNotNull()).orderBy("__key", *tie).limit(n).drop("__key")
+    pieces = 256
+    w = F.when((weight > 0) & ~F.isnan(weight), weight.cast("double"))
+    rows = cells.withColumns({"__w": w, "__p": F.pmod(F.xxhash64(*key), F.lit(pieces)).cast("int")}).filter(F.col("__w").isNotNull())
+    sums = rows.groupBy("__p").agg(F.sum("__w").alias("__s"))
+    upto = sums.withColumn("__e", F.sum("__s").over(W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)))
+    # one row: where each piece (at most `pieces`) ends on the line, so a draw finds its own in it
+    line = upto.agg(F.array_sort(F.collect_list(F.struct("__e", "__s", "__p"))).alias("__line"))
+    draws = cells.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(line)).filter(F.size("__line") > 0)
+    at = draws.withColumn("__at", uniform("draw", seed=seed) * F.element_at("__line", -1)["__e"])
+    hit = at.withColumn("__h", F.coalesce(F.get(F.filter("__line", lambda p: p["__e"] > F.col("__at")), F.lit(0)), F.element_at("__line", -1)))
+    placed = hit.select("draw", F.col("__h.__p").alias("__p"), (F.col("__at") - F.col("__h.__e") + F.col("__h.__s")).alias("__x"))
+    own = W.partitionBy("__p").orderBy("__x", "__k")
+    lines = rows.withColumn("__x", F.sum("__w").over(W.partitionBy("__p").orderBy(*key).rowsBetween(W.unboundedPreceding, 0)))
+    kept = F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("__row")
+    both = lines.select("__p", "__x", F.lit(1).alias("__k"), kept, F.lit(None).cast("bigint").alias("draw"))
+    asked = placed.select("__p", "__x", F.lit(0).alias("__k"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "draw")
+    found = both.unionByName(asked).withColumn("__row", F.first("__row", ignorenulls=True).over(own.rowsBetween(0, W.unboundedFollowing)))
+    return found.filter(F.col("draw").isNotNull() & F.col("__row").isNotNull()).select("draw", "__row.*")
+
+
+def jittered(cells: DataFrame, grid: Grid, *ids: str, seed: int = 1) -> DataFrame:
+    """Adds x and y: a place in the row's cell, uniform by a hash of ids."""
+    u, v = uniform(*ids, seed=seed), uniform(*ids, seed=seed + 1)
+    return cells.withColumns({"x": F.lit(grid.x0) + F.lit(grid.cell) * (F.col("col") + u), "y": F.lit(grid.top) - F.lit(grid.cell) * (F.col("row") + v)})
 
 
 def bias_weights(cells: DataFrame, bias: str, strength: float) -> DataFrame:
@@ -106,7 +149,7 @@ def stratified_split(rows: DataFrame, strata: Sequence[str], share: float, draw:
     """Adds part: of each stratum of two rows or more, ceil(share * n) rows, those of smallest draw, are test and others
     train. Rows that are equal in all columns go together."""
     n = rows.groupBy(*strata).agg(F.count("*").alias("__n")).withColumn("__q", F.when(F.col("__n") >= 2, F.ceil(F.lit(share) * F.col("__n"))).otherwise(0))
-    ends = last_taken(rows, n, strata, draw, tie, F.lit(1), "__q")
+    ends = last_taken(rows, n, strata, draw, tie, "__q")
     mine = F.struct(draw, *tie)
     return rows.join(ends, list(strata), "left").withColumn("part", F.when(mine <= F.col("__last"), "test").otherwise("train")).drop("__last")
 
