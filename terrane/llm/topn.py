@@ -12,19 +12,18 @@ from terrane.functions.hashing import salt
 def top_n(items: DataFrame, groups: list[str], score: str, key: str, n: int, buckets: int = 64) -> DataFrame:
     """The n items of highest score in each group, then of smallest key; the rank (from 1) is added as `rank`.
 
-    Two stages: a group is cut into `buckets` subgroups by a hash of the key and the best n of each are kept, then these
-    survivors (at most n x buckets a group) are ranked by score and key. A group of any size is thus spread over the
-    cluster, and the planner drops what can't be among the first n before the shuffle already. Rows of equal group, score
-    and key (deliveries of one item) count once. Rows with a null group, key or score, or a score that isn't finite, take
-    no part; groups smaller than n give all their items; an empty table gives none. If one key comes with several scores
-    in a group, its best score counts.
+    Two stages: a group is cut into `buckets` subgroups by a hash of the key and the best n keys of each are kept, then
+    these survivors (at most n x buckets a group) are ranked by score and key. A group of any size is thus spread over the
+    cluster. Deliveries of one key count once in a group, with the best of their scores: keys are reduced to it
+    before any ranking, by partial sums in each task. Rows with a null group, key or score, or a score that isn't finite,
+    take no part; groups smaller than n give all their items; an empty table gives none.
     """
     keep = F.col(key).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
     for g in groups:
         keep &= F.col(g).isNotNull()
-    items = items.filter(keep).withColumn("__salt", salt(buckets, key))
     order = [F.desc(score), F.asc(key)]
-    # equal deliveries share a dense rank, so they can't push other items out before they are counted once
-    near = items.withColumn("__r", F.dense_rank().over(W.partitionBy(*groups, "__salt").orderBy(*order))).filter(F.col("__r") <= n)
-    once = near.groupBy(*groups, "__salt", key).agg(F.max(score).alias(score))
-    return once.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).filter(F.col("rank") <= n).select(*groups, key, score, "rank")
+    # a key always has the same salt, so the first ranking needs no other shuffle than the reduction's
+    items = items.filter(keep).select(*groups, key, score, salt(buckets, key).alias("__salt")).repartition(*groups, "__salt")
+    once = items.groupBy(*groups, "__salt", key).agg(F.max(score).alias(score))
+    near = once.withColumn("__r", F.row_number().over(W.partitionBy(*groups, "__salt").orderBy(*order))).filter(F.col("__r") <= n)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).filter(F.col("rank") <= n).select(*groups, key, score, "rank")
