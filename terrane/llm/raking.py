@@ -19,29 +19,35 @@ MAX_CELLS = 200_000
 def rake(have: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds: int = 200, near: float = 1e-10, size: int | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Shares of the cells by iterative proportional fitting, and the largest gap left in a margin.
 
-    Starts from the target shares of the cells that have rows and scales them in turn to each margin's target; margins:
-    for each category the number of the value a cell has. A value none of whose cells has rows can't be met: its share
-    goes to the others, and the gap is returned. With the size of a sample, no cell's share exceeds the rows it has nor
-    falls below `least` rows, and what a cell lacks goes to others of its source or semester.
+    Starts from the observed shares (the counts `have`), which are fitted to the cells' own targets first, the finest
+    margin, and then in turn to each coarser margin's until these hold; margins: for each category the number of the value
+    a cell has. A value none of whose cells has rows can't be met: its share goes to the others, and the gap is returned.
+    With the size of a sample, no cell's share exceeds the rows it has nor falls below `least` rows, and what a cell lacks
+    goes to others of its values.
     """
-    share = np.where(have > 0, target, 0.0)
-    low, high = np.zeros(len(have)), np.full(len(have), np.inf)
+    n = max(float(have.sum()), 1.0)
+    low, high = np.zeros(len(have)), np.where(have > 0, np.inf, 0.0)
     if size:
         high = have / size
         low = np.minimum(np.zeros(len(have)) if least is None else least / size, high)
-        share = np.clip(share, low, high)
+    cells = np.arange(len(have))
+    fits = [(m, np.bincount(m, target)) for m in (cells, *margins)]
+
+    def fitted(share: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        now = np.bincount(m, share, len(w))
+        return np.clip(share * np.divide(w, now, out=np.zeros_like(w), where=now > 0)[m], low, high)
+
+    share = fitted(have / n, *fits[0])
     if not share.sum():
         return share, float(target.max(initial=0.0))
-    wanted = [np.bincount(m, target) for m in margins]
     for _ in range(rounds):
         before = share.copy()
-        for m, w in zip(margins, wanted):
-            now = np.bincount(m, share, len(w))
-            share = np.clip(share * np.divide(w, now, out=np.zeros_like(w), where=now > 0)[m], low, high)
+        for m, w in fits[1:]:
+            share = fitted(share, m, w)
         share = np.clip(share / max(share.sum(), 1e-300) * target.sum(), low, high)
         if np.abs(share - before).max() < near:
             break
-    return share, max(float(np.abs(np.bincount(m, share, len(w)) - w).max()) for m, w in zip(margins, wanted))
+    return share, max((float(np.abs(np.bincount(m, share, len(w)) - w).max()) for m, w in fits[1:]), default=0.0)
 
 
 def whole(share: np.ndarray, have: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
@@ -81,50 +87,80 @@ def counted(points: DataFrame, targets: DataFrame, key: str, year: str) -> DataF
     return staged(p.filter(own).join(t, ["__s", "__p"]).select(key, "source", "semester").groupBy(key).agg(F.min(F.struct("source", "semester")).alias("c")).select(key, "c.source", "c.semester"))
 
 
+_CELL = ["source", "semester"]
+
+
 def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str = "year-int", divisor: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(sample, report) of a draw of floor(points that count / divisor) rows with the target shares by source and semester.
+    """(sample, report) of a draw of S = floor(points that count / divisor) rows with the target shares by source and semester.
 
     A point counts once for its key, if source and semester, without outer blanks and regardless of case, are a row of
-    targets and `year` is the semester's year; nulls never match. Cells start from their targets and are fitted to the
-    margins of source and of semester, none beyond the rows it has nor below the smaller of those and its need (the larger
-    of min_rows and the share of the sample, rounded up); needs come before margins. If needs are more than the sample
-    together, see `minima`; if min_rows alone are, the sample grows by what they are over. Each cell's rows are those of
-    the smallest random keys. The report has for each row of targets the rows there are, needed, drawn (by the margins
-    alone) and given in the end, the gap, and `unmet` if there are fewer than needed; `margin_gap` is how far the shares of
-    the rows given are off the target (of all targets' sum) in the worst source or semester. An empty table gives an empty
-    sample and a report in which every row of positive need is unmet.
-
-    Only counts of cells (as many as rows of targets, MAX_CELLS at most) reach the driver. Keys are cut and summed, and a
-    cell of any size is ranked only in the cut where its rows end.
+    targets and `year` is the semester's year; nulls never match. In steps:
+
+    1. The observed counts of the cells are raked to the targets, and to the margins of source, semester and year (`rake`);
+       a cell's weight is its share of the sample over the rows it has.
+    2. The S points of smallest exponential keys, -ln(u) over the rate at which a point of its weight is drawn, are drawn.
+    3. Rows drawn are counted by cell. A cell below its need (the larger of min_rows and the share of the sample, rounded up)
+       is lifted to it by its next keys, as far as it has rows; these too are counted, and what is still missing is the
+       gap: a cell with one is `unmet`.
+    4. Cells over their raked rows give up those of largest key, and cells under them get their next, so that S rows stay
+       and the margins hold; none falls below its minimum. If needs are more than S, see `minima`; if min_rows alone are,
+       the sample grows by what they are over.
+
+    sample: key, source, semester, weight. report: for each row of targets the rows there are, needed, drawn (step 2),
+    repaired (step 3) and in the sample (step 4), the gap, and unmet; `margin_gap` is how far the sample's shares are off
+    the target (of all targets' sum) in the worst source, semester or year. An empty table gives an empty sample and a
+    report in which every row of positive need is unmet.
+
+    Only counts of cells (as many as rows of targets, MAX_CELLS at most) reach the driver. Keys are cut and summed, and
+    points of any number are ranked only in the cut where the rows end.
     """
     spark = points.sparkSession
     own = counted(points, targets, key, year)
-    cells = targets.select("source", "semester", "target_per_10k", "min_rows").dropDuplicates(["source", "semester"])
-    told = cells.join(own.groupBy("source", "semester").agg(F.count("*").alias("n")), ["source", "semester"], "left").limit(MAX_CELLS + 1).collect()
+    cells = targets.select(*_CELL, "target_per_10k", "min_rows").dropDuplicates(_CELL)
+
+    def by_cell(rows: DataFrame) -> dict[tuple, int]:
+        """At most as many rows as targets."""
+        return {(r.source, r.semester): r.n for r in rows.groupBy(*_CELL).agg(F.count("*").alias("n")).collect()}
+
+    told = cells.limit(MAX_CELLS + 1).collect()
     if len(told) > MAX_CELLS:
         raise ValueError(f"targets have more than {MAX_CELLS} rows")
     told = sorted(told, key=lambda r: (str(r.source), str(r.semester)))
-    have = np.array([r.n or 0 for r in told], np.int64)
+    column = lambda n: np.array([n.get((r.source, r.semester), 0) for r in told], np.int64)
+    have = column(by_cell(own))
     per = np.array([r.target_per_10k or 0 for r in told], np.int64)
     size = int(have.sum()) // divisor
     least = np.array([r.min_rows or 0 for r in told], np.int64)
     need = np.maximum(least, -(-per * size // 10000))
     target = per / max(int(per.sum()), 1)
     place = lambda values: np.unique(np.array([str(v) for v in values]), return_inverse=True)[1]
-    margins = [place(r.source for r in told), place(r.semester for r in told)] if told else []
+    margins = [place(r.source for r in told), place(r.semester for r in told), place(str(r.semester).strip()[:4] for r in told)] if told else []
     floor = minima(least, per, have, size)
-    fit = lambda low: whole(rake(have, target, margins, size=size, least=low)[0], have, low, size) if size else np.minimum(low, have)
-    drawn, rows = fit(np.zeros_like(floor)), fit(floor)
+    share = rake(have, target, margins, size=size, least=floor)[0] if size else np.zeros(len(told))
+    raked = whole(share, have, floor, size) if size else np.minimum(floor, have)
+
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("semester", T.StringType()), T.StructField("weight", T.DoubleType())])
+    weight = np.clip(np.divide(share * size, have, out=np.zeros(len(told)), where=have > 0), 0.0, 1.0)
+    weights = spark.createDataFrame([(r.source, r.semester, float(w)) for r, w in zip(told, weight)], schema)
+    # a point of weight w has an exponential key of at most 1 with probability w: its rate is -ln(1 - w)
+    rate = -F.ln(F.greatest(F.lit(1e-12), 1 - F.col("weight")))
+    keyed = own.join(weights, _CELL).withColumn("__key", -F.ln(uniform(key, seed=seed)) / F.greatest(rate, F.lit(1e-12)))
+    keyed = keyed.withColumn("__order", F.col("__key") / (F.col("__key") + 1)).drop("__key")
+
+    def of_each(rows: np.ndarray) -> DataFrame:
+        """The rows of smallest key of each cell, so many."""
+        quotas = spark.createDataFrame([(r.source, r.semester, int(n)) for r, n in zip(told, rows)], "source string, semester string, __n bigint")
+        return quota.take(keyed, quotas, _CELL, "__order", [key], F.lit(1), "__n")
+
+    drawn = column(by_cell(quota.smallest(keyed.filter("weight > 0"), size, "__order", [key]))) if size else np.zeros(len(told), np.int64)
+    lifted = column(by_cell(of_each(np.maximum(drawn, need)))) if size else np.zeros(len(told), np.int64)
+    gap = need - np.minimum(lifted, need)
+    chosen = staged(of_each(raked).select(key, *_CELL, "weight"))
+    rows = column(by_cell(chosen))
     reached = rows / max(int(rows.sum()), 1)
-    gap = max((float(np.abs(np.bincount(m, reached) - np.bincount(m, target)).max()) for m in margins), default=0.0)
-    weight = np.divide(rows, have, out=np.zeros(len(told)), where=have > 0)
-
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("semester", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("quota", T.LongType())])
-    quotas = spark.createDataFrame([(r.source, r.semester, float(w), int(n)) for r, w, n in zip(told, weight, rows)], schema)
-    keyed = own.join(quotas.drop("quota"), ["source", "semester"]).withColumn("__key", uniform(key, seed=seed))
-    chosen = quota.take(keyed, quotas, ["source", "semester"], "__key", [key], F.lit(1), "quota").select(key, "source", "semester", "weight")
+    worst = max((float(np.abs(np.bincount(m, reached) - np.bincount(m, target)).max()) for m in margins), default=0.0)
     report = spark.createDataFrame(
-        [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(max(0, n - k)), bool(h < n), float(gap)) for r, p, n, h, d, k in zip(told, per, need, have, drawn, rows)],
-        "source string, semester string, target_per_10k bigint, needed bigint, available bigint, drawn bigint, rows bigint, gap bigint, unmet boolean, margin_gap double",
+        [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(x), int(g), bool(g > 0), float(worst)) for r, p, n, h, d, k, x, g in zip(told, per, need, have, drawn, lifted, rows, gap)],
+        "source string, semester string, target_per_10k bigint, needed bigint, available bigint, drawn bigint, repaired bigint, rows bigint, gap bigint, unmet boolean, margin_gap double",
     )
     return chosen, report
