@@ -19,8 +19,10 @@ from terrane.session import staged
 
 #: Bits of an encoded value, upper levels that are counted exactly, hash rows of a level, counters of a row (a power of 2).
 BITS, EXACT, ROWS, WIDTH = 32, 12, 5, 4096
-#: Values a task gathers before it adds them to a sketch; a group of more is spread over several tasks.
-GATHER, SPREAD = 1_000_000, 256
+#: Values a task gathers before it adds them to a sketch, and values of a group for which it gets one task more.
+GATHER, TASK = 1_000_000, 16_000_000
+#: Distinct codes up to which a sketch keeps codes and counts themselves, exactly, instead of counters.
+SPARSE = 50_000
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -52,24 +54,36 @@ class Dyadic:
     """Counts of the values' binary prefixes: exact for the first EXACT bits, a Count-sketch for each longer prefix.
 
     Sketches are linear: adding two gives that of all values, subtracting one (or adding with weight -1) deletes values.
-    The rank of a percentile is off by about n / WIDTH, far below 0.2 percentage points.
+    The rank of a percentile is off by about n / WIDTH, far below 0.2 percentage points. As long as there are at most SPARSE
+    distinct codes these and their counts are kept instead, so that a small group costs little and its ranks are exact.
     """
 
-    def __init__(self, exact: np.ndarray | None = None, rows: np.ndarray | None = None):
-        self.exact = np.zeros(1 << EXACT, np.int64) if exact is None else exact
-        self.rows = np.zeros((BITS - EXACT, ROWS, WIDTH), np.int64) if rows is None else rows
+    def __init__(self) -> None:
+        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.exact: np.ndarray | None = None
+        self.rows: np.ndarray | None = None
 
     @property
     def n(self) -> int:
-        return int(self.exact.sum())
+        return int((self.counts if self.rows is None else self.exact).sum())
 
     def _place(self, nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
         h = _mixed(nodes, level * ROWS + row)
         return (h >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64), 1 - 2 * (h & np.uint64(1)).astype(np.int64)
 
-    def add(self, values: np.ndarray, weight: int = 1) -> Dyadic:
-        codes, counts = np.unique(encode(values), return_counts=True)
-        counts = counts * weight
+    @staticmethod
+    def _united(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, at = np.unique(codes, return_inverse=True)
+        total = np.bincount(at, counts, len(one)).astype(np.int64)
+        return one[total != 0], total[total != 0]
+
+    def _counted(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Adds distinct codes to the counters, which are made first if there are none."""
+        if self.rows is None:
+            self.exact, self.rows = np.zeros(1 << EXACT, np.int64), np.zeros((BITS - EXACT, ROWS, WIDTH), np.int64)
+            own, had = self.codes, self.counts
+            self.codes, self.counts = own[:0], had[:0]
+            self._counted(own, had)
         for level in range(BITS, EXACT, -1):
             for row in range(ROWS):
                 at, sign = self._place(codes, level, row)
@@ -78,15 +92,36 @@ class Dyadic:
             starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
             codes, counts = codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
         self.exact += np.bincount(codes.astype(np.int64), counts, 1 << EXACT).astype(np.int64)
+
+    def _add(self, codes: np.ndarray, counts: np.ndarray) -> Dyadic:
+        if self.rows is None:
+            self.codes, self.counts = self._united(np.concatenate([self.codes, codes]), np.concatenate([self.counts, counts]))
+            if len(self.codes) > SPARSE:
+                own, had = self.codes, self.counts
+                self.codes, self.counts = own[:0], had[:0]
+                self._counted(own, had)
+        else:
+            self._counted(codes, counts)
         return self
 
+    def add(self, values: np.ndarray, weight: int = 1) -> Dyadic:
+        codes, counts = np.unique(encode(values), return_counts=True)
+        return self._add(codes, counts * weight)
+
     def merge(self, other: Dyadic, weight: int = 1) -> Dyadic:
+        if other.rows is None:
+            return self._add(other.codes, weight * other.counts)
+        if self.rows is None:
+            self._counted(self.codes[:0], self.counts[:0])
         self.exact += weight * other.exact
         self.rows += weight * other.rows
         return self
 
     def count(self, level: int, node: int) -> int:
         """About how many values have the prefix `node` of `level` bits."""
+        if self.rows is None:
+            a, z = np.searchsorted(self.codes, np.array([node, node + 1], np.uint64) << np.uint64(BITS - level))
+            return int(self.counts[a:z].sum())
         if level <= EXACT:
             width = 1 << (EXACT - level)
             return int(self.exact[node * width : (node + 1) * width].sum())
@@ -110,12 +145,17 @@ class Dyadic:
         return decode(node)
 
     def pack(self) -> bytes:
-        return zlib.compress(self.exact.tobytes() + self.rows.tobytes(), 1)
+        parts = (self.codes, self.counts) if self.rows is None else (self.exact, self.rows)
+        return (b"c" if self.rows is None else b"s") + zlib.compress(b"".join(p.tobytes() for p in parts), 1)
 
     @staticmethod
     def unpack(data: bytes) -> Dyadic:
-        flat = np.frombuffer(zlib.decompress(data), np.int64)
-        return Dyadic(flat[: 1 << EXACT].copy(), flat[1 << EXACT :].reshape(BITS - EXACT, ROWS, WIDTH).copy())
+        out, flat = Dyadic(), np.frombuffer(zlib.decompress(data[1:]), np.int64)
+        if data[:1] == b"c":
+            out.codes, out.counts = flat[: len(flat) // 2].view(np.uint64).copy(), flat[len(flat) // 2 :].copy()
+        else:
+            out.exact, out.rows = flat[: 1 << EXACT].copy(), flat[1 << EXACT :].reshape(BITS - EXACT, ROWS, WIDTH).copy()
+        return out
 
 
 def finite(values: Column | str) -> Column:
@@ -130,79 +170,71 @@ def median(values: Column | str) -> Column:
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
-def _merged(keys: list[str], schema: T.StructType):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = pdf["sketch"]
-        out = Dyadic.unpack(first)
-        for s in rest:
-            out.merge(Dyadic.unpack(s))
-        return pd.DataFrame([[*pdf.iloc[0][keys], out.n, out.pack()]], columns=schema.names).astype({"n": "int64"})
+def _by_group(keys: int, fold, out) -> object:
+    """A function over batches sorted by their first columns: fold(state, batch, row) for the rows of a group, one group's
+    state being held at a time, and out(state, key values, their types) for each group."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, kinds = None, None, []
+        for batch in it:
+            kinds = [c.type for c in batch.columns[:keys]]
+            for i, key in enumerate(zip(*[c.to_pylist() for c in batch.columns[:keys]])):
+                if key != own:
+                    if own is not None:
+                        yield out(state, own, kinds)
+                    own, state = key, None
+                state = fold(state, batch, i)
+        if own is not None:
+            yield out(state, own, kinds)
 
-    return merge
+    return run
+
+
+def _packed(names: list[str]):
+    def out(sketch: Dyadic, key: tuple, kinds: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array([x], k) for x, k in zip(key, kinds)], pa.array([abs(sketch.n)], pa.int64()), pa.array([sketch.pack()], pa.binary())], names=names)
+
+    return out
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One sketch a group, (keys, n, sketch), of the sketches of separate partitions or days, by addition."""
+    """One sketch a group, (keys, n, sketch), of the sketches of separate partitions or days, by addition: a task reads those
+    of a group as a stream and holds their sum."""
     schema = T.StructType([*[parts.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    return parts.groupBy(*keys).applyInPandas(_merged(keys, schema), schema)
+    fold = lambda s, batch, i: (s or Dyadic()).merge(Dyadic.unpack(batch.column(len(keys))[i].as_py()))
+    rows = parts.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_by_group(len(keys), fold, _packed(schema.names)), schema)
 
 
 def sketches(batches: DataFrame, keys: list[str], values: str, weight: int = 1, batch: str | None = None) -> DataFrame:
     """(keys, n, sketch) of each group: a sketch of the finite elements of its arrays; weight -1 makes one to delete with.
 
-    Tasks read the arrays of a group as a stream and hold one sketch at a time (3 MB). A group of more than GATHER values
-    is spread over up to SPREAD tasks, by a hash of `batch` (or of the array) so that a task that is run again gets the same
-    rows, and its sketches are added in two steps. Rows with a null key, a null array or no
-    finite element are left out; an empty table gives none.
+    A group gets one task for each TASK of its values, by a hash of `batch` (or of the array), so that a task that is run
+    again gets the same rows; a task reads its arrays as a stream and holds one sketch (3 MB at most), and the sketches of a group
+    are added. Rows with a null key, a null array or no finite element are left out; an empty table gives none.
     """
     at = uniform(F.col(batch) if batch else F.col(values), seed=11)
     kept = batches.select(*keys, finite(values).alias("__v"), at.alias("__u")).dropna(subset=keys).filter(F.size("__v") > 0)
-    sizes = kept.groupBy(*keys).agg(F.sum(F.size("__v")).alias("__n"))
-    most = sizes.agg(F.max("__n")).collect()[0][0] or 0
-    kept = kept if most > GATHER else kept.drop("__u")
-    schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("__salt", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
-
-    def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, size, sketch = None, [], 0, Dyadic()
-
-        def out(key: tuple) -> pa.RecordBatch:
-            flush()
-            cols = [pa.array([x], kind) for x, kind in zip(key, kinds)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([abs(sketch.n)], pa.int64()), pa.array([sketch.pack()], pa.binary())], names=schema.names)
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                sketch.add(np.concatenate(held), weight)
-            held, size = [], 0
-
-        kinds: list[pa.DataType] = []
-        for batch in it:
-            kinds = [c.type for c in batch.columns[:-1]]
-            lists = batch.column(len(kinds))
-            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for i, key in enumerate(zip(*[c.to_pylist() for c in batch.columns[:-1]])):
-                if key != own:
-                    if own is not None:
-                        yield out(own)
-                    own, sketch = key, Dyadic()
-                held.append(flat[ends[i] : ends[i + 1]].copy())
-                size += len(held[-1])
-                if size >= GATHER:
-                    flush()
-        if own is not None:
-            yield out(own)
+    sizes = kept.groupBy(*keys).agg(F.ceil(F.sum(F.size("__v")) / TASK).alias("__n"))
+    spread = kept.join(sizes, keys).select(*keys, F.floor(F.col("__u") * F.col("__n")).alias("__salt"), "__v")
+    own = [*keys, "__salt"]
+    schema = T.StructType([*[spread.schema[k] for k in own], T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def fold(state, batch: pa.RecordBatch, i: int):
+        sketch, held, size = state or (Dyadic(), [], 0)
+        lists = batch.column(len(own))
+        a, z = lists.offsets[i].as_py(), lists.offsets[i + 1].as_py()
+        held.append(lists.values.slice(a, z - a).to_numpy(zero_copy_only=False).copy())
+        if size + z - a < GATHER:
+            return sketch, held, size + z - a
+        return sketch.add(np.concatenate(held), weight), [], 0
+
+    def out(state, key: tuple, kinds: list) -> pa.RecordBatch:
+        sketch, held, _ = state
+        return _packed(schema.names)(sketch.add(np.concatenate(held), weight) if held else sketch, key, kinds)
 
-    if most <= GATHER:
-        spread = kept.withColumn("__salt", F.lit(0))
-    else:
-        spread = kept.join(sizes, keys).withColumn("__salt", (F.col("__u") * F.least(F.lit(SPREAD), F.ceil(F.col("__n") / GATHER))).cast("int"))
-    spread = spread.select(*keys, "__salt", "__v").repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt")
-    parts = spread.mapInArrow(stream, schema)
-    if most <= GATHER:
-        return parts.drop("__salt")
-    some = parts.withColumn("__salt", F.col("__salt") % 16)
-    return merged(merged(some, [*keys, "__salt"]).drop("n"), keys)
+    parts = spread.repartition(*own).sortWithinPartitions(*own).mapInArrow(_by_group(len(own), fold, out), schema)
+    return merged(parts, keys)
 
 
 def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, str]) -> DataFrame:
@@ -228,6 +260,13 @@ def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, str]) -> DataF
     return sketched.mapInArrow(invert, schema)
 
 
+def delivered(batches: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
+    """(batch, columns) of the latest delivery of each batch of known id; deliveries of one time are told apart by content."""
+    latest = W.partitionBy(batch).orderBy(F.desc(order), F.xxhash64(*columns))
+    kept = batches.filter(F.col(batch).isNotNull()).select(batch, *columns, order)
+    return kept.withColumn("__rn", F.row_number().over(latest)).filter(F.col("__rn") == 1).select(batch, *columns)
+
+
 def outlying(batches: DataFrame, contexts: DataFrame, batch: str = "batch_id", keys: tuple[str, str] = ("context_id", "name"), values: str = "values", level: str = "nt2_quantile", order: str = "loaded_at") -> DataFrame:
     """Each batch with its median and its group's bounds at 1 - q and q, and on which side of them it lies.
 
@@ -237,8 +276,8 @@ def outlying(batches: DataFrame, contexts: DataFrame, batch: str = "batch_id", k
     """
     context = keys[0]
     q = contexts.select(context, F.col(level).cast("double").alias("__q")).dropna().dropDuplicates([context])
-    clean = batches.filter(F.col(batch).isNotNull()).select(batch, *keys, order, finite(values).alias("__v"))
-    one = clean.withColumn("__rn", F.row_number().over(W.partitionBy(batch).orderBy(F.desc(order)))).filter(F.col("__rn") == 1)
+    clean = batches.select(batch, *keys, order, finite(values).alias("__v"))
+    one = delivered(clean, batch, order, [*keys, "__v"])
     own = staged(one.dropna(subset=list(keys)).filter(F.size("__v") > 0).join(q, context).select(batch, *keys, "__q", "__v", median("__v").alias("median")))
     made = sketches(own, list(keys), "__v", batch=batch).join(q, context)
     bounds = quantiles(made.select(*keys, "sketch", (1 - F.col("__q")).alias("p_low"), F.col("__q").alias("p_high")), list(keys), {"lower": "p_low", "upper": "p_high"})
