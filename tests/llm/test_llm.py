@@ -35,6 +35,13 @@ def test_top_n_against_brute_force(spark):
     assert topn.top_n(d.limit(0), ["g"], "v", "id", 5).count() == 0
 
 
+def test_top_n_counts_a_key_of_many_scores_once(spark):
+    d = spark.createDataFrame([("g", "a", float(v)) for v in range(5, 11)] + [("g", "b", 1.0), ("g", "c", 0.5)], "g string, id string, v double")
+    for buckets in (1, 2, 64):
+        got = topn.top_n(d, ["g"], "v", "id", 3, buckets=buckets).orderBy("rank").collect()
+        assert [(r.id, r.v) for r in got] == [("a", 10.0), ("b", 1.0), ("c", 0.5)]
+
+
 # 3: percentiles
 
 
@@ -56,6 +63,9 @@ def test_sketch_ranks_merging_and_deletion():
     for p in np.array_split(v, 7):
         parts.merge(sketch.Dyadic.unpack(sketch.Dyadic().add(p).pack()))
     assert (parts.rows == one.rows).all() and (parts.exact == one.exact).all()
+    few = sketch.Dyadic().add(v[:1000]).merge(sketch.Dyadic().add(v[500:1000]), -1)
+    assert few.rows is None and few.n == 500 and sketch.Dyadic.unpack(few.pack()).quantile(0.5)[0] <= np.median(v[:500]) + 1e-9
+    assert sketch.Dyadic.unpack(few.pack()).merge(one).n == len(v) + 500
     parts.merge(sketch.Dyadic().add(v[:50_000]), -1)
     for s, left in ((one, np.sort(v)), (parts, np.sort(v[50_000:]))):
         for p in (0.001, 0.05, 0.25, 0.5, 0.9, 0.975, 0.999):
@@ -75,8 +85,9 @@ def test_outlying_batches(spark, monkeypatch):
     rows += [(100, 1, "n", [9.0, None, float("nan"), float("inf"), 9.5], 1), (101, 1, "n", [-9.0] * 4, 1), (101, 1, "n", [-9.0] * 4, 2)]
     rows += [(102, 1, None, [99.0], 1), (103, 1, "n", [], 1), (104, 1, "n", None, 1), (105, 2, "n", [1.0], 1), (106, None, "n", [1.0], 1), (None, 1, "n", [50.0], 1), (107, 1, "one", [3.0], 1)]
     contexts = spark.createDataFrame([(1, 0.95), (2, None)], "context_id long, nt2_quantile double")
-    for spread in (10**6, 500):  # a group in one task, and spread over several
-        monkeypatch.setattr(sketch, "GATHER", spread)
+    for task, sparse in ((10**6, 10**6), (500, 10**6), (500, 100)):  # a group in one task, spread over several, and by counters
+        monkeypatch.setattr(sketch, "TASK", task)
+        monkeypatch.setattr(sketch, "SPARSE", sparse)
         got = {r.batch_id: (r.side, r.median) for r in sketch.outlying(batches(spark, rows).withColumn("n", F.lit(0)), contexts).collect()}
         assert {k: v for k, v in got.items() if v[0]} == {100: ("above", 9.25), 101: ("below", -9.0)}
         assert set(got) == {*range(40), 100, 101, 107}
@@ -86,12 +97,21 @@ def test_outlying_batches(spark, monkeypatch):
 # 4: shares
 
 
-def test_raking_reaches_margins():
+def test_raking_moves_observed_counts_to_margins():
+    """Counts far from the targets are moved to them, and where a cell is short, its source, semester and year keep theirs."""
+    have = np.array([100, 900, 500, 500])
+    target, margins = np.array([0.4, 0.1, 0.3, 0.2]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    share, gap = raking.rake(have, target, margins)
+    assert gap < 1e-9 and np.allclose(share, target)
+    short, gap = raking.rake(have, target, margins, size=500)  # the first cell has 100 rows, half of what it should give
+    assert share.sum() == pytest.approx(1) and short[0] <= 0.2 and gap < 0.005
+    assert np.bincount(margins[0], short) == pytest.approx([0.5, 0.5], abs=0.005) and np.bincount(margins[1], short) == pytest.approx([0.7, 0.3], abs=0.005)
+
+
+def test_raking_without_rows():
     have = np.array([10, 0, 5, 7])
     share, gap = raking.rake(have, np.array([0.4, 0.1, 0.3, 0.2]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])])
     assert share[1] == 0 and abs(share.sum() - 1) < 1e-9 and gap < 0.15
-    full, gap = raking.rake(np.array([1, 1, 1, 1]), np.array([0.4, 0.1, 0.3, 0.2]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])])
-    assert gap < 1e-9
     assert raking.rake(np.zeros(2, int), np.array([0.5, 0.5]), [np.array([0, 1])])[1] == 0.5
 
 
@@ -112,7 +132,8 @@ def test_sample_meets_shares_and_reports(spark):
     assert sum(drawn.values()) == size and got.select("occ_id").distinct().count() == size
     assert drawn["B", "2021-Winter"] >= 2
     for k, r in rep.items():
-        assert r.rows == drawn[k]
+        assert r.rows == drawn[k] and r.repaired == min(r.available, max(r.drawn, r.needed)) and r.gap == r.needed - min(r.repaired, r.needed)
+    assert sum(r.drawn for r in rep.values()) == size
     assert abs(drawn["A", "2020-Winter"] / size - 0.5) < 0.05
     empty, report = raking.sample(p.limit(0), t)
     assert empty.count() == 0 and report.filter("unmet").count() == 4
@@ -167,6 +188,24 @@ def test_take_stays_in_the_quota(spark):
     assert sum(r.g == "small" for r in got) == 1000
 
 
+def test_take_passes_over_what_does_not_fit(spark):
+    """A row larger than what is left doesn't keep those behind it out."""
+    rows = [(0, "g", 0.0, 5000)] + [(i, "g", i / 1000, 10) for i in range(1, 899)] + [(2000, "h", 0.1, 700), (2001, "h", 0.2, 400), (2002, "h", 0.3, 250), (2003, "h", 0.4, 60)]
+    d = spark.createDataFrame(rows, "id long, g string, k double, w long")
+    q = spark.createDataFrame([("g", 3000), ("h", 1000), ("none", 5)], "g string, q long")
+    got = quota.take(d, q, ["g"], "k", ["id"], F.col("w"), "q", rounds=8, slack=0.0).collect()
+    assert sorted(r.id for r in got if r.g == "g") == list(range(1, 301))
+    assert sorted(r.id for r in got if r.g == "h") == [2000, 2002]
+    assert quota.take(d.limit(0), q, ["g"], "k", ["id"], F.col("w"), "q", rounds=8).count() == 0
+
+
+def test_smallest(spark):
+    d = spark.range(20_000).select("id", ((F.col("id") * 7919 % 20_011) / 20_011).alias("k"))
+    want = sorted((r.k, r.id) for r in d.collect())[:5000]
+    assert sorted(r.id for r in quota.smallest(d, 5000, "k", ["id"]).collect()) == sorted(i for _, i in want)
+    assert quota.share_of(d, 0.25, "k", ["id"]).count() == 5000 and quota.share_of(d.limit(0), 0.25, "k", ["id"]).count() == 0
+
+
 # 6: tokens
 
 
@@ -221,26 +260,37 @@ def test_mix(spark):
         assert given == rep[s].given and given <= max(rep[s].wanted, 0)
     assert rep["BIG"].given > 0.97 * rep["BIG"].wanted
     assert rep["small"].given == 2 * t["small"] and rep["small"].missing == rep["small"].wanted - rep["small"].given
+    # one document longer than all that is wanted of its source doesn't keep the others out
+    long = docs.unionByName(spark.createDataFrame([(5000 + i, word * 3000, "other", "x") for i in range(2)] + [(6000 + i, word, "other", "x") for i in range(3000)], docs.schema))
+    more = spark.createDataFrame([("BIG", 9000, 9), ("other", 1000, 1)], "source string, target_per_10k int, max_repeats int")
+    for seed in range(3):
+        got = {r.source: r for r in mixing.mix(long, more, seed=seed)[1].collect()}["other"]
+        assert not got.short and got.given > 0.99 * got.wanted
     sample, report = mixing.mix(docs.limit(0), targets)
     assert sample.count() == 0 and report.filter("short").count() == 0
 
 
-# 8: subjects
+def test_inclusion_sums_to_the_tokens_wanted(spark):
+    r = random.Random(3)
+    for part in (500, 20_000, 90_000):
+        sizes = [int(r.lognormvariate(4, 1.2)) + 1 for _ in range(1000)]
+        rows = spark.createDataFrame([("s", n, part) for n in sizes], "source string, n_tokens long, part long")
+        c = mixing.inclusion(rows).first()[1]
+        assert sum(min(1.0, c / n**0.5) * n for n in sizes) == pytest.approx(min(part, sum(sizes)), rel=0.03)
 
 
-def test_sentences_and_terms():
-    assert subjects.sentences("One. Two!\r\n\r\nFrage 3: x? And so on") == ["One", "Two", "Frage 3: x", "And so on"]
-    assert subjects.sentences("¿La muestra? Eso es otro asunto.") == ["¿La muestra Eso es otro asunto"]
-    assert ">guard rail" not in subjects.terms("It's the den that counts here, not the guard rail") and ">guard >rail" in subjects.terms("It's the den that counts here, not the guard rail")
+# 8: subjects
 
 
-def test_lookup_finds_the_terms():
-    texts = ["It's the den that counts here, not the guard rail. The den; the den!", "Quant à le dépôt, on en parlera ailleurs", "x", ""]
-    vocabulary = {t: i for i, t in enumerate(sorted({t for x in texts for s in subjects.sentences(x) for t in subjects.terms(s)})) if i % 3}
-    for x in texts:
-        ids, ends = subjects.Lookup(vocabulary).text(x)
-        want = [sorted({vocabulary[t] for t in subjects.terms(s) if t in vocabulary}) for s in subjects.sentences(x)]
-        assert [ids[a:b] for a, b in zip([0, *ends], ends)] == [w for w in want if w]
+def test_hashed_words_pairs_and_sentences():
+    texts = ["One two, three. Two!\r\n\r\nSee 3: x? And so on", None, "", " \n", "two", "O’Neill's — dos"]
+    words, ends, word_ends, sentence_ends = subjects.hashed(texts, 15)
+    assert list(np.diff(word_ends, prepend=0)) == [9, 0, 0, 0, 1, 2] and list(np.diff(sentence_ends, prepend=0)) == [4, 0, 0, 0, 1, 1]
+    assert list(ends[:4]) == [3, 4, 6, 9] and list(ends[4:]) == [1, 2]
+    term, pair = subjects._terms(words)
+    assert term[1] == term[3] == term[9] and len(set(term[[0, 1, 2]])) == 3  # "two" wherever it stands
+    none = pair == 1 << 15
+    assert list(none[:9]) == [True, False, True, True, True, True, True, False, False]  # none across a comma or an end
 
 
 def made(n, seed):
