@@ -25,6 +25,8 @@ _UNSEEN = re.compile("[​﻿‌‍⁠­\x1e]")
 _SENTENCE_END, _BREAK, _TEXT_END = -1, -2, -3
 #: Words whose hash a worker remembers; characters of text and words that are worked on at a time.
 REMEMBERED, CHARS, WORDS = 500_000, 4_000_000, 200_000
+#: Numbers of terms' rows that are held at a time while they are summed.
+CELLS = 2_000_000
 #: Terms of a piece of the decomposition's sums, and how many tasks' pieces are added at a time.
 PIECE, FAN_IN = 2048, 16
 
@@ -110,8 +112,15 @@ def _terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(words: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The sum of the table's rows of both terms of each word, for runs of words that begin at starts (none being empty)."""
-    a, b = _terms(words)
-    return np.add.reduceat(table[a] + table[b], starts, axis=0)
+    out = np.zeros((len(starts), *table.shape[1:]), table.dtype)
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
+    step = max(1, CELLS // max(1, int(np.prod(table.shape[1:]))))  # words whose rows are held at a time
+    for i in range(0, len(words), step):
+        a, b = _terms(words[i : i + step])
+        own = of[i : i + step]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] += np.add.reduceat(table[a] + table[b], first, axis=0)
+    return out
 
 
 def _padded(table: np.ndarray) -> np.ndarray:
@@ -359,7 +368,7 @@ def fit(told: DataFrame, subjects: DataFrame, labels: DataFrame, key: str, s: Se
     rare = np.maximum(np.log((seen.sum() + 1) / (seen + 1)) - 3, 0.1)
     weights = (rare * np.sqrt(relevance(words, np.repeat(np.arange(len(kept)), lengths), y, size) + 0.01)).astype(np.float32)
     model = Model(names, weights, decomposed(told, weights, s), np.zeros((1, len(names)), np.float32), np.zeros(len(names)), s)
-    x = np.concatenate([model.embedded(words[starts[a] : (starts[a + WORDS] if a + WORDS < len(starts) else len(words))], starts[a : a + WORDS] - starts[a]) for a in range(0, len(starts), WORDS)])
+    x = model.embedded(words, starts)
     # seeds: a subject's description and the documents of that subject alone, against the mean of all
     alone = (y / np.maximum(y.sum(1, keepdims=True), 1)) ** 2
     of = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(x))))
