@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrane.functions import quota
 from terrane.functions.hashing import uniform
@@ -79,15 +78,14 @@ def minima(least: np.ndarray, per: np.ndarray, have: np.ndarray, size: int) -> n
     return np.minimum(least, have)
 
 
-def counted(points: DataFrame, targets: DataFrame, key: str, year: str) -> DataFrame:
-    """(key, source, semester as spelled in targets) of each point that counts, one row a key, written once."""
-    t = targets.select("source", "semester", folded("source").alias("__s"), folded("semester").alias("__p"))
+def counted(points: DataFrame, cells: DataFrame, key: str, year: str, seed: int = 1) -> DataFrame:
+    """(key, __cell, __u) of each point that counts, one row a key, written once: its cell's number and a random number.
+
+    cells: (__cell, source, semester); a key that is in several counts in the first of them."""
+    t = cells.select("__cell", folded("source").alias("__s"), folded("semester").alias("__p"))
     p = points.filter(F.col(key).isNotNull()).select(key, folded("source").alias("__s"), folded("semester").alias("__p"), F.col(year).cast("int").alias("__y"))
     own = F.regexp_extract("__p", r"^([0-9]{4})", 1).try_cast("int") == F.col("__y")
-    return staged(p.filter(own).join(t, ["__s", "__p"]).select(key, "source", "semester").groupBy(key).agg(F.min(F.struct("source", "semester")).alias("c")).select(key, "c.source", "c.semester"))
-
-
-_CELL = ["source", "semester"]
+    return staged(p.filter(own).join(t, ["__s", "__p"]).groupBy(key).agg(F.min("__cell").alias("__cell")).withColumn("__u", uniform(key, seed=seed)))
 
 
 def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str = "year-int", divisor: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -115,19 +113,21 @@ def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str
     points of any number are ranked only in the cut where the rows end.
     """
     spark = points.sparkSession
-    own = counted(points, targets, key, year)
-    cells = targets.select(*_CELL, "target_per_10k", "min_rows").dropDuplicates(_CELL)
-
-    def by_cell(rows: DataFrame) -> dict[tuple, int]:
-        """At most as many rows as targets."""
-        return {(r.source, r.semester): r.n for r in rows.groupBy(*_CELL).agg(F.count("*").alias("n")).collect()}
-
-    told = cells.limit(MAX_CELLS + 1).collect()
+    told = targets.select("source", "semester", "target_per_10k", "min_rows").dropDuplicates(["source", "semester"]).limit(MAX_CELLS + 1).collect()
     if len(told) > MAX_CELLS:
         raise ValueError(f"targets have more than {MAX_CELLS} rows")
     told = sorted(told, key=lambda r: (str(r.source), str(r.semester)))
-    column = lambda n: np.array([n.get((r.source, r.semester), 0) for r in told], np.int64)
-    have = column(by_cell(own))
+    cells = spark.createDataFrame([(i, r.source, r.semester) for i, r in enumerate(told)], "__cell int, source string, semester string")
+    own = counted(points, cells, key, year, seed)
+
+    def by_cell(rows: DataFrame) -> np.ndarray:
+        """At most as many rows as targets."""
+        out = np.zeros(len(told), np.int64)
+        for r in rows.groupBy("__cell").agg(F.count("*").alias("n")).collect():
+            out[r[0]] = r.n
+        return out
+
+    have = by_cell(own)
     per = np.array([r.target_per_10k or 0 for r in told], np.int64)
     size = int(have.sum()) // divisor
     least = np.array([r.min_rows or 0 for r in told], np.int64)
@@ -139,28 +139,29 @@ def sample(points: DataFrame, targets: DataFrame, key: str = "occ_id", year: str
     share = rake(have, target, margins, size=size, least=floor)[0] if size else np.zeros(len(told))
     raked = whole(share, have, floor, size) if size else np.minimum(floor, have)
 
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("semester", T.StringType()), T.StructField("weight", T.DoubleType())])
     weight = np.clip(np.divide(share * size, have, out=np.zeros(len(told)), where=have > 0), 0.0, 1.0)
-    weights = spark.createDataFrame([(r.source, r.semester, float(w)) for r, w in zip(told, weight)], schema)
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weight)], "__cell int, weight double")
     # a point of weight w has an exponential key of at most 1 with probability w: its rate is -ln(1 - w)
-    rate = -F.ln(F.greatest(F.lit(1e-12), 1 - F.col("weight")))
-    keyed = own.join(weights, _CELL).withColumn("__key", -F.ln(uniform(key, seed=seed)) / F.greatest(rate, F.lit(1e-12)))
-    keyed = keyed.withColumn("__order", F.col("__key") / (F.col("__key") + 1)).drop("__key")
+    rate = F.greatest(-F.ln(F.greatest(F.lit(1e-12), 1 - F.col("weight"))), F.lit(1e-12))
+    keyed = own.join(weights, "__cell").withColumn("__order", -F.ln("__u") / (rate - F.ln("__u")))  # key / (key + 1)
 
-    def of_each(rows: np.ndarray) -> DataFrame:
+    def of_each(rows: DataFrame, n: np.ndarray) -> DataFrame:
         """The rows of smallest key of each cell, so many."""
-        quotas = spark.createDataFrame([(r.source, r.semester, int(n)) for r, n in zip(told, rows)], "source string, semester string, __n bigint")
-        return quota.take(keyed, quotas, _CELL, "__order", [key], F.lit(1), "__n")
-
-    drawn = column(by_cell(quota.smallest(keyed.filter("weight > 0"), size, "__order", [key]))) if size else np.zeros(len(told), np.int64)
-    lifted = column(by_cell(of_each(np.maximum(drawn, need)))) if size else np.zeros(len(told), np.int64)
-    gap = need - np.minimum(lifted, need)
-    chosen = staged(of_each(raked).select(key, *_CELL, "weight"))
-    rows = column(by_cell(chosen))
+        quotas = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "__cell int, __n bigint")
+        return quota.take(rows, quotas, ["__cell"], "__order", [key], F.lit(1), "__n")
+
+    none = np.zeros(len(told), np.int64)
+    drawn = by_cell(quota.smallest(keyed.filter("weight > 0"), size, "__order", [key])) if size else none
+    # what the lifting and the margins ask of each cell; about as many rows as the sample has
+    lifted = staged(of_each(keyed, np.maximum(np.maximum(drawn, need), raked)).select(key, "__cell", "weight", "__order"))
+    repaired = np.minimum(by_cell(lifted), np.maximum(drawn, need)) if size else none
+    gap = need - np.minimum(repaired, need)
+    chosen = staged(of_each(lifted, raked).join(cells, "__cell").select(key, "source", "semester", "weight", "__cell"))
+    rows = by_cell(chosen)
     reached = rows / max(int(rows.sum()), 1)
     worst = max((float(np.abs(np.bincount(m, reached) - np.bincount(m, target)).max()) for m in margins), default=0.0)
     report = spark.createDataFrame(
-        [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(x), int(g), bool(g > 0), float(worst)) for r, p, n, h, d, k, x, g in zip(told, per, need, have, drawn, lifted, rows, gap)],
+        [(r.source, r.semester, int(p), int(n), int(h), int(d), int(k), int(x), int(g), bool(g > 0), float(worst)) for r, p, n, h, d, k, x, g in zip(told, per, need, have, drawn, repaired, rows, gap)],
         "source string, semester string, target_per_10k bigint, needed bigint, available bigint, drawn bigint, repaired bigint, rows bigint, gap bigint, unmet boolean, margin_gap double",
     )
-    return chosen, report
+    return chosen.drop("__cell"), report
