@@ -54,30 +54,34 @@ def _named(checks: tuple[Checked, ...]) -> Column:
     return F.array(*[F.struct(F.lit(c.place).alias("place"), F.trim(F.col("fields")[c.place]).alias("value")) for c in checks])
 
 
-def invalid_values(split: DataFrame, checks: tuple[Checked, ...]) -> DataFrame:
-    """The dictionary (place, value, why) of the unsound values, each distinct value of a column being cast once."""
-    distinct = split.filter(F.col("reason").isNull()).select(F.inline(_named(checks))).distinct()
+def invalid_values(values: DataFrame, checks: tuple[Checked, ...]) -> DataFrame:
+    """The dictionary (place, value, why) of the unsound ones of (place, value), each distinct value of a column being cast once.
+
+    `why` hangs on the count of a value, which is only there once equal values have met, so that it can't be computed for
+    each row before."""
+    distinct = values.groupBy("place", "value").agg(F.count("*").alias("n"))
     why = F.lit(None).cast("string")
     for c in checks:
         number = F.col("value").try_cast(c.kind)
         own = F.when(F.col("value") == "", "empty").when(~F.col("value").rlike(c.pattern), "form").when(number.isNull() | ~((number >= c.lower) & (number < c.upper)), "range")
         why = F.when(F.col("place") == c.place, own).otherwise(why)
-    return distinct.withColumn("why", why).filter(F.col("why").isNotNull())
+    return distinct.withColumn("why", F.when(F.col("n") > 0, why)).filter(F.col("why").isNotNull()).drop("n")
 
 
 def rejected(lines: DataFrame, keys: tuple[str, ...] = ("file_name", "line_no"), columns: int = len(PRESENCE_COLUMNS), checks: tuple[Checked, ...] = PRESENCE_CHECKS) -> DataFrame:
     """One row (keys, reason, detail) for each line that fails; reason is quoting, columns or value, the first that holds.
 
-    detail names the unsound columns and why (for reason value). The dictionary of invalid values is written once and
-    joined back; the planner sees its size, so it is broadcast only below the session's threshold and shuffled, with
-    skewed values split, above it. Repeated identical keys give one row. An empty table gives no rows.
+    detail names the unsound columns and why (for reason value). Lines are split once; what is checked of them is written,
+    and so is the dictionary of invalid values that is joined back; the planner sees its size, so it is broadcast only
+    below the session's threshold and shuffled, with skewed values split, above it. Repeated identical keys give one row.
+    An empty table gives no rows.
     """
     split = split_lines(lines.select(*keys, "raw_line"), columns)
-    bad = staged(invalid_values(split, checks))
     # a line of unsound structure goes on as a single value of no column
     broken = F.array(F.struct(F.lit(-1).alias("place"), F.col("reason").alias("value")))
-    values = split.select(*keys, F.inline(F.when(F.col("reason").isNotNull(), broken).otherwise(_named(checks))))
-    failed = values.join(bad, ["place", "value"], "left").filter((F.col("place") < 0) | F.col("why").isNotNull())
+    told = staged(split.select(*keys, F.when(F.col("reason").isNotNull(), broken).otherwise(_named(checks)).alias("told"))).select(*keys, F.inline("told"))
+    bad = staged(invalid_values(told.filter("place >= 0").select("place", "value"), checks))
+    failed = told.join(bad, ["place", "value"], "left").filter((F.col("place") < 0) | F.col("why").isNotNull())
     names = F.element_at(F.create_map(*[F.lit(x) for c in checks for x in (c.place, c.name)]), F.when(F.col("place") >= 0, F.col("place")))
     # structure and values never both fail, as the values of a broken line aren't read
     reason = F.coalesce(F.max(F.when(F.col("place") < 0, F.col("value"))), F.lit("value"))
@@ -87,8 +91,8 @@ def rejected(lines: DataFrame, keys: tuple[str, ...] = ("file_name", "line_no"),
 
 def loaded(lines: DataFrame, keys: tuple[str, ...] = ("file_name", "line_no"), columns: tuple[str, ...] = PRESENCE_COLUMNS, checks: tuple[Checked, ...] = PRESENCE_CHECKS) -> DataFrame:
     """The sound lines with one column for each field; checked columns are typed, others stay strings (empty ones null)."""
-    split = split_lines(lines.select(*keys, "raw_line"), len(columns)).filter(F.col("reason").isNull())
-    bad = staged(invalid_values(split, checks))
+    split = staged(split_lines(lines.select(*keys, "raw_line"), len(columns)).filter(F.col("reason").isNull()).select(*keys, "fields"))
+    bad = staged(invalid_values(split.select(F.inline(_named(checks))), checks))
     flagged = split
     for c in checks:
         own = bad.filter(F.col("place") == c.place).select(F.col("value").alias(f"__v{c.place}"))
