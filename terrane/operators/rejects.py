@@ -43,7 +43,9 @@ def split_lines(lines: DataFrame, columns: int, line: str = "raw_line", line_no:
     """
     body = F.regexp_replace(F.col(line), r"\r+\z", "")
     records = lines.filter(~F.col(line_no).eqNullSafe(1) & F.col(line).rlike(r"[^ \t\r]")).withColumn("__body", body)
-    quoted = records.withColumn("__raw", F.when(F.col("__body").rlike(_RECORD), F.regexp_extract_all(F.concat(F.lit(","), "__body"), F.lit(f",({_FIELD})"), F.lit(1))))
+    # without a quote a record is sound and its fields lie between commas
+    plain = F.when(~F.contains("__body", F.lit('"')), F.split("__body", ",", -1))
+    quoted = records.withColumn("__raw", plain.when(F.col("__body").rlike(_RECORD), F.regexp_extract_all(F.concat(F.lit(","), "__body"), F.lit(f",({_FIELD})"), F.lit(1))))
     unquote = lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
     reason = F.when(F.col("__raw").isNull(), "quoting").when(F.size("__raw") != columns, "columns")
     return quoted.withColumn("reason", reason).withColumn("fields", F.when(F.col("reason").isNull(), F.transform("__raw", unquote))).drop("__body", "__raw")
