@@ -39,8 +39,33 @@ def test_regions(spark):
     p = spark.createDataFrame(pts + [(999, None, 1.0), (998, math.nan, 1.0)], "id long, x double, y double")
     got = {x.id for x in proximity.in_regions(p, "x", "y", regions, "region", "ring", 3.0).collect()}
     assert got == {i for i, x, y in pts if inside(x, y)}
+    # cells far smaller than the region, which then takes larger ones, beside a small region that keeps them
+    both = regions.unionByName(spark.createDataFrame([("small", [{"x": 1.0, "y": 1.0}, {"x": 1.5, "y": 1.0}, {"x": 1.5, "y": 1.5}, {"x": 1.0, "y": 1.5}])], regions.schema))
+    got = {(x.id, x.region) for x in proximity.in_regions(p, "x", "y", both, "region", "ring", 0.01).collect()}
+    assert got == {(i, "m") for i, x, y in pts if inside(x, y)} | {(i, "small") for i, x, y in pts if 1 <= x < 1.5 and 1 <= y < 1.5}
+    assert proximity.in_regions(p, "x", "y", regions.limit(0), "region", "ring", 1.0).columns == ["id", "x", "y", "region"]
 
 
 def test_great_circle(spark):
     d = spark.range(1).select(proximity.great_circle(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0)).alias("d")).first().d
     assert abs(d - math.pi / 2 * proximity.EARTH_M) < 1e-3
+
+
+def test_pairs_on_earth_match_brute_force(spark):
+    r = random.Random(9)
+    rows = [(r.uniform(178, 180) * r.choice([-1, 1]), r.uniform(-1, 1)) for _ in range(150)]  # about the date line
+    rows += [(r.uniform(-180, 180), r.choice([-1, 1]) * r.uniform(88.5, 90)) for _ in range(200)]  # about the poles
+    rows += [(r.uniform(2, 4), r.uniform(44, 46)) for _ in range(150)]
+    rows = [(i, x, y, r.choice("ab")) for i, (x, y) in enumerate(rows)] + [(9000, 10.0, 10.0, "a"), (9001, 10.0, 10.0, "b"), (9002, None, 1.0, "a")]
+
+    def metres(a, b):
+        x1, y1, x2, y2 = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+        return 2 * proximity.EARTH_M * math.asin(min(1, math.sqrt(h)))
+
+    p = spark.createDataFrame(rows, "id long, lon double, lat double, src string")
+    known = [t for t in rows if None not in t]
+    for radius in (20_000.0, 60_000.0):
+        got = [tuple(t) for t in proximity.near_pairs(p, "id", "lon", "lat", "src", radius, degrees=True).collect()]
+        want = {(b[0], a[0]) for i, a in enumerate(known) for b in known[:i] if a[3] != b[3] and metres(a, b) <= radius}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
