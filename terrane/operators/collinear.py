@@ -11,18 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def product_sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+def product_sums(df: DataFrame, columns: Sequence[str], about: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, sums, products) over rows in which all columns are known and finite: one pass, whatever the number of columns.
+    about: numbers taken off the columns first (their means, for centred sums).
 
     Each task gives one matrix of columns by columns; only their sums (bounded by the columns) reach the driver.
     """
     k = len(columns)
+    shift = np.zeros(k) if about is None else np.asarray(about, float)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = 0, np.zeros(k), np.zeros((k, k))
         for batch in it:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) if len(batch) else np.zeros((0, k))
-            x = x[np.isfinite(x).all(1)]
+            x = x[np.isfinite(x).all(1)] - shift
             n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
         flat = [float(n), *s, *p.ravel()]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat, pa.float64())], names=["i", "v"])

@@ -129,9 +129,12 @@ def information(df: DataFrame, k: int) -> DataFrame:
 
 
 def omission_at_10(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(or10): share of the test presences below the 10th percentile of the train presences' scores."""
-    cut = scored(train).filter("y = 1").agg(F.percentile("s", 0.1).alias("cut"))
-    return scored(test).filter("y = 1").join(F.broadcast(cut)).agg(F.avg(F.when(F.col("s") < F.col("cut"), 1.0).otherwise(0.0)).alias("or10"))
+    """(or10): share of the test presences below the 10th percentile of the train presences' scores; null without either."""
+    from terrane.operators.stats import exact_percentiles
+
+    cut = exact_percentiles(scored(train).filter("y = 1"), {"s": ("s", 0.1)})["s"]
+    below = F.when(F.col("s") < F.lit(cut), 1.0).otherwise(0.0) if cut is not None else F.lit(None).cast("double")
+    return scored(test).filter("y = 1").agg(F.avg(below).alias("or10"))
 
 
 def topsis(auc: Column, proc: Column, sedi: Column, cbi: Column, or10: Column, auc_diff: Column, aicc: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.operators.metrics import roc_auc
+from terrane.operators.stats import exact_percentiles
 
 
 def stacked(presence: DataFrame, background: DataFrame) -> DataFrame:
@@ -103,8 +104,8 @@ def permutation_importance(df: DataFrame, columns: Sequence[str], key: str, scor
 def response_grid(df: DataFrame, columns: Sequence[str], steps: int = 50) -> DataFrame:
     """(variable, step, columns...): each column from its smallest to its largest value in steps, the others at their
     medians."""
-    aggs = [f.alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min(c)), ("hi", F.max(c)), ("med", F.percentile(c, 0.5)))]
-    row = df.agg(*aggs)
+    medians = exact_percentiles(df, {c: (c, 0.5) for c in columns})
+    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).withColumns({f"med_{c}": F.lit(medians[c]).cast("double") for c in columns})
     grid = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")).select("*", F.explode(F.array(*[F.lit(c) for c in columns])).alias("variable"))
     at = lambda c: F.when(F.col("variable") == c, F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * F.col("step") / (steps - 1)).otherwise(F.col(f"med_{c}"))
     return grid.select("variable", "step", *[at(c).alias(c) for c in columns])

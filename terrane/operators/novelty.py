@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.operators.collinear import product_sums
+from terrane.operators.stats import exact_percentiles
 
-#: Values a variable's reference may be cut into; the ranks of values between two cuts are counted exactly.
+#: Pieces that a variable's distinct values are cut into; ranks within a piece are counted by one task.
 PIECES = 64
 
 
@@ -21,19 +22,29 @@ def reference(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return l.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).groupBy("variable", "value").agg(F.count("*").alias("n"))
 
 
-def cumulative(ref: DataFrame) -> DataFrame:
-    """Adds upto (reference values <= value), total, low and high of the variable.
+def counted(ref: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (variable, value) with upto (reference values <= value), total, low and high of the variable; each value once.
 
-    Distinct values are cut into PIECES by the span of the variable, and summed within a piece; the pieces' totals are
-    added, so that a variable of any number of distinct values is no single task.
+    The distinct values of both tables are cut at approximate percentiles of their own and summed within a piece; the
+    pieces' totals are added, so a variable of any number of distinct values and any spread is no single task. A variable
+    without a reference gives no row.
     """
     ends = ref.groupBy("variable").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
-    piece = F.when(F.col("high") > F.col("low"), F.least(F.lit(PIECES - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * PIECES))).otherwise(0).cast("int")
-    cut = ref.join(ends, "variable").withColumn("__p", piece)
+    both = ref.select("variable", "value", "n", F.lit(False).alias("__a")).unionByName(asked.select("variable", "value").distinct().withColumns({"n": F.lit(0).cast("bigint"), "__a": F.lit(True)}))
+    cuts = both.groupBy("variable").agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 1000).alias("__cuts"))
+    # a row for each variable, so it is small whatever the tables
+    cut = both.join(F.broadcast(cuts), "variable").withColumn("__p", F.size(F.filter("__cuts", lambda c: c <= F.col("value")))).drop("__cuts")
     sums = cut.groupBy("variable", "__p").agg(F.sum("n").alias("__s"))
     before = sums.select("variable", "__p", F.coalesce(F.sum("__s").over(W.partitionBy("variable").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.sum("n").over(W.partitionBy("variable", "__p").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return cut.withColumn("__o", own).join(before, ["variable", "__p"]).select("variable", "value", (F.col("__o") + F.col("__b")).alias("upto"), "total", "low", "high")
+    # by range, so that equal reference values count wherever they stand
+    own = F.sum("n").over(W.partitionBy("variable", "__p").orderBy("value"))
+    told = cut.withColumn("__o", own).filter("__a").join(before, ["variable", "__p"]).join(F.broadcast(ends), "variable")
+    return told.select("variable", "value", (F.col("__o") + F.col("__b")).alias("upto"), "total", "low", "high")
+
+
+def cumulative(ref: DataFrame) -> DataFrame:
+    """(variable, value, upto, total, low, high) of the reference's own distinct values."""
+    return counted(ref, ref)
 
 
 def similarity(value: Column, upto: Column, total: Column, low: Column, high: Column) -> Column:
@@ -50,34 +61,24 @@ def mess(cells: DataFrame, key: Sequence[str], ref: DataFrame, variables: Sequen
     (to nine decimals); null if the cell
     has no known value.
 
-    Distinct values of the cells are ranked among the reference's distinct values, both in the same pieces of the range, so
-    neither a cell's row nor a variable is ever compared with the whole reference.
+    Distinct values of the cells are ranked among the reference's distinct values (`counted`), so neither a cell's row nor a
+    variable is ever compared with the whole reference. A value that many cells share is looked up once; its rows meet
+    its score in a join whose skewed partitions the engine splits.
     """
     place = {v: i for i, v in enumerate(variables)}
     l = cells.unpivot(list(key), [F.col(v).cast("double").alias(v) for v in variables], "variable", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    marks = cumulative(ref)
-    ends = marks.groupBy("variable").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("total").alias("total"))
-    asked = l.select("variable", "value").distinct().join(ends, "variable")
-    piece = lambda: F.when(F.col("high") > F.col("low"), F.greatest(F.lit(0), F.least(F.lit(PIECES - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * PIECES)))).otherwise(0).cast("int")
-    known = marks.select("variable", "value", "upto", "total", "low", "high").withColumn("__p", piece())
-    tops = known.groupBy("variable", "__p").agg(F.max("upto").alias("__top"))
-    # a piece without marks takes the count of the last one before it
-    w = W.partitionBy("variable").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    grid = ends.select("variable", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("__p"))
-    base = grid.join(tops, ["variable", "__p"], "left").withColumn("__base", F.coalesce(F.max("__top").over(w), F.lit(0))).select("variable", "__p", "__base")
-    both = known.select("variable", "__p", "value", "upto", F.lit(0).alias("__a")).unionByName(asked.withColumn("__p", piece()).select("variable", "__p", "value", F.lit(None).cast("bigint").alias("upto"), F.lit(1).alias("__a")))
-    run = F.max("upto").over(W.partitionBy("variable", "__p").orderBy("value", "__a").rowsBetween(W.unboundedPreceding, 0))
-    ranked = both.withColumn("__r", run).filter("__a = 1").join(base, ["variable", "__p"]).join(ends, "variable")
-    one = ranked.select("variable", "value", similarity(F.col("value"), F.coalesce("__r", "__base"), F.col("total"), F.col("low"), F.col("high")).alias("score"))
+    one = counted(ref, l).select("variable", "value", similarity(F.col("value"), F.col("upto"), F.col("total"), F.col("low"), F.col("high")).alias("score"))
     order = F.element_at(F.create_map(*[F.lit(x) for v, i in place.items() for x in (v, i)]), F.col("variable"))
     worst = l.join(one, ["variable", "value"]).groupBy(*key).agg(F.min(F.struct(F.round("score", 9).alias("r"), order.alias("o"), "variable", "score")).alias("__w"))
     return cells.select(*key).join(worst, list(key), "left").select(*key, F.col("__w.score").alias("mess"), F.col("__w.variable").alias("limiting"))
 
 
 def training(df: DataFrame, variables: Sequence[str], cutoff: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """(means, pseudo-inverse of the covariance) of the rows in which all variables are known, in one pass."""
-    n, s, p = product_sums(df, variables)
+    """(means, pseudo-inverse of the covariance) of the rows in which all variables are known: one pass for the means, one for
+    the products about them, so that no digits are lost where values are far from 0."""
+    n, s, _ = product_sums(df, variables)
     mean = s / max(n, 1)
+    _, s, p = product_sums(df, variables, mean)
     return mean, np.linalg.pinv((p - np.outer(s, s) / max(n, 1)) / max(n - 1, 1), rcond=cutoff)
 
 
@@ -95,7 +96,7 @@ def nt2(cells: DataFrame, train: DataFrame, variables: Sequence[str], quantile:
     """Adds nt2: squared distance over the `quantile` of the training rows' squared distances; null if that isn't positive."""
     mean, inverse = training(train, variables)
     d2 = distance2(variables, mean, inverse)
-    tau = train.dropna(subset=list(variables)).agg(F.percentile(d2, quantile)).first()[0]
+    tau = exact_percentiles(train.dropna(subset=list(variables)), {"d2": (d2, quantile)})["d2"]
     return cells.withColumn("nt2", d2 / F.lit(float(tau)) if tau and tau > 0 else F.lit(None).cast("double"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.functions.running import running_sums
 from terrane.operators.metrics import correlation
 
 
@@ -93,6 +94,57 @@ def distribution(df: DataFrame, by: Sequence[str], value: str, accuracy: int | N
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), *[(F.percentile(v, p) if accuracy is None else F.percentile_approx(v, p, accuracy)).alias(n) for n, p in at.items()], F.max(v).alias("max"), F.avg(v).alias("mean"))
 
 
+def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column | str, float]], most: int = 100_000) -> dict[str, float | None]:
+    """Exact percentiles of whole columns, interpolated linearly, as numbers: name -> (column, share); null without values.
+
+    A bracket about each percentile is taken from an approximate one, what lies below it counted, and the bracket narrowed
+    until it holds at most `most` values, which alone are sorted (on the driver). All columns share each pass; no task holds
+    a column's distinct values.
+    """
+    import numpy as np
+
+    columns = {k: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for k, (c, _) in ((k, (F.col(v[0]).cast("double") if isinstance(v[0], str) else v[0].cast("double"), v[1])) for k, v in wanted.items())}
+    rows = df.select(*[c.alias(k) for k, c in columns.items()])
+    near = 0.002
+    first = rows.agg(*[F.struct(F.count(k), F.min(k), F.max(k), F.percentile_approx(k, [max(0.0, q - near), min(1.0, q + near)], 10_000)).alias(k) for k, (_, q) in wanted.items()]).first()
+    out: dict[str, float | None] = {}
+    open_: dict[str, list] = {}
+    for k, (_, q) in wanted.items():
+        n, low, high, approx = first[k]
+        if n:
+            open_[k] = [q * (n - 1), low, high, *approx]
+        else:
+            out[k] = None
+    while open_:
+        inside = {k: F.col(k).between(b[3], b[4]) for k, b in open_.items()}
+        told = rows.agg(*[F.struct(F.count_if(F.col(k) < open_[k][3]), F.count_if(c), F.percentile_approx(F.when(c, F.col(k)), [i / 64 for i in range(65)], 10_000)).alias(k) for k, c in inside.items()]).first()
+        for k, (rank, low, high, a, z) in list(open_.items()):
+            below, held, cuts = told[k]
+            lo, hi = int(np.floor(rank)), int(np.ceil(rank))
+            if not below <= lo or not hi < below + held:  # the approximate bracket missed it
+                open_[k][3:] = [low, high]
+                if (a, z) == (low, high):
+                    raise ValueError("the table changed while it was read")
+            elif a == z:
+                out[k] = float(a)
+                del open_[k]
+            elif held <= most:
+                got = np.sort(np.array([r[0] for r in rows.filter(inside[k]).select(k).collect()]))
+                out[k] = float(got[lo - below] + (rank - lo) * (got[hi - below] - got[lo - below]))
+                del open_[k]
+            else:
+                i = min(63, int((lo - below) / held * 64))
+                at = [cuts[max(0, i - 1)], cuts[min(64, i + 2)]]
+                if at != [a, z]:
+                    open_[k][3:] = at
+                else:  # a few values are most of the bracket, so it doesn't narrow: rank the distinct ones by their counts
+                    run = running_sums(rows.filter(inside[k]).groupBy(k).agg(F.count("*").alias("__n")), k, ["__n"])
+                    x, y = run.agg(*[F.min(F.when(F.col("run___n") + below > r, F.col(k))) for r in (lo, hi)]).first()
+                    out[k] = float(x + (rank - lo) * (y - x))
+                    del open_[k]
+    return out
+
+
 def share_of_total(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Adds relative: the value over its sum in the group, null if that is 0. The sums are joined, so a large group is not
     brought to one task."""

@@ -38,6 +38,38 @@ def test_student_t():
     assert stats.student_p(0, 5) == pytest.approx(1.0)
 
 
+def test_exact_percentiles(spark):
+    r = __import__("random").Random(5)
+    values = [r.gauss(0, 1) for _ in range(3000)] + [2.5] * 2000 + [1e9] + [0.25] * 1500
+    d = spark.createDataFrame([(v,) for v in values] + [(None,), (math.nan,), (math.inf,)], "v double").repartition(5)
+    ranked = sorted(values)
+
+    def want(q):
+        at = q * (len(ranked) - 1)
+        low = ranked[int(at)]
+        return low + (at - int(at)) * (ranked[min(int(at) + 1, len(ranked) - 1)] - low)
+
+    for most in (100_000, 50):
+        got = stats.exact_percentiles(d, {f"p{i}": ("v", q) for i, q in enumerate((0.0, 0.01, 0.37, 0.5, 0.8, 0.99, 1.0))}, most)
+        assert list(got.values()) == pytest.approx([want(q) for q in (0.0, 0.01, 0.37, 0.5, 0.8, 0.99, 1.0)])
+    assert stats.exact_percentiles(d.limit(0), {"x": ("v", 0.5)}) == {"x": None}
+
+
+def test_sampling_with_and_without_replacement(spark):
+    from terrane.functions.hashing import uniform
+
+    c = spark.createDataFrame([(i, float(i % 4)) for i in range(400)] + [(900, None), (901, math.nan), (902, -1.0)], "k int, w double")
+    got = points.with_replacement(c, F.col("w"), 20_000, ["k"]).collect()
+    assert len(got) == 20_000 and len({r.draw for r in got}) == 20_000 and not {r.k for r in got} & {900, 901, 902}
+    share = {w: sum(r.w == w for r in got) / 20_000 for w in (0.0, 1.0, 2.0, 3.0)}
+    assert share[0.0] == 0 and all(abs(share[w] - w / 6) < 0.02 for w in share)
+    assert points.with_replacement(c.filter("w = 0"), F.col("w"), 10, ["k"]).count() == 0
+    some = points.weighted_without_replacement(c, F.col("w"), uniform("k"), 0.25, ["k"]).collect()
+    assert len(some) == len({r.k for r in some}) == 101 and all(r.w > 0 for r in some) and sum(r.w == 3 for r in some) > sum(r.w == 1 for r in some)
+    placed = points.jittered(spark.createDataFrame([(2, 1)], "row int, col int"), Grid(0.0, 0.0, 10.0, 3, 3), "row", "col").first()
+    assert 10 <= placed.x < 20 and 0 <= placed.y < 10
+
+
 def test_welch_without_spread(spark):
     d = spark.createDataFrame([("v", "a", 1.0), ("v", "a", 1.0), ("v", "b", 1.0), ("v", "b", 1.0), ("w", "a", 1.0), ("w", "b", 2.0), ("z", "a", 1.0)], "g string, s string, v double")
     got = {r.g: r for r in stats.welch(d, ["g"], "s", "a", "b", "v").collect()}
