@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terrane.functions.grid import Grid
+from terrane.session import staged
 
 #: The value that stands for missing in raster files, and names of satellite indices.
 NODATA = -9999.0
@@ -112,6 +118,32 @@ def resampled(cells: DataFrame, factor: float, layers: Sequence[str]) -> DataFra
     return cells.filter((F.col("row") % k == at) & (F.col("col") % k == at)).select(F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col"), *layers)
 
 
+def regridded(cells: DataFrame, source: Grid, target: Grid, layers: Sequence[str]) -> DataFrame:
+    """The layers on another grid of the same coordinates, whatever its origin and cell size: each cell of the target takes
+    the values of the source cell that its centre lies in; centres outside the source have no row.
+
+    Every source cell tells itself which centres lie in it, so nothing is joined and no cell meets another.
+    """
+    # the first and the last target cell whose centre is at or behind the source cell's near edge, and before its far one
+    first = lambda edge: F.ceil(edge / F.lit(target.cell) - 0.5)
+    left, top = F.lit(source.x0 - target.x0) + F.col("col") * source.cell, F.lit(target.top - source.top) + F.col("row") * source.cell
+    span = lambda edge, most: (F.greatest(F.lit(0), first(edge)).cast("bigint"), F.least(F.lit(most - 1), first(edge + source.cell) - 1).cast("bigint"))
+    (r0, r1), (c0, c1) = span(top, target.rows), span(left, target.cols)
+    kept = cells.filter((r0 <= r1) & (c0 <= c1)).select(F.explode(F.sequence(r0, r1)).alias("__r"), c0.alias("__c0"), c1.alias("__c1"), *layers)
+    return kept.select(F.col("__r").alias("row"), F.explode(F.sequence("__c0", "__c1")).alias("col"), *layers)
+
+
+def outline(mask: DataFrame, grid: Grid) -> DataFrame:
+    """(x1, y1, x2, y2) of the sides of the mask's cells that face a cell outside it, each side once: a polygon's edges.
+
+    A side is named by the cell below or right of it; one that two cells of the mask share is counted twice and dropped."""
+    sides = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("row") + i).alias("r"), (F.col("col") + j).alias("c")) for k, i, j in (("top", 0, 0), ("top", 1, 0), ("left", 0, 0), ("left", 0, 1))])
+    once = mask.select("row", "col").distinct().select(F.inline(sides)).groupBy("k", "r", "c").agg(F.count("*").alias("n")).filter("n = 1")
+    x, y = F.lit(grid.x0) + F.col("c") * grid.cell, F.lit(grid.top) - F.col("r") * grid.cell
+    flat = F.col("k") == "top"
+    return once.select(x.alias("x1"), y.alias("y1"), F.when(flat, x + grid.cell).otherwise(x).alias("x2"), F.when(flat, y).otherwise(y - grid.cell).alias("y2"))
+
+
 def tiled_mask(cells: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame:
     """Cells whose place within the tile is in the mask (a mask repeated, not scaled)."""
     tile = mask.select(F.col("row").alias("__r"), F.col("col").alias("__c")).distinct()
@@ -133,13 +165,51 @@ def directional_fill(cells: DataFrame, value: str = "value") -> DataFrame:
     return out
 
 
-def nearest_fill(cells: DataFrame, reach: int, value: str = "value") -> DataFrame:
-    """Missing values take the value of the nearest cell at most `reach` cells away in row and column; of equally near
-    ones that of the smallest row, then column. Only cells next to a gap are copied, each to the gaps in its reach."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-    gaps = cells.filter(F.col(value).isNull()).select(F.col("row").alias("gr"), F.col("col").alias("gc"), F.inline(steps)).select("gr", "gc", (F.col("gr") + F.col("i")).alias("row"), (F.col("gc") + F.col("j")).alias("col"), (F.col("i") * F.col("i") + F.col("j") * F.col("j")).alias("d"))
-    near = gaps.join(cells.filter(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("__v")), ["row", "col"]).groupBy(F.col("gr").alias("row"), F.col("gc").alias("col")).agg(F.min(F.struct("d", "row", "col", "__v"))["__v"].alias("__v"))
-    return cells.join(near, ["row", "col"], "left").withColumn(value, F.coalesce(value, "__v")).drop("__v")
+def nearest_fill(cells: DataFrame, value: str = "value") -> DataFrame:
+    """Missing values take that of the nearest known cell, however far; of equally near ones the one of smallest row, then
+    column. Without any known cell they stay null. cells: one row a cell; the rectangle they span is filled in between.
+
+    The squared distance comes apart by direction: each cell first finds the nearest known one in its column, and then
+    along its row the column for which both distances together are least. A task holds a column or a row, never the grid.
+    """
+    ends = cells.agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"), F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+    box = ends.filter(F.col("__r0").isNotNull()).select(F.explode(F.sequence("__r0", "__r1")).alias("row"), "__c0", "__c1").select("row", F.explode(F.sequence("__c0", "__c1")).alias("col"))
+    own = cells.select("row", "col", F.col(value).alias("__v"), F.lit(True).alias("__own"))
+    all_ = box.join(own, ["row", "col"], "left")
+    w = W.partitionBy("col").orderBy("row")
+    seen = F.when(F.col("__v").isNotNull(), F.struct("row", "__v"))
+    up, down = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    near = all_.withColumns({"__up": up, "__down": down})
+    above = F.col("__down").isNull() | (F.col("row") - F.col("__up.row") <= F.col("__down.row") - F.col("row"))
+    near = near.select("row", "col", "__own", F.when(F.col("__up").isNotNull() & above, F.col("__up")).otherwise(F.col("__down")).alias("__n"))
+    near = near.select("row", "col", "__own", F.col("__n.row").alias("__at"), F.col("__n.__v").alias("__v"))
+    schema = T.StructType([cells.schema["row"], cells.schema["col"], T.StructField("__f", cells.schema[value].dataType)])
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("col", ignore_index=True)
+        row, cols = int(pdf["row"].iloc[0]), pdf["col"].to_numpy()
+        known = pdf["__at"].notna().to_numpy()
+        wide = len(pdf)
+        at = pdf["__at"].fillna(0).to_numpy().astype(np.int64)
+        far = np.iinfo(np.int64).max // 4
+        gap = np.where(known, (at - row) ** 2, far)
+        best = np.stack([gap, at, cols])  # squared distance, row, column of the nearest so far
+        pick = np.arange(wide)
+        step = 1
+        while step < wide and best[0].max() >= step * step:
+            for way in (-step, step):
+                here, there = (slice(step, None), slice(None, -step)) if way < 0 else (slice(None, -step), slice(step, None))
+                new = np.stack([np.where(known[there], gap[there] + step * step, far), at[there], cols[there]])
+                old = best[:, here]
+                less = (new[0] < old[0]) | ((new[0] == old[0]) & ((new[1] < old[1]) | ((new[1] == old[1]) & (new[2] < old[2]))))
+                best[:, here] = np.where(less, new, old)
+                pick[here] = np.where(less, np.arange(wide)[there], pick[here])
+            step += 1
+        mine = pdf["__own"].notna().to_numpy() & (best[0] < far)
+        return pd.DataFrame({"row": row, "col": cols[mine], "__f": pdf["__v"].to_numpy()[pick[mine]]})
+
+    found = near.groupBy("row").applyInPandas(along, schema)
+    return cells.join(found, ["row", "col"], "left").withColumn(value, F.coalesce(value, "__f")).drop("__f")
 
 
 def density(points: DataFrame, sigma: float, reach: int) -> DataFrame:
@@ -155,6 +225,7 @@ def density(points: DataFrame, sigma: float, reach: int) -> DataFrame:
     for axis in ("row", "col"):
         other = "col" if axis == "row" else "row"
         cells = cells.select("row", "col", "value", F.inline(steps)).groupBy((F.col(axis) + F.col("i")).alias(axis), other).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    cells = staged(cells)  # the maximum is asked of what the result is read from
     top = cells.agg(F.max("value").alias("__top"))
     return cells.join(F.broadcast(top)).select("row", "col", (F.col("value") / F.col("__top")).alias("value"))
 
@@ -190,6 +261,21 @@ def wide(layers: DataFrame, names: Sequence[str]) -> DataFrame:
     return layers.groupBy("row", "col").agg(*[F.max(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in names])
 
 
+def season_label(seasons: Column) -> Column:
+    """The season that names a predefined grid, of an array of active seasons: the only one, else All_Semesters."""
+    known_ = F.array_distinct(F.filter(seasons, lambda v: v.isNotNull()))
+    return F.when(F.size(known_) == 1, known_[0]).otherwise("All_Semesters")
+
+
+def predefined(runs: DataFrame, seasons: str, pattern: str, inventory: DataFrame) -> DataFrame:
+    """runs with `path`, the predefined grid of their seasons (an array) by a pattern with {season}, and whether the
+    inventory (path) has it."""
+    before, after = pattern.split("{season}") if "{season}" in pattern else (pattern, "")
+    path = F.concat(F.lit(before), season_label(F.col(seasons)), F.lit(after)) if "{season}" in pattern else F.lit(pattern)
+    have = inventory.select("path").distinct().withColumn("exists", F.lit(True))
+    return runs.withColumn("path", path).join(have, "path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
 def chosen(grids: dict[str, Callable[[], DataFrame]], name: str, fallback: str) -> DataFrame:
     """The grid of that name or, if there is none, the fallback."""
     return grids.get(name, grids[fallback])()

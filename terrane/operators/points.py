@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrane.functions.grid import STUDY, Grid
 from terrane.functions.hashing import uniform
 from terrane.functions.quota import last_taken, share_of, smallest, take
+from terrane.session import staged
 
 
 def placed(points: DataFrame, grid: Grid = STUDY) -> DataFrame:
@@ -133,7 +134,8 @@ def leave_one_year_out(points: DataFrame, years: Sequence[int]) -> DataFrame:
 def block_folds(points: DataFrame, km: float, k: int, order: Column, tie: Sequence[str] = ("bx", "by")) -> DataFrame:
     """Adds fold 1..k: blocks of km by km kilometres in a shuffled order, cut into k parts that differ by one block at most.
 
-    Only the blocks are ranked; a shuffled order is a hash of bx and by.
+    Only the blocks are ranked (as many as the area holds, whatever the number of points); a shuffled order is a hash of
+    bx and by.
     """
     keyed = points.withColumns({"bx": F.floor(F.col("x") / (km * 1000)), "by": F.floor(F.col("y") / (km * 1000))})
     blocks = keyed.select("bx", "by").distinct().withColumn("fold", F.ntile(k).over(W.orderBy(order, *tie)))
@@ -200,6 +202,49 @@ def crowding_weights(points: DataFrame, cell: float) -> DataFrame:
     return raw.join(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("__mean")).drop("__cx", "__cy", "__near", "__mean")
 
 
+def neighbour_weights(points: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
+    """(key, distance, weight): the mean distance of each point to its k nearest others (all others if there are fewer; 0
+    without any), and that over its mean, so that points in crowded places count less. Points without a place have no row.
+
+    Points of one place are taken together. A place looks at the places of its own and the neighbouring cells; if these
+    hold k points no further off than a cell is wide, they are its nearest, else it goes on to cells of twice the width,
+    until a cell spans all places. Each round is a join on cells, and of the pairs in it only the k nearest are kept.
+    """
+    known = points.select(F.col(key), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna().filter(~F.isnan("__x") & ~F.isnan("__y"))
+    places = staged(known.groupBy("__x", "__y").agg(F.count("*").alias("__n")))
+    ends = places.agg(F.greatest(F.max("__x") - F.min("__x"), F.max("__y") - F.min("__y")).alias("span"), F.sum("__n").alias("n")).first()
+    span, most = ends.span or 0.0, min(k, (ends.n or 1) - 1)
+    left, width, done = places, float(cell), []
+    while True:
+        last = width >= span or most <= 0
+        at = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        look = left.select("__x", "__y", F.inline(steps)).select("__x", "__y", (at("__x") + F.col("i")).alias("cx"), (at("__y") + F.col("j")).alias("cy"))
+        there = places.select(F.col("__x").alias("x2"), F.col("__y").alias("y2"), F.col("__n").alias("n2"), at("__x").alias("cx"), at("__y").alias("cy"))
+        # the point itself is none of the others of its place
+        d = F.sqrt(F.pow(F.col("__x") - F.col("x2"), 2) + F.pow(F.col("__y") - F.col("y2"), 2))
+        pairs = look.join(there, ["cx", "cy"]).select("__x", "__y", "x2", "y2", d.alias("d"), F.when(d == 0, F.col("n2") - 1).otherwise(F.col("n2")).alias("n2"))
+        w = W.partitionBy("__x", "__y").orderBy("d", "x2", "y2")
+        near = pairs.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k + 1)
+        upto = F.sum("n2").over(w.rowsBetween(W.unboundedPreceding, 0))
+        near = near.withColumn("__take", F.greatest(F.lit(0), F.least(F.col("n2"), F.lit(most) - (upto - F.col("n2")))))
+        near = near.groupBy("__x", "__y").agg(F.sum("__take").alias("__got"), F.max(F.when(F.col("__take") > 0, F.col("d"))).alias("__far"), F.sum(F.col("__take") * F.col("d")).alias("__sum"))
+        near = staged(near.withColumn("__ok", F.lit(last) | ((F.col("__got") >= most) & (F.col("__far") <= width))))
+        done.append(near.filter("__ok").select("__x", "__y", F.coalesce(F.try_divide(F.col("__sum"), F.col("__got")), F.lit(0.0)).alias("distance")))
+        if last:
+            break
+        left = near.filter(~F.col("__ok")).select("__x", "__y")
+        if left.isEmpty():
+            break
+        width *= 2
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    own = known.join(found, ["__x", "__y"]).select(key, "distance")
+    mean = own.agg(F.avg("distance").alias("__mean"))
+    return own.join(F.broadcast(mean)).select(key, "distance", F.coalesce(F.try_divide("distance", "__mean"), F.lit(1.0)).alias("weight"))
+
+
 def thinned_if_known(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float) -> DataFrame:
     """`farthest_points`, or all points if some feature is known nowhere."""
     known = points.agg(*[F.count(f).alias(f) for f in features]).first()

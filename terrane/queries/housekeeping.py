@@ -355,11 +355,14 @@ def _(s, d):
     return i.join(F.broadcast(year), "test_year").agg(F.count("*").alias("n"))
 
 
-@reg("g11_points_in_area", "SELECT 91000 + 1000 * (col + ((row * 1000 + col) * 2654435761 + 8 * 40503) % 1000003 / 1000003.0::DOUBLE) AS x, row FROM mask ORDER BY ((row * 1000 + col) * 2654435761 + 5 * 40503) % 1000003, row, col LIMIT 200", "mask")
+@reg("g11_points_in_area", "SELECT (SELECT greatest(2, round(count(*) * 0.1::DOUBLE))::BIGINT FROM mask) AS n, 0::BIGINT AS outside", "mask")
 def _(s, d):
-    key = F.col("row") * 1000 + F.col("col")
-    c = A.mask(s, d).orderBy(A.hashed(key, 5), "row", "col").limit(200)
-    return c.select((F.lit(91000.0) + 1000 * (F.col("col") + A.hashed(key, 8) / 1000003.0)).alias("x"), "row")
+    """Points at random places of the mask's cells, as a rejection sampler gives them; each is looked up in the mask again."""
+    mask = A.mask(s, d)
+    u = (A.hashed(F.col("row") * 1000 + F.col("col"), 5) + 0.5) / 1000003
+    p = P.placed(P.jittered(P.sampled_share(mask, 0.1, u, ["row", "col"]), STUDY, "row", "col").select("x", "y"))
+    inside = mask.withColumn("in", F.lit(True))
+    return p.join(inside, ["row", "col"], "left").agg(F.count("*").alias("n"), F.count_if(F.col("in").isNull()).alias("outside"))
 
 
 @reg("g27_bias_strategy", "SELECT row, col, greatest(balance, 0) / (SELECT max(balance) FROM cells) AS value FROM cells", "cells")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.functions.grid import STUDY
+from terrane.functions.grid import STUDY, Grid
 from terrane.operators import layers as L
 from terrane.operators import points as P
 from terrane.plans import adapters as A
+from terrane.session import table
 
 BASE = ["size", "price", "balance"]
 
@@ -227,16 +228,33 @@ def _(s, d):
     return P.bias_weights(c, "bias", 0.7).select("row", "col", "p")
 
 
-@reg("g9_weighted_background", A.sql(", w AS (SELECT row, col, greatest(balance, 0) AS w, (((row * 1000 + col) * 2654435761 + 3 * 40503) % 1000003 + 0.5::DOUBLE) / 1000003 AS u FROM cells WHERE size % 3 <> 0) SELECT row, col FROM w WHERE w > 0 ORDER BY -ln(u) / w, row, col LIMIT 500", "cells"))
+_U = "((({k}) * 2654435761 + {seed} * 40503) % 1000003 + 0.5::DOUBLE) / 1000003"
+
+
+def _cell_u(seed):
+    return (A.hashed(F.col("row") * 1000 + F.col("col"), seed) + 0.5) / 1000003
+
+
+@reg("g9_weighted_background", A.sql(f", w AS (SELECT row, col, greatest(balance, 0) AS w, {_U.format(k='row * 1000 + col', seed=3)} AS u FROM cells WHERE size % 3 <> 0) SELECT row, col FROM w WHERE w > 0 QUALIFY row_number() OVER (ORDER BY -ln(u) / w, row, col) <= greatest(2, round((SELECT count(*) FROM w) * 0.1::DOUBLE))", "cells"))
 def _(s, d):
     c = P.in_mask(A.cells(s, d), A.mask(s, d))
-    u = (A.hashed(F.col("row") * 1000 + F.col("col"), 3) + 0.5) / 1000003
-    return P.weighted_without_replacement(c, F.col("balance"), u, 500, ["row", "col"]).select("row", "col")
+    return P.weighted_without_replacement(c, F.col("balance"), _cell_u(3), 0.1, ["row", "col"]).select("row", "col")
+
+
+@reg("g7_uniform_background", A.sql(f", w AS (SELECT row, col, row * 1000 + col AS k FROM mask), t AS (SELECT * FROM w QUALIFY row_number() OVER (ORDER BY {_U.format(k='k', seed=5)}, row, col) <= greatest(2, round((SELECT count(*) FROM w) * 0.2::DOUBLE))) SELECT row, col, round(91000 + 1000 * (col + {_U.format(k='k', seed=8)}), 6) AS x, round(7124000 - 1000 * (row + {_U.format(k='k', seed=9)}), 6) AS y FROM t", "mask"))
+def _(s, d):
+    c = P.sampled_share(A.mask(s, d), 0.2, _cell_u(5), ["row", "col"])
+    return c.select("row", "col", F.round(91000 + 1000 * (F.col("col") + _cell_u(8)), 6).alias("x"), F.round(7124000 - 1000 * (F.col("row") + _cell_u(9)), 6).alias("y"))
 
 
-@reg("g7_uniform_background", A.sql("SELECT row, col FROM mask ORDER BY ((row * 1000 + col) * 2654435761 + 5 * 40503) % 1000003, row, col LIMIT 500", "mask"))
+@reg("g8_background_with_replacement", A.sql("SELECT (count(*) // 10)::BIGINT AS draws, 0::BIGINT AS outside, true AS near FROM mask", "mask"))
 def _(s, d):
-    return A.mask(s, d).orderBy(A.hashed(F.col("row") * 1000 + F.col("col"), 5), "row", "col").limit(500)
+    """Draws by weight with replacement and jitter: how many there are, how many lie outside the mask's cells, and whether
+    the mean weight drawn is that of the weights (sum of squares over sum)."""
+    c = P.in_mask(A.cells(s, d), A.mask(s, d)).withColumn("w", F.greatest("balance", F.lit(0.1)))
+    want = c.agg((F.sum(F.col("w") * F.col("w")) / F.sum("w")).alias("want"), F.count("*").alias("n")).first()
+    got = P.placed(P.jittered(P.with_replacement(c, F.col("w"), want.n // 10, ["row", "col"]), STUDY, "draw").withColumnsRenamed({"row": "r", "col": "c"}))
+    return got.agg(F.count("*").alias("draws"), F.count_if((F.col("row") != F.col("r")) | (F.col("col") != F.col("c"))).alias("outside"), (F.abs(F.avg("w") / want.want - 1) < 0.05).alias("near"))
 
 
 @reg("g10_tiled_mask", A.sql("SELECT row % 7 AS r, count(*) AS n FROM cells WHERE (row % 2) = (col % 2) GROUP BY r", "cells"))
@@ -268,12 +286,32 @@ def _(s, d):
 
 
 @reg("g14_nearest_fill", A.sql(""", g AS (SELECT row, col, CASE WHEN (row * 31 + col * 17) % 5 <> 0 THEN size END AS v FROM cells),
-st AS (SELECT i, j FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS i), (SELECT unnest([-2, -1, 0, 1, 2]) AS j)), a AS (SELECT row, col, i, j, row + i AS r2, col + j AS c2 FROM g, st WHERE v IS NULL),
-n AS (SELECT a.row, a.col, b.v, row_number() OVER (PARTITION BY a.row, a.col ORDER BY i * i + j * j, r2, c2) AS rn FROM a JOIN g b ON b.row = r2 AND b.col = c2 WHERE b.v IS NOT NULL)
-SELECT g.row, g.col, coalesce(g.v, n.v) AS value FROM g LEFT JOIN n ON g.row = n.row AND g.col = n.col AND rn = 1""", "cells"))
+st AS (SELECT i, j FROM (SELECT unnest(range(-9, 10)) AS i) CROSS JOIN (SELECT unnest(range(-9, 10)) AS j)), a AS (SELECT row, col, i, j, row + i AS r2, col + j AS c2 FROM g CROSS JOIN st WHERE v IS NULL),
+n AS (SELECT a.row, a.col, arg_min(b.v, (i * i + j * j, r2, c2)) AS v FROM a JOIN g b ON b.row = r2 AND b.col = c2 WHERE b.v IS NOT NULL GROUP BY a.row, a.col)
+SELECT g.row, g.col, coalesce(g.v, n.v) AS value FROM g LEFT JOIN n ON g.row = n.row AND g.col = n.col""", "cells"))
 def _(s, d):
     g = A.cells(s, d).select("row", "col", F.when((F.col("row") * 31 + F.col("col") * 17) % 5 != 0, F.col("size")).alias("value"))
-    return L.nearest_fill(g, 2)
+    return L.nearest_fill(g)
+
+
+@reg("g13_foreign_grid", A.sql(f""", n AS (SELECT max(p_partkey) // {A.PARTS_A_ROW} + 1 AS n FROM part), t AS (SELECT i AS row, j AS col, floor((700 * (i + 0.5::DOUBLE) - 300) / 1000)::BIGINT AS sr, floor((700 * (j + 0.5::DOUBLE) + 250) / 1000)::BIGINT AS sc
+  FROM (SELECT unnest(range(n * 1000 // 700 + 2)) AS i FROM n) CROSS JOIN range(1430) x(j)) SELECT t.row, t.col, size FROM t JOIN cells ON cells.row = sr AND cells.col = sc WHERE t.row < (SELECT n * 1000 // 700 FROM n) AND t.col < 1428""", "cells"))
+def _(s, d):
+    g = A.extent(s, d)
+    rows = g.rows * 1000 // 700
+    return L.regridded(A.cells(s, d), g, Grid(g.x0 + 250, g.top + 300 - rows * 700, 700.0, rows, 1428), ["size"])
+
+
+@reg("g12_outline", A.sql(", e AS (SELECT 0 AS k, row AS r, col AS c FROM mask UNION ALL SELECT 0, row + 1, col FROM mask UNION ALL SELECT 1, row, col FROM mask UNION ALL SELECT 1, row, col + 1 FROM mask), o AS (SELECT k, r, c FROM e GROUP BY ALL HAVING count(*) = 1) SELECT 91000 + c * 1000.0::DOUBLE AS x1, 7124000 - r * 1000.0::DOUBLE AS y1, 91000 + (c + 1 - k) * 1000.0::DOUBLE AS x2, 7124000 - (r + k) * 1000.0::DOUBLE AS y2 FROM o", "mask"))
+def _(s, d):
+    return L.outline(A.mask(s, d), STUDY)
+
+
+@reg("g18_predefined_bias", "SELECT meta_run, CASE WHEN count(DISTINCT season) = 1 THEN 'bias/' || min(season) || '.tif' ELSE 'bias/All_Semesters.tif' END AS path, count(DISTINCT season) <> 1 OR min(season) = 'Winter' AS exists FROM importance GROUP BY meta_run")
+def _(s, d):
+    runs = table(s, d, "importance").groupBy("meta_run").agg(F.collect_set("season").alias("seasons"))
+    have = s.createDataFrame([("bias/All_Semesters.tif",), ("bias/Winter.tif",)], "path string")
+    return L.predefined(runs, "seasons", "bias/{season}.tif", have).select("meta_run", "path", "exists")
 
 
 @reg("g16_density", A.sql(""", k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS i), w AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * i * i)) FROM k) AS w FROM k),
@@ -305,9 +343,9 @@ def _(s, d):
     return r.groupBy("source", "year", "part").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@reg("g22_row_sample", A.sql("SELECT row, col, size FROM cells ORDER BY ((row * 1000 + col) * 2654435761 + 6 * 40503) % 1000003, row, col LIMIT 1000", "cells"))
+@reg("g22_row_sample", A.sql(f"SELECT row, col, size FROM cells QUALIFY row_number() OVER (ORDER BY {_U.format(k='row * 1000 + col', seed=6)}, row, col) <= greatest(4, round((SELECT count(*) FROM cells) * 0.05::DOUBLE))", "cells"))
 def _(s, d):
-    return A.cells(s, d).orderBy(A.hashed(F.col("row") * 1000 + F.col("col"), 6), "row", "col").limit(1000).select("row", "col", "size")
+    return P.sampled_share(A.cells(s, d), 0.05, _cell_u(6), ["row", "col"], least=len(BASE) + 1).select("row", "col", "size")
 
 
 @reg("g23_control_layer", A.sql("SELECT m.row, m.col, CASE WHEN p.row IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM mask m LEFT JOIN (SELECT DISTINCT row, col FROM placed) p ON m.row = p.row AND m.col = p.col", "placed", "mask"))
@@ -322,6 +360,13 @@ def _(s, d):
     return P.crowding_weights(A.points(s, d), 20000).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+@reg("g25_distance_weights", ", p AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE, 2) AS x, round(embedding[2]::DOUBLE, 2) AS y FROM embeddings), r AS (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS rn FROM p a JOIN p b ON a.id <> b.id), m AS (SELECT id, avg(d) AS d FROM r WHERE rn <= 8 GROUP BY id) SELECT id, round(d, 9) AS distance, round(d / avg(d) OVER (), 6) AS weight FROM m".lstrip(", ").join(["WITH ", ""]))
+def _(s, d):
+    e = F.col("embedding")
+    p = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(e[0].cast("double"), 2).alias("x"), F.round(e[1].cast("double"), 2).alias("y"))
+    return P.neighbour_weights(p, "id", "x", "y", 8, 0.02).select("id", F.round("distance", 9).alias("distance"), F.round("weight", 6).alias("weight"))
+
+
 @reg("g26_grid_consistency", "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false), ('d', false)) t(layer, same)")
 def _(s, d):
     h = s.createDataFrame([("a", 10, 10, 1.0, 0.0), ("b", 10, 10, 1.0 + 1e-9, 0.0), ("c", 10, 11, 1.0, 0.0), ("d", 10, 10, 1.0, 0.1)], "layer string, width int, height int, a double, b double")

@@ -104,7 +104,18 @@ def test_farthest_points_are_spread(spark):
 
 def test_nearest_fill_ties_to_smaller_row(spark):
     c = spark.createDataFrame([(0, 0, 1.0), (1, 0, None), (2, 0, 3.0), (9, 9, None)], "row int, col int, value double")
-    assert {(r.row, r.value) for r in layers.nearest_fill(c, 2).collect()} == {(0, 1.0), (1, 1.0), (2, 3.0), (9, None)}
+    assert {(r.row, r.value) for r in layers.nearest_fill(c).collect()} == {(0, 1.0), (1, 1.0), (2, 3.0), (9, 3.0)}
+    assert layers.nearest_fill(c.limit(0)).count() == 0 and layers.nearest_fill(c.filter("value is null")).filter("value is not null").count() == 0
+
+
+def test_nearest_fill_against_brute_force(spark):
+    r = __import__("random").Random(2)
+    for known in (0.02, 0.3):
+        rows = [(i, j, float(r.random()) if r.random() < known else None) for i in range(5, 40) for j in range(-3, 30) if r.random() < 0.8]
+        have = [x for x in rows if x[2] is not None]
+        want = {(i, j): v if v is not None else min(((i - a) ** 2 + (j - b) ** 2, a, b, x) for a, b, x in have)[3] for i, j, v in rows}
+        got = layers.nearest_fill(spark.createDataFrame(rows, "row int, col int, value double")).collect()
+        assert {(x.row, x.col): x.value for x in got} == want
 
 
 def test_ascii_grid_read_in_pieces(spark, tmp_path):
