@@ -41,3 +41,9 @@ def sigmoid(c: Column | str) -> Column:
 
 def cloglog(c: Column | str) -> Column:
     return 1 - F.exp(-F.exp(c))
+
+
+def finite(c: Column | str) -> Column:
+    """A number, or null if it is NaN or infinite."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)

@@ -6,33 +6,37 @@ empty class are null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.running import running_sums
+from terrane.session import staged
 
 
 def scored(df: DataFrame) -> DataFrame:
     return df.filter(F.col("s").isNotNull() & ~F.isnan("s"))
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """(s, pos, neg): rows of each class at each distinct score."""
-    return scored(df).groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+def counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, s, pos, neg): rows of each class at each distinct score, written once, as several passes read it."""
+    return staged(scored(df).groupBy(*by, "s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")))
 
 
-def curve(df: DataFrame) -> DataFrame:
-    """(s, pos, neg, tp, fp, p, n): what lies at or above each distinct score, and the totals."""
-    c = counts(df)
-    run = running_sums(c, "s", ["pos", "neg"], descending=True)
-    totals = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return run.join(F.broadcast(totals)).select("s", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), "p", "n")
+def curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, s, pos, neg, tp, fp, p, n): what lies at or above each distinct score, and the totals."""
+    c = counts(df, by)
+    run = running_sums(c, "s", ["pos", "neg"], descending=True, by=by)
+    totals = c.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    joined = run.join(totals, list(by)) if by else run.join(F.broadcast(totals))
+    return joined.select(*by, "s", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), "p", "n")
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    """(auc): the chance that a presence scores above a background row, ties counting half."""
-    return curve(df).agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), (F.max("p") * F.max("n")).cast("double")).alias("auc"))
+def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, auc): the chance that a presence scores above a background row, ties counting half; null over a single class."""
+    return curve(df, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), (F.max("p") * F.max("n")).cast("double")).alias("auc"))
 
 
 def precision_recall(df: DataFrame) -> DataFrame:
@@ -61,15 +65,17 @@ def confusion(df: DataFrame, threshold: float | Column) -> DataFrame:
     return scored(df).agg(F.count_if(up & yes).alias("tp"), F.count_if(up & ~yes).alias("fp"), F.count_if(~up & yes).alias("fn"), F.count_if(~up & ~yes).alias("tn"))
 
 
-def rates(c: DataFrame) -> DataFrame:
+def rates(c: DataFrame, mode: str = "exact") -> DataFrame:
     """Adds precision, recall, f1, omission and sedi to confusion counts; an empty denominator gives 0, sedi null at its
-    limits."""
+    limits. sedi is the published index; mode "reference" gives the ratio of difference and sum of ln(h (1 - f)) and
+    ln((1 - h) f), which has the other sign."""
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     h, f = F.try_divide(tp, tp + fn), F.try_divide(fp, fp + tn)
     inner = (h > 0) & (h < 1) & (f > 0) & (f < 1)
     top = F.ln(f) - F.ln(h) - F.ln(1 - f) + F.ln(1 - h)
     below = F.ln(f) + F.ln(h) + F.ln(1 - f) + F.ln(1 - h)
+    top = top if mode == "exact" else -top
     return c.withColumns({"precision": zero(tp, tp + fp), "recall": zero(tp, tp + fn), "f1": zero(2 * tp, 2 * tp + fp + fn), "omission": 1 - zero(tp, tp + fn), "sedi": F.when(inner, top / below)})
 
 
@@ -93,12 +99,13 @@ def unit_bin(c: Column | str, bins: int) -> Column:
     return F.when((v >= 0) & (v <= 1), F.least(F.floor(v * bins), F.lit(bins - 1)))
 
 
-def boyce(df: DataFrame, bins: int = 25) -> DataFrame:
-    """(bin, centre, ratio): density of presences over that of background by bin of score; bins without background are
+def boyce(df: DataFrame, bins: int = 25, by: Sequence[str] = ()) -> DataFrame:
+    """(by, bin, centre, ratio): density of presences over that of background by bin of score; bins without background are
     left out."""
-    b = scored(df).withColumn("bin", unit_bin("s", bins)).filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("a"))
-    totals = b.agg(F.sum("p").alias("tp"), F.sum("a").alias("ta"))
-    return b.join(F.broadcast(totals)).filter("a > 0").select("bin", ((F.col("bin") + 0.5) / bins).alias("centre"), F.try_divide(F.col("p") * F.col("ta"), (F.col("a") * F.col("tp")).cast("double")).alias("ratio"))
+    b = scored(df).withColumn("bin", unit_bin("s", bins)).filter(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("a"))
+    totals = b.groupBy(*by).agg(F.sum("p").alias("tp"), F.sum("a").alias("ta"))
+    joined = b.join(totals, list(by)) if by else b.join(F.broadcast(totals))
+    return joined.filter("a > 0").select(*by, "bin", ((F.col("bin") + 0.5) / bins).alias("centre"), F.try_divide(F.col("p") * F.col("ta"), (F.col("a") * F.col("tp")).cast("double")).alias("ratio"))
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -114,10 +121,10 @@ def mean_rank(c: str, *by: str) -> Column:
     return F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
 
 
-def boyce_index(df: DataFrame, bins: int = 25) -> DataFrame:
-    """(cbi_pearson, cbi_spearman) of the Boyce curve, null below two bins."""
-    r = boyce(df, bins).withColumns({"__c": mean_rank("centre"), "__r": mean_rank("ratio")})
-    return r.agg(correlation("centre", "ratio").alias("cbi_pearson"), correlation("__c", "__r").alias("cbi_spearman"))
+def boyce_index(df: DataFrame, bins: int = 25, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cbi_pearson, cbi_spearman) of the Boyce curve, null below two bins."""
+    r = boyce(df, bins, by).withColumns({"__c": mean_rank("centre", *by), "__r": mean_rank("ratio", *by)})
+    return r.groupBy(*by).agg(correlation("centre", "ratio").alias("cbi_pearson"), correlation("__c", "__r").alias("cbi_spearman"))
 
 
 def information(df: DataFrame, k: int) -> DataFrame:

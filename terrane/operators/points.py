@@ -156,21 +156,31 @@ def stratified_split(rows: DataFrame, strata: Sequence[str], share: float, draw:
     return rows.join(ends, list(strata), "left").withColumn("part", F.when(mine <= F.col("__last"), "test").otherwise("train")).drop("__last")
 
 
-def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float, largest: int = 50_000) -> DataFrame:
+def _whitening(n: int, mean, cov):
+    """A matrix that turns features less their means into ones whose distances are Mahalanobis distances."""
+    import numpy as np
+
+    # fixed value: 1e-6 keeps a covariance of no spread invertible
+    values, vectors = np.linalg.eigh(np.atleast_2d(cov) + 1e-6 * np.eye(len(mean)))
+    return vectors / np.sqrt(np.where(values <= 0, 1e-6, values))
+
+
+def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float, largest: int = 50_000, batch: int = 2000) -> DataFrame:
     """Of each group, max(1, floor(n * share)) points spread most widely by Mahalanobis distance.
 
     Missing features take the group's mean; distances are those after whitening by the group's covariance. The walk starts
-    at the smallest key and adds the point farthest from those chosen, which needs the group in one task: it holds the
-    features and one distance for each point, never pairs. Groups above `largest` raise an error; thin them to a grid first.
+    at the smallest key and adds the point farthest from those chosen, of equally far ones that of smallest key; key is
+    unique in a group. A group of up to `largest` points is one task, which holds its features and one distance for each
+    point. A larger one is walked over the cluster (`_walked`), with the same result.
     """
     import numpy as np
     import pandas as pd
 
     schema = points.schema
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = sizes.filter(F.col("__n") > largest).collect()  # few, as each stands for so many points
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > largest:
-            raise ValueError(f"a group has {len(pdf)} points, more than {largest}; thin it to a grid first")
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
         target = max(1, int(len(pdf) * share))
         if target >= len(pdf):
@@ -178,8 +188,7 @@ def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[s
         x = pdf[list(features)].to_numpy(float)
         mean = np.nan_to_num(np.nanmean(np.where(np.isnan(x).all(0), 0.0, x), 0))
         x = np.where(np.isnan(x), mean, x) - mean
-        values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(x, rowvar=False)) + 1e-6 * np.eye(x.shape[1]))
-        x = x @ vectors / np.sqrt(np.where(values <= 0, 1e-6, values))
+        x = x @ _whitening(len(x), mean, np.cov(x, rowvar=False))
         chosen, near = [0], ((x - x[0]) ** 2).sum(1)
         while len(chosen) < target:
             far = int(near.argmax())
@@ -187,7 +196,80 @@ def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[s
             near = np.minimum(near, ((x - x[far]) ** 2).sum(1))
         return pdf.iloc[sorted(chosen)]
 
-    return points.groupBy(*keys).applyInPandas(walk, schema)
+    if not large:
+        return points.groupBy(*keys).applyInPandas(walk, schema)
+    few = sizes.filter(F.col("__n") <= largest).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    small = points.join(few, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_semi")
+    out = small.groupBy(*keys).applyInPandas(walk, schema)
+    for group in large:
+        own = points
+        for k in keys:
+            own = own.filter(F.col(k).eqNullSafe(F.lit(group[k])))
+        out = out.unionByName(_walked(own, features, key, max(1, int(group["__n"] * share)), batch))
+    return out
+
+
+def _walked(points: DataFrame, features: Sequence[str], key: str, target: int, batch: int) -> DataFrame:
+    """`target` points of one group of any size, as a greedy walk chooses them.
+
+    Each pass sends the `batch` points farthest from those chosen to the driver. As distances only fall, the farthest of
+    them is the farthest of all while it is farther than the last of the batch was, so many steps are made a pass; then
+    all points' distances to the ones chosen in it are taken, and what was chosen is written.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from terrane.operators.collinear import product_sums
+
+    spark = points.sparkSession
+    value = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    mean = np.nan_to_num(np.array([v if v is not None else 0.0 for v in points.agg(*[F.avg(v) for v in value.values()]).first()], float))
+    rows = points.select(F.col(key).alias("k"), *[F.coalesce(v, F.lit(float(m))).alias(f"f{i}") for i, (v, m) in enumerate(zip(value.values(), mean))])
+    names = [f"f{i}" for i in range(len(features))]
+    n, s, p = product_sums(rows, names, mean)
+    turn = _whitening(n, mean, (p - np.outer(s, s) / max(n, 1)) / max(n - 1, 1))
+    kind = rows.schema["k"].dataType.simpleString()
+    first = points.agg(F.min(key)).first()[0]
+
+    def taken(frame: DataFrame, found: np.ndarray) -> DataFrame:
+        """(k, f.., d): d the squared distance to the nearest of all chosen so far."""
+        sent = spark.sparkContext.broadcast(found)
+
+        def run(it):
+            for b in it:
+                x = np.column_stack([b.column(1 + i).to_numpy() for i in range(len(names))])
+                d = b.column(1 + len(names)).to_numpy().copy()
+                for c in sent.value:
+                    d = np.minimum(d, ((x - c) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(names)], pa.array(d)], names=["k", *names, "d"])
+
+        return staged(frame.mapInArrow(run, ", ".join([f"k {kind}", *[f"{x} double" for x in names], "d double"])))
+
+    white = rows.select("k", *[sum(((F.col(f) - F.lit(float(m))) * F.lit(float(turn[i, j])) for i, (f, m) in enumerate(zip(names, mean))), F.lit(0.0)).alias(names[j]) for j in range(len(names))], F.lit(float("inf")).alias("d"))
+    start = white.filter(F.col("k") == F.lit(first)).limit(1).collect()[0]
+    chosen = [first]
+    state = taken(white, np.array([[start[x] for x in names]]))
+    while len(chosen) < target:
+        top = state.orderBy(F.desc("d"), "k").limit(batch).collect()
+        x, d = np.array([[r[f] for f in names] for r in top]), np.array([r.d for r in top])
+        floor = d[-1] if len(top) == batch else -1.0
+        step = []
+        while len(chosen) < target:
+            far = int(d.argmax())
+            if step and d[far] <= floor:
+                break
+            if d[far] < 0:
+                break
+            step.append(far)
+            chosen.append(top[far].k)
+            d = np.minimum(d, ((x - x[far]) ** 2).sum(1))
+            d[far] = -1.0
+        if not step:
+            break
+        if len(chosen) < target:
+            state = taken(state, x[step])
+            state = state.filter(~F.col("k").isin([top[i].k for i in step])) if len(step) <= 100 else state.join(F.broadcast(spark.createDataFrame([(top[i].k,) for i in step], f"k {kind}")), "k", "left_anti")
+    return points.join(spark.createDataFrame([(k,) for k in chosen], f"`{key}` {kind}"), key, "left_semi").select(*points.columns)
 
 
 def crowding_weights(points: DataFrame, cell: float) -> DataFrame:

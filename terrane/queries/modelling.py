@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.functions import text as X
 from terrane.functions.grid import STUDY
 from terrane.operators import collinear as C
 from terrane.operators import models as L
@@ -48,7 +49,7 @@ def _(s, d):
     return s.createDataFrame([(n, round(float(x), 6)) for n, x in zip(V, v)], "variable string, vif double")
 
 
-@reg("c3_stepwise")
+@reg("c3_stepwise", "SELECT unnest(['v1', 'v2', 'v3', 'v4']) AS variable")
 def _(s, d):
     x = A.design(s, d).withColumn("v4", F.col("v0") + F.col("v1") + F.col("v2") / 100)
     names = [*V, "v4"]
@@ -56,25 +57,67 @@ def _(s, d):
     return s.createDataFrame([(n,) for n in keep], "variable string")
 
 
-@reg("c5_clusters")
+@reg("c5_clusters", "SELECT linkage, unnest(['v0', 'v1', 'v2', 'v3']) AS variable FROM (SELECT unnest(['average', 'complete', 'single', 'ward']) AS linkage)")
 def _(s, d):
+    """v4 is v0 in another unit: whatever the linkage, one of the two stays, the first of equal ones."""
     x = A.design(s, d).withColumn("v4", F.col("v0") * 2 + 0.001)
     names = [*V, "v4"]
-    return s.createDataFrame([(n,) for n in C.representatives(names, C.correlation_matrix(*C.product_sums(x, names)), 0.5)], "variable string")
+    corr = C.correlation_matrix(*C.product_sums(x, names)).round(9)
+    return s.createDataFrame([(k, n) for k in ("average", "complete", "single", "ward") for n in C.representatives(names, corr, 0.5, k)], "linkage string, variable string")
 
 
-_PRED = [("bio01", 2.0), ("bio08", 1.0), ("bio10", 3.0), ("bio12", 2.5), ("04_ndvi", 4.0), ("07_evi", 1.5), ("10_ndwi", 9.0), ("2m_temperature", 1.1), ("snow_depth", 8.0), ("class1_CEREAL", 7.0), ("anom_bio", 1.0), ("elevation", 1.2), ("hunting_bag", 1.3)]
-_PRED_SQL = "WITH p(variable, vif) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in _PRED) + "), f AS (SELECT *, CASE WHEN regexp_matches(variable, '(^|_)class[0-9]+_') THEN 'landcover' WHEN regexp_matches(variable, '^bio[0-9]+') THEN 'bio' WHEN regexp_matches(variable, '(^|_)(ndvi|ndwi|ndmi|evi|bsi)(_|$)') THEN 'satellite' WHEN regexp_matches(variable, 'temperature|precip|snow|wind|tmin|tmax') THEN 'era5' WHEN regexp_matches(variable, 'elevation|slope|aspect|density') THEN 'aux' ELSE 'other' END AS family FROM p)"
+@reg("c5_select_group", "SELECT unnest(['v0', 'v1', 'v2', 'v3']) AS variable")
+def _(s, d):
+    """Constants go, of v0 and its double one stays, and the inflation of those left is below the limit."""
+    x = A.design(s, d).withColumns({"v4": F.col("v0") * 2, "same": F.lit(3.0)})
+    names = [*V, "v4", "same"]
+    return s.createDataFrame([(n,) for n in C.select_group(names, *C.product_sums(x, names), cut=0.3, limit=1e6)], "variable string")
+
+
+_VIFS = """vifs AS (SELECT variable, avg(vif) AS vif FROM importance WHERE variable IS NOT NULL GROUP BY variable), f AS (SELECT variable, vif, lower(variable) AS n, CASE
+  WHEN contains(n, 'anom') OR n LIKE 'bio08%' OR n LIKE 'bio09%' THEN NULL
+  WHEN regexp_matches(n, 'ndvi|evi|nbr|ndwi|ndbi|ndmi|ndsi|bsi|vssi') THEN 'satellite' WHEN n LIKE 'bio%' THEN 'bio'
+  WHEN regexp_matches(n, '^(2m_temperature|soil_temperature|snow_depth|precip|pet|skin_t|soil_moist|ssrd|surface_solar_radiation|volumetric_soil_water_layer|vpd|tmax|tmean)') THEN 'era5' ELSE 'other' END AS family FROM vifs)"""
+
+
+def _vifs(s, d):
+    return table(s, d, "importance").filter("variable is not null").groupBy("variable").agg(F.avg("vif").alias("vif"))
+
+
+@reg("c7_families", f"WITH {_VIFS} SELECT variable, family FROM f")
+def _(s, d):
+    return _vifs(s, d).select("variable", C.family("variable").alias("family"))
 
 
-@reg("c7_families", _PRED_SQL + " SELECT variable, family FROM f")
+@reg("c7_routes", "SELECT variable, CASE WHEN regexp_matches(variable, '(^|[0-9]{4}_)class[0-9]+_') THEN 'landcover' WHEN regexp_matches(lower(variable), 'fragment|hunting') THEN 'unfiltered' WHEN lower(variable) LIKE 'bio%' THEN 'bio' WHEN regexp_matches(variable, '(^|_)04_') THEN 'sat_04' WHEN regexp_matches(variable, '(^|_)07_') THEN 'sat_07' WHEN regexp_matches(variable, '(^|_)10_') THEN 'sat_10' WHEN variable LIKE 'DEM_%' OR regexp_matches(lower(variable), 'small_woody|zones_humides|humanfootprint') THEN 'aux' ELSE 'other' END AS route FROM (SELECT DISTINCT variable FROM importance WHERE variable IS NOT NULL AND NOT contains(variable, 'class11_URBAN'))")
 def _(s, d):
-    return s.createDataFrame(_PRED, "variable string, vif double").select("variable", C.family("variable").alias("family"))
+    v = table(s, d, "importance").select("variable").dropna().distinct()
+    return v.select("variable", C.routed("variable").alias("route")).filter("route is not null")
+
 
+_BY_RUN = ", m AS (SELECT scenario, combo_name, variable, avg(importance_mean) AS x FROM importance WHERE isfinite(importance_mean) AND scenario IS NOT NULL AND combo_name IS NOT NULL GROUP BY ALL), pr AS (SELECT a.variable AS a, b.variable AS b, corr(a.x, b.x) AS r FROM m a JOIN m b USING (scenario, combo_name) JOIN f fa ON fa.variable = a.variable JOIN f fb ON fb.variable = b.variable WHERE fa.family = 'bio' AND fb.family = 'era5' GROUP BY ALL)"
 
-@reg("c4_grouped_selection", _PRED_SQL + " SELECT variable, family FROM f WHERE NOT contains(variable, 'anom') AND variable NOT LIKE 'bio08%' QUALIFY row_number() OVER (PARTITION BY family ORDER BY vif, variable) <= CASE family WHEN 'bio' THEN 2 WHEN 'satellite' THEN 2 WHEN 'era5' THEN 1 ELSE 99 END")
+
+@reg("c4_grouped_selection", f"""WITH {_VIFS}{_BY_RUN}, k AS (SELECT * FROM f WHERE family IS NOT NULL QUALIFY row_number() OVER (PARTITION BY family ORDER BY vif NULLS LAST, variable) <= CASE family WHEN 'bio' THEN 4 WHEN 'satellite' THEN 3 WHEN 'era5' THEN 3 ELSE 999 END),
+gone AS (SELECT DISTINCT CASE WHEN x.vif >= y.vif THEN a ELSE b END AS variable FROM pr JOIN k x ON x.variable = a JOIN k y ON y.variable = b WHERE abs(round(r, 9)) >= 0.2) SELECT variable, family FROM k ANTI JOIN gone USING (variable)""")
 def _(s, d):
-    return C.selected(s.createDataFrame(_PRED, "variable string, vif double"), {"bio": 2, "satellite": 2, "era5": 1})
+    """Inflation and correlations over runs: the importance of a variable in each scenario and combination is a column of it."""
+    i = table(s, d, "importance").filter("scenario is not null and combo_name is not null").withColumn("x", X.finite("importance_mean")).filter("x is not null")
+    m = i.groupBy("scenario", "combo_name", "variable").agg(F.avg("x").alias("x"))
+    side = lambda k, v: m.filter(C.family("variable") == k).select("scenario", "combo_name", F.col("variable").alias(v), F.col("x").alias(f"x{v}"))
+    pairs = side("bio", "a").join(side("era5", "b"), ["scenario", "combo_name"]).groupBy("a", "b").agg(F.round(F.corr("xa", "xb"), 9).alias("r"))
+    return C.selected(_vifs(s, d), {"bio": 4, "satellite": 3, "era5": 3}, pairs, 0.2)
+
+
+@reg("c5_selection", "SELECT * FROM (VALUES ('class1_A', 0), ('hunting_x', 1), ('bio01', 2), ('04_ndvi', 3)) t(variable, place)")
+def _(s, d):
+    """Land cover and unfiltered ones stay; bio02 is bio01 in another unit; `near` overlaps with the land cover."""
+    e = F.col("embedding")
+    x = table(s, d, "embeddings").select(*[e[i].cast("double").alias(n) for i, n in enumerate(("class1_A", "hunting_x", "bio01", "04_ndvi"))])
+    x = x.withColumns({"bio02": F.col("bio01") * 3 + 1, "near": F.col("class1_A") + F.col("bio01") / 1000, "class11_URBAN": F.lit(1.0)})
+    names = x.columns
+    groups = {r.n: r.g for r in s.createDataFrame([(n,) for n in names], "n string").select("n", C.routed("n").alias("g")).collect()}
+    return s.createDataFrame(list(zip(*[(k := C.selection(x, groups, cut=0.3, limits={"bio": 1e6})), range(len(k))])), "variable string, place int")
 
 
 @reg("c6_overlap", ", x AS (SELECT *, v0 + v1 / 100 AS w FROM design) SELECT 'w' AS variable, round(abs(corr(v0, w)), 9) AS r FROM x", "design")
@@ -84,21 +127,23 @@ def _(s, d):
     return C.overlapping(pairs, families).withColumn("r", F.round("r", 9))
 
 
-@reg("c8_cap", _PRED_SQL + " SELECT variable FROM f ORDER BY vif, variable LIMIT 5")
+@reg("c8_cap", f"WITH {_VIFS} SELECT variable FROM vifs ORDER BY vif NULLS LAST, variable LIMIT 20")
 def _(s, d):
-    return s.createDataFrame(_PRED, "variable string, vif double").orderBy("vif", "variable").limit(5).select("variable")
+    return _vifs(s, d).orderBy(F.asc_nulls_last("vif"), "variable").limit(20).select("variable")
 
 
-@reg("c10_fitted_order", "SELECT * FROM (VALUES ('v2', 0, true), ('v0', 1, true), ('gone', 2, false)) t(variable, idx, present)")
+@reg("c10_fitted_order", "SELECT context_id, p AS variable, i - 1 AS idx, p IN (SELECT variable FROM importance) AS present FROM (SELECT context_id, unnest(predictors) AS p, generate_subscripts(predictors, 1) AS i FROM training_context)")
 def _(s, d):
-    fitted = s.createDataFrame([("v2", 0), ("v0", 1), ("gone", 2)], "variable string, idx int")
-    have = s.createDataFrame([(v, True) for v in V], "variable string, present boolean")
-    return fitted.join(have, "variable", "left").select("variable", "idx", F.coalesce("present", F.lit(False)).alias("present"))
+    """The predictors of each training context in their order, and whether the runs know them."""
+    fitted = table(s, d, "training_context").select("context_id", F.posexplode("predictors").alias("idx", "variable"))
+    have = table(s, d, "importance").select("variable").distinct().withColumn("present", F.lit(True))
+    return fitted.join(have, "variable", "left").select("context_id", "variable", "idx", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-@reg("c11_vif_sample", "SELECT id FROM (SELECT id FROM design ORDER BY (id * 2654435761 + 42 * 40503) % 1000003, id LIMIT 100)", "design")
+@reg("c11_vif_sample", "SELECT id FROM design QUALIFY row_number() OVER (ORDER BY (id * 2654435761 + 42 * 40503) % 1000003 / 1000003.0::DOUBLE, id) <= greatest(2, round((SELECT count(*) FROM design) * 0.05::DOUBLE))", "design")
 def _(s, d):
-    return A.design(s, d).orderBy(A.hashed("id", 42), "id").limit(100).select("id")
+    rows, _ = C.sample_matrix(A.design(s, d), V, 0.05, A.hashed("id", 42) / 1000003.0, ["id"])
+    return rows.select("id")
 
 
 # novelty
@@ -188,69 +233,125 @@ def _linear(x):
     return x.withColumn("s", 1 / (1 + F.exp(-(8 * F.col("v0") - 5 * F.col("v1")))))
 
 
-@reg("l8_permutation_importance")
+def _shuffle_sql(columns: list[str], repeats: int, seed: int, std: str) -> str:
+    """The exchange by the same hash in SQL: rows of a block, in the order of the key, take the values in the order of the draw."""
+    score = lambda v: "1 / (1 + exp(-(8 * {} - 5 * {})))".format(*[f"b.{c}" if c == v else f"a.{c}" for c in ("v0", "v1")])
+    draw = lambda r: f"((id * 2654435761 + {seed + r} * 40503) % 1000003)"
+    parts = [f"SELECT '{v}' AS variable, {r} AS t, a.y, {score(v)} AS s FROM ra a JOIN (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY {draw(r)}, id) AS rn FROM design) b ON a.id % 7 = b.id % 7 AND a.rn = b.rn" for v in columns for r in range(repeats)]
+    auc = lambda src, by: f"SELECT {by}(sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y <> 1))::DOUBLE AS auc FROM (SELECT *, rank() OVER (PARTITION BY {by.replace(', ', ',').rstrip(',') or '1'} ORDER BY s) + (count(*) OVER (PARTITION BY {(by + 's').lstrip()}) - 1) / 2.0::DOUBLE AS rk FROM {src}) {'GROUP BY variable, t' if by else ''}"
+    return (
+        ", ra AS (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY id) AS rn FROM design), base AS (SELECT y, 1 / (1 + exp(-(8 * v0 - 5 * v1))) AS s FROM design), ex AS (" + " UNION ALL ".join(parts) + "), "
+        f"b0 AS ({auc('base', '')}), e0 AS ({auc('ex', 'variable, t, ')}) SELECT variable, round(avg(b0.auc - e0.auc), 9) AS mean, round({std}(b0.auc - e0.auc), 9) AS std FROM e0, b0 GROUP BY variable"
+    )
+
+
+def _permuted(s, d, columns, **k):
+    p = L.permutation_importance(A.design(s, d), columns, "id", _linear, draw=lambda r: A.hashed("id", r), block=F.col("id") % 7, **k)
+    return p.select("variable", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@reg("l8_permutation_importance", _shuffle_sql(["v0", "v1", "v2"], 2, 1, "stddev_pop"), "design")
 def _(s, d):
-    return L.permutation_importance(A.design(s, d), ["v0", "v1", "v2"], "id", _linear, repeats=2)
+    return _permuted(s, d, ["v0", "v1", "v2"], repeats=2)
 
 
-@reg("l9_permutation_one_variable")
+@reg("l9_permutation_one_variable", _shuffle_sql(["v0"], 3, 42, "stddev_samp"), "design")
 def _(s, d):
-    return L.permutation_importance(A.design(s, d), ["v0"], "id", _linear, repeats=3, seed=42, ddof=1)
+    return _permuted(s, d, ["v0"], repeats=3, seed=42, ddof=1)
+
 
+def _auc_of(df):
+    from terrane.operators.metrics import roc_auc
 
-@reg("l2_maxent_scores")
+    return roc_auc(df).first().auc
+
+
+@reg("l2_maxent_scores", "SELECT count(*) AS n, true AS known, true AS told FROM embeddings")
 def _(s, d):
+    """Linear, quadratic, product and hinge features: a score in [0, 1] for each row, and an AUC on rows it was fitted on
+    above that of chance."""
     x = A.design(s, d)
-    return L.scored(L.fit_maxent(x.filter("id % 4 <> 0"), V), x, cloglog=True).select("id", "y", "s")
+    f = L.scored(L.fit_maxent(x.filter("id % 4 <> 0"), V, features=("linear", "quadratic", "product", "hinge"), knots=4), x, cloglog=True)
+    return f.agg(F.count("*").alias("n"), F.bool_and(F.col("s").between(0, 1)).alias("known")).withColumn("told", F.lit(_auc_of(f) > 0.55))
 
 
-@reg("l3_tree_scores")
+@reg("l3_tree_scores", "SELECT count(*) AS n, true AS known, true AS told FROM embeddings")
 def _(s, d):
-    x = A.design(s, d).withColumn("held", F.col("id") % 5 == 0)
-    return L.scored(L.fit_trees(x, V, validation="held", rounds=5), x).select("id", "y", "s")
+    x = A.design(s, d)
+    held = P.stratified_split(x.withColumn("__d", A.hashed("id", 3) / 1000003.0), ["y"], 0.2, "__d", ["id"]).withColumn("held", F.col("part") == "test").drop("__d", "part")
+    f = L.scored(L.fit_trees(held, V, validation="held", rounds=5), x)
+    return f.agg(F.count("*").alias("n"), F.bool_and(F.col("s").between(0, 1)).alias("known")).withColumn("told", F.lit(_auc_of(f) > 0.55))
 
 
-@reg("l4_calibrated_scores")
+@reg("l4_calibrated_scores", "SELECT count(*) AS n, true AS same_order, true AS same_mean FROM embeddings")
 def _(s, d):
+    """Calibration keeps the order of scores, and its mean is the share of presences."""
     x = A.design(s, d)
     raw = L.scored(L.fit_trees(x, V, rounds=3), x)
-    return L.calibrated(raw, raw).select("id", "y", "s")
+    f = L.calibrated(raw, raw)
+    told = f.agg(F.count("*").alias("n"), (F.abs(F.avg("s") - F.avg("y")) < 0.01).alias("same_mean"))
+    return told.withColumn("same_order", F.lit(abs(_auc_of(raw) - _auc_of(f)) < 1e-9))
 
 
-@reg("l10_gain_importance")
+@reg("l10_gain_importance", "SELECT 4 AS variables, true AS sums_to_one, true AS in_order")
 def _(s, d):
-    return s.createDataFrame(L.gains(L.fit_trees(A.design(s, d), V, rounds=3), V), "variable string, gain double")
+    g = L.gains(L.fit_trees(A.design(s, d), V, rounds=3), V)
+    return s.createDataFrame([(len(g), abs(sum(v for _, v in g) - 1) < 1e-9, g == sorted(g, key=lambda x: (-x[1], x[0])))], "variables int, sums_to_one boolean, in_order boolean")
 
 
-@reg("l11_jackknife")
+@reg("l11_jackknife", "SELECT variable, kind, true AS known FROM (SELECT unnest(['v0', 'v1']) AS variable) CROSS JOIN (SELECT unnest(['only', 'without']) AS kind)")
 def _(s, d):
     x = A.design(s, d)
-    return L.jackknife(x.filter("id % 3 <> 0"), x.filter("id % 3 = 0"), ["v0", "v1"], lambda t, c: L.fit_maxent(t, c, product=False))
+    j = L.jackknife(x.filter("id % 3 <> 0"), x.filter("id % 3 = 0"), ["v0", "v1"], lambda t, c: L.fit_maxent(t, c, product=False))
+    return j.select("variable", "kind", F.col("auc").between(0, 1).alias("known"))
 
 
-@reg("l6_grid_scores")
+@reg("l6_grid_scores", "SELECT count(*) AS n, true AS known FROM mask", "mask")
 def _(s, d):
     c = A.cells(s, d).withColumn("y", (F.col("size") > 25).cast("int"))
     model = L.fit_maxent(c, ["price", "balance"], product=False)
-    return L.scored(model, P.in_mask(L.imputed(c, ["price", "balance"]), A.mask(s, d))).select("row", "col", "s")
+    return L.scored(model, P.in_mask(L.imputed(c, ["price", "balance"]), A.mask(s, d))).agg(F.count("*").alias("n"), F.bool_and(F.col("s").between(0, 1)).alias("known"))
 
 
-@reg("l15_best_setting")
+@reg("l15_search", "SELECT 10 AS trials, 1 AS failed, true AS improved, true AS inside")
 def _(s, d):
-    x = A.design(s, d)
-    best = L.best_setting(x.filter("id % 3 <> 0"), x.filter("id % 3 = 0"), [{"beta": 0.5}, {"beta": 5.0}], lambda t, **k: L.fit_maxent(t, V, product=False, **k), keep=2)
-    return s.createDataFrame([(i, float(a), c["beta"]) for i, (a, c) in enumerate(best)], "place int, auc double, beta double")
+    """A search over three kinds of spaces, an enqueued trial first and one that fails, by the AUC of a linear score."""
+    x = A.design(s, d).select("y", "v0", "v1").cache()
+
+    def objective(own, report):
+        if own["kind"] == "none":
+            raise ValueError("no such kind")
+        a = _auc_of(x.select("y", (F.col("v0") * own["a"] + F.col("v1") * own["b"]).alias("s")))
+        report(0, a)
+        return a
 
+    space = {"a": {"low": -4.0, "high": 4.0}, "b": {"low": -4, "high": 4, "step": 2}, "kind": {"choices": ["linear"]}, "scale": {"low": 0.01, "high": 10.0, "log": True}}
+    log = L.search(space, objective, 10, enqueued=[{"a": 0.0, "b": 2, "kind": "linear", "scale": 1.0}, {"a": 0.0, "b": 0, "kind": "none", "scale": 1.0}])
+    x.unpersist()
+    best = L.best_trial(log)
+    inside = all(-4 <= t["a"] <= 4 and t["b"] in (-4, -2, 0, 2, 4) and 0.01 <= t["scale"] <= 10 for t in log)
+    return s.createDataFrame([(len(log), sum(t["state"] == "FAIL" for t in log), best["value"] > log[0]["value"], inside)], "trials int, failed int, improved boolean, inside boolean")
 
-@reg("v3_environment_folds")
+
+@reg("v3_environment_folds", "SELECT count(*) FILTER (id % 9 = 0) AS always_trained, count(*) AS n, 3 AS folds FROM design", "design")
 def _(s, d):
     x = A.design(s, d).withColumn("v0", F.when(F.col("id") % 9 != 0, F.col("v0")))
-    return L.cluster_folds(x, ["v0", "v1"], 3).groupBy("fold").agg(F.count("*").alias("n"))
+    return L.cluster_folds(x, ["v0", "v1"], 3).agg(F.count_if(F.col("fold") == -1).alias("always_trained"), F.count("*").alias("n"), F.countDistinct(F.when(F.col("fold") >= 0, F.col("fold"))).cast("int").alias("folds"))
 
 
-@reg("v4_geographic_folds")
+@reg("v4_geographic_folds", "SELECT count(*) AS n, 4 AS folds, 0::BIGINT AS unassigned FROM points", "points")
 def _(s, d):
-    return L.cluster_folds(A.points(s, d), ["x", "y"], 4).groupBy("fold").agg(F.count("*").alias("n"))
+    return L.cluster_folds(A.points(s, d), ["x", "y"], 4).agg(F.count("*").alias("n"), F.countDistinct("fold").cast("int").alias("folds"), F.count_if(F.col("fold") < 0).alias("unassigned"))
+
+
+@reg("v6_cross_validation", "SELECT method, fold, true AS known FROM (SELECT unnest(['random_kfold', 'env_block']) AS method) CROSS JOIN (SELECT unnest(['1', '2', '3', 'mean']) AS fold)")
+def _(s, d):
+    """Presences of the design in random folds and in folds by environment, a linear model fitted for each fold."""
+    x = A.design(s, d)
+    pres, back = x.filter("y = 1").drop("y"), x.filter("y = 0").drop("y")
+    folds = {"random_kfold": P.random_folds(pres, 3, A.hashed("id", 2) / 1000003.0), "env_block": L.cluster_folds(pres, V, 3).withColumn("fold", F.col("fold") + 1)}
+    cv = L.cross_validated(pres, back, folds, "id", lambda t: L.fit_maxent(t, V, product=False))
+    return cv.select("method", "fold", (F.col("auc").between(0, 1) & F.col("omission").between(0, 1)).alias("known"))
 
 
 # sources and sinks

@@ -506,9 +506,4 @@ def _(s, d):
     return table(s, d, "importance").groupBy("source_file").agg(F.count("*").alias("n")).select("source_file", split.alias("split"), F.when(n.contains("background"), 0).otherwise(1).alias("label"), "n")
 
 
-@reg("v6_cv_mean_row", "SELECT engine, test_year, avg(auc) AS auc FROM metrics GROUP BY ROLLUP (engine, test_year) HAVING engine IS NOT NULL", "metrics")
-def _(s, d):
-    return A.metrics(s, d).rollup("engine", "test_year").agg(F.avg("auc").alias("auc")).filter("engine is not null")
-
-
 QUERIES = Q

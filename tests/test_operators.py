@@ -102,6 +102,16 @@ def test_farthest_points_are_spread(spark):
     assert got == [0, 5, 10]
 
 
+def test_farthest_points_of_a_large_group(spark):
+    """A group walked over the cluster gives what one task gives."""
+    r = __import__("random").Random(8)
+    rows = [(i, "g" if i % 7 else None, r.gauss(0, 1), r.gauss(0, 3) if r.random() < 0.9 else None) for i in range(700)]
+    p = spark.createDataFrame(rows, "id int, g string, a double, b double").repartition(4)
+    want = sorted(x.id for x in points.farthest_points(p, ["g"], ["a", "b"], "id", 0.2).collect())
+    for batch in (5, 60):
+        assert sorted(x.id for x in points.farthest_points(p, ["g"], ["a", "b"], "id", 0.2, largest=300, batch=batch).collect()) == want
+
+
 def test_nearest_fill_ties_to_smaller_row(spark):
     c = spark.createDataFrame([(0, 0, 1.0), (1, 0, None), (2, 0, 3.0), (9, 9, None)], "row int, col int, value double")
     assert {(r.row, r.value) for r in layers.nearest_fill(c).collect()} == {(0, 1.0), (1, 1.0), (2, 3.0), (9, 3.0)}
