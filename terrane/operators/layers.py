@@ -52,6 +52,12 @@ def of_year(layers: DataFrame, year: int, always: Sequence[str] = ("mask",)) ->
     return layers.filter(y.isNull() | (y == year) | F.col("layer").isin(*always))
 
 
+def of_reference_year(layers: DataFrame, year: int) -> DataFrame:
+    """Layers of land cover (with _class in their name after the year), of that year, or without a year."""
+    y = layer_year("layer")
+    return layers.filter(F.contains("layer", F.lit("_class")) | y.isNull() | (y == year))
+
+
 def without_rules(layers: DataFrame, rules: DataFrame) -> DataFrame:
     """Layers that no rule (layer, action) drops; actions are compared in lower case."""
     return layers.join(rules.filter(F.lower("action") == "drop").select("layer"), "layer", "left_anti")

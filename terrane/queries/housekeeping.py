@@ -12,10 +12,12 @@ from terrane.operators import collinear as C
 from terrane.operators import layers as L
 from terrane.operators import novelty as N
 from terrane.operators import points as P
+from terrane.operators import runs as T
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
 from terrane.plans import config
 from terrane.session import scratch, table
+from terrane.sources import inventory as V
 from terrane.sources import sinks as K
 from terrane.sources import tables as R
 
@@ -32,11 +34,13 @@ def reg(name, body=None, *needs, also=""):
     return add
 
 
-@reg("s10_expected_layers", "SELECT source_file, count(*) AS n FROM importance WHERE regexp_matches(source_file, 'winter') GROUP BY source_file")
+@reg("s10_expected_layers", "SELECT DISTINCT regexp_extract(source_file, '([^/]*)/permutation_importance.csv$', 1) || '_permutation_importance' AS stem FROM importance WHERE regexp_matches(source_file, '^outputs/[^/]*/winter_multitemporal_(gbm|elapid)_test_(2019|2020|2021)/permutation_importance.csv$')")
 def _(s, d):
-    i = table(s, d, "importance")
-    expected = i.select("source_file").distinct().filter(F.col("source_file").rlike("winter"))
-    return i.join(expected, "source_file", "left_semi").groupBy("source_file").agg(F.count("*").alias("n"))
+    """Of the files of all runs and years that a template names, those there are, by stem with the run before it."""
+    i = table(s, d, "importance").select(F.col("source_file").alias("path")).distinct()
+    runs = [r[0] for r in table(s, d, "importance").select("meta_run").distinct().collect()]  # the run table's few runs
+    pattern = "outputs/{run}/{season_lower}_multitemporal_{engine}_test_{year}/permutation_importance.csv"
+    return V.expected_layers(i.withColumn("path", F.replace("path", F.lit("/permutation_importance"), F.lit("_permutation_importance"))), [pattern.replace("/permutation", "_permutation")], {"run": runs, "season": ["Winter"], "engine": ["gbm", "elapid"], "year": [2019, 2020, 2021]})
 
 
 @reg("s12_settings", "SELECT * FROM (VALUES ('a.b', '1'), ('a.c', '[1, 2]'), ('root', '\"/data\"'), ('path', '\"/data/x_${other}\"')) t(path, value)")
@@ -55,16 +59,16 @@ def _(s, d):
     return L.resampled(A.mask(s, d), 0.5, [])
 
 
-@reg("s25_yearly_inventory", "SELECT y AS year, count(record_id) AS n, count(record_id) > 0 AS present FROM (SELECT unnest(range(2015, 2027))::INT AS y) LEFT JOIN importance ON test_year = y GROUP BY y")
+@reg("s25_yearly_inventory", "WITH y AS (SELECT unnest(range(2015, 2027))::INT AS year), w AS (SELECT year, 'outputs/meta_run_02/summer_monotemporal_elapid_test_' || year || '/permutation_importance.csv' AS p FROM y) SELECT year, p IN (SELECT source_file FROM importance) AS present, year = 2020 AS configured, true AS found FROM w")
 def _(s, d):
-    years = s.range(2015, 2027).select(F.col("id").cast("int").alias("year"))
-    n = table(s, d, "importance").groupBy(F.col("test_year").alias("year")).agg(F.count("record_id").alias("n"))
-    return years.join(n, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("n") > 0, F.lit(False)).alias("present"))
+    i = table(s, d, "importance").select(F.col("source_file").alias("path")).distinct()
+    one = "outputs/meta_run_02/summer_monotemporal_elapid_test_{year}/permutation_importance.csv"
+    return V.yearly(i, one, range(2015, 2027), [one.format(year=2020)]).select("year", "present", "configured", (F.col("found").isNotNull()).alias("found"))
 
 
-@reg("s26_run_directories", "SELECT DISTINCT test_year, lower(trim(engine)) AS engine FROM importance WHERE test_year IS NOT NULL AND engine IS NOT NULL")
+@reg("s26_run_directories", "SELECT DISTINCT regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder, nullif(regexp_extract(n, '(summer|winter)', 1), '') AS season, nullif(regexp_extract(n, '(mono|multi)temporal', 1), '') AS temporal, nullif(regexp_extract(n, '(elapid|maxent|gbm)', 1), '') AS engine, nullif(regexp_extract(n, 'test_([0-9]{4})', 1), '')::INT AS test_year FROM (SELECT source_file, lower(regexp_extract(source_file, '([^/]+)/[^/]*$', 1)) AS n FROM importance)")
 def _(s, d):
-    return table(s, d, "importance").select("test_year", X.folded("engine").alias("engine")).dropna().distinct()
+    return V.run_folders(table(s, d, "importance"), "source_file")
 
 
 @reg("s27_domain_columns", "SELECT row, col, size::DOUBLE AS bio_size, balance AS era5_balance FROM mask JOIN cells USING (row, col)", "mask")
@@ -77,8 +81,12 @@ def _(s, d):
 
 @reg("s20_importance_union", "SELECT lower(trim(scenario)) AS scenario, variable, count(*) AS n, sum(importance_mean) FILTER (isfinite(importance_mean)) AS total FROM importance WHERE scenario IS NOT NULL GROUP BY ALL")
 def _(s, d):
-    i = R.alias(table(s, d, "importance").withColumnRenamed("importance_mean", "Importance"), "importance").withColumn("v", L.known("importance"))
-    return i.filter("scenario is not null").groupBy(X.folded("scenario").alias("scenario"), "variable").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    """Tables of separate runs, whose columns have other names and orders, by name; a value that is no number is null."""
+    i = table(s, d, "importance").filter("scenario is not null")
+    newer = i.filter("temporal = 'monotemporal'").select("scenario", "variable", F.col("importance_mean").alias("Importance"))
+    older = i.filter("temporal is null or temporal <> 'monotemporal'").select(F.col("importance_mean").cast("string").alias("IMPORTANCE_MEAN"), "variable", "scenario")
+    u = R.united([R.alias(newer, "value", "importance").drop("Importance"), R.alias(older, "value", "importance_mean").drop("IMPORTANCE_MEAN")])
+    return u.withColumn("v", X.finite("value")).groupBy(X.folded("scenario").alias("scenario"), "variable").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 @reg("k5_json_round_trip", "SELECT count(*) AS n, sum(auc) AS auc FROM metrics", "metrics")
@@ -91,7 +99,11 @@ def _(s, d):
 
 @reg("k13_trial_log", "SELECT run_id AS number, CASE WHEN auc IS NULL THEN 'failed' ELSE 'success' END AS status, auc AS value FROM metrics", "metrics")
 def _(s, d):
-    return A.metrics(s, d).select(F.col("run_id").alias("number"), F.when(F.col("auc").isNull(), "failed").otherwise("success").alias("status"), F.col("auc").alias("value"))
+    """A log that grows: trials of a run are appended, and once more after a restart, without a trial twice."""
+    path = scratch(s)
+    m = A.metrics(s, d).select(F.col("run_id").alias("number"), F.when(F.col("auc").isNull(), "failed").otherwise("success").alias("status"), F.col("auc").alias("value"))
+    K.append_new(m.filter("number % 3 = 0"), path, ["number"])
+    return K.append_new(m, path, ["number"])
 
 
 @reg("k14_name_file", "SELECT DISTINCT variable AS value FROM importances", "importances")
@@ -198,16 +210,15 @@ def _(s, d):
     return A.design(s, d).withColumn("eta", F.col("v0") * 2).select("id", X.cloglog("eta").alias("s"))
 
 
-@reg("l18_sweep_grid", "SELECT a AS season, b AS cutoff, c AS strategy FROM (SELECT unnest(['summer', 'winter']) AS a), (SELECT unnest([0.7::DOUBLE, 0.9::DOUBLE]) AS b), (SELECT unnest(['density', 'urban']) AS c)")
+@reg("l18_sweep_grid", ", m AS (SELECT DISTINCT season FROM metrics), y AS (SELECT DISTINCT test_year FROM metrics) SELECT season, test_year, cutoff, strategy FROM m, y, (SELECT unnest([0.7::DOUBLE, 0.9::DOUBLE]) AS cutoff), (SELECT unnest(['density', 'urban']) AS strategy)", "metrics")
 def _(s, d):
-    grid = s.createDataFrame([(x,) for x in ("summer", "winter")], "season string")
-    return grid.select("season", F.explode(F.array(F.lit(0.7), F.lit(0.9))).alias("cutoff")).select("*", F.explode(F.array(F.lit("density"), F.lit("urban"))).alias("strategy"))
+    """Every combination of seasons and years that the runs have with cutoffs and strategies."""
+    return T.expected(A.metrics(s, d), {"cutoff": [0.7, 0.9], "strategy": ["density", "urban"]}, "season", "test_year")
 
 
-@reg("l19_special_predictor", "SELECT 'hunting_bag' AS variable")
+@reg("l19_special_predictor", "SELECT DISTINCT variable FROM importance WHERE regexp_matches(lower(variable), 'hunting|hunt|tableau')")
 def _(s, d):
-    v = s.createDataFrame([("bio01",), ("hunting_bag",), ("elevation",)], "variable string").filter(F.lower("variable").rlike("hunting|hunt|tableau"))
-    return v.withColumn("n", F.count("*").over(W.partitionBy(F.lit(0)))).filter(F.assert_true(F.col("n") == 1).isNull()).select("variable")
+    return T.sole(table(s, d, "importance"), "variable", "hunting|hunt|tableau")
 
 
 @reg("r8_flattened", "SELECT * FROM (VALUES ('a.b.c', '1'), ('a.d', '[1, 2]'), ('e', 'null')) t(path, value)")
@@ -215,14 +226,15 @@ def _(s, d):
     return config.as_table(s, {"a": {"b": {"c": 1}, "d": [1, 2]}, "e": None})
 
 
-@reg("r12_audit", "SELECT scenario, count(DISTINCT test_year) AS years, string_agg(DISTINCT split, ' | ' ORDER BY split) AS splits, count(*) FILTER (auc IS NULL) AS unknown FROM metrics GROUP BY scenario", "metrics")
+@reg("r12_audit", ", g AS (SELECT scenario, list_sort(list(DISTINCT test_year)) AS years, count(*) FILTER (auc IS NULL) AS unsound, count(auc) FILTER (engine = 'gbm') AS gbm, count(auc) FILTER (engine = 'elapid') AS elapid FROM metrics GROUP BY scenario), m AS (SELECT *, list_filter(range(1992, 2002), lambda y: NOT list_contains(years, y)) AS missing FROM g) SELECT scenario, years, missing, gbm, elapid, concat_ws(' | ', CASE WHEN len(missing) > 0 THEN 'missing years: ' || array_to_string(missing, ', ') END, CASE WHEN unsound > 0 THEN unsound || ' unsound runs' END) AS issues FROM m", "metrics")
 def _(s, d):
-    return A.metrics(s, d).groupBy("scenario").agg(F.countDistinct("test_year").alias("years"), F.array_join(F.array_sort(F.collect_set("split")), " | ").alias("splits"), F.count_if(F.col("auc").isNull()).alias("unknown"))
+    return T.audited(A.metrics(s, d), "scenario", "engine", "test_year", range(1992, 2002), F.col("auc").isNotNull()).select("scenario", "years", "missing", F.col("maps.gbm").alias("gbm"), F.col("maps.elapid").alias("elapid"), "issues")
 
 
-@reg("r15_duplicate_contents", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY hash HAVING count(*) > 1")
+@reg("r15_duplicate_contents", "SELECT sha256(text) AS sha256, count(*) AS n, min(concat_ws('.', doc_id, lang)) AS first, count(*) FILTER (lower(lang) IN ('fr', 'de')) AS forbidden, count(*) FILTER (regexp_matches(text, '(?m)^(<{7}|>{7})( |$)')) AS conflicts FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
-    return table(s, d, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    f = V.hygiene(table(s, d, "documents").filter("text is not null").select(F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("path"), F.col("text").alias("content")), ["fr", "de"])
+    return f.groupBy("sha256").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.count_if("forbidden").alias("forbidden"), F.count_if("conflict").alias("conflicts")).filter("n > 1")
 
 
 @reg("r19_settings_off", "SELECT event_id FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') = '7'")
@@ -230,25 +242,27 @@ def _(s, d):
     return config.flags_in_json(table(s, d, "events"), "props", {"k": "$.k"}).filter("event_type = 'view' and k = '7'").select("event_id")
 
 
-@reg("r21_run_checks", "SELECT 'complete' AS check, bool_and(n = 3) AS passed FROM (SELECT count(DISTINCT split) AS n FROM metrics GROUP BY scenario, engine) UNION ALL SELECT 'known', count(*) FILTER (scenario IS NULL) = 0 FROM metrics", "metrics")
+@reg("r21_run_checks", ", n AS (SELECT scenario, engine, count(DISTINCT split) AS splits, count(DISTINCT test_year) AS years, count(*) FILTER (auc IS NULL) AS unknown, count(*) FILTER (auc NOT BETWEEN 0 AND 1) AS outside FROM metrics GROUP BY ALL) SELECT unnest(['registered', 'splits', 'years', 'in_range', 'all_known', 'has_runs']) AS check, unnest([count(*) FILTER (scenario IS NULL OR engine IS NULL) = 0, bool_and(splits = 3), bool_and(years = 7), sum(outside) = 0, sum(unknown) = 0, count(*) > 0]) AS passed FROM n", "metrics")
 def _(s, d):
+    """Registry, completeness, flags and artifacts of the run table as one list of checks."""
     m = A.metrics(s, d)
-    n = m.groupBy("scenario", "engine").agg(F.countDistinct("split").alias("n"))
-    return U.checks(n, {"complete": F.bool_and(F.col("n") == 3), "known": F.count_if(F.col("scenario").isNull()) == 0})
+    n = m.groupBy("scenario", "engine").agg(F.countDistinct("split").alias("splits"), F.countDistinct("test_year").alias("years"), F.count_if(F.col("auc").isNull()).alias("unknown"), F.count_if(~F.col("auc").between(0, 1)).alias("outside"))
+    return U.checks(n, {"registered": F.count_if(F.col("scenario").isNull() | F.col("engine").isNull()) == 0, "splits": F.bool_and(F.col("splits") == 3), "years": F.bool_and(F.col("years") == 7), "in_range": F.sum("outside") == 0, "all_known": F.sum("unknown") == 0, "has_runs": F.count("*") > 0})
 
 
-@reg("c9_reference_year", "SELECT * FROM (VALUES ('2018_class1_X'), ('2019_ndvi'), ('bio01')) t(layer)")
+@reg("c9_reference_year", "SELECT DISTINCT test_year || '_' || variable AS layer FROM importance WHERE test_year IS NOT NULL AND variable IS NOT NULL AND (contains('_' || variable, '_class') OR test_year = 2020) UNION ALL SELECT DISTINCT variable FROM importance WHERE variable IS NOT NULL AND test_year IS NOT NULL")
 def _(s, d):
-    l = s.createDataFrame([("2018_class1_X",), ("2018_ndvi",), ("2019_ndvi",), ("bio01",)], "layer string")
-    y = L.layer_year("layer")
-    return l.filter(F.contains("layer", F.lit("_class")) | y.isNull() | (y == 2019))
+    """Layers of all years of the stack: land cover, the reference year's and those without a year stay."""
+    y = table(s, d, "importance").select("variable", "test_year").dropna().distinct()
+    l = y.select(F.concat_ws("_", F.col("test_year").cast("string"), "variable").alias("layer")).unionByName(y.select(F.col("variable").alias("layer")).distinct())
+    return L.of_reference_year(l, 2020)
 
 
-@reg("c12_predictor_preflight", ", h AS (SELECT meta_run, combo, list_sort(list(DISTINCT variable)) AS v FROM importances GROUP BY ALL) SELECT meta_run, combo, len(v) AS n, len(list_filter(['var_1', 'var_2', 'var_99'], lambda x: NOT list_contains(v, x))) AS missing FROM h", "importances")
+@reg("c12_predictor_preflight", "WITH w AS (SELECT list_sort(predictors) AS w FROM training_context WHERE context_id = 1), h AS (SELECT scenario, test_year, list(DISTINCT variable) AS v FROM importance WHERE scenario IS NOT NULL AND test_year IS NOT NULL AND variable IS NOT NULL GROUP BY ALL) SELECT scenario, test_year, len(v) AS n, array_to_string(list_filter(w, lambda x: NOT list_contains(v, x)), ', ') AS removed, len(list_filter(w, lambda x: NOT list_contains(v, x))) = 0 AS passed FROM h, w")
 def _(s, d):
-    h = A.importances(s, d).groupBy("meta_run", "combo").agg(F.collect_set("variable").alias("v"))
-    want = F.array(*[F.lit(v) for v in ("var_1", "var_2", "var_99")])
-    return h.select("meta_run", "combo", F.size("v").cast("bigint").alias("n"), F.size(F.array_except(want, "v")).cast("bigint").alias("missing"))
+    want = table(s, d, "training_context").filter("context_id = 1").select(F.explode("predictors").alias("variable"))
+    i = table(s, d, "importance").filter("scenario is not null and test_year is not null")
+    return T.preflight(i, ["scenario", "test_year"], "variable", want).select("scenario", "test_year", "n", F.array_join("removed", ", ").alias("removed"), "passed")
 
 
 @reg("c1_vif_wide")
@@ -258,14 +272,14 @@ def _(s, d):
     return s.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(names, C.vif(*sums, intercept=False), C.vif(*sums, intercept=True))], "variable string, uncentred double, centred double")
 
 
-@reg("n2_similarity", "SELECT * FROM (VALUES (-1.0::DOUBLE, -10.0::DOUBLE), (2.0, 40.0), (9.0, 20.0), (12.0, -20.0)) t(v, score)")
+@reg("n2_similarity", ", x AS (SELECT DISTINCT price * 1.5 - 300 AS v FROM cells), r AS (SELECT price AS v, count(*) AS n FROM cells WHERE size % 3 <> 0 GROUP BY price), e AS (SELECT min(v) AS lo, max(v) AS hi, sum(n) AS t FROM r), c AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto FROM r), f AS (SELECT x.v, coalesce(upto, 0) / t::DOUBLE AS f, lo, hi FROM x CROSS JOIN e ASOF LEFT JOIN c ON x.v >= c.v) SELECT v AS value, round(CASE WHEN v < lo THEN 100 * (v - lo) / (hi - lo) WHEN v > hi THEN 100 * (hi - v) / (hi - lo) WHEN f <= 0.5 THEN 200 * f ELSE 200 * (1 - f) END, 9) AS score FROM f", "cells")
 def _(s, d):
-    ref = N.reference(s.range(1, 11).select(F.col("id").cast("double").alias("v")).unionByName(s.createDataFrame([(0.0,)], "v double").limit(0)), ["v"])
-    x = s.createDataFrame([(-1.0,), (2.0,), (9.0,), (12.0,)], "v double")
-    marks = N.cumulative(ref)
-    ends = marks.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("total").alias("total"))
-    upto = x.join(marks, x.v >= marks.value, "left").groupBy("v").agg(F.coalesce(F.max("upto"), F.lit(0)).alias("upto"))
-    return upto.join(ends).select("v", F.round(N.similarity(F.col("v"), F.col("upto"), F.col("total"), F.lit(0.0), F.lit(10.0)), 9).alias("score"))
+    """The price of every cell against the reference's, each distinct value ranked once."""
+    from terrane.queries.modelling import _novel
+
+    g, tr = _novel(s, d)
+    ranked = N.counted(N.reference(tr, ["price"]), g.select(F.lit("price").alias("variable"), F.col("price").cast("double").alias("value")))
+    return ranked.select("value", F.round(N.similarity(F.col("value"), F.col("upto"), F.col("total"), F.col("low"), F.col("high")), 9).alias("score"))
 
 
 @reg("n4_distance", ", m AS (SELECT avg(v0) AS a, avg(v1) AS b, var_samp(v0) AS p, var_samp(v1) AS q, covar_samp(v0, v1) AS c FROM design) SELECT id, round((q * (v0 - a) ** 2 - 2 * c * (v0 - a) * (v1 - b) + p * (v1 - b) ** 2) / (p * q - c * c), 6) AS d2 FROM design, m", "design")
@@ -285,14 +299,45 @@ def _(s, d):
     return S.distribution(A.importances(s, d), ["variable"], "value").select("variable", "q1", "q3")
 
 
-@reg("k6_table_bundle", "SELECT count(*) AS n FROM subjects")
+@reg("k6_table_bundle", "SELECT k AS kind, subject, description FROM subjects, (SELECT unnest(['csv', 'tsv']) AS k) UNION ALL SELECT kind, NULL, NULL FROM (VALUES ('md'), ('tex')) t(kind)")
+def _(s, d):
+    """A table in four forms, of which the delimited ones are read back and the others counted."""
+    path = scratch(s)
+    t = table(s, d, "subjects").select("subject", "description")
+    K.bundle(t, path)
+    read = lambda k, sep: s.read.option("header", True).option("sep", sep).option("escape", '"').csv(f"{path}/{k}").select(F.lit(k).alias("kind"), "subject", "description")
+    lines = lambda k: s.read.text(f"{path}/{k}").agg(F.count("*").alias("n")).join(t.agg(F.count("*").alias("m"))).filter("n = m").select(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("description"))
+    return read("csv", ",").unionByName(read("tsv", "\t")).unionByName(lines("md")).unionByName(lines("tex"))
+
+
+@reg("k7_text_replaced", "SELECT 'two' AS value")
+def _(s, d):
+    """A text file that is replaced is always the old or the new one."""
+    path = f"{scratch(s)}/note.txt"
+    K.write_text(s, path, "one\n")
+    K.write_text(s, path, "two\n")
+    return s.read.text(path)
+
+
+@reg("k12_archive", "SELECT count(*) FILTER (n_chars <= 1000) AS members, true AS sound, count(*) FILTER (coalesce(n_chars, 0) > 1000) AS left_out FROM documents WHERE text IS NOT NULL")
 def _(s, d):
+    """Texts of a limited size as an archive, whose members are read back and compared by their hash."""
     path = scratch(s)
-    t = table(s, d, "subjects")
-    t.write.option("header", True).csv(f"{path}/csv")
-    t.write.option("header", True).option("sep", "\t").csv(f"{path}/tsv")
-    K.markdown(t).write.text(f"{path}/md")
-    return s.read.option("header", True).csv(f"{path}/csv").agg(F.count("*").alias("n"))
+    f = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"), F.col("text").alias("content"))
+    left = K.write_archive(f, path, 1000)
+    sound = K.archive_checked(s, path)
+    return sound.agg(F.count("*").alias("members"), F.bool_and("sound").alias("sound")).join(left.agg(F.count("*").alias("left_out")))
+
+
+@reg("n9_season_years", "SELECT season, list_sort(list(DISTINCT test_year)) AS years FROM (SELECT lower(regexp_extract(source_file, '(summer|winter)_[a-z]*_[a-z]*_test_', 1)) AS season, regexp_extract(source_file, 'test_([0-9]{4})', 1)::INT AS test_year FROM importance) GROUP BY season")
+def _(s, d):
+    return V.season_years(V.run_folders(table(s, d, "importance"), "source_file"))
+
+
+@reg("g4_counts", ", t AS (SELECT source, year, count(DISTINCT (floor(x / 20000), floor(y / 20000))) AS n FROM points GROUP BY ALL) SELECT source, year, greatest(1, floor(n * 0.5::DOUBLE))::BIGINT AS n FROM t", "points")
+def _(s, d):
+    p = P.thinned_to_grid(P.placed(A.points(s, d)), 20, [A.hashed("id", 7), "id", "x", "y", "year", "quantity"], ["source", "year"])
+    return P.farthest_points(p.select("id", "source", "year", "x", "y"), ["source", "year"], ["x", "y"], "id", 0.5).groupBy("source", "year").agg(F.count("*").alias("n"))
 
 
 @reg("p5_regions_by_cell", "SELECT 'west' AS region, count(*) AS n FROM points WHERE x >= 100000 AND x < 130000 AND y >= 7030000 AND y < 7100000 UNION ALL SELECT 'north', count(*) FROM points WHERE x >= 110000 AND x < 160000 AND y >= 7060000 AND y < 7110000", "points")
@@ -316,14 +361,24 @@ def _(s, d):
     return s.createDataFrame([(x,) for x in found], "path string")
 
 
-@reg("s11_point_file", """SELECT count(*) AS n FROM presence WHERE isfinite("dd long") AND isfinite("dd lat")""")
+@reg("s11_point_file", """SELECT count(*) AS n, sum("dd long") AS x, sum(occ_id)::BIGINT AS ids FROM presence WHERE isfinite("dd long") AND isfinite("dd lat")""")
 def _(s, d):
-    return R.read_points(s, f"{d}/presence.parquet", "parquet").agg(F.count("*").alias("n"))
+    """Points written as features, one a line, and read back."""
+    path = scratch(s)
+    p = R.located(table(s, d, "presence")).select("occ_id", "x", "y", "source")
+    f = p.select(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"), F.struct("occ_id", "source").alias("properties"))
+    f.write.json(path)
+    return V.read_geojson(s, path, {"occ_id": "bigint", "source": "string"}, lines=True).agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("occ_id").alias("ids"))
 
 
-@reg("s17_caption_flags", r"SELECT source, count(*) FILTER (regexp_matches(text, '(?i)(^|\n)\s*(figure|table|photographs)\b')) AS captions FROM documents GROUP BY source")
+@reg("s17_caption_flags", r"WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM documents WHERE text IS NOT NULL) SELECT count(*) FILTER (regexp_matches(line, '(?i)^\s*(figure|table|photographs)\b')) AS captions, count(*) FILTER (regexp_matches(line, '(?i)hunt')) AS hunting FROM l")
 def _(s, d):
-    return table(s, d, "documents").groupBy("source").agg(F.count_if(F.col("text").rlike(r"(?i)(^|\n)\s*(figure|table|photographs)\b")).alias("captions"))
+    """All texts as files of one folder, read as binary: lines that begin with a caption's word, and those that name hunting."""
+    path = scratch(s)
+    table(s, d, "documents").filter("text is not null").repartition(8, "doc_id").select("text").write.text(path, lineSep="\x1e\n")
+    files = s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    f = V.text_flags(files, {"captions": r"(?i)^\s*(figure|table|photographs)\b", "hunting": r"(?i)hunt"})
+    return f.agg(F.sum("captions").cast("bigint").alias("captions"), F.sum("hunting").cast("bigint").alias("hunting"))
 
 
 @reg("k10_model_round_trip")
@@ -372,20 +427,25 @@ def _(s, d):
     return L.chosen(grids, "nothing", "given")
 
 
-@reg("g28_guarded_thinning", "SELECT source, count(*) AS n FROM points GROUP BY source", "points")
+@reg("g28_guarded_thinning", ", t AS (SELECT source, count(DISTINCT (floor(x / 5000), floor(y / 5000))) AS n FROM points GROUP BY source) SELECT source, n AS unknown, greatest(1, floor(n * 0.1::DOUBLE))::BIGINT AS known FROM t", "points")
 def _(s, d):
-    p = P.placed(A.points(s, d)).withColumn("price", F.lit(None).cast("double"))
-    return P.thinned_if_known(p, ["source"], ["price"], "id", 0.1).groupBy("source").agg(F.count("*").alias("n"))
+    """With a feature that is known nowhere nothing is thinned; with known ones a tenth of each group stays."""
+    p = P.thinned_to_grid(P.placed(A.points(s, d)), 5, [A.hashed("id", 7), "id", "x", "y", "year", "quantity"], ["source"]).select("id", "source", "x", "y").withColumn("price", F.lit(None).cast("double"))
+    none, some = P.thinned_if_known(p, ["source"], ["price"], "id", 0.1), P.thinned_if_known(p, ["source"], ["x", "y"], "id", 0.1)
+    n = lambda f, name: f.groupBy("source").agg(F.count("*").alias(name))
+    return n(none, "unknown").join(n(some, "known"), "source")
 
 
-@reg("g29_control_run", ", pc AS (SELECT DISTINCT row, col FROM placed), b AS (SELECT row, col FROM mask ANTI JOIN pc USING (row, col)) SELECT (SELECT count(*) FROM mask SEMI JOIN pc USING (row, col)) AS presences, count(*) AS background, 1.0::DOUBLE AS auc FROM b", "placed", "mask")
+@reg("g29_control_run", ", pc AS (SELECT DISTINCT row, col FROM placed), k AS (SELECT CASE WHEN pc.row IS NULL THEN 0 ELSE 1 END AS y, ((m.row * 1000 + m.col) * 2654435761 + 4 * 40503) % 1000003 AS h FROM mask m LEFT JOIN pc ON m.row = pc.row AND m.col = pc.col), n AS (SELECT sum(y)::BIGINT AS presences, count(*) FILTER (y = 0) AS background FROM k), r AS (SELECT y, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0::DOUBLE AS rk FROM k) SELECT 'control' AS layer, presences, background, 1.0::DOUBLE AS auc FROM n UNION ALL SELECT 'chance', presences, background, round(((SELECT sum(rk) FROM r WHERE y = 1) - presences * (presences + 1) / 2) / (presences * background)::DOUBLE, 9) FROM n", "placed", "mask")
 def _(s, d):
+    """A control is scored by a layer that knows it and by one that doesn't: an AUC of 1 and one near chance."""
     from terrane.operators import metrics
 
-    mask = A.mask(s, d)
-    control = L.control_layer(mask, P.placed(A.points(s, d)))
-    rows = control.select(F.col("value").cast("int").alias("y"), F.col("value").alias("s"))
-    return rows.agg(F.sum("y").alias("presences"), F.count_if(F.col("y") == 0).alias("background")).join(metrics.roc_auc(rows))
+    control = L.control_layer(A.mask(s, d), P.placed(A.points(s, d)))
+    rows = control.select(F.col("value").cast("int").alias("y"), F.col("value").alias("s"), (A.hashed(F.col("row") * 1000 + F.col("col"), 4) / 1000003).alias("chance"))
+    auc = metrics.roc_auc(rows.select("y", F.explode(F.array(F.struct(F.lit("control").alias("layer"), "s"), F.struct(F.lit("chance").alias("layer"), F.col("chance").alias("s")))).alias("k")).select("y", "k.layer", "k.s"), ["layer"])
+    n = rows.agg(F.sum("y").alias("presences"), F.count_if(F.col("y") == 0).alias("background"))
+    return auc.join(F.broadcast(n)).select("layer", "presences", "background", F.round("auc", 9).alias("auc"))
 
 
 @reg("m7_sedi", ", k AS (SELECT count(*) FILTER (s >= 0.3 AND y = 1) / count(*) FILTER (y = 1)::DOUBLE AS h, count(*) FILTER (s >= 0.3 AND y = 0) / count(*) FILTER (y = 0)::DOUBLE AS f FROM scores) SELECT (ln(f) - ln(h) - ln(1 - f) + ln(1 - h)) / (ln(f) + ln(h) + ln(1 - f) + ln(1 - h)) AS sedi FROM k", "scores")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.functions import quota
 from terrane.functions import text as X
 from terrane.operators import audit as U
+from terrane.operators import runs as T
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
 from terrane.session import table
+from terrane.sources import inventory as V
+from terrane.sources import sinks as K
 
 Q, SQL = {}, {}
 KEY = ["scenario", "season", "temporal", "engine"]
@@ -47,20 +51,17 @@ def _(s, d):
 
 @reg("a8_combination_summary", "SELECT scenario, season, temporal, engine, split, avg(cbi) AS cbi_mean, stddev_samp(cbi) AS cbi_std, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std, count(DISTINCT test_year) AS years FROM metrics WHERE split IN ('validation', 'test') GROUP BY ALL", "metrics")
 def _(s, d):
-    m = A.metrics(s, d).filter(F.col("split").isin("validation", "test"))
-    return m.groupBy(*KEY, "split").agg(*[f(c).alias(f"{c}_{n}") for c in ("cbi", "auc") for n, f in (("mean", F.avg), ("std", F.stddev_samp))], F.countDistinct("test_year").alias("years"))
+    return T.combinations(A.metrics(s, d), KEY, ["cbi", "auc"])
 
 
 @reg("a9_pivot_splits", "SELECT scenario, engine, avg(auc) FILTER (split = 'validation') AS auc_validation, avg(auc) FILTER (split = 'test') AS auc_test, avg(cbi) FILTER (split = 'validation') AS cbi_validation, avg(cbi) FILTER (split = 'test') AS cbi_test FROM metrics GROUP BY ALL", "metrics")
 def _(s, d):
-    p = A.metrics(s, d).groupBy("scenario", "engine").pivot("split", ["validation", "test"]).agg(F.avg("auc").alias("auc"), F.avg("cbi").alias("cbi"))
-    return p.select("scenario", "engine", *[F.col(f"{k}_{c}").alias(f"{c}_{k}") for k in ("validation", "test") for c in ("auc", "cbi")])
+    return T.by_split(A.metrics(s, d), ["scenario", "engine"], ["auc", "cbi"])
 
 
 @reg("a10_importance_summary", "SELECT meta_run, variable, avg(value) AS mean, stddev_samp(value) AS std, median(value) AS median, count(value) AS n, stddev_samp(value) / nullif(avg(value), 0) AS cv FROM importances GROUP BY ALL", "importances")
 def _(s, d):
-    g = A.importances(s, d).groupBy("meta_run", "variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", 0.5).alias("median"), F.count("value").alias("n"))
-    return g.withColumn("cv", F.try_divide("std", "mean"))
+    return T.importance_summary(A.importances(s, d), ["meta_run", "variable"], "value")
 
 
 @reg("a11_relative_importance", "SELECT id, round(value / nullif(sum(value) OVER (PARTITION BY meta_run, combo), 0), 6) AS relative FROM importances", "importances")
@@ -69,30 +70,32 @@ def _(s, d):
     return S.share_of_total(i, ["meta_run", "combo"], "value").select("id", F.round("relative", 6).alias("relative"))
 
 
-@reg("a12_fold_importance", "SELECT meta_run, variable, count(value) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max, count(*) FILTER (value > 0.001) AS positive FROM importances GROUP BY ALL", "importances")
+@reg("a12_fold_importance", "SELECT meta_run, variable, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, round(stddev_samp(value) / sqrt(count(value)), 9) AS se, min(value) AS min, max(value) AS max, count(*) FILTER (value > 0) AS positive FROM importances GROUP BY ALL", "importances")
 def _(s, d):
-    return A.importances(s, d).groupBy("meta_run", "variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(F.col("value") > 0.001).alias("positive"))
+    f = T.fold_summary(A.importances(s, d), ["meta_run", "variable"], "value")
+    # the interval over the root's own quantile: t is checked by a7
+    return f.select("meta_run", "variable", "n", "mean", "sd", F.round(F.col("half") / F.col("t"), 9).alias("se"), "min", "max", "positive")
 
 
 @reg("a13_repeats", "SELECT variable, combo, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, min(value) AS min, max(value) AS max FROM importances GROUP BY ALL", "importances")
 def _(s, d):
-    return A.importances(s, d).groupBy("variable", "combo").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return T.repeats(A.importances(s, d), ["variable", "combo"], "value")
 
 
-_TRIALS = [(0.0, 0.72, 0.15, 0.14, None, "COMPLETE"), (0.5, 0.81, 0.22, 0.2, None, "COMPLETE"), (0.5, 0.79, None, 0.16, 0.18, "COMPLETE"), (0.8, 0.75, 0.19, 0.17, None, "FAIL")]
-_TRIALS_SQL = "trials(bias_strength, auc, pearson, spearman, cbi, state) AS (VALUES (0.0::DOUBLE, 0.72::DOUBLE, 0.15::DOUBLE, 0.14::DOUBLE, NULL::DOUBLE, 'COMPLETE'), (0.5, 0.81, 0.22, 0.2, NULL, 'COMPLETE'), (0.5, 0.79, NULL, 0.16, 0.18, 'COMPLETE'), (0.8, 0.75, 0.19, 0.17, NULL, 'FAIL'))"
-
-
-@reg("a14_bias_strength", "WITH " + _TRIALS_SQL + " SELECT bias_strength, count(*) AS n, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std, avg(coalesce(pearson, cbi)) AS pearson_mean, avg(spearman) AS spearman_mean FROM trials WHERE state = 'COMPLETE' GROUP BY bias_strength")
+@reg("a14_bias_strength", "SELECT (o_custkey % 5) / 4.0::DOUBLE AS bias_strength, count(*) AS n, avg(floor(o_totalprice) % 500 / 500.0::DOUBLE) AS auc_mean, stddev_samp(floor(o_totalprice) % 500 / 500.0::DOUBLE) AS auc_std, avg(CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice) % 97 / 97.0::DOUBLE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) % 83 / 83.0::DOUBLE END) AS pearson_mean, avg(floor(o_totalprice) % 89 / 89.0::DOUBLE) AS spearman_mean FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def _(s, d):
-    t = s.createDataFrame(_TRIALS, "bias_strength double, auc double, pearson double, spearman double, cbi double, state string").filter("state = 'COMPLETE'")
-    return t.groupBy("bias_strength").agg(F.count("*").alias("n"), F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), F.avg(F.coalesce("pearson", "cbi")).alias("pearson_mean"), F.avg("spearman").alias("spearman_mean"))
+    """Orders as trials: a strength, metrics of which some are missing, and a state."""
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(
+        (F.col("o_custkey") % 5 / 4).alias("bias_strength"), (F.floor("o_totalprice") % 500 / 500).alias("auc"), F.when(k % 3 != 0, F.floor("o_totalprice") % 97 / 97).alias("pearson"),
+        (F.floor("o_totalprice") % 89 / 89).alias("spearman"), F.when(k % 2 == 0, F.floor("o_totalprice") % 83 / 83).alias("cbi"), F.when(F.col("o_orderstatus") == "P", "FAIL").otherwise("complete").alias("state"),
+    )
+    return T.strength_summary(o, "bias_strength")
 
 
 @reg("a15_class_summary", ", l AS (UNPIVOT design ON v0, v1, v2, v3 INTO NAME variable VALUE value) SELECT variable, y, avg(value) AS mean, stddev_samp(value) AS std FROM l GROUP BY ALL", "design")
 def _(s, d):
-    l = A.design(s, d).unpivot(["id", "y"], ["v0", "v1", "v2", "v3"], "variable", "value")
-    return l.groupBy("variable", "y").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return T.class_summary(A.design(s, d), ["v0", "v1", "v2", "v3"])
 
 
 @reg("a16_score_distribution", "SELECT y, count(s) AS n, min(s) AS min, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.5) AS median, quantile_cont(s, 0.75) AS q3, quantile_cont(s, 0.95) AS p95, max(s) AS max, avg(s) AS mean FROM scores GROUP BY y", "scores")
@@ -102,8 +105,7 @@ def _(s, d):
 
 @reg("a17_missing_unique", "SELECT 'auc' AS variable, count(*) FILTER (auc IS NULL) AS missing, count(DISTINCT auc) AS uniques FROM metrics UNION ALL SELECT 'cbi', count(*) FILTER (cbi IS NULL), count(DISTINCT cbi) FROM metrics", "metrics")
 def _(s, d):
-    l = A.metrics(s, d).unpivot(["run_id"], ["auc", "cbi"], "variable", "value")
-    return l.groupBy("variable").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.countDistinct("value").alias("uniques"))
+    return T.missing_and_unique(A.metrics(s, d), ["auc", "cbi"])
 
 
 _V = ["v0", "v1", "v2", "v3"]
@@ -165,12 +167,12 @@ def _(s, d):
 
 @reg("a32_coverage_counts", "SELECT scenario, engine, count(DISTINCT test_year) AS years, count(DISTINCT test_year) = 7 AS complete FROM metrics GROUP BY ALL", "metrics")
 def _(s, d):
-    return A.metrics(s, d).groupBy("scenario", "engine").agg(F.countDistinct("test_year").alias("years")).withColumn("complete", F.col("years") == 7)
+    return T.covered(A.metrics(s, d), ["scenario", "engine"], "test_year", 7)
 
 
 @reg("a31_group_mean", "SELECT avg(auc) AS mean FROM metrics WHERE scenario = 'BUILDING' AND temporal = 'monotemporal' AND engine = 'gbm'", "metrics")
 def _(s, d):
-    return A.metrics(s, d).filter("scenario = 'BUILDING' and temporal = 'monotemporal' and engine = 'gbm'").agg(F.avg("auc").alias("mean"))
+    return T.by_split(A.metrics(s, d).filter("scenario = 'BUILDING' and temporal = 'monotemporal' and engine = 'gbm'").withColumn("split", F.lit("all")), ["scenario"], ["auc"], ["all"]).select(F.col("auc_all").alias("mean"))
 
 
 @reg("a30_fold_means", "SELECT test_year, avg(auc) AS auc, avg(cbi) AS cbi FROM metrics GROUP BY test_year", "metrics")
@@ -183,29 +185,32 @@ def _(s, d):
     return U.deduped(A.importances(s, d), "variable", "id").select("variable", F.col("id").alias("first"))
 
 
-@reg("a34_effective_percentage", "SELECT * FROM (VALUES (2017, 0.4::DOUBLE), (2018, 0.3), (2019, 0.5)) t(year, share)")
+@reg("a34_effective_percentage", "WITH t AS (SELECT source, CAST(semester[1:4] AS INT) AS year, round(sum(target_per_10k / 10000.0::DOUBLE), 9) AS share FROM sample_targets WHERE source <> 'SNCF' GROUP BY ALL) SELECT year, least(min(share), 0.03::DOUBLE) AS share FROM t GROUP BY year")
 def _(s, d):
-    c = s.createDataFrame([("GBIF", {2017: 0.4, 2018: 0.6}, None), ("RRN", {2018: 0.3}, None), ("SNCF", None, 0.5)], "source string, yearly map<int,double>, flat double")
-    return c.select("*", F.explode(F.array(*[F.lit(y) for y in (2017, 2018, 2019)])).alias("year")).groupBy("year").agg(F.min(F.coalesce(F.try_element_at("yearly", F.col("year")), "flat")).alias("share"))
+    """Targets by source and year as shares, SNCF's flat."""
+    t = table(s, d, "sample_targets").select("source", F.substring("semester", 1, 4).cast("int").alias("year"), (F.col("target_per_10k") / 10000).alias("share"))
+    t = t.groupBy("source", "year").agg(F.round(F.sum("share"), 9).alias("share")).filter("source <> 'SNCF'").withColumn("flat", F.lit(None).cast("double"))
+    flat = s.createDataFrame([("SNCF", None, None, 0.03)], t.schema)
+    return T.effective_share(t.unionByName(flat))
 
 
-@reg("a35_vif_summary", "SELECT i.variable, avg(coalesce(CASE WHEN i.variable <> 'var_3' THEN vif END, 1)) AS mean, count(*) AS n FROM importances i GROUP BY i.variable", "importances")
+@reg("a35_vif_summary", "SELECT meta_run AS run, variable, CASE WHEN variable = 'var_3' THEN max(vif) + 1 ELSE max(vif) END AS vif, CASE WHEN variable = 'var_3' THEN 'computed' ELSE 'table' END AS kind FROM importances WHERE variable <> 'var_7' OR meta_run = 'F' GROUP BY meta_run, variable", "importances")
 def _(s, d):
-    i = A.importances(s, d)
-    table_ = i.filter("variable <> 'var_3'").select("id", "variable", "meta_run", "combo", "value", "vif")
-    rest = i.filter("variable = 'var_3'").withColumn("vif", F.lit(1.0))
-    return table_.unionByName(rest.select(*table_.columns)).groupBy("variable").agg(F.avg("vif").alias("mean"), F.count("*").alias("n"))
+    """Requested: all variables of a run; its table: those but var_3; computed: what runs of the other kind have of it."""
+    i = A.importances(s, d).select(F.col("meta_run").alias("run"), "variable", "vif")
+    return T.inflation_summary(i, i.filter("variable <> 'var_3'"), i.filter("variable in ('var_3', 'var_5')").withColumn("vif", F.col("vif") + 1)).filter("variable <> 'var_7' or run = 'F'")
 
 
 @reg("a36_audit_rollup", "SELECT scenario, count(*) AS n, string_agg(issue, ' | ' ORDER BY issue) AS issues FROM (SELECT DISTINCT scenario, split || ' ' || test_year AS issue FROM metrics WHERE auc IS NULL) GROUP BY scenario", "metrics")
 def _(s, d):
-    i = A.metrics(s, d).filter("auc is null").select("scenario", F.concat_ws(" ", "split", F.col("test_year").cast("string")).alias("issue")).distinct()
-    return i.groupBy("scenario").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("issue")), " | ").alias("issues"))
+    m = A.metrics(s, d)
+    return T.issues(m, "scenario", F.when(F.col("auc").isNull(), F.concat_ws(" ", "split", F.col("test_year").cast("string"))))
 
 
-@reg("a37_best_test_row", "SELECT engine, run_id, auc, coalesce(cbi, auc) AS score FROM metrics WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY engine ORDER BY auc DESC NULLS LAST, run_id) = 1", "metrics")
+@reg("a37_best_test_row", "SELECT engine, run_id, auc, coalesce(cbi, auc / 2) AS cbi FROM metrics WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY engine ORDER BY auc DESC NULLS LAST, run_id) = 1", "metrics")
 def _(s, d):
-    return S.top_row(A.metrics(s, d).filter("split = 'test'"), ["engine"], "auc", ["run_id"]).select("engine", "run_id", "auc", F.coalesce("cbi", "auc").alias("score"))
+    m = A.metrics(s, d).withColumn("pearson", F.col("auc") / 2)
+    return T.best_test(m, "engine", "run_id", "cbi", "pearson")
 
 
 @reg("r1_welch", ", g AS (SELECT variable, count(value) FILTER (meta_run = 'F') AS n_a, count(value) FILTER (meta_run = 'O') AS n_b, avg(value) FILTER (meta_run = 'F') AS mean_a, avg(value) FILTER (meta_run = 'O') AS mean_b, var_samp(value) FILTER (meta_run = 'F') AS va, var_samp(value) FILTER (meta_run = 'O') AS vb FROM importances GROUP BY variable), e AS (SELECT *, va / n_a AS ea, vb / n_b AS eb FROM g) SELECT variable, n_a, n_b, mean_a, mean_b, mean_b - mean_a AS difference, round((mean_b - mean_a) / sqrt(ea + eb), 6) AS t, round((ea + eb) ** 2 / (ea ** 2 / (n_a - 1) + eb ** 2 / (n_b - 1)), 4) AS df, round((mean_b - mean_a) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) AS cohen_d FROM e", "importances")
@@ -260,7 +265,7 @@ def _(s, d):
 
 @reg("r13_override_class", "SELECT run_id, CASE WHEN scenario LIKE 'B%' THEN 'intended' WHEN engine = 'gbm' THEN 'engine' ELSE 'review' END AS class FROM metrics", "metrics")
 def _(s, d):
-    return A.metrics(s, d).select("run_id", F.when(F.startswith("scenario", F.lit("B")), "intended").when(F.col("engine") == "gbm", "engine").otherwise("review").alias("class"))
+    return T.classified(A.metrics(s, d), [("scenario", "begins", "B", "intended"), ("engine", "equals", "gbm", "engine")]).select("run_id", "class")
 
 
 @reg("r16_register", "SELECT scenario, test_year, row_number() OVER (ORDER BY scenario, test_year) AS place FROM (SELECT DISTINCT scenario, test_year FROM metrics)", "metrics")
@@ -270,11 +275,12 @@ def _(s, d):
     return A.metrics(s, d).select("scenario", "test_year").distinct().withColumn("place", F.row_number().over(W.orderBy("scenario", "test_year")).cast("bigint"))
 
 
-@reg("r22_artifact_status", "SELECT a.name, CASE WHEN count(m.run_id) > 0 THEN 'generated' ELSE 'missing' END AS status FROM (VALUES ('BUILDING'), ('NOWHERE')) a(name) LEFT JOIN metrics m ON m.scenario = a.name GROUP BY a.name", "metrics")
+@reg("r22_artifact_status", "SELECT scenario AS name, count(*) AS n, 'generated' AS status FROM metrics GROUP BY scenario UNION ALL SELECT 'NOWHERE', 0, 'missing' UNION ALL SELECT 'later', 0, 'skipped'", "metrics")
 def _(s, d):
-    a = s.createDataFrame([("BUILDING",), ("NOWHERE",)], "name string")
-    n = A.metrics(s, d).groupBy(F.col("scenario").alias("name")).agg(F.count("*").alias("n"))
-    return a.join(n, "name", "left").select("name", F.when(F.col("n") > 0, "generated").otherwise("missing").alias("status"))
+    """Scenarios of the run table and one that was never made, as wanted artifacts."""
+    m = A.metrics(s, d).withColumnRenamed("scenario", "name")
+    wanted = m.select("name").distinct().unionByName(s.createDataFrame([("NOWHERE",), ("later",)], "name string"))
+    return T.statuses(wanted, m, "name", ["later"])
 
 
 @reg("l13_best_runs", "SELECT scenario, season, temporal, engine, run_id, cbi FROM metrics WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY scenario, season, temporal, engine ORDER BY cbi DESC NULLS LAST, run_id) = 1", "metrics")
@@ -284,23 +290,19 @@ def _(s, d):
 
 @reg("l14_top_per_engine", "SELECT engine, scenario, run_id FROM metrics QUALIFY row_number() OVER (PARTITION BY engine ORDER BY cbi DESC NULLS LAST, run_id) <= 20", "metrics")
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    return A.metrics(s, d).withColumn("n", F.row_number().over(W.partitionBy("engine").orderBy(F.desc_nulls_last("cbi"), "run_id"))).filter("n <= 20").select("engine", "scenario", "run_id")
+    return T.top_first(A.metrics(s, d), ["engine"], [F.desc_nulls_last("cbi"), "run_id"], 20).select("engine", "scenario", "run_id")
 
 
 @reg("l17_objective", "SELECT run_id, coalesce(auc, 0) + coalesce(cbi, 0) AS total, (coalesce(auc, 0) + coalesce(cbi, 0)) / 2 AS mean FROM metrics", "metrics")
 def _(s, d):
-    t = F.coalesce("auc", F.lit(0.0)) + F.coalesce("cbi", F.lit(0.0))
-    return A.metrics(s, d).select("run_id", t.alias("total"), (t / 2).alias("mean"))
+    return T.objective(A.metrics(s, d), ["auc", "cbi"]).select("run_id", "total", "mean")
 
 
-@reg("l16_grid_trials", "SELECT km, b / 10.0::DOUBLE AS bias, row_number() OVER (ORDER BY km, b) AS trial FROM (SELECT unnest([5, 10, 20, 40, 80]) AS km), (SELECT unnest([0, 2, 4, 6, 8, 10]) AS b)")
+@reg("l16_grid_trials", ", y AS (SELECT DISTINCT test_year FROM metrics) SELECT test_year, km, b / 10.0::DOUBLE AS bias, row_number() OVER (ORDER BY test_year, km, b) AS trial FROM y, (SELECT unnest([5, 10, 20, 40, 80]) AS km), (SELECT unnest([0, 2, 4, 6, 8, 10]) AS b)", "metrics")
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    g = s.createDataFrame([(k,) for k in (5, 10, 20, 40, 80)], "km int").select("km", F.explode(F.array(*[F.lit(b) for b in (0, 2, 4, 6, 8, 10)])).alias("b"))
-    return g.select("km", (F.col("b") / 10.0).alias("bias"), F.row_number().over(W.orderBy("km", "b")).cast("bigint").alias("trial"))
+    """Trials of every distance and strength, laid out over the years of the run table."""
+    g = T.expected(A.metrics(s, d), {"km": [5, 10, 20, 40, 80], "b": [0, 2, 4, 6, 8, 10]}, "test_year")
+    return K.numbered(g.select("test_year", "km", (F.col("b") / 10.0).alias("bias")), "test_year", "km", "bias").withColumn("trial", F.col("n").cast("bigint")).drop("n")
 
 
 @reg("j9_importance_vif", "SELECT i.variable, i.n, v.vif FROM (SELECT variable, count(*) AS n FROM importances GROUP BY variable) i LEFT JOIN (SELECT variable, max(vif) AS vif FROM importances WHERE variable < 'var_3' GROUP BY variable) v USING (variable)", "importances")
@@ -319,28 +321,24 @@ def _(s, d):
 
 @reg("j11_shared_variables", "SELECT variable FROM importances WHERE meta_run = 'F' INTERSECT SELECT variable FROM importances WHERE meta_run = 'O'", "importances")
 def _(s, d):
-    i = A.importances(s, d)
-    return i.filter("meta_run = 'F'").select("variable").intersect(i.filter("meta_run = 'O'").select("variable"))
+    return T.shared(A.importances(s, d), "meta_run", ["F", "O"], "variable")
 
 
 @reg("j12_run_pairs", ", g AS (SELECT season, test_year, temporal, avg(auc) AS auc FROM metrics GROUP BY ALL), p AS (SELECT a.season, a.test_year, a.auc AS mono, b.auc AS multi FROM g a JOIN g b USING (season, test_year) WHERE a.temporal = 'monotemporal' AND b.temporal = 'multitemporal') SELECT season, test_year, 'mono' AS kind, mono AS auc FROM p UNION ALL SELECT season, test_year, 'multi', multi FROM p UNION ALL SELECT season, test_year, 'difference', multi - mono FROM p", "metrics")
 def _(s, d):
-    g = A.metrics(s, d).groupBy("season", "test_year").agg(*[F.avg(F.when(F.col("temporal") == t, F.col("auc"))).alias(n) for n, t in (("mono", "monotemporal"), ("multi", "multitemporal"))]).dropna()
-    return g.withColumn("difference", F.col("multi") - F.col("mono")).unpivot(["season", "test_year"], ["mono", "multi", "difference"], "kind", "auc")
+    return T.paired(A.metrics(s, d), ["season", "test_year"], "temporal", {"mono": "monotemporal", "multi": "multitemporal"}, "auc")
 
 
-@reg("j13_predictor_pairs", "SELECT 'v' || a AS a, 'v' || b AS b FROM range(4) x(a), range(4) y(b) WHERE a < b")
+@reg("j13_predictor_pairs", "WITH p AS (SELECT DISTINCT context_id, unnest(predictors) AS v FROM training_context) SELECT context_id, a.v AS a, b.v AS b FROM p a JOIN p b USING (context_id) WHERE a.v < b.v")
 def _(s, d):
-    v = s.range(4)
-    a, b = v.select(F.col("id").alias("i"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("a")), v.select(F.col("id").alias("j"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("a", "b")
+    p = table(s, d, "training_context").select("context_id", F.explode("predictors").alias("variable"))
+    return T.unordered_pairs(p, "variable", ["context_id"])
 
 
 @reg("j14_missing_runs", ", e AS (SELECT scenario, engine, test_year, split FROM (SELECT DISTINCT scenario FROM metrics), (SELECT DISTINCT engine FROM metrics), (SELECT unnest(range(1990, 2010)) AS test_year), (SELECT unnest(['train', 'validation', 'test']) AS split)) SELECT * FROM e ANTI JOIN metrics USING (scenario, engine, test_year, split)", "metrics")
 def _(s, d):
     m = A.metrics(s, d)
-    lists = m.agg(F.collect_set("scenario").alias("a"), F.collect_set("engine").alias("b"))
-    e = lists.select(F.explode("a").alias("scenario"), "b").select("scenario", F.explode("b").alias("engine")).select("*", F.explode(F.sequence(F.lit(1990), F.lit(2009))).alias("test_year")).select("*", F.explode(F.array(*[F.lit(x) for x in ("train", "validation", "test")])).alias("split"))
+    e = T.expected(m, {"test_year": range(1990, 2010), "split": ["train", "validation", "test"]}, "scenario", "engine")
     return U.missing_rows(e, m, ["scenario", "engine", "test_year", "split"])
 
 
@@ -367,34 +365,39 @@ def _(s, d):
 
 @reg("j17_order_map", "SELECT scenario, coalesce(o, 99) AS place, count(*) AS n FROM metrics LEFT JOIN (VALUES ('BUILDING', 1), ('MACHINERY', 2)) m(scenario, o) USING (scenario) GROUP BY ALL", "metrics")
 def _(s, d):
-    o = s.createDataFrame([("BUILDING", 1), ("MACHINERY", 2)], "scenario string, o int")
-    return A.metrics(s, d).groupBy("scenario").agg(F.count("*").alias("n")).join(o, "scenario", "left").select("scenario", F.coalesce("o", F.lit(99)).alias("place"), "n")
+    g = A.metrics(s, d).groupBy("scenario").agg(F.count("*").alias("n"))
+    return T.placed_by(g, "scenario", ["BUILDING", "MACHINERY"])
 
 
-@reg("j18_levels", ", n AS (SELECT source, year, count(*) AS n FROM points GROUP BY ALL) SELECT level, source, year, least(n, greatest(1, floor(n * level)))::BIGINT AS target FROM n, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS level)", "points")
+@reg("j18_levels", ", n AS (SELECT source, year, count(*) AS n FROM points GROUP BY ALL), t AS (SELECT level, source, year, least(n, greatest(1, floor(n * level)))::BIGINT AS target FROM n, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS level)), r AS (SELECT *, row_number() OVER (PARTITION BY source, year ORDER BY (id * 2654435761 + 7 * 40503) % 1000003, id, x, y, quantity) AS rn FROM points) SELECT level, source, year, target, count(*) AS kept, sum(id) AS ids FROM t JOIN r USING (source, year) WHERE rn <= target GROUP BY ALL", "points")
 def _(s, d):
-    n = A.points(s, d).groupBy("source", "year").agg(F.count("*").alias("n"))
-    return n.select(F.explode(F.array(*[F.lit(x) for x in (0.1, 0.5, 1.0)])).alias("level"), "source", "year", "n").select("level", "source", "year", F.least("n", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("level")))).alias("target"))
+    """Thinned by each level: the points kept, those of smallest draw, beside the target."""
+    p = A.points(s, d).withColumn("draw", A.hashed("id", 7) / 1000003.0)
+    t = T.level_targets(p, ["source", "year"], [0.1, 0.5, 1.0])
+    parts = None
+    for level in (0.1, 0.5, 1.0):
+        kept = quota.take(p, t.filter(F.col("level") == level), ["source", "year"], "draw", ["id", "x", "y", "quantity"], F.lit(1), "target")
+        g = kept.groupBy("source", "year").agg(F.count("*").alias("kept"), F.sum("id").alias("ids")).withColumn("level", F.lit(level))
+        parts = g if parts is None else parts.unionByName(g)
+    return t.join(parts, ["level", "source", "year"]).select("level", "source", "year", "target", "kept", "ids")
 
 
 @reg("j19_map_index", ", r AS (SELECT scenario, test_year, max(run_id) FILTER (auc IS NOT NULL) AS path FROM metrics GROUP BY ALL), e AS (SELECT scenario, unnest(range(1995, 2003)) AS test_year FROM (SELECT DISTINCT scenario FROM metrics)) SELECT scenario, test_year, path FROM e LEFT JOIN r USING (scenario, test_year)", "metrics")
 def _(s, d):
     m = A.metrics(s, d)
-    e = m.select("scenario").distinct().select("scenario", F.explode(F.sequence(F.lit(1995), F.lit(2002))).alias("test_year"))
-    return e.join(m.groupBy("scenario", "test_year").agg(F.max(F.when(F.col("auc").isNotNull(), F.col("run_id"))).alias("path")), ["scenario", "test_year"], "left")
+    return T.indexed(m, T.expected(m, {"test_year": range(1995, 2003)}, "scenario"), ["scenario", "test_year"], "run_id", F.col("auc").isNotNull())
 
 
 @reg("j20_paired_flags", ", f AS (SELECT scenario, max(cbi) FILTER (temporal = 'monotemporal') > 0.99 AS mono, max(cbi) FILTER (temporal = 'multitemporal') > 0.99 AS multi FROM metrics GROUP BY scenario) SELECT *, mono = multi AS matched FROM f", "metrics")
 def _(s, d):
-    f = A.metrics(s, d).groupBy("scenario").agg(*[(F.max(F.when(F.col("temporal") == t, F.col("cbi"))) > 0.99).alias(n) for n, t in (("mono", "monotemporal"), ("multi", "multitemporal"))])
-    return f.withColumn("matched", F.col("mono") == F.col("multi"))
+    return T.paired_flags(A.metrics(s, d), "scenario", "temporal", {"mono": "monotemporal", "multi": "multitemporal"}, F.col("cbi") > 0.99)
 
 
-@reg("j21_dataset_pairs", ", m AS (SELECT scenario, min(run_id) AS mono FROM metrics WHERE temporal = 'monotemporal' AND engine = 'elapid' GROUP BY scenario), n AS (SELECT scenario, min(run_id) AS multi FROM metrics WHERE temporal = 'multitemporal' GROUP BY scenario) SELECT scenario, mono, multi FROM m JOIN n USING (scenario)", "metrics")
+@reg("j21_dataset_pairs", ", m AS (SELECT scenario, arg_min(run_id, (-coalesce(cbi, -1), run_id)) AS mono FROM metrics WHERE temporal = 'monotemporal' AND engine = 'elapid' GROUP BY scenario), n AS (SELECT scenario, arg_min(run_id, (-coalesce(cbi, -1), run_id)) AS multi FROM metrics WHERE temporal = 'multitemporal' GROUP BY scenario) SELECT scenario, mono, multi FROM m JOIN n USING (scenario)", "metrics")
 def _(s, d):
     m = A.metrics(s, d)
-    a = m.filter("temporal = 'monotemporal' and engine = 'elapid'").groupBy("scenario").agg(F.min("run_id").alias("mono"))
-    return a.join(m.filter("temporal = 'multitemporal'").groupBy("scenario").agg(F.min("run_id").alias("multi")), "scenario")
+    mono, multi = (F.col("temporal") == "monotemporal") & (F.col("engine") == "elapid"), F.col("temporal") == "multitemporal"
+    return T.dataset_pairs(m, "scenario", mono, multi, [F.desc_nulls_last("cbi"), "run_id"], "run_id")
 
 
 @reg("k9_resume_anti", ", done AS (SELECT scenario, engine, test_year FROM metrics WHERE split = 'test' AND auc IS NOT NULL AND cbi > 0.9) SELECT count(*) AS n FROM metrics ANTI JOIN done USING (scenario, engine, test_year)", "metrics")
@@ -404,17 +407,17 @@ def _(s, d):
     return m.join(done, ["scenario", "engine", "test_year"], "left_anti").agg(F.count("*").alias("n"))
 
 
-@reg("k12_size_limited", "SELECT doc_id, coalesce(n_chars, 0) <= 1000 AS included, CASE WHEN coalesce(n_chars, 0) > 1000 THEN 'too large' END AS reason FROM documents")
+@reg("k12_size_limited", "SELECT doc_id, coalesce(n_chars, 0) <= 1000 AS included, CASE WHEN coalesce(n_chars, 0) > 1000 THEN 'over 1000 bytes' END AS reason FROM documents")
 def _(s, d):
-    size = F.coalesce("n_chars", F.lit(0))
-    return table(s, d, "documents").select("doc_id", (size <= 1000).alias("included"), F.when(size > 1000, "too large").alias("reason"))
+    f = table(s, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("size"))
+    return K.size_limited(f, 1000).select("doc_id", "included", "reason")
 
 
-@reg("s18_prediction_rank", ", n AS (SELECT doc_id, origin, (contains(lower(text), 'test'))::INT * 5 + (contains(lower(text), 'count'))::INT * 4 + (contains(lower(text), 'year'))::INT AS score FROM documents WHERE text IS NOT NULL AND origin IS NOT NULL AND NOT contains(lower(text), 'stack')) SELECT origin, doc_id, score FROM n QUALIFY row_number() OVER (PARTITION BY origin ORDER BY score DESC, doc_id DESC) = 1".lstrip(", ").join(["WITH ", ""]))
+@reg("s18_prediction_rank", "WITH n AS (SELECT DISTINCT meta_run, source_file, lower(regexp_extract(source_file, 'outputs/[^/]*/(.*)$', 1)) AS p FROM importance), k AS (SELECT meta_run, source_file, contains(p, 'test')::INT * 5 + contains(p, 'importance')::INT * 4 + regexp_matches(p, '(19|20)[0-9]{2}')::INT AS score FROM n WHERE NOT contains(p, 'stack')) SELECT meta_run, source_file, score FROM k QUALIFY row_number() OVER (PARTITION BY meta_run ORDER BY score DESC, source_file DESC) = 1")
 def _(s, d):
-    x = table(s, d, "documents").filter("text is not null and origin is not null and not contains(lower(text), 'stack')")
-    w = lambda t, n: F.when(F.contains(F.lower("text"), F.lit(t)), n).otherwise(0)
-    return S.top_row(x.withColumn("score", w("test", 5) + w("count", 4) + w("year", 1)), ["origin"], "score", [F.desc("doc_id")]).select("origin", "doc_id", "score")
+    """Of each run the file name that tells most of a test prediction by year."""
+    f = table(s, d, "importance").select("meta_run", "source_file").distinct()
+    return V.ranked_files(f, "meta_run", "source_file").select("meta_run", "source_file", "score")
 
 
 @reg("proj12_combo_key", "SELECT run_id, replace(lower(season) || '_' || temporal || '_' || engine || '_' || test_year, '/', '_') AS combo FROM metrics", "metrics")
@@ -442,9 +445,11 @@ def _(s, d):
     return table(s, d, "presence").select(F.regexp_extract(X.trimmed("semester"), r"^([0-9]{4})-", 1).try_cast("int").alias("year")).filter("year is not null").distinct()
 
 
-@reg("proj19_engines", "SELECT run_id, CASE WHEN lower(trim(e)) IN ('elapid', 'maxent') THEN 'elapid' WHEN lower(trim(e)) = 'gbm' THEN 'gbm' END AS engine FROM (SELECT record_id AS run_id, engine AS e FROM importance)")
+@reg("proj19_engines", "SELECT engine, row_number() OVER (ORDER BY engine <> 'gbm', o, engine)::INT AS place FROM (SELECT CASE WHEN lower(trim(engine)) IN ('elapid', 'maxent') THEN 'elapid' ELSE lower(trim(engine)) END AS engine, min(record_id) AS o FROM importance WHERE engine IS NOT NULL GROUP BY 1)")
 def _(s, d):
-    return table(s, d, "importance").select(F.col("record_id").alias("run_id"), X.engine("engine").alias("engine"))
+    """Engines of the records in their own names, gbm first; an unknown one would be an error."""
+    i = table(s, d, "importance").filter("engine is not null")
+    return T.engines(i, X.engine("engine"), "record_id")
 
 
 @reg("proj21_metric_order", "SELECT * FROM (VALUES ('cbi', 1), ('auc', 2), ('aicc', 3), ('or10', 4)) t(metric, place)")

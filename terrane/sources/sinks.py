@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.grid import Grid
 from terrane.operators.layers import NODATA
+from terrane.session import staged
 
 
 def write_stack(cells: DataFrame, path: str, by: Sequence[str] = ()) -> None:
@@ -68,13 +70,62 @@ def cached(df_of, spark, folder: str, settings: dict) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Appends the rows whose keys the table at path doesn't have, and returns what it has then."""
+    """Appends the rows whose keys the table at path doesn't have, each key once, and returns what it has then.
+
+    A batch is named by its content, so one that is delivered again, or was written only in part, replaces itself."""
     spark = rows.sparkSession
+    rows = rows.dropDuplicates(list(keys))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        rows = rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        rows = rows.join(spark.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(path).select(*keys), list(keys), "left_anti")
+    rows = staged(rows)
+    told = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).alias("h")).first()
+    if told.n:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch-{told.n}-{told.h}")
+    return spark.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(path)
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """Writes a small text file beside its place and moves it there in one step, so a reader sees the old or the new one."""
+    fs, conf, hadoop = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    context = fs.FileContext.getFileContext(hadoop(path).toUri(), conf)
+    part = hadoop(f"{path}.{uuid.uuid4().hex}.part")
+    out = part.getFileSystem(conf).create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    renames = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    renames[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, hadoop(path), renames)
+
+
+def latex(df: DataFrame) -> DataFrame:
+    """(line) of each row as a row of a LaTeX table; null is empty and special characters are escaped. For small tables."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\\", r"\\textbackslash "), r"([&%$#_{}])", r"\\$1")
+    return df.select(F.concat(F.concat_ws(" & ", *[cell(c) for c in df.columns]), F.lit(r" \\")).alias("line"))
+
+
+def bundle(df: DataFrame, path: str) -> None:
+    """A table as csv, tsv, md and tex, each in a folder of its own under path."""
+    for name, sep in (("csv", ","), ("tsv", "\t")):
+        df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(f"{path}/{name}")
+    markdown(df).write.mode("overwrite").text(f"{path}/md")
+    latex(df).write.mode("overwrite").text(f"{path}/tex")
+
+
+def write_archive(files: DataFrame, path: str, most: int, name: str = "name", size: str = "size", content: str = "content") -> DataFrame:
+    """Writes (name, content, crc32) of the files of at most `most` bytes, compressed, and returns (name, reason) of the
+    others; a file of unknown size is left out."""
+    told = size_limited(files, most, size)
+    kept = told.filter(F.coalesce("included", F.lit(False))).select(F.col(name).alias("name"), F.col(content).alias("content"), F.crc32(F.col(content).cast("binary")).alias("crc32"))
+    kept.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return told.filter(~F.coalesce("included", F.lit(False))).select(F.col(name).alias("name"), F.coalesce("reason", F.lit("unknown size")).alias("reason"))
+
+
+def archive_checked(spark, path: str) -> DataFrame:
+    """(name, sound) of each member of an archive: whether it still has the sum it was written with."""
+    return spark.read.parquet(path).select("name", (F.crc32(F.col("content").cast("binary")) == F.col("crc32")).alias("sound"))
 
 
 def size_limited(files: DataFrame, most: int, size: str = "size") -> DataFrame:
