@@ -225,3 +225,16 @@ def engines(rows: DataFrame, engine: Column, order: str) -> DataFrame:
     known = F.when(engine.isNotNull(), engine).otherwise(F.raise_error(F.lit("unknown engine")).cast("string"))
     e = rows.select(known.alias("engine"), order).groupBy("engine").agg(F.min(order).alias("__o"))
     return e.select("engine", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("engine") != "gbm", "__o", "engine")).alias("place"))
+
+
+def fronted(rows: DataFrame, name: str, order: str, preferred: Sequence[str]) -> DataFrame:
+    """(name, place): the distinct names, the preferred ones first in their order, then by first appearance."""
+    at = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(name))
+    one = rows.groupBy(name).agg(F.min(order).alias("__o")).withColumn("__p", F.when(at > 0, at).otherwise(len(preferred) + 1))
+    return one.select(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy("__p", "__o", name)).alias("place"))
+
+
+def chosen_specs(specs: DataFrame, enabled: str, kind: str, barred: Sequence[str], place: str, last: int = 999) -> DataFrame:
+    """The enabled specifications of no barred kind, by place; those without a place come `last`."""
+    kept = specs.filter(F.col(enabled) & ~F.col(kind).isin(*barred)).withColumn(place, F.coalesce(place, F.lit(last)))
+    return kept.orderBy(place)

@@ -163,10 +163,11 @@ def _(s, d):
     return A.metrics(s, d).filter(X.folded("split") == "test").groupBy("engine").agg(F.count("*").alias("n"))
 
 
-@reg("f18_spec_selection", "SELECT id FROM (VALUES ('c', 999), ('a', 2)) t(id, place)")
+@reg("f18_spec_selection", "SELECT source AS id, CASE WHEN target_per_10k > 500 THEN target_per_10k ELSE 999 END AS place FROM mix_targets WHERE max_repeats > 1 AND NOT contains(source, 'config')")
 def _(s, d):
-    spec = s.createDataFrame([("a", True, "corrected", 2), ("b", False, "corrected", 1), ("c", True, "corrected", None), ("d", True, "reference", 3)], "id string, enabled boolean, kind string, place int")
-    return spec.filter("enabled and kind <> 'reference'").orderBy(F.coalesce("place", F.lit(999))).select("id")
+    """Targets as specifications, of which those that may be repeated and aren't config are chosen, in their order."""
+    spec = table(s, d, "mix_targets").select(F.col("source").alias("id"), (F.col("max_repeats") > 1).alias("enabled"), F.when(F.contains("source", F.lit("config")), "reference").otherwise("corrected").alias("kind"), F.when(F.col("target_per_10k") > 500, F.col("target_per_10k")).alias("place"))
+    return T.chosen_specs(spec, "enabled", "kind", ["reference"], "place").select("id", "place")
 
 
 @reg("j2_probe_coordinates", "SELECT id, year, size FROM placed LEFT JOIN cells USING (row, col)", "placed", "cells")
@@ -221,9 +222,15 @@ def _(s, d):
     return T.sole(table(s, d, "importance"), "variable", "hunting|hunt|tableau")
 
 
-@reg("r8_flattened", "SELECT * FROM (VALUES ('a.b.c', '1'), ('a.d', '[1, 2]'), ('e', 'null')) t(path, value)")
+def _settings(s, d):
+    """The training contexts as nested settings, a parameter table of twelve rows."""
+    t = table(s, d, "training_context").orderBy("context_id").collect()
+    return {f"c{r.context_id}": {"season": r.season, "fit": {"temporal": r.temporal, "quantile": r.nt2_quantile}, "predictors": list(r.predictors)} for r in t}
+
+
+@reg("r8_flattened", "WITH t AS (SELECT 'c' || context_id AS c, * FROM training_context), flat AS (SELECT c || '.season' AS path, '\"' || season || '\"' AS value FROM t UNION ALL SELECT c || '.fit.temporal', '\"' || temporal || '\"' FROM t UNION ALL SELECT c || '.fit.quantile', nt2_quantile::VARCHAR FROM t UNION ALL SELECT c || '.predictors', '[\"' || array_to_string(predictors, '\", \"') || '\"]' FROM t) SELECT * FROM flat")
 def _(s, d):
-    return config.as_table(s, {"a": {"b": {"c": 1}, "d": [1, 2]}, "e": None})
+    return config.as_table(s, _settings(s, d))
 
 
 @reg("r12_audit", ", g AS (SELECT scenario, list_sort(list(DISTINCT test_year)) AS years, count(*) FILTER (auc IS NULL) AS unsound, count(auc) FILTER (engine = 'gbm') AS gbm, count(auc) FILTER (engine = 'elapid') AS elapid FROM metrics GROUP BY scenario), m AS (SELECT *, list_filter(range(1992, 2002), lambda y: NOT list_contains(years, y)) AS missing FROM g) SELECT scenario, years, missing, gbm, elapid, concat_ws(' | ', CASE WHEN len(missing) > 0 THEN 'missing years: ' || array_to_string(missing, ', ') END, CASE WHEN unsound > 0 THEN unsound || ' unsound runs' END) AS issues FROM m", "metrics")
@@ -393,9 +400,10 @@ def _(s, d):
     return models.scored(PipelineModel.load(path), x).select("id", "s")
 
 
-@reg("proj5_words_dropped", "SELECT * FROM (VALUES ('elevation'), ('bio01')) t(layer)")
+@reg("proj5_words_dropped", "SELECT DISTINCT variable AS layer FROM importance WHERE variable IS NOT NULL AND NOT regexp_matches(lower(variable), 'hunting|urban')")
 def _(s, d):
-    return L.without_words(s.createDataFrame([("elevation",), ("Hunting_bag",), ("temp_ANOM_2019",), ("bio01",)], "layer string"), ["hunting", "anom"])
+    v = table(s, d, "importance").select(F.col("variable").alias("layer")).dropna().distinct()
+    return L.without_words(v, ["hunting", "URBAN"])
 
 
 @reg("proj22_record_table", "SELECT record_id, scenario, engine, importance_mean, importance_std, vif FROM importance")
@@ -481,21 +489,25 @@ def _(s, d):
     return S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value").select("variable", "effect")
 
 
-@reg("r9_deep_merge", "SELECT * FROM (VALUES ('a.b', '1'), ('a.c', '3'), ('d', '[4]')) t(path, value)")
+@reg("r9_deep_merge", "WITH t AS (SELECT 'c' || context_id AS c, * FROM training_context), flat AS (SELECT c || '.season' AS path, '\"' || season || '\"' AS value FROM t UNION ALL SELECT c || '.fit.temporal', '\"' || temporal || '\"' FROM t UNION ALL SELECT c || '.fit.quantile', nt2_quantile::VARCHAR FROM t UNION ALL SELECT c || '.predictors', '[\"' || array_to_string(predictors, '\", \"') || '\"]' FROM t) SELECT path, CASE path WHEN 'c1.season' THEN '\"any\"' WHEN 'c1.predictors' THEN '[\"slope\"]' ELSE value END AS value FROM flat")
 def _(s, d):
-    return config.as_table(s, config.merged({"a": {"b": 1, "c": 2}, "d": [1, 2]}, {"a": {"c": 3}, "d": [4]}))
+    """All contexts with the season of the first one set and its list of predictors replaced whole."""
+    return config.as_table(s, config.merged(_settings(s, d), {"c1": {"season": "any", "predictors": ["slope"]}}))
 
 
-@reg("r14_one_scenario", "SELECT 'x' AS id, 2 AS place")
+@reg("r14_one_scenario", "SELECT season, temporal, nt2_quantile FROM training_context WHERE context_id = 3")
 def _(s, d):
-    one = config.only([{"id": "x", "season": "winter", "place": 2}, {"id": "y", "season": "summer", "place": 3}], season="winter")
-    return s.createDataFrame([(one["id"], one["place"])], "id string, place int")
+    t = [r.asDict() for r in table(s, d, "training_context").select("context_id", "season", "temporal", "nt2_quantile").collect()]  # twelve rows
+    one = config.only(t, context_id=3)
+    return s.createDataFrame([(one["season"], one["temporal"], one["nt2_quantile"])], "season string, temporal string, nt2_quantile double")
 
 
-@reg("r20_resolved_scenario", "SELECT * FROM (VALUES ('flags.hunting', 'false', 'true', 'allowed')) t(path, \"left\", \"right\", kind)")
+@reg("r20_resolved_scenario", "SELECT 'c' || context_id || '.fit.quantile' AS path, nt2_quantile::VARCHAR AS \"left\", '0.5' AS \"right\", CASE context_id WHEN 1 THEN 'allowed' ELSE 'unexpected' END AS kind FROM training_context WHERE nt2_quantile <> 0.5")
 def _(s, d):
-    before = {"flags": {"hunting": False, "bias": True}, "km": 5}
-    return U.differences(config.as_table(s, before), config.as_table(s, config.merged(before, {"flags": {"hunting": True}})), ["flags"])
+    """The differences that a patch makes to the contexts, those in the first one being allowed."""
+    before = _settings(s, d)
+    after = config.merged(before, {k: {"fit": {"quantile": 0.5}} for k in before})
+    return U.differences(config.as_table(s, before), config.as_table(s, after), ["c1"])
 
 
 QUERIES = Q

@@ -400,9 +400,11 @@ def _(s, d):
     return R.expanded("in/{year}/{month}_{index_lower}.tif", {"year": [2019, 2020], "month": [4, 10], "index": ["NDVI", "EVI"]}, s)
 
 
-@reg("s13_name_lists", "SELECT * FROM (VALUES ('bio01', 1), ('ndvi', 2), ('evi', 3)) t(name, place)")
+@reg("s13_name_lists", "WITH p AS (SELECT context_id, unnest(predictors) AS name, generate_subscripts(predictors, 1) AS i FROM training_context) SELECT name, row_number() OVER (ORDER BY min((context_id, i)))::INT AS place FROM p GROUP BY name")
 def _(s, d):
-    return R.named_list(s.createDataFrame([(1, "bio01, ndvi # first"), (2, "# nothing"), (3, " evi,bio01 "), (4, None)], "line_no int, value string"))
+    """The predictors of each context as a line of a list with a remark; the first mention of a name counts."""
+    t = table(s, d, "training_context").select(F.col("context_id").alias("line_no"), F.concat(F.array_join("predictors", ", "), F.lit(" # of context "), F.col("context_id").cast("string")).alias("value"))
+    return R.named_list(t)
 
 
 @reg("s14_path_labels", "SELECT source_file, nullif(regexp_extract(source_file, '(?:^|/)test_([0-9]{4})(?:/|$)', 1), '')::INT AS test_year, nullif(lower(regexp_extract(source_file, '(?i)(?:^|/)(elapid|maxent|gbm)(?:/|$)', 1)), '') AS engine FROM importance")
@@ -411,15 +413,19 @@ def _(s, d):
     return table(s, d, "importance").select("source_file", labels["test_year"].alias("test_year"), labels["engine"].alias("engine"))
 
 
-@reg("s15_first_existing", "SELECT * FROM (VALUES ('a', 'p2'), ('b', 'p3')) t(key, path)")
+@reg("s15_first_existing", "WITH i AS (SELECT meta_run, source_file AS path, test_year, loaded_at FROM importance), w AS (SELECT DISTINCT meta_run, path, CASE test_year WHEN 2022 THEN 0 ELSE 1 END AS priority FROM i WHERE test_year IN (2020, 2022)), h AS (SELECT path, max(loaded_at) AS modified FROM i WHERE test_year <> 2022 OR meta_run < 'meta_run_2' GROUP BY path) SELECT meta_run, path FROM w JOIN h USING (path) QUALIFY row_number() OVER (PARTITION BY meta_run ORDER BY priority, modified DESC, path) = 1")
 def _(s, d):
-    c = s.createDataFrame([("a", "p1", 0), ("a", "p2", 1), ("b", "p3", 0), ("b", "p4", 1), ("c", "p9", 0)], "key string, path string, priority int")
-    return R.first_existing(c, s.createDataFrame([("p2", 1), ("p3", 5), ("p4", 9)], "path string, modified int"), "key")
+    """Of each run the first of two wanted years' files that is there."""
+    i = table(s, d, "importance").select("meta_run", F.col("source_file").alias("path"), "test_year", "loaded_at")
+    wanted = i.select("meta_run", "path", F.when(F.col("test_year") == 2022, 0).when(F.col("test_year") == 2020, 1).alias("priority")).filter("priority is not null").distinct()
+    have = i.filter("test_year <> 2022 or meta_run < 'meta_run_2'").groupBy("path").agg(F.max("loaded_at").alias("modified"))
+    return R.first_existing(wanted, have, "meta_run")
 
 
-@reg("s16_search_roots", "SELECT * FROM (VALUES ('x/multi', 0, 0), ('x/mono', 1, 2), ('y', 2, 1)) t(path, idx, rank)")
+@reg("s16_search_roots", "SELECT DISTINCT source_file AS path, CASE WHEN contains(source_file, 'multitemporal') THEN 0 WHEN contains(source_file, 'monotemporal') THEN 2 ELSE 1 END AS rank FROM importance")
 def _(s, d):
-    return R.prioritised(s.createDataFrame([("x/multi", 0), ("x/mono", 1), ("y", 2)], "path string, idx int"), "multi", "mono")
+    roots = table(s, d, "importance").select(F.col("source_file").alias("path")).distinct()
+    return R.prioritised(roots, "multitemporal", "monotemporal")
 
 
 @reg("s19_union_by_name", "SELECT scenario, count(auc) AS auc, count(cbi) AS cbi FROM (SELECT scenario, auc, NULL AS cbi FROM metrics WHERE run_id % 2 = 0 UNION ALL SELECT scenario, NULL, cbi FROM metrics WHERE run_id % 2 = 1) GROUP BY scenario", "metrics")
@@ -506,10 +512,11 @@ def _(s, d):
     return A.mask(s, d).select("row", "col", (STUDY.center_x() - 500).alias("x"), (STUDY.center_y() + 500).alias("y"))
 
 
-@reg("proj18_predictor_intersection", "SELECT * FROM (VALUES ('v0', 0), ('v2', 2)) t(variable, idx)")
+@reg("proj18_predictor_intersection", "SELECT context_id, p AS variable, i - 1 AS idx FROM (SELECT context_id, unnest(predictors) AS p, generate_subscripts(predictors, 1) AS i FROM training_context) WHERE p IN (SELECT variable FROM importance WHERE test_year = 2020)")
 def _(s, d):
-    train = s.createDataFrame([("v0", 0), ("v1", 1), ("v2", 2)], "variable string, idx int")
-    return train.join(s.createDataFrame([("v2",), ("v0",), ("v9",)], "variable string"), "variable", "left_semi")
+    """The predictors of each context, in order, that the runs of test year 2020 have."""
+    train = table(s, d, "training_context").select("context_id", F.posexplode("predictors").alias("idx", "variable"))
+    return train.join(table(s, d, "importance").filter("test_year = 2020").select("variable"), "variable", "left_semi").select("context_id", "variable", "idx")
 
 
 QUERIES = Q

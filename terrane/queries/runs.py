@@ -452,14 +452,10 @@ def _(s, d):
     return T.engines(i, X.engine("engine"), "record_id")
 
 
-@reg("proj21_metric_order", "SELECT * FROM (VALUES ('cbi', 1), ('auc', 2), ('aicc', 3), ('or10', 4)) t(metric, place)")
+@reg("proj21_metric_order", "SELECT variable, row_number() OVER (ORDER BY CASE variable WHEN 'slope' THEN 1 WHEN 'bio10' THEN 2 ELSE 99 END, o, variable)::INT AS place FROM (SELECT variable, min(record_id) AS o FROM importance WHERE variable IS NOT NULL GROUP BY variable)")
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    m = s.createDataFrame([("auc", 0), ("aicc", 1), ("cbi", 2), ("or10", 3), ("auc", 4)], "metric string, idx int")
-    preferred = s.createDataFrame([("cbi", 0), ("auc", 1)], "metric string, pref int")
-    one = U.deduped(m, "metric", "idx").join(preferred, "metric", "left")
-    return one.select("metric", F.row_number().over(W.orderBy(F.coalesce("pref", F.lit(99)), "idx")).alias("place"))
+    i = table(s, d, "importance").filter("variable is not null")
+    return T.fronted(i, "variable", "record_id", ["slope", "bio10"])
 
 
 @reg("f5_complete_cases", "SELECT engine, count(*) AS n FROM metrics WHERE auc IS NOT NULL AND cbi IS NOT NULL GROUP BY engine", "metrics")

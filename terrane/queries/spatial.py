@@ -150,24 +150,30 @@ def _(s, d):
     return A.mask(s, d).select("row", "col", STUDY.center_x().alias("x"), STUDY.center_y().alias("y"), STUDY.index().alias("idx"))
 
 
-_NAMES = ["2018_conifers", "hunting_bag_2019", "tmax_2018_summer", "elevation", "2018_04_ndvi", "anom_2019", "bio10", "ab_2018_2019_c", "mask"]
+_LAYERS = "v AS (SELECT DISTINCT variable, test_year FROM importance WHERE variable IS NOT NULL AND test_year IS NOT NULL), layers AS (SELECT test_year || '_' || variable AS layer, variable AS base, test_year AS year FROM v UNION ALL SELECT variable || '_' || test_year, variable, test_year FROM v UNION ALL SELECT DISTINCT variable, variable, NULL FROM v)"
 
 
-@reg("proj2_strip_year", "SELECT * FROM (VALUES ('2018_conifers', 'conifers', 2018), ('hunting_bag_2019', 'hunting_bag', 2019), ('tmax_2018_summer', 'tmax_summer', 2018), ('elevation', 'elevation', NULL), ('2018_04_ndvi', '04_ndvi', 2018), ('anom_2019', 'anom', 2019), ('bio10', 'bio10', NULL), ('ab_2018_2019_c', 'ab_2019_c', 2018), ('mask', 'mask', NULL)) t(layer, base, year)")
+def _layers(s, d):
+    """Names of layers: each variable with its years before or behind it, and alone."""
+    v = table(s, d, "importance").select("variable", F.col("test_year").cast("string").alias("y")).dropna().distinct()
+    return v.select(F.concat_ws("_", "y", "variable").alias("layer")).unionByName(v.select(F.concat_ws("_", "variable", "y").alias("layer"))).unionByName(v.select(F.col("variable").alias("layer")).distinct())
+
+
+@reg("proj2_strip_year", f"WITH {_LAYERS} SELECT layer, base, year FROM layers")
 def _(s, d):
-    f = s.createDataFrame([(n,) for n in _NAMES], "layer string")
-    return f.select("layer", L.base_name("layer").alias("base"), L.layer_year("layer").alias("year"))
+    return _layers(s, d).select("layer", L.base_name("layer").alias("base"), L.layer_year("layer").alias("year"))
 
 
-@reg("proj3_year_columns", "SELECT * FROM (VALUES ('2018_conifers'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('bio10'), ('ab_2018_2019_c'), ('mask')) t(layer)")
+@reg("proj3_year_columns", f"WITH {_LAYERS} SELECT layer FROM layers WHERE year IS NULL OR year = 2020")
 def _(s, d):
-    return L.of_year(s.createDataFrame([(n,) for n in _NAMES], "layer string"), 2018)
+    return L.of_year(_layers(s, d), 2020)
 
 
-@reg("proj4_drop_rules", "SELECT * FROM (VALUES ('hunting_bag_2019'), ('tmax_2018_summer'), ('elevation'), ('2018_04_ndvi'), ('ab_2018_2019_c'), ('mask')) t(layer)")
+@reg("proj4_drop_rules", f"WITH {_LAYERS} SELECT layer FROM layers WHERE layer NOT IN (SELECT unnest(predictors) FROM training_context WHERE context_id <= 2) AND NOT contains(lower(layer), 'anom')")
 def _(s, d):
-    rules = s.createDataFrame([("2018_conifers", "DROP"), ("elevation", "keep"), ("bio10", "drop")], "layer string, action string")
-    return L.without_words(L.without_rules(s.createDataFrame([(n,) for n in _NAMES], "layer string"), rules))
+    rules = table(s, d, "training_context").filter("context_id <= 2").select(F.explode("predictors").alias("layer")).distinct().withColumn("action", F.lit("DROP"))
+    rules = rules.unionByName(s.createDataFrame([("slope", "keep")], rules.schema))
+    return L.without_words(L.without_rules(_layers(s, d), rules))
 
 
 _YEARLY = """, y AS (SELECT unnest([1995, 1996, 1997]) AS year), yearly AS (SELECT row, col, year || '_size' AS layer, CASE WHEN (row + col + year) % 4 <> 0 THEN size * (year - 1994) END::DOUBLE AS value FROM cells, y)
@@ -367,10 +373,12 @@ def _(s, d):
     return P.neighbour_weights(p, "id", "x", "y", 8, 0.02).select("id", F.round("distance", 9).alias("distance"), F.round("weight", 6).alias("weight"))
 
 
-@reg("g26_grid_consistency", "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false), ('d', false)) t(layer, same)")
+@reg("g26_grid_consistency", A.sql(", h AS (SELECT source || year AS layer, max(col) - min(col) AS width, max(row) - min(row) AS height, min(row)::DOUBLE AS a FROM placed GROUP BY ALL), f AS (SELECT * FROM h ORDER BY layer LIMIT 1) SELECT h.layer, h.width = f.width AND h.height = f.height AND abs(h.a - f.a) <= 1e-6 AS same FROM h, f", "placed"))
 def _(s, d):
-    h = s.createDataFrame([("a", 10, 10, 1.0, 0.0), ("b", 10, 10, 1.0 + 1e-9, 0.0), ("c", 10, 11, 1.0, 0.0), ("d", 10, 10, 1.0, 0.1)], "layer string, width int, height int, a double, b double")
-    return L.consistent_grids(h, ["a", "b"])
+    """The extents of each source's and year's points as grids, against the first of them."""
+    n = lambda c: F.max(c) - F.min(c)
+    h = _points(s, d).groupBy(F.concat("source", F.col("year").cast("string")).alias("layer")).agg(n("col").alias("width"), n("row").alias("height"), F.min("row").cast("double").alias("a"))
+    return L.consistent_grids(h, ["a"])
 
 
 @reg("v1_leave_one_year_out", A.sql("SELECT t AS test_year, CASE WHEN year = t THEN 'test' ELSE 'train' END AS role, count(*) AS n, count(DISTINCT year) AS years FROM points, (SELECT unnest([1995, 1996, 1997]) AS t) GROUP BY ALL", "points"))
