@@ -272,11 +272,15 @@ def _(s, d):
     return T.preflight(i, ["scenario", "test_year"], "variable", want).select("scenario", "test_year", "n", F.array_join("removed", ", ").alias("removed"), "passed")
 
 
-@reg("c1_vif_wide")
+@reg("c1_vif_wide", "SELECT 'v' || i AS variable, true AS same, true AS one_at_least FROM range(16) t(i)")
 def _(s, d):
+    """Of 16 columns the inflation about the mean equals that of the columns less their means about zero, and is 1 at least."""
     names = [f"v{i}" for i in range(16)]
-    sums = C.product_sums(A.design(s, d, 16), names)
-    return s.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(names, C.vif(*sums, intercept=False), C.vif(*sums, intercept=True))], "variable string, uncentred double, centred double")
+    x = A.design(s, d, 16)
+    sums = C.product_sums(x, names)
+    centred = C.product_sums(x, names, sums[1] / max(sums[0], 1))
+    a, b = C.vif(*sums, intercept=True), C.vif(*centred, intercept=False)
+    return s.createDataFrame([(n, bool(abs(p - q) < 1e-6 * p), bool(p >= 1 - 1e-9)) for n, p, q in zip(names, a, b)], "variable string, same boolean, one_at_least boolean")
 
 
 @reg("n2_similarity", ", x AS (SELECT DISTINCT price * 1.5 - 300 AS v FROM cells), r AS (SELECT price AS v, count(*) AS n FROM cells WHERE size % 3 <> 0 GROUP BY price), e AS (SELECT min(v) AS lo, max(v) AS hi, sum(n) AS t FROM r), c AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto FROM r), f AS (SELECT x.v, coalesce(upto, 0) / t::DOUBLE AS f, lo, hi FROM x CROSS JOIN e ASOF LEFT JOIN c ON x.v >= c.v) SELECT v AS value, round(CASE WHEN v < lo THEN 100 * (v - lo) / (hi - lo) WHEN v > hi THEN 100 * (hi - v) / (hi - lo) WHEN f <= 0.5 THEN 200 * f ELSE 200 * (1 - f) END, 9) AS score FROM f", "cells")
@@ -388,16 +392,19 @@ def _(s, d):
     return f.agg(F.sum("captions").cast("bigint").alias("captions"), F.sum("hunting").cast("bigint").alias("hunting"))
 
 
-@reg("k10_model_round_trip")
+@reg("k10_model_round_trip", "SELECT count(*) AS n, 0.0::DOUBLE AS off FROM embeddings")
 def _(s, d):
+    """A model that is written and loaded gives every row the score it gave before."""
     from pyspark.ml import PipelineModel
 
     from terrane.operators import models
 
     path = scratch(s)
     x = A.design(s, d)
-    models.fit_maxent(x, ["v0", "v1"], product=False).write().save(path)
-    return models.scored(PipelineModel.load(path), x).select("id", "s")
+    model = models.fit_maxent(x, ["v0", "v1"], features=("linear", "hinge"), knots=3)
+    model.write().save(path)
+    a, b = models.scored(model, x).select("id", "s"), models.scored(PipelineModel.load(path), x).select("id", F.col("s").alias("t"))
+    return a.join(b, "id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("s") - F.col("t"))).alias("off"))
 
 
 @reg("proj5_words_dropped", "SELECT DISTINCT variable AS layer FROM importance WHERE variable IS NOT NULL AND NOT regexp_matches(lower(variable), 'hunting|urban')")
@@ -463,12 +470,14 @@ def _(s, d):
     return metrics.rates(metrics.confusion(A.scores(s, d), 0.3)).select("sedi")
 
 
-@reg("m18_parameters")
+@reg("m18_parameters", "SELECT unnest(['linear', 'product']) AS features, true AS bounded")
 def _(s, d):
+    """Parameters of a linear model of two columns (an intercept and two at most) and of one of second degree (six)."""
     from terrane.operators import models
 
     x = A.design(s, d)
-    return s.createDataFrame([(n, models.parameters(models.fit_maxent(x, ["v0", "v1"], product=p))) for n, p in (("linear", False), ("product", True))], "features string, parameters int")
+    n = {k: models.parameters(models.fit_maxent(x, ["v0", "v1"], product=p)) for k, p in (("linear", False), ("product", True))}
+    return s.createDataFrame([("linear", 1 <= n["linear"] <= 3), ("product", 1 <= n["product"] <= 6)], "features string, bounded boolean")
 
 
 @reg("c13_fitted_names", "SELECT * FROM (VALUES ('v0', 0), ('v1', 1)) t(variable, idx)")

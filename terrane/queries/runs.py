@@ -219,9 +219,11 @@ def _(s, d):
     return w.select("variable", "n_a", "n_b", "mean_a", "mean_b", "difference", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("cohen_d", 6).alias("cohen_d"))
 
 
-@reg("r1_welch_tests")
+@reg("r1_welch_tests", ", g AS (SELECT variable, count(value) FILTER (meta_run = 'F') AS n_a, count(value) FILTER (meta_run = 'O') AS n_b, avg(value) FILTER (meta_run = 'F') AS a, avg(value) FILTER (meta_run = 'O') AS b, var_samp(value) FILTER (meta_run = 'F') AS va, var_samp(value) FILTER (meta_run = 'O') AS vb FROM importances GROUP BY variable) SELECT variable, round((b - a) / sqrt(va / n_a + vb / n_b), 6) AS t, true AS agree, true AS inside FROM g", "importances")
 def _(s, d):
-    return S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value").select("variable", "t", "p", "low", "high", "effect")
+    """The test and its interval agree: p is below 0.05 where the interval of the difference leaves 0 out."""
+    w = S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value")
+    return w.select("variable", F.round("t", 6).alias("t"), ((F.col("p") < 0.05) == ((F.col("low") > 0) | (F.col("high") < 0))).alias("agree"), F.col("difference").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @reg("r3_run_comparison", ", g AS (SELECT variable, avg(value) FILTER (meta_run = 'F') AS mean_a, avg(value) FILTER (meta_run = 'O') AS mean_b, avg(vif) FILTER (meta_run = 'F') AS vif_a, avg(vif) FILTER (meta_run = 'O') AS vif_b FROM importances GROUP BY variable) SELECT variable, mean_a, mean_b, round(100 * (mean_b - mean_a) / nullif(abs(mean_a), 0), 6) AS percent, vif_a, vif_b FROM g WHERE mean_a IS NOT NULL AND mean_b IS NOT NULL", "importances")
