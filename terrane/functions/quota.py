@@ -34,7 +34,7 @@ def _ends(sized: DataFrame, left: DataFrame, group: Sequence[str], mine: Column)
     return both.filter(F.col("__to").isNotNull())
 
 
-def take(rows: DataFrame, quotas: DataFrame, group: Sequence[str], order: str, tie: Sequence[str], size: Column, quota: str, rounds: int = 1, slack: float = 5e-4) -> DataFrame:
+def take(rows: DataFrame, quotas: DataFrame, group: Sequence[str], order: str, tie: Sequence[str], size: Column, quota: str, rounds: int = 1, slack: float = 1e-3) -> DataFrame:
     """rows of the smallest `order` (a number in [0, 1)) in each group whose sizes together stay within the group's quota.
 
     quotas: one row (group, quota) a group. Rows of groups without a quota or of null order are left out. With rounds = 1

@@ -72,17 +72,18 @@ def weighted_without_replacement(rows: DataFrame, weight: Column, u: Column, sha
     """max(least, round(share x rows)) rows drawn with probability in proportion to weight: the smallest exponential keys
     -ln(u) / weight; weights of 0, NaN or null never. No more rows than have a weight."""
     key = -F.ln(u) / F.when((weight > 0) & ~F.isnan(weight), weight)
-    n = rows.agg(F.greatest(F.lit(least), F.round(F.count("*") * share)).cast("bigint").alias("n"))
+    n = staged(rows.agg(F.greatest(F.lit(least), F.round(F.count("*") * share)).cast("bigint").alias("n")))
     # the key laid into [0, 1) around its own scale, so that cuts of it are filled
     keyed = rows.withColumn("__key", key).filter(F.col("__key").isNotNull())
     scale = F.broadcast(keyed.agg(F.percentile_approx("__key", max(min(share, 1.0), 1e-4), 1000).alias("__scale")))
-    laid = keyed.join(scale).withColumn("__order", F.col("__key") / (F.col("__key") + F.greatest("__scale", F.lit(1e-300))))
+    # written once, as the cuts are summed before rows are taken
+    laid = staged(keyed.join(scale).withColumn("__order", F.col("__key") / (F.col("__key") + F.greatest("__scale", F.lit(1e-300)))).drop("__scale"))
     return smallest(laid, n, "__order", ["__key", *tie]).select(*rows.columns)
 
 
 def sampled_share(rows: DataFrame, share: float, u: Column, tie: Sequence[str], least: int = 2) -> DataFrame:
     """max(least, round(share x rows)) rows, those of smallest u, a number in [0, 1); all rows if there are fewer."""
-    return share_of(rows.withColumn("__order", u), share, "__order", tie, least).drop("__order")
+    return share_of(staged(rows.withColumn("__order", u)), share, "__order", tie, least).drop("__order")
 
 
 def with_replacement(cells: DataFrame, weight: Column, n: int, key: Sequence[str], seed: int = 1) -> DataFrame:
