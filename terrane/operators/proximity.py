@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import staged
+
 #: Fixed value: mean radius of the earth in metres.
 EARTH_M = 6371008.8
 
@@ -34,7 +36,7 @@ def near_places(places: DataFrame, radius: float) -> DataFrame:
     points at few places should be kept as.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
-    places = places.withColumns({"cx": cell("x"), "cy": cell("y")})
+    places = staged(places.withColumns({"cx": cell("x"), "cy": cell("y")}))
     cells = places.select("cx", "cy", "s").distinct()
     # of two kinds the one in fewer cells looks around, so that the commonest never does
     size = cells.groupBy("s").agg(F.count("*").alias("n"))
@@ -82,7 +84,8 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, kind: str, radius: f
     together, so a crowded place costs once and not the square of its points; distances are verified between places before
     their points are paired.
     """
-    p = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(kind).alias("s")).dropna()
+    # written once, as points are asked for their places and again for the pairs' members
+    p = staged(points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(kind).alias("s")).dropna())
     places = p.select("x", "y", "s").distinct()
     close = near_places_on_earth(places, radius) if degrees else near_places(places, radius)
     other = p.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("bs"), F.col("k").alias("k2"))
