@@ -56,3 +56,21 @@ def as_table(spark: SparkSession, settings: dict) -> DataFrame:
 def flags_in_json(configs: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
     """configs with one column for each path ($.a.b) of a JSON text, null where it isn't there or the text doesn't parse."""
     return configs.withColumns({n: F.get_json_object(column, p) for n, p in paths.items()})
+
+
+def disabled(configs: DataFrame, name: str, text: str, flag: str, wanted: dict[str, str]) -> DataFrame:
+    """(name, scenario, problem) of the scenarios in JSON settings that have all wanted values and the flag (a dotted path)
+    exactly false; a text that doesn't parse has a row with its problem instead.
+
+    A text is one scenario, or has a list of them under `scenarios`; a scenario is named by its `id`.
+    """
+    whole = F.try_parse_json(text)
+    problem = F.when(whole.isNull(), "no settings")
+    each = F.from_json(F.get_json_object(text, "$.scenarios"), "array<string>")
+    # each scenario as text of its own, as their settings differ
+    own = configs.select(name, problem.alias("problem"), F.explode_outer(F.coalesce(each, F.array(text))).alias("__s"))
+    at = lambda p: F.get_json_object("__s", f"$.{p}")
+    hit = at(flag) == "false"
+    for k, v in wanted.items():
+        hit &= F.lower(at(k)) == v.lower()
+    return own.filter(F.col("problem").isNotNull() | hit).select(name, F.when(F.col("problem").isNull(), at("id")).alias("scenario"), "problem")

@@ -244,9 +244,15 @@ def _(s, d):
     return f.groupBy("sha256").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.count_if("forbidden").alias("forbidden"), F.count_if("conflict").alias("conflicts")).filter("n > 1")
 
 
-@reg("r19_settings_off", "SELECT event_id FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') = '7'")
-def _(s, d):
-    return config.flags_in_json(table(s, d, "events"), "props", {"k": "$.k"}).filter("event_type = 'view' and k = '7'").select("event_id")
+@reg("r19_settings_off", "WITH o AS (SELECT 'c' || context_id AS id, season, lower(season) = 'winter' AND temporal = 'monotemporal' AND context_id % 2 <> 0 AS off FROM training_context) SELECT id AS name, id AS scenario, NULL AS problem FROM o WHERE off AND id NOT IN ('c5', 'c10') UNION ALL SELECT season, id, NULL FROM o WHERE off UNION ALL SELECT id, NULL, 'no settings' FROM o WHERE id IN ('c5', 'c10')")
+def _(s, d):
+    """Contexts as settings of their own and, by season, as lists; every fifth text is cut short."""
+    t = table(s, d, "training_context")
+    one = F.struct(F.concat(F.lit("c"), F.col("context_id").cast("string")).alias("id"), "season", "temporal", F.struct((F.col("context_id") % 2 == 0).alias("hunting")).alias("flags"))
+    alone = t.select(F.concat(F.lit("c"), F.col("context_id").cast("string")).alias("name"), F.to_json(one).alias("text"))
+    alone = alone.withColumn("text", F.when(F.col("name").isin("c5", "c10"), F.substring("text", 1, 9)).otherwise(F.col("text")))
+    lists = t.groupBy("season").agg(F.to_json(F.struct(F.collect_list(one).alias("scenarios"))).alias("text")).select(F.col("season").alias("name"), "text")
+    return config.disabled(alone.unionByName(lists), "name", "text", "flags.hunting", {"season": "winter", "temporal": "Monotemporal"})
 
 
 @reg("r21_run_checks", ", n AS (SELECT scenario, engine, count(DISTINCT split) AS splits, count(DISTINCT test_year) AS years, count(*) FILTER (auc IS NULL) AS unknown, count(*) FILTER (auc NOT BETWEEN 0 AND 1) AS outside FROM metrics GROUP BY ALL) SELECT unnest(['registered', 'splits', 'years', 'in_range', 'all_known', 'has_runs']) AS check, unnest([count(*) FILTER (scenario IS NULL OR engine IS NULL) = 0, bool_and(splits = 3), bool_and(years = 7), sum(outside) = 0, sum(unknown) = 0, count(*) > 0]) AS passed FROM n", "metrics")

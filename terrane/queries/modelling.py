@@ -475,6 +475,18 @@ def _(s, d):
     return K.interop_points(A.points(s, d), "wild boar")
 
 
+@reg("k4_bundle", "SELECT 'points' AS part, (SELECT count(*) FROM points) AS n, NULL::DOUBLE AS total UNION ALL SELECT 'size', count(size), round(sum(size), 3) FROM cells UNION ALL SELECT 'price', count(price), round(sum(price), 3) FROM cells", "points", "cells")
+def _(s, d):
+    """A bundle that is written and read back part by part, by its own list of them."""
+    path = scratch(s)
+    K.interop_bundle(A.points(s, d), A.cells(s, d), A.extent(s, d), ["size", "price"], "wild boar", path, {"season": "Winter"})
+    told = s.read.json(f"{path}/bundle.json").first()
+    out = s.read.option("header", True).csv(f"{path}/{told.points}").agg(F.lit("points").alias("part"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+    for v, folder in told.layers.asDict().items():
+        out = out.unionByName(R.read_ascii_grids(s, f"{path}/{folder}").agg(F.lit(v).alias("part"), F.count("value").alias("n"), F.round(F.sum("value"), 3).alias("total")))
+    return out
+
+
 @reg("k6_markdown", "SELECT '| ' || subject || ' | ' || replace(coalesce(description, ''), '|', '\\|') || ' |' AS line FROM subjects")
 def _(s, d):
     return K.markdown(table(s, d, "subjects").select("subject", "description"))

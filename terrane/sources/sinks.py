@@ -49,6 +49,16 @@ def interop_points(points: DataFrame, species: str) -> DataFrame:
     return points.select(F.lit(species).alias("species"), F.format_string("%.6f", "x").alias("longitude"), F.format_string("%.6f", "y").alias("latitude"))
 
 
+def interop_bundle(points: DataFrame, cells: DataFrame, grid: Grid, layers: Sequence[str], species: str, path: str, settings: dict) -> None:
+    """What another program needs for a run: the points as CSV, each layer as an ASCII grid (a folder with one file), and the
+    settings with the lists of both as JSON, written last."""
+    interop_points(points, species).write.mode("overwrite").option("header", True).csv(f"{path}/points")
+    for v in layers:
+        ascii_grid(cells, grid, v).repartition(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{path}/layers/{v}")
+    told = settings | {"species": species, "points": "points", "layers": {v: f"layers/{v}" for v in layers}, "cell": grid.cell, "rows": grid.rows, "columns": grid.cols}
+    write_text(points.sparkSession, f"{path}/bundle.json", json.dumps(told, sort_keys=True))
+
+
 def markdown(df: DataFrame) -> DataFrame:
     """(line) of each row as a row of a Markdown table; null is empty and | is escaped. For small tables."""
     cells = [F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
