@@ -74,9 +74,9 @@ def p4_needs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_size(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the sample, distinct ones, and whether every category that can has its share of them."""
+    """Rows of the sample, distinct ones, and whether every category has its minimum of them, or all it has."""
     sample, report = raking.sample(table(spark, d, "presence"), table(spark, d, "sample_targets"))
-    least = report.agg(F.bool_and(F.col("rows") >= F.least(F.col("available"), F.col("needed") - 1)).alias("met"))
+    least = report.join(table(spark, d, "sample_targets").select("source", "semester", "min_rows"), ["source", "semester"]).agg(F.bool_and(F.col("rows") >= F.least("available", "min_rows")).alias("met"))
     return sample.agg(F.count("*").alias("n"), F.countDistinct("occ_id").alias("points")).join(least)
 
 
@@ -132,7 +132,7 @@ _P4 = """WITH t AS (SELECT *, lower(trim(source)) AS s, lower(trim(semester)) AS
 pts AS (SELECT DISTINCT occ_id, t.source, t.semester FROM presence q JOIN t ON lower(trim(q.source)) = t.s AND lower(trim(q.semester)) = t.p
   WHERE q."year-int" = CAST(t.semester[1:4] AS INT)),
 n AS (SELECT source, semester, count(*) AS n FROM pts GROUP BY ALL),
-need AS (SELECT t.source, t.semester, coalesce(n.n, 0) AS have, greatest(min_rows, (target_per_10k * (SELECT floor(count(*) / 4)::BIGINT FROM pts) + 9999) // 10000) AS need
+need AS (SELECT t.source, t.semester, min_rows, coalesce(n.n, 0) AS have, greatest(min_rows, (target_per_10k * (SELECT floor(count(*) / 4)::BIGINT FROM pts) + 9999) // 10000) AS need
   FROM t LEFT JOIN n ON t.source = n.source AND t.semester = n.semester)
 """
 
@@ -142,7 +142,7 @@ SQL = {
     "p3_found": _P3 + "SELECT batch_id FROM good JOIN bounds USING (context_id, name) WHERE list_aggregate(v, 'median') < lo OR list_aggregate(v, 'median') > hi",
     "p3_ranks": _P3 + "SELECT context_id, name, sum(len(v))::BIGINT AS n, true AS good FROM good WHERE context_id IS NOT NULL GROUP BY ALL",
     "p4_needs": _P4 + "SELECT source, semester, need::BIGINT AS needed, have AS available, greatest(0, need - have)::BIGINT AS gap, have < need AS unmet FROM need",
-    "p4_size": _P4 + "SELECT count(*) // 4 AS n, count(*) // 4 AS points, true AS met FROM pts",
+    "p4_size": _P4 + "SELECT greatest((SELECT count(*) // 4 FROM pts), sum(least(have, min_rows))::BIGINT) AS n, greatest((SELECT count(*) // 4 FROM pts), sum(least(have, min_rows))::BIGINT) AS points, true AS met FROM need",
     "p7_bounds": "SELECT source, true AS within, true AS filled FROM mix_targets",
     "p4_found": _P4 + "SELECT source, semester FROM need WHERE have < need",
 }
