@@ -363,7 +363,8 @@ def _(s, d):
 
     box = lambda a, b, c, e: [{"x": float(x), "y": float(y)} for x, y in ((a, c), (b, c), (b, e), (a, e))]
     r = s.createDataFrame([("west", box(100000, 130000, 7030000, 7100000)), ("north", box(110000, 160000, 7060000, 7110000))], "region string, ring array<struct<x: double, y: double>>")
-    return proximity.in_regions(A.points(s, d), "x", "y", r, "region", "ring", 50000.0).groupBy("region").agg(F.count("*").alias("n"))
+    n = proximity.in_regions(A.points(s, d), "x", "y", r, "region", "ring", 50000.0).groupBy("region").agg(F.count("*").alias("n"))
+    return r.select("region").join(n, "region", "left").select("region", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 

@@ -99,13 +99,13 @@ _BY_RUN = ", m AS (SELECT scenario, combo_name, variable, avg(importance_mean) A
 
 
 @reg("c4_grouped_selection", f"""WITH {_VIFS}{_BY_RUN}, k AS (SELECT * FROM f WHERE family IS NOT NULL QUALIFY row_number() OVER (PARTITION BY family ORDER BY vif NULLS LAST, variable) <= CASE family WHEN 'bio' THEN 4 WHEN 'satellite' THEN 3 WHEN 'era5' THEN 3 ELSE 999 END),
-gone AS (SELECT DISTINCT CASE WHEN x.vif >= y.vif THEN a ELSE b END AS variable FROM pr JOIN k x ON x.variable = a JOIN k y ON y.variable = b WHERE abs(round(r, 9)) >= 0.2) SELECT variable, family FROM k ANTI JOIN gone USING (variable)""")
+gone AS (SELECT DISTINCT CASE WHEN x.vif >= y.vif THEN a ELSE b END AS variable FROM pr JOIN k x ON x.variable = a JOIN k y ON y.variable = b WHERE isfinite(r) AND abs(round(r, 9)) >= 0.2) SELECT variable, family FROM k ANTI JOIN gone USING (variable)""")
 def _(s, d):
     """Inflation and correlations over runs: the importance of a variable in each scenario and combination is a column of it."""
     i = table(s, d, "importance").filter("scenario is not null and combo_name is not null").withColumn("x", X.finite("importance_mean")).filter("x is not null")
     m = i.groupBy("scenario", "combo_name", "variable").agg(F.avg("x").alias("x"))
     side = lambda k, v: m.filter(C.family("variable") == k).select("scenario", "combo_name", F.col("variable").alias(v), F.col("x").alias(f"x{v}"))
-    pairs = side("bio", "a").join(side("era5", "b"), ["scenario", "combo_name"]).groupBy("a", "b").agg(F.round(F.corr("xa", "xb"), 9).alias("r"))
+    pairs = side("bio", "a").join(side("era5", "b"), ["scenario", "combo_name"]).groupBy("a", "b").agg(F.round(X.finite(F.corr("xa", "xb")), 9).alias("r"))
     return C.selected(_vifs(s, d), {"bio": 4, "satellite": 3, "era5": 3}, pairs, 0.2)
 
 
