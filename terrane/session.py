@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_hooked: list[bool] = []
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted as the program ends."""
-    if not _written:
+    if not _hooked:
         atexit.register(_removed, spark)
+        _hooked.append(True)
     _written.append(f"{shared_dir(spark).rstrip('/')}/terrane-{uuid.uuid4().hex}")
     return _written[-1]
 
@@ -63,12 +66,24 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _removed(spark: SparkSession) -> None:
+def _removed(spark: SparkSession, since: int = 0) -> None:
     """Deletes what was staged, as the program ends; a context that has gone already leaves it to the folder's owner."""
     with contextlib.suppress(Exception):
-        for p in _written:
+        for p in _written[since:]:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[since:]
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was staged inside, so that a long session doesn't fill the shared folder. Results made inside
+    must be written or collected before."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _removed(spark, since)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

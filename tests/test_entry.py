@@ -3,6 +3,8 @@ import os
 import re
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -27,6 +29,25 @@ def test_works_without_llm(monkeypatch):
     assert "p2_found" in e.queries() and "p1_found" not in e.queries() and e.oracle_sql()
 
 
+def test_only_the_subpackage_may_lack(monkeypatch):
+    if importlib.util.find_spec("terrane.llm") is None:
+        return
+    for k in [k for k in sys.modules if k.startswith("terrane.llm")]:
+        monkeypatch.delitem(sys.modules, k)
+    monkeypatch.setitem(sys.modules, "regex", None)
+    with pytest.raises(ImportError):
+        entry().queries()
+
+
+def test_staged_tables_go(spark):
+    from terrane import session
+
+    with session.staging(spark):
+        path = session.staged(spark.range(3)).inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_nothing_imports_llm():
     for folder, _, files in os.walk(f"{ROOT}/terrane"):
         if os.path.basename(folder) == "llm":
