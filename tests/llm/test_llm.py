@@ -293,6 +293,25 @@ def test_hashed_words_pairs_and_sentences():
     assert list(none[:9]) == [True, False, True, True, True, True, True, False, False]  # none across a comma or an end
 
 
+def test_decomposition_over_many_tasks(spark):
+    """Sums of 40 tasks, added in several steps, give the leading directions of the whole matrix."""
+    r = random.Random(4)
+    topics = [[f"{t}{i}" for i in range(12)] for t in ("ash", "bee", "cod")]
+    docs = [(i, " ".join(r.choices(topics[i % 3], k=30)) + ". " + " ".join(r.choices(sum(topics, []), k=3))) for i in range(400)] + [(1000, None), (1001, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    s = subjects.Settings(bits=8, dims=3, passes=4)
+    told = subjects.features(d, "doc_id", "text", s.bits)
+    basis = subjects.decomposed(told, np.ones(256, np.float32), s)
+    a = np.zeros((len(docs), 257))
+    for k, (_, text) in enumerate(docs):
+        for t in subjects._terms(subjects.hashed([text], s.bits)[0]):
+            np.add.at(a[k], t, 1)
+    a = a[:, :256] / np.maximum(np.linalg.norm(a[:, :256], axis=1, keepdims=True), 1e-9)
+    want = np.linalg.svd(a, full_matrices=False)[2][:3].T
+    assert np.linalg.svd(want.T @ basis)[1].min() > 0.99  # both span the same space
+    assert subjects.occurrences(told, 256).sum() == sum((t < 256).sum() for _, text in docs for t in subjects._terms(subjects.hashed([text], s.bits)[0]))
+
+
 def made(n, seed):
     r = random.Random(seed)
     words = {"sport": ["goal", "match", "team", "coach"], "law": ["court", "judge", "appeal", "permit"], "food": ["bread", "soup", "oven", "salt"]}
