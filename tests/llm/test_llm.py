@@ -25,7 +25,7 @@ def test_top_n_against_brute_force(spark):
     rows += [(10_000, "c", "x", 1.0)] * 50 + [(10_001, "c", "x", 1.0), (10_002, "c", "x", 0.0), (None, "c", "x", 9.0)]
     d = spark.createDataFrame(rows, "id long, g string, h string, v double").withColumns({"rank": F.lit("clash"), "n": F.lit(1)})
     got = {(x.g, x.h): [] for x in topn.top_n(d, ["g", "h"], "v", "id", 5).collect()}
-    for x in topn.top_n(d, ["g", "h"], "v", "id", 5, buckets=3).orderBy("rank").collect():
+    for x in topn.top_n(d, ["g", "h"], "v", "id", 5, per=100).orderBy("rank").collect():
         got[x.g, x.h].append(x.id)
     want = collections.defaultdict(set)
     for i, g, h, v in rows:
@@ -37,8 +37,8 @@ def test_top_n_against_brute_force(spark):
 
 def test_top_n_counts_a_key_of_many_scores_once(spark):
     d = spark.createDataFrame([("g", "a", float(v)) for v in range(5, 11)] + [("g", "b", 1.0), ("g", "c", 0.5)], "g string, id string, v double")
-    for buckets in (1, 2, 64):
-        got = topn.top_n(d, ["g"], "v", "id", 3, buckets=buckets).orderBy("rank").collect()
+    for per in (10**6, 4, 1):
+        got = topn.top_n(d, ["g"], "v", "id", 3, per=per).orderBy("rank").collect()
         assert [(r.id, r.v) for r in got] == [("a", 10.0), ("b", 1.0), ("c", 0.5)]
 
 
