@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.text import folded
-from terrane.operators.stats import interval, top_row
+from terrane.operators.stats import interval, top_row, welch
 
 
 def combinations(runs: DataFrame, by: Sequence[str], values: Sequence[str], splits: Sequence[str] = ("validation", "test"), year: str = "test_year") -> DataFrame:
@@ -238,3 +238,34 @@ def chosen_specs(specs: DataFrame, enabled: str, kind: str, barred: Sequence[str
     """The enabled specifications of no barred kind, by place; those without a place come `last`."""
     kept = specs.filter(F.col(enabled) & ~F.col(kind).isin(*barred)).withColumn(place, F.coalesce(place, F.lit(last)))
     return kept.orderBy(place)
+
+
+def validation_of_best(runs: DataFrame, by: Sequence[str], year: str, score: str, tie: str) -> DataFrame:
+    """(by, year, test, validation): the best test score of each, and the best validation score of the same year, if any."""
+    t = top_row(runs.filter(folded("split") == "test"), list(by), score, [tie])
+    v = runs.filter(folded("split") == "validation").groupBy(*by, year).agg(F.max(score).alias("validation"))
+    return t.select(*by, year, F.col(score).alias("test")).join(v, [*by, year], "left")
+
+
+def with_inflation(importance: DataFrame, inflation: DataFrame, keys: Sequence[str], vif: str = "vif") -> DataFrame:
+    """importance with the largest inflation of the same keys, null where there is none."""
+    return importance.join(inflation.groupBy(*keys).agg(F.max(vif).alias(vif)), list(keys), "left")
+
+
+def extremes(runs: DataFrame, by: str, year: str, score: str, low: float) -> DataFrame:
+    """(by, worst, best, low, spread): the years of lowest and highest mean score (the earlier of equal ones), years below
+    `low`, and how far the means are apart."""
+    b = runs.groupBy(by, year).agg(F.avg(score).alias("__s"))
+    return b.groupBy(by).agg(F.min_by(year, F.struct("__s", year)).alias("worst"), F.max_by(year, F.struct("__s", (-F.col(year)).alias("y"))).alias("best"), F.count_if(F.col("__s") < low).alias("low"), (F.max("__s") - F.min("__s")).alias("spread"))
+
+
+def top_differences(rows: DataFrame, difference: str, name: str, n: int) -> DataFrame:
+    """The n rows of largest absolute difference (to 12 decimals), then by name."""
+    return rows.filter(F.col(difference).isNotNull()).orderBy(F.desc(F.round(F.abs(difference), 12)), name).limit(n)
+
+
+def compared(records: DataFrame, name: str, run: str, a, b, value: str, vif: str) -> DataFrame:
+    """(name, mean_a, mean_b, percent, vif_a, vif_b) of the names that both runs have."""
+    w = welch(records, [name], run, a, b, value).select(name, "mean_a", "mean_b", "percent")
+    v = records.groupBy(name).agg(*[F.avg(F.when(F.col(run) == r, F.col(vif))).alias(n) for n, r in (("vif_a", a), ("vif_b", b))])
+    return w.join(v, name)

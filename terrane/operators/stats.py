@@ -152,6 +152,22 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.join(total, list(by)).withColumn("relative", F.try_divide(F.col(value), F.col("__t"))).drop("__t")
 
 
+def varying(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, kept): whether a column's known values are not all the same; a column without any is not kept."""
+    v = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return df.agg(*[F.coalesce(F.max(v(c)) > F.min(v(c)), F.lit(False)).alias(c) for c in columns]).unpivot([], list(columns), "variable", "kept")
+
+
+def kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, kinds): how many different values a column has, null being one of them."""
+    return df.agg(*[(F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).alias(c) for c in columns]).unpivot([], list(columns), "variable", "kinds")
+
+
+def means(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(by, values): means of the known values, null and NaN left out."""
+    return df.groupBy(*by).agg(*[F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c) for c in values])
+
+
 def top_row(df: DataFrame, by: Sequence[str], score: str, tie: Sequence[Column | str]) -> DataFrame:
     """The row of highest score in each group, known scores first, then by tie."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(score), *tie))).filter("__n = 1").drop("__n")

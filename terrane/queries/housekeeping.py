@@ -477,6 +477,13 @@ def _(s, d):
     return metrics.rates(metrics.confusion(A.scores(s, d), 0.3)).select("sedi")
 
 
+@reg("m7_sedi_reference", ", k AS (SELECT count(*) FILTER (s >= 0.3 AND y = 1) / count(*) FILTER (y = 1)::DOUBLE AS h, count(*) FILTER (s >= 0.3 AND y = 0) / count(*) FILTER (y = 0)::DOUBLE AS f FROM scores) SELECT (ln(h * (1 - f)) - ln((1 - h) * f)) / (ln(h * (1 - f)) + ln((1 - h) * f)) AS sedi FROM k", "scores")
+def _(s, d):
+    from terrane.operators import metrics
+
+    return metrics.rates(metrics.confusion(A.scores(s, d), 0.3), "reference").select("sedi")
+
+
 @reg("m18_parameters", "SELECT unnest(['linear', 'product']) AS features, true AS bounded")
 def _(s, d):
     """Parameters of a linear model of two columns (an intercept and two at most) and of one of second degree (six)."""

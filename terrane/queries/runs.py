@@ -177,7 +177,7 @@ def _(s, d):
 
 @reg("a30_fold_means", "SELECT test_year, avg(auc) AS auc, avg(cbi) AS cbi FROM metrics GROUP BY test_year", "metrics")
 def _(s, d):
-    return A.metrics(s, d).groupBy("test_year").agg(F.avg("auc").alias("auc"), F.avg("cbi").alias("cbi"))
+    return S.means(A.metrics(s, d), ["test_year"], ["auc", "cbi"])
 
 
 @reg("a33_distinct_predictors", "SELECT variable, min(id) AS first FROM importances GROUP BY variable", "importances")
@@ -228,10 +228,7 @@ def _(s, d):
 
 @reg("r3_run_comparison", ", g AS (SELECT variable, avg(value) FILTER (meta_run = 'F') AS mean_a, avg(value) FILTER (meta_run = 'O') AS mean_b, avg(vif) FILTER (meta_run = 'F') AS vif_a, avg(vif) FILTER (meta_run = 'O') AS vif_b FROM importances GROUP BY variable) SELECT variable, mean_a, mean_b, round(100 * (mean_b - mean_a) / nullif(abs(mean_a), 0), 6) AS percent, vif_a, vif_b FROM g WHERE mean_a IS NOT NULL AND mean_b IS NOT NULL", "importances")
 def _(s, d):
-    i = A.importances(s, d)
-    w = S.welch(i, ["variable"], "meta_run", "F", "O", "value").select("variable", "mean_a", "mean_b", F.round("percent", 6).alias("percent"))
-    v = i.groupBy("variable").agg(*[F.avg(F.when(F.col("meta_run") == r, F.col("vif"))).alias(n) for n, r in (("vif_a", "F"), ("vif_b", "O"))])
-    return w.join(v, "variable")
+    return T.compared(A.importances(s, d), "variable", "meta_run", "F", "O", "value", "vif").withColumn("percent", F.round("percent", 6))
 
 
 @reg("r4_temporal_comparison", "SELECT scenario, avg(auc) FILTER (temporal = 'monotemporal') AS mean_a, avg(auc) FILTER (temporal = 'multitemporal') AS mean_b, avg(auc) FILTER (temporal = 'multitemporal') - avg(auc) FILTER (temporal = 'monotemporal') AS difference FROM metrics GROUP BY scenario", "metrics")
@@ -246,13 +243,13 @@ def _(s, d):
 
 @reg("r6_top_differences", ", g AS (SELECT variable, avg(value) FILTER (meta_run = 'O') - avg(value) FILTER (meta_run = 'F') AS difference FROM importances GROUP BY variable) SELECT variable, difference FROM g ORDER BY round(abs(difference), 12) DESC, variable LIMIT 5", "importances")
 def _(s, d):
-    return S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value").orderBy(F.desc(F.round(F.abs("difference"), 12)), "variable").limit(5).select("variable", "difference")
+    w = S.welch(A.importances(s, d), ["variable"], "meta_run", "F", "O", "value")
+    return T.top_differences(w, "difference", "variable", 5).select("variable", "difference")
 
 
 @reg("r7_extremes", ", b AS (SELECT engine, test_year, avg(auc) AS auc FROM metrics GROUP BY ALL) SELECT engine, arg_min(test_year, (auc, test_year)) AS worst, arg_max(test_year, (auc, -test_year)) AS best, count(*) FILTER (auc < 0.745) AS low, max(auc) - min(auc) AS spread FROM b GROUP BY engine", "metrics")
 def _(s, d):
-    b = A.metrics(s, d).groupBy("engine", "test_year").agg(F.avg("auc").alias("auc"))
-    return b.groupBy("engine").agg(F.min_by("test_year", F.struct("auc", "test_year")).alias("worst"), F.max_by("test_year", F.struct("auc", (-F.col("test_year")).alias("y"))).alias("best"), F.count_if(F.col("auc") < 0.745).alias("low"), (F.max("auc") - F.min("auc")).alias("spread"))
+    return T.extremes(A.metrics(s, d), "engine", "test_year", "auc", 0.745)
 
 
 @reg("r10_stable_hash", "SELECT run_id, sha256('{\"engine\":\"' || engine || '\",\"scenario\":\"' || scenario || '\"}') AS hash FROM metrics", "metrics")
@@ -310,15 +307,12 @@ def _(s, d):
 @reg("j9_importance_vif", "SELECT i.variable, i.n, v.vif FROM (SELECT variable, count(*) AS n FROM importances GROUP BY variable) i LEFT JOIN (SELECT variable, max(vif) AS vif FROM importances WHERE variable < 'var_3' GROUP BY variable) v USING (variable)", "importances")
 def _(s, d):
     i = A.importances(s, d)
-    return i.groupBy("variable").agg(F.count("*").alias("n")).join(i.filter("variable < 'var_3'").groupBy("variable").agg(F.max("vif").alias("vif")), "variable", "left")
+    return T.with_inflation(i.groupBy("variable").agg(F.count("*").alias("n")), i.filter("variable < 'var_3'"), ["variable"])
 
 
 @reg("j10_validation_of_best", ", t AS (SELECT * FROM metrics WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY scenario, engine ORDER BY cbi DESC NULLS LAST, run_id) = 1), v AS (SELECT scenario, engine, test_year, max(cbi) AS validation FROM metrics WHERE split = 'validation' GROUP BY ALL) SELECT scenario, engine, test_year, t.cbi AS test, validation FROM t LEFT JOIN v USING (scenario, engine, test_year)", "metrics")
 def _(s, d):
-    m = A.metrics(s, d)
-    t = S.top_row(m.filter("split = 'test'"), ["scenario", "engine"], "cbi", ["run_id"])
-    v = m.filter("split = 'validation'").groupBy("scenario", "engine", "test_year").agg(F.max("cbi").alias("validation"))
-    return t.join(v, ["scenario", "engine", "test_year"], "left").select("scenario", "engine", "test_year", F.col("cbi").alias("test"), "validation")
+    return T.validation_of_best(A.metrics(s, d), ["scenario", "engine"], "test_year", "cbi", "run_id")
 
 
 @reg("j11_shared_variables", "SELECT variable FROM importances WHERE meta_run = 'F' INTERSECT SELECT variable FROM importances WHERE meta_run = 'O'", "importances")
@@ -480,13 +474,12 @@ def _(s, d):
 
 @reg("f9_constant_columns", "SELECT unnest(['v0', 'v1', 'zero']) AS variable, unnest([var_pop(v0) > 0, var_pop(v1) > 0, false]) AS kept FROM design", "design")
 def _(s, d):
-    return A.design(s, d).withColumn("zero", F.lit(0.0)).agg(*[(F.var_pop(c) > 0).alias(c) for c in ("v0", "v1", "zero")]).unpivot([], ["v0", "v1", "zero"], "variable", "kept")
+    return S.varying(A.design(s, d).withColumn("zero", F.lit(0.0)), ["v0", "v1", "zero"])
 
 
 @reg("f10_few_values", "SELECT 'engine' AS variable, count(DISTINCT engine) + max((engine IS NULL)::INT) AS kinds FROM importance UNION ALL SELECT 'season', count(DISTINCT season) + max((season IS NULL)::INT) FROM importance")
 def _(s, d):
-    i = table(s, d, "importance")
-    return i.agg(*[(F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in ("engine", "season")]).unpivot([], ["engine", "season"], "variable", "kinds")
+    return S.kinds(table(s, d, "importance"), ["engine", "season"])
 
 
 @reg("f14_outside_set", "SELECT count(*) FILTER (size % 3 = 0) AS changed, sum(CASE WHEN size % 3 = 0 THEN -9999.0::DOUBLE ELSE price END) AS total FROM cells", "cells")

@@ -82,7 +82,7 @@ def read_ascii_grids(spark: SparkSession, path: str | list[str], nodata: float =
     """(layer, row, col, value) of ESRI ASCII grid files, nodata being null; the layer is the file's name without suffix.
 
     Lines are numbered within the piece of a file that a task reads, and pieces are put in order by where they begin; a file
-    may be read by any number of tasks.
+    may be read by any number of tasks. A file with other rows than its header says is an error.
     """
     names = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
     lines = spark.read.text(path).select(
@@ -90,11 +90,11 @@ def read_ascii_grids(spark: SparkSession, path: str | list[str], nodata: float =
     )
     first = F.lower(F.split(F.trim("line"), r"\s+")[0])
     lines = lines.withColumn("__body", ~first.isin(*names) & (F.trim("line") != ""))
-    pieces = lines.groupBy("__f", "__b").agg(F.min("__i").alias("__i0"), F.count("*").alias("__n"), F.min(F.when(F.col("__body"), F.col("__i"))).alias("__s"))
+    pieces = lines.groupBy("__f", "__b").agg(F.min("__i").alias("__i0"), F.count("*").alias("__n"), F.min(F.when(F.col("__body"), F.col("__i"))).alias("__s"), F.count_if("__body").alias("__k"), F.max(F.when(first == "nrows", F.split(F.trim("line"), r"\s+")[1].try_cast("bigint"))).alias("__rows"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("__f").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     pieces = pieces.withColumn("__at", before - F.col("__i0"))
-    pieces = pieces.withColumn("__at", F.col("__at") - F.min(F.col("__s") + F.col("__at")).over(W.partitionBy("__f"))).select("__f", "__b", "__at")
-    at = lines.filter("__body").join(F.broadcast(pieces), ["__f", "__b"]).withColumn("row", F.col("__i") + F.col("__at"))
+    pieces = pieces.withColumn("__at", F.col("__at") - F.min(F.col("__s") + F.col("__at")).over(W.partitionBy("__f"))).withColumns({n: f(n).over(W.partitionBy("__f")) for n, f in (("__k", F.sum), ("__rows", F.max))}).select("__f", "__b", "__at", "__k", "__rows")
+    at = lines.filter("__body").join(F.broadcast(pieces), ["__f", "__b"]).withColumn("row", F.when(F.col("__rows") != F.col("__k"), F.raise_error(F.concat_ws(" ", "__f", F.lit("has"), F.col("__k").cast("string"), F.lit("rows, not"), F.col("__rows").cast("string"))).cast("bigint")).otherwise(F.col("__i") + F.col("__at")))
     values = at.select("layer", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
     return values.select("layer", "row", F.col("col").cast("bigint").alias("col"), known(F.col("v").try_cast("double"), nodata).alias("value"))
 

@@ -143,6 +143,9 @@ def test_ascii_grid_read_in_pieces(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(got) == 20000 and all(r.value == r.row * 50 + r.col for r in got)
+    (tmp_path / "b.asc").write_text("\n".join(["ncols 50", "nrows 401", *body]) + "\n")
+    with pytest.raises(Exception, match="has 400 rows, not 401"):
+        tables.read_ascii_grids(spark, str(tmp_path)).agg(F.sum("row")).collect()
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
