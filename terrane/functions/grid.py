@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,15 @@ class Grid:
     def top(self) -> float:
         return self.y0 + self.rows * self.cell
 
+    def shifted(self, dx: float, dy: float) -> Grid:
+        """The same cells at another origin, as a file whose corner is off by dx and dy."""
+        return replace(self, x0=self.x0 + dx, y0=self.y0 + dy)
+
+    def tile(self, size: int, row: Column | str = "row", col: Column | str = "col") -> tuple[Column, Column]:
+        """Row and column of the square of size x size cells that a cell lies in."""
+        r, c = (F.col(v) if isinstance(v, str) else v for v in (row, col))
+        return F.floor(r / size), F.floor(c / size)
+
     def row(self, y: Column | str) -> Column:
         return F.floor((F.lit(self.top) - (F.col(y) if isinstance(y, str) else y)) / F.lit(self.cell)).cast("bigint")
 

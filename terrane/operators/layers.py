@@ -258,6 +258,22 @@ def consistent_grids(headers: DataFrame, coefficients: Sequence[str], tolerance:
     return headers.join(F.broadcast(first)).select("layer", same.alias("same"))
 
 
+def by_domain(cells: DataFrame, domains: dict[str, str]) -> DataFrame:
+    """(row, col, <domain>_<layer>...) of the layers that have a domain, each under its domain's name."""
+    return cells.select("row", "col", *[F.col(v).cast("double").alias(f"{d}_{v}") for v, d in domains.items()])
+
+
+def empty(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(layer) of the layers without any known value."""
+    n = cells.agg(*[F.count(known(F.col(v).cast("double"))).alias(v) for v in names]).unpivot([], list(names), "layer", "n")
+    return n.filter("n = 0").select("layer")
+
+
+def replicated(cells: DataFrame, name: str, values: Sequence) -> DataFrame:
+    """Each cell once for each of the values, as a layer that stands for several times."""
+    return cells.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
 def long(cells: DataFrame, layers: Sequence[str]) -> DataFrame:
     return cells.unpivot(["row", "col"], [F.col(v).cast("double").alias(v) for v in layers], "layer", "value")
 

@@ -24,6 +24,12 @@ def of_season(points: DataFrame, season: str, year: int) -> DataFrame:
     return points.filter((F.lower("season") == season.lower()) & (F.col("year") == year))
 
 
+def shifted(points: DataFrame, offsets: DataFrame, key: str = "year") -> DataFrame:
+    """points moved by the offsets (key, dx, dy) of their key; a key without offsets leaves them where they are."""
+    p = points.join(offsets.select(key, F.col("dx").alias("__dx"), F.col("dy").alias("__dy")), key, "left")
+    return p.withColumns({"x": F.col("x") + F.coalesce("__dx", F.lit(0.0)), "y": F.col("y") + F.coalesce("__dy", F.lit(0.0))}).select(*points.columns)
+
+
 def in_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
     """Points whose cell is in the mask; points outside the grid are not."""
     return points.join(mask.select("row", "col"), ["row", "col"], "left_semi")

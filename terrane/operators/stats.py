@@ -235,6 +235,12 @@ def correlations(df: DataFrame, columns: Sequence[str], complete: bool = False)
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])))
 
 
+def within_domains(pairs: DataFrame, domains: DataFrame) -> DataFrame:
+    """(domain, a, b, r) of the pairs (a, b, r) whose variables are of one domain (variable, domain)."""
+    a, b = domains.select(F.col("variable").alias("a"), "domain"), domains.select(F.col("variable").alias("b"), "domain")
+    return pairs.join(a, "a").join(b, ["b", "domain"]).select("domain", "a", "b", "r")
+
+
 def uniqueness(pairs: DataFrame) -> DataFrame:
     """(variable, uniqueness): one less the largest absolute correlation with another variable."""
     both = pairs.select(F.col("a").alias("variable"), "r").unionByName(pairs.select(F.col("b").alias("variable"), "r"))

@@ -73,10 +73,7 @@ def _(s, d):
 
 @reg("s27_domain_columns", "SELECT row, col, size::DOUBLE AS bio_size, balance AS era5_balance FROM mask JOIN cells USING (row, col)", "mask")
 def _(s, d):
-    l = L.long(P.in_mask(A.cells(s, d), A.mask(s, d)), ["size", "balance", "price"])
-    domain = s.createDataFrame([("size", "bio"), ("balance", "era5")], "layer string, domain string")
-    named = l.join(domain, "layer").select("row", "col", F.concat_ws("_", "domain", "layer").alias("layer"), "value")
-    return L.wide(named, ["bio_size", "era5_balance"])
+    return L.by_domain(P.in_mask(A.cells(s, d), A.mask(s, d)), {"size": "bio", "balance": "era5"})
 
 
 @reg("s20_importance_union", "SELECT lower(trim(scenario)) AS scenario, variable, count(*) AS n, sum(importance_mean) FILTER (isfinite(importance_mean)) AS total FROM importance WHERE scenario IS NOT NULL GROUP BY ALL")
@@ -121,7 +118,9 @@ def _(s, d):
 
 @reg("proj9_georeference", "SELECT row, col, 91000 + 1000 * col - 250 AS left_, 7124000 - 1000 * row + 125 AS top_ FROM mask", "mask")
 def _(s, d):
-    return A.mask(s, d).select("row", "col", (STUDY.center_x() - 500 - 250).cast("bigint").alias("left_"), (STUDY.center_y() + 500 + 125).cast("bigint").alias("top_"))
+    g = STUDY.shifted(-250, 125)
+    half = g.cell / 2
+    return A.mask(s, d).select("row", "col", (g.center_x() - half).cast("bigint").alias("left_"), (g.center_y() + half).cast("bigint").alias("top_"))
 
 
 @reg("proj10_labels", "SELECT run_id, lower(season) AS season, upper(season[1]) || lower(season[2:]) AS title, 'loyo' AS scenario FROM metrics", "metrics")
@@ -152,10 +151,10 @@ def _(s, d):
     return A.cells(s, d).select(STUDY.index().alias("idx"), "price")
 
 
-@reg("f11_empty_layers", "SELECT 'nothing' AS layer")
+@reg("f11_empty_layers", "SELECT unnest(['nothing', 'nan']) AS layer")
 def _(s, d):
-    c = A.cells(s, d).withColumn("nothing", F.lit(None).cast("double"))
-    return L.long(c, ["size", "nothing"]).groupBy("layer").agg(F.count("value").alias("n")).filter("n = 0").select("layer")
+    c = A.cells(s, d).withColumns({"nothing": F.lit(None).cast("double"), "nan": F.lit(float("nan"))})
+    return L.empty(c, ["size", "nothing", "nan"])
 
 
 @reg("f13_split_filter", "SELECT engine, count(*) AS n FROM metrics WHERE lower(split) = 'test' GROUP BY engine", "metrics")
@@ -504,7 +503,8 @@ def _(s, d):
 
 @reg("n7_tiles", "SELECT floor(row / 256)::BIGINT AS tile_row, floor(col / 256)::BIGINT AS tile_col, count(*) AS n FROM cells GROUP BY ALL", "cells")
 def _(s, d):
-    return A.cells(s, d).groupBy(F.floor(F.col("row") / 256).alias("tile_row"), F.floor(F.col("col") / 256).alias("tile_col")).agg(F.count("*").alias("n"))
+    r, c = STUDY.tile(256)
+    return A.cells(s, d).groupBy(r.alias("tile_row"), c.alias("tile_col")).agg(F.count("*").alias("n"))
 
 
 @reg("r2_effect_labels", ", g AS (SELECT variable, count(value) FILTER (meta_run = 'F') AS n, count(value) FILTER (meta_run = 'O') AS m, avg(value) FILTER (meta_run = 'O') - avg(value) FILTER (meta_run = 'F') AS d, var_samp(value) FILTER (meta_run = 'F') AS va, var_samp(value) FILTER (meta_run = 'O') AS vb FROM importances GROUP BY variable), c AS (SELECT variable, abs(d / sqrt(((n - 1) * va + (m - 1) * vb) / (n + m - 2))) AS c FROM g) SELECT variable, CASE WHEN c < 0.2 THEN 'negligible' WHEN c < 0.5 THEN 'small' WHEN c < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM c", "importances")

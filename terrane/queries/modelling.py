@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrane.functions import text as X
 from terrane.functions.grid import STUDY
 from terrane.operators import collinear as C
+from terrane.operators import layers as L_
 from terrane.operators import models as L
 from terrane.operators import novelty as N
 from terrane.operators import points as P
@@ -510,8 +511,7 @@ def _(s, d):
 
 @reg("k2_replicated_layers", "SELECT row, col, step, price FROM cells, (SELECT unnest(range(3))::INT AS step)", "cells")
 def _(s, d):
-    c = A.cells(s, d)
-    return c.select("row", "col", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"), "price")
+    return L_.replicated(A.cells(s, d), "step", [0, 1, 2]).select("row", "col", "step", "price")
 
 
 @reg("proj23_storable_types", "SELECT * FROM (VALUES ('float64', 'float64'), ('uint8', 'int32'), ('int8', 'int32'), ('int16', 'int16'), ('bool', 'float32')) t(kind, stored)")
@@ -521,7 +521,8 @@ def _(s, d):
 
 @reg("proj8_half_cell_shift", "SELECT row, col, 91000 + 1000 * (col + 0.5::DOUBLE) - 500 AS x, 7124000 - 1000 * (row + 0.5::DOUBLE) + 500 AS y FROM mask", "mask")
 def _(s, d):
-    return A.mask(s, d).select("row", "col", (STUDY.center_x() - 500).alias("x"), (STUDY.center_y() + 500).alias("y"))
+    g = STUDY.shifted(-500, 500)
+    return A.mask(s, d).select("row", "col", g.center_x().alias("x"), g.center_y().alias("y"))
 
 
 @reg("proj18_predictor_intersection", "SELECT context_id, p AS variable, i - 1 AS idx FROM (SELECT context_id, unnest(predictors) AS p, generate_subscripts(predictors, 1) AS i FROM training_context) WHERE p IN (SELECT variable FROM importance WHERE test_year = 2020)")

@@ -130,9 +130,8 @@ def _(s, d):
 
 @reg("a21_domain_correlations", "SELECT * FROM (SELECT 'bio' AS domain, 'v0' AS a, 'v1' AS b, round(corr(v0, v1), 9) AS r FROM design UNION ALL SELECT 'era5', 'v2', 'v3', round(corr(v2, v3), 9) FROM design)", "design")
 def _(s, d):
-    domain = s.createDataFrame([("v0", "bio"), ("v1", "bio"), ("v2", "era5"), ("v3", "era5")], "v string, domain string")
-    c = S.correlations(A.design(s, d), _V)
-    return c.join(domain.withColumnsRenamed({"v": "a"}), "a").join(domain.withColumnsRenamed({"v": "b", "domain": "d2"}), "b").filter("domain = d2").select("domain", "a", "b", F.round("r", 9).alias("r"))
+    domain = s.createDataFrame([("v0", "bio"), ("v1", "bio"), ("v2", "era5"), ("v3", "era5")], "variable string, domain string")
+    return S.within_domains(S.correlations(A.design(s, d), _V), domain).withColumn("r", F.round("r", 9))
 
 
 @reg("a22_moments", "SELECT meta_run, count(*) AS n, sum(value) AS total, sum(value * value) AS squares, min(value) AS min, max(value) AS max, count(*) FILTER (value < 0) AS negative, count(*) FILTER (value < -0.01) AS below_low, count(*) FILTER (value > 0.05) AS above_high, avg(value) AS mean, stddev_pop(value) AS sd FROM importances GROUP BY meta_run", "importances")

@@ -141,8 +141,7 @@ def _(s, d):
 @reg("proj6_shifted_years", A.sql("SELECT year, count(*) AS n, min(x + (year % 3) * 1000000) AS x, max(y + floor((year - 1995) / 3) * 1000000) AS y FROM points GROUP BY year", "points"))
 def _(s, d):
     offsets = A.points(s, d).select("year").distinct().select("year", (F.col("year") % 3 * 1000000).alias("dx"), (F.floor((F.col("year") - 1995) / 3) * 1000000).alias("dy"))
-    p = A.points(s, d).join(offsets, "year")
-    return p.groupBy("year").agg(F.count("*").alias("n"), F.min(F.col("x") + F.col("dx")).alias("x"), F.max(F.col("y") + F.col("dy")).alias("y"))
+    return P.shifted(A.points(s, d), offsets).groupBy("year").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.max("y").alias("y"))
 
 
 @reg("proj7_cell_centres", A.sql("SELECT row, col, 91000 + 1000 * (col + 0.5::DOUBLE) AS x, 7124000 - 1000 * (row + 0.5::DOUBLE) AS y, row * 1000 + col AS idx FROM mask", "mask"))
