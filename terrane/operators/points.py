@@ -172,52 +172,126 @@ def _whitening(n: int, mean, cov):
     return vectors / np.sqrt(np.where(values <= 0, 1e-6, values))
 
 
-def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float, largest: int = 50_000, batch: int = 2000) -> DataFrame:
+def _greedy(x, target: int, leaf: int = 512):
+    """The places of `target` rows of x, as a greedy walk chooses them: it starts at the first row and adds the row farthest
+    from those chosen, of equally far ones the first. A row is chosen once. target: no more than there are rows.
+
+    Rows lie in boxes of up to `leaf`, and a step looks only into boxes to which the new row can be nearer than their farthest
+    row is to those chosen; to all others it makes no difference, as a distance to a box is none larger than one to its rows.
+    """
+    import numpy as np
+
+    parts, boxes = [np.arange(len(x))], []
+    while parts:
+        p = parts.pop()
+        if len(p) <= leaf:
+            boxes.append(np.sort(p))
+            continue
+        own = x[p]
+        cut = np.argpartition(own[:, int((own.max(0) - own.min(0)).argmax())], len(p) // 2)
+        parts += [p[cut[: len(p) // 2]], p[cut[len(p) // 2 :]]]
+    order, ends = np.concatenate(boxes), np.cumsum([len(p) for p in boxes])
+    starts = ends - [len(p) for p in boxes]
+    cols = [np.ascontiguousarray(x[order, j]) for j in range(x.shape[1])]
+    low, high = [np.minimum.reduceat(c, starts) for c in cols], [np.maximum.reduceat(c, starts) for c in cols]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    box = np.repeat(np.arange(len(boxes)), [len(p) for p in boxes])
+    spans = list(zip(starts.tolist(), ends.tolist()))
+    # squared distance to the nearest chosen row, below 0 for chosen ones; the largest of each box and whose it is
+    near, far, whose = np.full(len(x), np.inf), np.full(len(boxes), np.inf), np.zeros(len(boxes), np.int64)
+    chosen, row = [], 0
+    while True:
+        chosen.append(row)
+        if len(chosen) >= target:
+            return np.array(chosen)
+        at = x[row].tolist()
+        gap = np.zeros(len(boxes))
+        for lo, hi, c in zip(low, high, at):
+            gap += np.maximum(np.maximum(lo - c, c - hi), 0.0) ** 2
+        mine = int(box[place[row]])
+        near[place[row]] = -1.0
+        hit = gap < far
+        hit[mine] = True
+        for k in np.flatnonzero(hit).tolist():
+            i, j = spans[k]
+            d = np.zeros(j - i)
+            for col, c in zip(cols, at):
+                d += (col[i:j] - c) ** 2
+            v = near[i:j]
+            np.minimum(v, d, out=v)
+            top = int(v.argmax())
+            far[k], whose[k] = v[top], order[i + top]
+        row = int(whose[far == far.max()].min())
+
+
+def _spread(x, target: int):
+    """Places of `target` rows of features, the rows being in order of their key; missing features take the mean."""
+    import numpy as np
+
+    mean = np.nan_to_num(np.nanmean(np.where(np.isnan(x).all(0), 0.0, x), 0))
+    x = np.where(np.isnan(x), mean, x) - mean
+    return _greedy(x @ _whitening(len(x), mean, np.cov(x, rowvar=False)), target)
+
+
+def farthest_points(points: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, share: float, largest: int = 50_000, batch: int = 2000, held: int = 4_000_000) -> DataFrame:
     """Of each group, max(1, floor(n * share)) points spread most widely by Mahalanobis distance.
 
     Missing features take the group's mean; distances are those after whitening by the group's covariance. The walk starts
-    at the smallest key and adds the point farthest from those chosen, of equally far ones that of smallest key; key is
-    unique in a group. A group of up to `largest` points is one task, which holds its features and one distance for each
-    point. A larger one is walked over the cluster (`_walked`), with the same result.
+    at the smallest key and adds the point farthest from those chosen, of equally far ones that of smallest key, then of
+    smallest features; points are counted one by one, even if they are equal in all. A group of up to `largest` points is
+    one task, which holds its rows. Of one of up to `held` a task holds the key, the features and some numbers of each point,
+    and the rows are looked up. A larger one is walked over the cluster (`_walked`). All have the same result.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     schema = points.schema
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("__n"))
+    # written once, so that a point keeps its number
+    rows = staged(points.withColumn("__row", F.monotonically_increasing_id()))
+    sizes = staged(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
     large = sizes.filter(F.col("__n") > largest).collect()  # few, as each stands for so many points
+    whole = rows.drop("__row")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values([key, *features], kind="stable").reset_index(drop=True)
         target = max(1, int(len(pdf) * share))
         if target >= len(pdf):
             return pdf
-        x = pdf[list(features)].to_numpy(float)
-        mean = np.nan_to_num(np.nanmean(np.where(np.isnan(x).all(0), 0.0, x), 0))
-        x = np.where(np.isnan(x), mean, x) - mean
-        x = x @ _whitening(len(x), mean, np.cov(x, rowvar=False))
-        chosen, near = [0], ((x - x[0]) ** 2).sum(1)
-        while len(chosen) < target:
-            far = int(near.argmax())
-            chosen.append(far)
-            near = np.minimum(near, ((x - x[far]) ** 2).sum(1))
-        return pdf.iloc[sorted(chosen)]
+        return pdf.iloc[np.sort(_spread(pdf[list(features)].to_numpy(float), target))]
 
     if not large:
-        return points.groupBy(*keys).applyInPandas(walk, schema)
-    few = sizes.filter(F.col("__n") <= largest).select(*[F.col(k).alias(f"__{k}") for k in keys])
-    small = points.join(few, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_semi")
-    out = small.groupBy(*keys).applyInPandas(walk, schema)
+        return whole.groupBy(*keys).applyInPandas(walk, schema)
+
+    def numbers(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, [("__k", "ascending"), *[(f"__f{i}", "ascending") for i in range(len(features))]]).to_numpy()
+        x = np.column_stack([group.column(f"__f{i}").to_numpy()[order] for i in range(len(features))])
+        taken = _spread(x, max(1, int(len(x) * share)))
+        return pa.table({"__row": group.column("__row").to_numpy()[order[taken]]})
+
+    def of(groups: DataFrame, frame: DataFrame) -> DataFrame:
+        named = groups.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)])
+        return frame.join(named, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)], "left_semi")
+
+    out = of(sizes.filter(F.col("__n") <= largest), whole).groupBy(*keys).applyInPandas(walk, schema)
+    if any(g["__n"] <= held for g in large):
+        value = [F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f"__f{i}") for i, f in enumerate(features)]
+        sent = of(sizes.filter((F.col("__n") > largest) & (F.col("__n") <= held)), rows).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col(key).alias("__k"), *value, "__row")
+        found = staged(sent.groupBy(*[f"__g{i}" for i in range(len(keys))]).applyInArrow(numbers, "__row bigint"))
+        out = out.unionByName(rows.join(found, "__row", "left_semi").select(*points.columns))
     for group in large:
-        own = points
-        for k in keys:
-            own = own.filter(F.col(k).eqNullSafe(F.lit(group[k])))
-        out = out.unionByName(_walked(own, features, key, max(1, int(group["__n"] * share)), batch))
+        if group["__n"] > held:
+            own = rows
+            for k in keys:
+                own = own.filter(F.col(k).eqNullSafe(F.lit(group[k])))
+            out = out.unionByName(_walked(own, features, key, max(1, int(group["__n"] * share)), batch).select(*points.columns))
     return out
 
 
 def _walked(points: DataFrame, features: Sequence[str], key: str, target: int, batch: int) -> DataFrame:
-    """`target` points of one group of any size, as a greedy walk chooses them.
+    """`target` points of one group of any size, as a greedy walk chooses them. points: with `__row`, a number of each.
 
     Each pass sends the `batch` points farthest from those chosen to the driver. As distances only fall, the farthest of
     them is the farthest of all while it is farther than the last of the batch was, so many steps are made a pass; then
@@ -231,33 +305,37 @@ def _walked(points: DataFrame, features: Sequence[str], key: str, target: int, b
     spark = points.sparkSession
     value = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
     mean = np.nan_to_num(np.array([v if v is not None else 0.0 for v in points.agg(*[F.avg(v) for v in value.values()]).first()], float))
-    rows = points.select(F.col(key).alias("k"), *[F.coalesce(v, F.lit(float(m))).alias(f"f{i}") for i, (v, m) in enumerate(zip(value.values(), mean))])
+    rows = points.select(F.col(key).alias("k"), F.col("__row").alias("r"), *[F.coalesce(v, F.lit(float(m))).alias(f"f{i}") for i, (v, m) in enumerate(zip(value.values(), mean))])
     names = [f"f{i}" for i in range(len(features))]
     n, s, p = product_sums(rows, names, mean)
     turn = _whitening(n, mean, (p - np.outer(s, s) / max(n, 1)) / max(n - 1, 1))
     kind = rows.schema["k"].dataType.simpleString()
-    first = points.agg(F.min(key)).first()[0]
 
     def taken(frame: DataFrame, found: np.ndarray) -> DataFrame:
-        """(k, f.., d): d the squared distance to the nearest of all chosen so far."""
+        """(k, r, f.., d): d the squared distance to the nearest of all chosen so far."""
         sent = spark.sparkContext.broadcast(found)
 
         def run(it):
             for b in it:
-                x = np.column_stack([b.column(1 + i).to_numpy() for i in range(len(names))])
-                d = b.column(1 + len(names)).to_numpy().copy()
+                x = np.column_stack([b.column(2 + i).to_numpy() for i in range(len(names))])
+                d = b.column(2 + len(names)).to_numpy().copy()
                 for c in sent.value:
                     d = np.minimum(d, ((x - c) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(names)], pa.array(d)], names=["k", *names, "d"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: 2 + len(names)], pa.array(d)], names=["k", "r", *names, "d"])
 
-        return staged(frame.mapInArrow(run, ", ".join([f"k {kind}", *[f"{x} double" for x in names], "d double"])))
+        return staged(frame.mapInArrow(run, ", ".join([f"k {kind}", "r bigint", *[f"{x} double" for x in names], "d double"])))
 
-    white = rows.select("k", *[sum(((F.col(f) - F.lit(float(m))) * F.lit(float(turn[i, j])) for i, (f, m) in enumerate(zip(names, mean))), F.lit(0.0)).alias(names[j]) for j in range(len(names))], F.lit(float("inf")).alias("d"))
-    start = white.filter(F.col("k") == F.lit(first)).limit(1).collect()[0]
-    chosen = [first]
-    state = taken(white, np.array([[start[x] for x in names]]))
+    # equal keys in order of the features themselves, as tasks that hold a group have them
+    plain = [f"o{i}" for i in range(len(names))]
+    white = rows.select("k", "r", *[sum(((F.col(f) - F.lit(float(m))) * F.lit(float(turn[i, j])) for i, (f, m) in enumerate(zip(names, mean))), F.lit(0.0)).alias(names[j]) for j in range(len(names))], F.lit(float("inf")).alias("d"))
+    start = rows.select("k", "r", *[F.col(f).alias(o) for f, o in zip(names, plain)]).orderBy("k", *plain, "r").limit(1).select("r").first().r
+    first = white.filter(F.col("r") == F.lit(start)).collect()[0]
+    chosen = [start]
+    state = taken(white.filter(F.col("r") != F.lit(start)), np.array([[first[x] for x in names]]))
     while len(chosen) < target:
-        top = state.orderBy(F.desc("d"), "k").limit(batch).collect()
+        top = state.orderBy(F.desc("d"), "k", "r").limit(batch).collect()
+        if not top:
+            break
         x, d = np.array([[r[f] for f in names] for r in top]), np.array([r.d for r in top])
         floor = d[-1] if len(top) == batch else -1.0
         step = []
@@ -268,15 +346,13 @@ def _walked(points: DataFrame, features: Sequence[str], key: str, target: int, b
             if d[far] < 0:
                 break
             step.append(far)
-            chosen.append(top[far].k)
+            chosen.append(top[far].r)
             d = np.minimum(d, ((x - x[far]) ** 2).sum(1))
             d[far] = -1.0
-        if not step:
-            break
         if len(chosen) < target:
             state = taken(state, x[step])
-            state = state.filter(~F.col("k").isin([top[i].k for i in step])) if len(step) <= 100 else state.join(F.broadcast(spark.createDataFrame([(top[i].k,) for i in step], f"k {kind}")), "k", "left_anti")
-    return points.join(spark.createDataFrame([(k,) for k in chosen], f"`{key}` {kind}"), key, "left_semi").select(*points.columns)
+            state = state.filter(~F.col("r").isin([top[i].r for i in step])) if len(step) <= 100 else state.join(F.broadcast(spark.createDataFrame([(top[i].r,) for i in step], "r bigint")), "r", "left_anti").select("k", "r", *names, "d")
+    return points.join(spark.createDataFrame([(r,) for r in chosen], "__row bigint"), "__row", "left_semi")
 
 
 def crowding_weights(points: DataFrame, cell: float) -> DataFrame:
