@@ -110,12 +110,13 @@ def with_replacement(cells: DataFrame, weight: Column, n: int, key: Sequence[str
     at = draws.withColumn("__at", uniform("draw", seed=seed) * F.element_at("__line", -1)["__e"])
     hit = at.withColumn("__h", F.coalesce(F.get(F.filter("__line", lambda p: p["__e"] > F.col("__at")), F.lit(0)), F.element_at("__line", -1)))
     placed = hit.select("draw", F.col("__h.__p").alias("__p"), (F.col("__at") - F.col("__h.__e") + F.col("__h.__s")).alias("__x"))
-    own = W.partitionBy("__p").orderBy("__x", "__k")
+    # from the end, so that what lies behind a draw is kept as it is passed (a window to the end is summed anew for each row)
+    own = W.partitionBy("__p").orderBy(F.desc("__x"), F.desc("__k"), *[F.desc(f"__row.`{c}`") for c in key])
     lines = rows.withColumn("__x", F.sum("__w").over(W.partitionBy("__p").orderBy(*key).rowsBetween(W.unboundedPreceding, 0)))
     kept = F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("__row")
     both = lines.select("__p", "__x", F.lit(1).alias("__k"), kept, F.lit(None).cast("bigint").alias("draw"))
     asked = placed.select("__p", "__x", F.lit(0).alias("__k"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "draw")
-    found = both.unionByName(asked).withColumn("__row", F.first("__row", ignorenulls=True).over(own.rowsBetween(0, W.unboundedFollowing)))
+    found = both.unionByName(asked).withColumn("__row", F.last("__row", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0)))
     return found.filter(F.col("draw").isNotNull() & F.col("__row").isNotNull()).select("draw", "__row.*")
 
 

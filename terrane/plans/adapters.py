@@ -50,7 +50,12 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 def mask(spark: SparkSession, d: str) -> DataFrame:
     """(row, col) of the cells inside the study area."""
-    return cells(spark, d).filter("size % 3 <> 0").select("row", "col")
+    return inside(cells(spark, d))
+
+
+def inside(cells: DataFrame) -> DataFrame:
+    """The mask's cells among those of a stack that has been made already."""
+    return cells.filter("size % 3 <> 0").select("row", "col")
 
 
 def design(spark: SparkSession, d: str, k: int = 4) -> DataFrame:

@@ -9,7 +9,7 @@ from terrane.functions.grid import STUDY, Grid
 from terrane.operators import layers as L
 from terrane.operators import points as P
 from terrane.plans import adapters as A
-from terrane.session import table
+from terrane.session import staged, table
 
 BASE = ["size", "price", "balance"]
 
@@ -256,7 +256,8 @@ def _(s, d):
 def _(s, d):
     """Draws by weight with replacement and jitter: how many there are, how many lie outside the mask's cells, and whether
     the mean weight drawn is that of the weights (sum of squares over sum)."""
-    c = P.in_mask(A.cells(s, d), A.mask(s, d)).withColumn("w", F.greatest("balance", F.lit(0.1)))
+    all_ = staged(A.cells(s, d).select("row", "col", "size", "balance"))
+    c = staged(P.in_mask(all_, A.inside(all_)).select("row", "col", "balance").withColumn("w", F.greatest("balance", F.lit(0.1))))
     want = c.agg((F.sum(F.col("w") * F.col("w")) / F.sum("w")).alias("want"), F.count("*").alias("n")).first()
     got = P.placed(P.jittered(P.with_replacement(c, F.col("w"), want.n // 10, ["row", "col"]), STUDY, "draw").withColumnsRenamed({"row": "r", "col": "c"}))
     return got.agg(F.count("*").alias("draws"), F.count_if((F.col("row") != F.col("r")) | (F.col("col") != F.col("c"))).alias("outside"), (F.abs(F.avg("w") / want.want - 1) < 0.05).alias("near"))
