@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,51 +171,72 @@ def directional_fill(cells: DataFrame, value: str = "value") -> DataFrame:
     return out
 
 
-def nearest_fill(cells: DataFrame, value: str = "value") -> DataFrame:
+def nearest_fill(cells: DataFrame, value: str = "value", band: int = 64) -> DataFrame:
     """Missing values take that of the nearest known cell, however far; of equally near ones the one of smallest row, then
-    column. Without any known cell they stay null. cells: one row a cell; the rectangle they span is filled in between.
+    column. Without any known cell they stay null. cells: one row a cell; they are written once.
 
-    The squared distance comes apart by direction: each cell first finds the nearest known one in its column, and then
-    along its row the column for which both distances together are least. A task holds a column or a row, never the grid.
+    The squared distance comes apart by direction: in each column every place first finds the nearest known cell, and then a
+    missing one looks along its row for the column for which both distances together are least. A task holds the known
+    cells of a column, or a band of rows, never the grid; known cells are not moved a second time.
     """
-    ends = cells.agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"), F.min("col").alias("__c0"), F.max("col").alias("__c1"))
-    box = ends.filter(F.col("__r0").isNotNull()).select(F.explode(F.sequence("__r0", "__r1")).alias("row"), "__c0", "__c1").select("row", F.explode(F.sequence("__c0", "__c1")).alias("col"))
-    own = cells.select("row", "col", F.col(value).alias("__v"), F.lit(True).alias("__own"))
-    all_ = box.join(own, ["row", "col"], "left")
-    w = W.partitionBy("col").orderBy("row")
-    seen = F.when(F.col("__v").isNotNull(), F.struct("row", "__v"))
-    up, down = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    near = all_.withColumns({"__up": up, "__down": down})
-    above = F.col("__down").isNull() | (F.col("row") - F.col("__up.row") <= F.col("__down.row") - F.col("row"))
-    near = near.select("row", "col", "__own", F.when(F.col("__up").isNotNull() & above, F.col("__up")).otherwise(F.col("__down")).alias("__n"))
-    near = near.select("row", "col", "__own", F.col("__n.row").alias("__at"), F.col("__n.__v").alias("__v"))
-    schema = T.StructType([cells.schema["row"], cells.schema["col"], T.StructField("__f", cells.schema[value].dataType)])
-
-    def along(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col", ignore_index=True)
-        row, cols = int(pdf["row"].iloc[0]), pdf["col"].to_numpy()
-        known = pdf["__at"].notna().to_numpy()
-        wide = len(pdf)
-        at = pdf["__at"].fillna(0).to_numpy().astype(np.int64)
+    cells = staged(cells)
+    lacking = F.col(value).isNull()
+    ends = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.count(value).alias("known"), F.count_if(lacking).alias("lacking")).first()
+    if not ends.known or not ends.lacking:
+        return cells
+    r0, r1, c0, wide = int(ends.r0), int(ends.r1), int(ends.c0), int(ends.c1 - ends.c0) + 1
+    schema = cells.schema
+
+    def down(column: pa.Table) -> pa.Table:
+        """For each band the way to the nearest known row of this column, the upper of equally near ones, and its value."""
+        rows = column.column("__r").to_numpy()
+        order = np.argsort(rows, kind="stable")
+        rows, all_ = rows[order], np.arange(r0, r1 + 1)
+        below = np.minimum(np.searchsorted(rows, all_), len(rows) - 1)
+        above = np.maximum(below - 1, 0)
+        pick = np.where(np.abs(all_ - rows[above]) <= np.abs(rows[below] - all_), above, below)
+        at = np.append(np.arange(0, len(all_), band), len(all_)).astype(np.int32)
+        listed = lambda v: pa.ListArray.from_arrays(pa.array(at), v)
+        own = column.column("__v").combine_chunks()
+        return pa.table({"__band": np.arange(len(at) - 1), "__c": np.full(len(at) - 1, column.column("__c")[0].as_py()), "__gap": listed(pa.array(rows[pick] - all_)), "__v": listed(own.take(pa.array(order[pick])))})
+
+    def along(columns: pa.Table, gone: pa.Table) -> pa.Table:
+        if not len(gone):
+            return gone.select(schema.names)
+        lists = columns.column("__v").combine_chunks()
+        start = lists.offsets.to_numpy()[:-1]
         far = np.iinfo(np.int64).max // 4
-        gap = np.where(known, (at - row) ** 2, far)
-        best = np.stack([gap, at, cols])  # squared distance, row, column of the nearest so far
-        pick = np.arange(wide)
-        step = 1
-        while step < wide and best[0].max() >= step * step:
-            for way in (-step, step):
-                here, there = (slice(step, None), slice(None, -step)) if way < 0 else (slice(None, -step), slice(step, None))
-                new = np.stack([np.where(known[there], gap[there] + step * step, far), at[there], cols[there]])
-                old = best[:, here]
-                less = (new[0] < old[0]) | ((new[0] == old[0]) & ((new[1] < old[1]) | ((new[1] == old[1]) & (new[2] < old[2]))))
-                best[:, here] = np.where(less, new, old)
-                pick[here] = np.where(less, np.arange(wide)[there], pick[here])
+        gap = columns.column("__gap").combine_chunks().flatten().to_numpy().reshape(len(columns), -1)
+        of = np.full(wide, -1)
+        of[columns.column("__c").to_numpy() - c0] = np.arange(len(columns))
+        row, col = gone.column("row").to_numpy().astype(np.int64), gone.column("col").to_numpy().astype(np.int64) - c0
+        inner = (row - r0) % band
+
+        def look(who: np.ndarray, c: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+            """The squared distance by way of the columns c, and the row reached there."""
+            k = np.where((c >= 0) & (c < wide), of[np.clip(c, 0, wide - 1)], -1)
+            g = gap[k, inner[who]]
+            return np.where(k >= 0, g * g + step * step, far), row[who] + g
+
+        left, step = np.arange(len(row)), 0
+        best, at, by = np.full(len(row), far), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        while len(left):
+            for c in (col[left] - step, col[left] + step) if step else (col[left],):
+                d, r = look(left, c, step)
+                less = (d < best[left]) | ((d == best[left]) & ((r < at[left]) | ((r == at[left]) & (c < by[left]))))
+                who = left[less]
+                best[who], at[who], by[who] = d[less], r[less], c[less]
             step += 1
-        mine = pdf["__own"].notna().to_numpy() & (best[0] < far)
-        return pd.DataFrame({"row": row, "col": cols[mine], "__f": pdf["__v"].to_numpy()[pick[mine]]})
-
-    found = near.groupBy("row").applyInPandas(along, schema)
-    return cells.join(found, ["row", "col"], "left").withColumn(value, F.coalesce(value, "__f")).drop("__f")
+            left = left[best[left] >= step * step] if step < wide else left[:0]
+        found = lists.values.take(pa.array(start[of[by]] + inner))
+        return pa.table({n: found if n == value else gone.column(n) for n in schema.names})
+
+    known = cells.filter(~lacking).select(F.col("col").cast("bigint").alias("__c"), F.col("row").cast("bigint").alias("__r"), F.col(value).alias("__v"))
+    kind = cells.select(F.array(value).alias("v")).schema["v"].dataType
+    ways = known.groupBy("__c").applyInArrow(down, T.StructType([T.StructField("__band", T.LongType()), T.StructField("__c", T.LongType()), T.StructField("__gap", T.ArrayType(T.LongType())), T.StructField("__v", kind)]))
+    gone = cells.filter(lacking).withColumn("__band", F.floor((F.col("row") - r0) / band).cast("bigint"))
+    filled = gone.groupBy("__band").cogroup(ways.groupBy("__band")).applyInArrow(lambda a, b: along(b, a), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    return cells.filter(~lacking).unionByName(filled)
 
 
 def density(points: DataFrame, sigma: float, reach: int) -> DataFrame:
