@@ -161,10 +161,10 @@ def directional_fill(cells: DataFrame, value: str = "value") -> DataFrame:
     """Missing values take the nearest value along the column, then along the row, the earlier of two equally near."""
     out = cells
     for line, along in (("col", "row"), ("row", "col")):
-        w = W.partitionBy(line).orderBy(along)
+        # each way from its own end, as a window to the end of a line is made anew for each of its cells
+        w, back = (W.partitionBy(line).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc(along), F.desc(along)))
         seen = F.when(F.col(value).isNotNull(), F.struct(F.col(along).alias("a"), F.col(value).alias("v")))
-        before = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        after = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+        before, after = F.last(seen, ignorenulls=True).over(w), F.last(seen, ignorenulls=True).over(back)
         earlier = F.col("__a.v").isNull() | (F.col(along) - F.col("__b.a") <= F.col("__a.a") - F.col(along))
         near = F.when(F.col("__b.v").isNotNull() & earlier, F.col("__b.v")).otherwise(F.col("__a.v"))
         out = out.withColumns({"__b": before, "__a": after}).withColumn(value, F.coalesce(value, near)).drop("__b", "__a")
