@@ -13,7 +13,7 @@ from terrane.operators import novelty as N
 from terrane.operators import points as P
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
-from terrane.session import scratch, table
+from terrane.session import scratch, staged, table
 from terrane.sources import sinks as K
 from terrane.sources import tables as R
 
@@ -480,7 +480,7 @@ def _(s, d):
 def _(s, d):
     """A bundle that is written and read back part by part, by its own list of them."""
     path = scratch(s)
-    K.interop_bundle(A.points(s, d), A.cells(s, d), A.extent(s, d), ["size", "price"], "wild boar", path, {"season": "Winter"})
+    K.interop_bundle(A.points(s, d), staged(A.cells(s, d).select("row", "col", "size", "price")), A.extent(s, d), ["size", "price"], "wild boar", path, {"season": "Winter"})
     told = s.read.json(f"{path}/bundle.json").first()
     out = s.read.option("header", True).csv(f"{path}/{told.points}").agg(F.lit("points").alias("part"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
     for v, folder in told.layers.asDict().items():

@@ -26,9 +26,15 @@ def ascii_rows(cells: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
     """(row, line) of an ESRI ASCII grid's body: six decimals, what isn't known as nodata; rows without cells are left out."""
     v = F.col(value).cast("double")
     text = F.format_string("%.6f", F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(NODATA)).otherwise(v))
-    lists = cells.filter(grid.inside()).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("t")))).alias("__m"))
+    # by the way from one known place to the next, so that a row costs what its cells do and not its width times them
+    lists = cells.filter(grid.inside()).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), text.alias("t")))).alias("__l"))
     nothing = f"{NODATA:.6f}"
-    return lists.select("row", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.cols - 1).cast("bigint")), lambda c: F.coalesce(F.try_element_at("__m", c), F.lit(nothing))), " ").alias("line"))
+    last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("__l", i - 1)["c"])
+    gap = lambda n: F.repeat(F.lit(f"{nothing} "), n)
+    twice = lambda x, i: F.when(x["c"] == last(i), F.raise_error(F.concat(F.lit("more than one cell in column "), x["c"].cast("string"))).cast("string"))
+    parts = F.transform("__l", lambda x, i: F.coalesce(twice(x, i), F.concat(gap(x["c"] - last(i) - 1), x["t"])))
+    behind = F.repeat(F.lit(f" {nothing}"), F.lit(grid.cols - 1) - F.element_at("__l", -1)["c"])
+    return lists.select("row", F.concat(F.array_join(parts, " "), behind).alias("line"))
 
 
 def ascii_header(grid: Grid) -> list[str]:

@@ -88,7 +88,8 @@ def read_ascii_grids(spark: SparkSession, path: str | list[str], nodata: float =
     lines = spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("layer"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__i")
     )
-    first = F.lower(F.split(F.trim("line"), r"\s+")[0])
+    # a line of the body is as long as the grid is wide: only its beginning is cut off here
+    first = F.lower(F.split(F.trim("line"), r"\s+", 2)[0])
     lines = lines.withColumn("__body", ~first.isin(*names) & (F.trim("line") != ""))
     pieces = lines.groupBy("__f", "__b").agg(F.min("__i").alias("__i0"), F.count("*").alias("__n"), F.min(F.when(F.col("__body"), F.col("__i"))).alias("__s"), F.count_if("__body").alias("__k"), F.max(F.when(first == "nrows", F.split(F.trim("line"), r"\s+")[1].try_cast("bigint"))).alias("__rows"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("__f").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
