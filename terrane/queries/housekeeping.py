@@ -16,7 +16,7 @@ from terrane.operators import runs as T
 from terrane.operators import stats as S
 from terrane.plans import adapters as A
 from terrane.plans import config
-from terrane.session import scratch, table
+from terrane.session import scratch, staged, table
 from terrane.sources import inventory as V
 from terrane.sources import sinks as K
 from terrane.sources import tables as R
@@ -451,7 +451,8 @@ def _(s, d):
 @reg("g28_guarded_thinning", ", t AS (SELECT source, count(DISTINCT (floor(x / 5000), floor(y / 5000))) AS n FROM points GROUP BY source) SELECT source, n AS unknown, greatest(1, floor(n * 0.1::DOUBLE))::BIGINT AS known FROM t", "points")
 def _(s, d):
     """With a feature that is known nowhere nothing is thinned; with known ones a tenth of each group stays."""
-    p = P.thinned_to_grid(P.placed(A.points(s, d)), 5, [A.hashed("id", 7), "id", "x", "y", "year", "quantity"], ["source"]).select("id", "source", "x", "y").withColumn("price", F.lit(None).cast("double"))
+    # written once, as it is counted and thinned twice
+    p = staged(P.thinned_to_grid(P.placed(A.points(s, d)), 5, [A.hashed("id", 7), "id", "x", "y", "year", "quantity"], ["source"]).select("id", "source", "x", "y").withColumn("price", F.lit(None).cast("double")))
     none, some = P.thinned_if_known(p, ["source"], ["price"], "id", 0.1), P.thinned_if_known(p, ["source"], ["x", "y"], "id", 0.1)
     n = lambda f, name: f.groupBy("source").agg(F.count("*").alias(name))
     return n(none, "unknown").join(n(some, "known"), "source")
