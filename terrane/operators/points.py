@@ -50,9 +50,13 @@ def sampled(points: DataFrame, stack: DataFrame, layers: Sequence[str], keys: Se
 
 
 def thinned_to_grid(points: DataFrame, km: float, order: Sequence[Column | str], also: Sequence[str] = ()) -> DataFrame:
-    """One point of each square of km by km kilometres (of each value of `also`), the first by `order`."""
+    """One point of each square of km by km kilometres (of each value of `also`), the first by `order`.
+
+    Squares are sorted by a hash first, as a sort that begins with a column of few values compares whole rows.
+    """
     keyed = points.withColumns({"__tx": F.floor(F.col("x") / (km * 1000)), "__ty": F.floor(F.col("y") / (km * 1000))})
-    return first_per(keyed, ["__tx", "__ty", *also], order).drop("__tx", "__ty")
+    keyed = keyed.withColumn("__h", F.hash("__tx", "__ty", *also))
+    return first_per(keyed, ["__h", "__tx", "__ty", *also], order).drop("__h", "__tx", "__ty")
 
 
 def thinned_by_policy(points: DataFrame, policy: DataFrame, keys: Sequence[str], draw: str, tie: Sequence[str], few: int = 3) -> DataFrame:

@@ -39,10 +39,16 @@ def extent(spark: SparkSession, d: str) -> Grid:
     return Grid(y0=STUDY.top - rows * 1000.0, rows=rows, cols=COLS)
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
+def cells(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """A wide layer stack (row, col, size, price, balance): one row for each cell that the rows of lineitem meet, which lies
-    some columns east of the point's, with the largest size and price of its parts and balance of its suppliers."""
-    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.expr(f"l_partkey div {PARTS_A_ROW}").alias("row"), ((F.col("l_suppkey") + F.col("l_linenumber")) % COLS).alias("col"))
+    some columns east of the point's, with the largest size and price of its parts and balance of its suppliers. of: rows
+    with a cell (row, col) each; only their cells are made, so that rows of lineitem in others meet no part or supplier."""
+    row, col = F.expr(f"l_partkey div {PARTS_A_ROW}"), (F.col("l_suppkey") + F.col("l_linenumber")) % COLS
+    l = table(spark, d, "lineitem")
+    if of is not None:
+        wanted = of.select(F.col("row").alias("__row"), F.col("col").alias("__col")).hint("shuffle_hash")
+        l = l.select("l_partkey", "l_suppkey", "l_linenumber").join(wanted, (row == F.col("__row")) & (col == F.col("__col")), "left_semi")
+    l = l.select("l_partkey", "l_suppkey", row.alias("row"), col.alias("col"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
     return l.join(p, "l_partkey").join(s, "l_suppkey").groupBy("row", "col").agg(F.max("p_size").alias("size"), F.max("p_retailprice").alias("price"), F.max("s_acctbal").alias("balance"))

@@ -399,9 +399,10 @@ def _(s, d):
 
 @reg("g4_farthest_points")
 def _(s, d):
-    p = _points(s, d).withColumn("__n", F.lit(1)).drop("__n")
-    cells = P.thinned_to_grid(p, 20, _order(), ["source", "year"])
-    sampled = P.sampled(cells, A.cells(s, d), ["price", "balance"])
+    """Points are placed once thinned and written once, and of the stack only their cells are made."""
+    thinned = P.thinned_to_grid(A.points(s, d), 20, _order(), ["source", "year"])
+    p = staged(P.placed(thinned).select("id", "source", "year", "row", "col"))
+    sampled = P.sampled(p, A.cells(s, d, p), ["price", "balance"])
     return P.farthest_points(sampled.select("id", "source", "year", "price", "balance"), ["source", "year"], ["price", "balance"], "id", 0.1)
 
 
